@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,3 +54,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def whole_text(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+def map_arrow(frame: DataFrame, f: Callable, schema) -> DataFrame:
+    """frame.mapInArrow(f, schema), with this package sent to the executors' Python workers first."""
+    context = frame.sparkSession.sparkContext
+    if not getattr(context, "_quillstack_sent", False):
+        package = Path(__file__).resolve().parents[1]
+        archive = os.path.join(tempfile.mkdtemp(prefix="quillstack-"), f"{package.name}.zip")
+        with zipfile.ZipFile(archive, "w") as out:
+            for file in sorted(package.rglob("*.py")):
+                out.write(file, file.relative_to(package.parent))
+        context.addPyFile(archive)
+        context._quillstack_sent = True
+    return frame.mapInArrow(f, schema)

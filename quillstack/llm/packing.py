@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import map_arrow, stored
 from .tokens import crc32_of, default_vocabulary, encoder, slices
 
 CAPACITY = 4096
@@ -160,7 +160,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
                 )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row_key"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, PIECES)
+    return map_arrow(rows, run, PIECES)
 
 
 def pack(found: DataFrame, capacity: int = CAPACITY, a_bucket: int = 20_000) -> DataFrame:
@@ -177,7 +177,7 @@ def pack(found: DataFrame, capacity: int = CAPACITY, a_bucket: int = 20_000) ->
     starts = stored(counts.select("length", "bucket", F.coalesce(before, F.lit(0)).alias("before")), "pack-starts")
     within = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "row_key", "piece")) - 1
     ranked = dealt.withColumn("within", within).join(starts, ["length", "bucket"]).withColumn("rank", F.col("before") + F.col("within"))
-    return ranked.select(*found.columns, "rank").mapInArrow(_placer(segments), f"{PIECES}, sequence_id long, offset long")
+    return map_arrow(ranked.select(*found.columns, "rank"), _placer(segments), f"{PIECES}, sequence_id long, offset long")
 
 
 def _placer(segments: list[Segment]):
