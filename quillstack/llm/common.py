@@ -56,8 +56,8 @@ def whole_text(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def map_arrow(frame: DataFrame, f: Callable, schema) -> DataFrame:
-    """frame.mapInArrow(f, schema), with this package sent to the executors' Python workers first."""
+def send_package(frame: DataFrame) -> None:
+    """Lets the executors' Python workers import this package."""
     context = frame.sparkSession.sparkContext
     if not getattr(context, "_quillstack_sent", False):
         package = Path(__file__).resolve().parents[1]
@@ -67,4 +67,8 @@ def map_arrow(frame: DataFrame, f: Callable, schema) -> DataFrame:
                 out.write(file, file.relative_to(package.parent))
         context.addPyFile(archive)
         context._quillstack_sent = True
+
+
+def map_arrow(frame: DataFrame, f: Callable, schema) -> DataFrame:
+    send_package(frame)
     return frame.mapInArrow(f, schema)

@@ -49,3 +49,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     groups = stored(groups.filter("size > 1"), "dedup-groups")
     found = rows.join(groups, ["n", "p", "text_sha256"], "left").select("doc_id", F.coalesce("keep", "doc_id").alias("keep_id"), F.coalesce("size", F.lit(1)).alias("group_size"), "text_sha256", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("i"))
     return found.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("i") == 1)).alias("kept"), "text_sha256")
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, all columns, without the rows that an equal text replaces."""
+    key = [F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("__id"), F.sha2(normalised(text_col), 256).alias("__sha")]
+    stay = exact_groups(docs, id_col, text_col).filter("kept").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__id"), F.col("text_sha256").alias("__sha"))
+    found = docs.select("*", *key).join(stored(stay, "dedup-kept"), ["__id", "__sha"], "left_semi")
+    return found.dropDuplicates(["__id", "__sha"]).drop("__id", "__sha")

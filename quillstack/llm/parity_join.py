@@ -278,3 +278,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of_class = classes.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").select("n", "s1", "s2", F.coalesce("root", "cls").alias("root"))
     found = keys.join(stored(of_class, "join-roots"), ["n", "s1", "s2"], "left")
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, all columns, without those whose near-duplicate group has a smaller id; rows without an id stay."""
+    groups = near_duplicates(docs, id_col, text_col)
+    replaced = stored(groups.filter("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct(), "join-replaced")
+    return docs.join(replaced, id_col, "left_anti").select(docs.columns)

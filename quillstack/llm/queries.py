@@ -5,14 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import table
+from .common import shared_path, table
 from .exact_dedup import exact_groups
 from .grammar import round_trip
+from .license_scan import license_report
 from .packing import pack, pieces
 from .parity_join import near_duplicates
+from .piece_codec import round_trip as piece_round_trip
+from .pivot_search import top_k, whole_vectors
 from .pseudonyms import pseudonymised
 from .quality import quality
+from .shard_store import ShardStore
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,10 +34,31 @@ def op3_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight arrivals, dealt by a hash of the id; what the last manifest lists, read back."""
+    store = ShardStore(spark, shared_path(spark, "shards"))
+    store.append_arrivals(table(spark, sf_dir, "documents"), F.pmod(F.xxhash64("doc_id"), F.lit(8)))
+    rows = store.read()
+    return rows.select("doc_id", "shard", "tier", "version", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
+
+
 def op5_token_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"))
 
 
+def op6_license_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_report(table(spark, sf_dir, "documents"))
+
+
+def op7_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = whole_vectors(table(spark, sf_dir, "embeddings"))
+    return top_k(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
+def op8_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_round_trip(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
@@ -53,5 +79,15 @@ SELECT doc_id, keep_id, group_size, (doc_id IS NOT DISTINCT FROM keep_id AND i =
 """
 
 
+OP7_SQL = """
+WITH w AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::BIGINT AS score
+      FROM w q JOIN w c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": OP9_SQL}
+    return {"op7_pivot_top_k": OP7_SQL, "op9_exact_dedup": OP9_SQL}
