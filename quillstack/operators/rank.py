@@ -1,0 +1,89 @@
+"""Candidates from several sources: scored, deduplicated and cut to the best."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.text import url_host, url_key
+
+# What a URL says about being a company's mark.
+URL_POINTS = ((".png", 12), (".webp", 8), (".jpg|.jpeg", 5), (".gif", 1), ("logo", 10), ("brand", 4), ("vector|svg", 3), ("thumb|icon|sprite|avatar|profile", -22), ("gstatic.com|googleusercontent.com/imgres|bing.com/th|=s16|=s32|w=16|h=16", -18))
+SOURCE_POINTS = {"Brands of the World": 6, "Serper": 14, "Bing Images": 14, "Google Images": 10, "Wikipedia": -8, "Site scrape": 14, "DuckDuckGo": 2, "DuckDuckGo Images": 5}
+IMAGE_ENDINGS = r"\.(png|webp|jpe?g|gif|svg)(\?|$)"
+
+
+def _any(text: Column, words: str) -> Column:
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words.split("|")])
+
+
+def url_score(url: Column, source: Column, domain: Column) -> Column:
+    """Points for a URL's own words, for the company's domain and for where it was found."""
+    lower, host = F.lower(url), url_host(url)
+    own = reduce(lambda a, b: a + b, [F.when(_any(lower, words), points).otherwise(0) for words, points in URL_POINTS])
+    stem = F.split_part(domain, F.lit("."), F.lit(1))
+    of_domain = F.when((domain != "") & F.contains(host, domain), 28).when((F.length(stem) >= 4) & F.contains(host, stem), 16).otherwise(0)
+    of_source = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in SOURCE_POINTS.items() for x in kv]), source), F.lit(0))
+    return own + of_domain + of_source
+
+
+def token_points(text: Column, tokens: Column, each: int = 10) -> Column:
+    return F.size(F.filter(tokens, lambda t: (F.length(t) >= 3) & F.contains(F.lower(text), t))) * each
+
+
+def usable_image(url: Column) -> Column:
+    lower = F.lower(url)
+    return lower.startswith("http") & lower.rlike(f"{IMAGE_ENDINGS}|/image|logo") & ~_any(lower, "data:|javascript:|.html|.pdf")
+
+
+def united(*sources: DataFrame) -> DataFrame:
+    """Sources one after the other, with the rank of each."""
+    return reduce(lambda a, b: a.unionByName(b), [s.withColumn("source_rank", F.lit(i)) for i, s in enumerate(sources)])
+
+
+def ordered_distinct(rows: DataFrame, key: Column, *order: str, keep: int | None = None) -> DataFrame:
+    """The first row of each key, in an order, and the first ``keep`` of those."""
+    at = F.row_number().over(Window.partitionBy("__k").orderBy(*order))
+    out = rows.withColumn("__k", key).withColumn("__i", at).filter("__i = 1").drop("__i", "__k")
+    return out if keep is None else out.orderBy(*order).limit(keep)
+
+
+def best_per_key(rows: DataFrame, key: str, score: str = "score", ordinal: str = "ordinal") -> DataFrame:
+    at = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(score), ordinal))
+    return rows.withColumn("__i", at).filter("__i = 1").drop("__i")
+
+
+def picked(rows: DataFrame, group: str, least: int = 18, keep: int = 30) -> DataFrame:
+    """Per group the best ``keep`` URLs with at least ``least`` points, or of all if none has: position from 1."""
+    usable = F.col("score") >= least
+    some = F.max(usable).over(Window.partitionBy(group))
+    pool = rows.withColumn("key", url_key("url")).filter("key <> ''").withColumn("__some", some).filter(~F.col("__some") | usable).drop("__some")
+    one = best_per_key(pool.withColumn("__gk", F.struct(group, "key")), "__gk").drop("__gk")
+    at = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("score"), "ordinal"))
+    return one.withColumn("position", at).filter(F.col("position") <= keep)
+
+
+def until_enough(rows: DataFrame, group: str, strong: Column, enough: int, batch: int, order: str) -> DataFrame:
+    """Rows of the batches that would be fetched before ``enough`` strong ones are there."""
+    n = F.floor((F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1) / batch)
+    of_batch = rows.withColumn("batch", n.cast("int"))
+    before = F.sum(strong.cast("int")).over(Window.partitionBy(group).orderBy("batch").rangeBetween(Window.unboundedPreceding, -1))
+    return of_batch.withColumn("__b", F.coalesce(before, F.lit(0))).filter(F.col("__b") < enough).drop("__b")
+
+
+def reranked(rows: DataFrame, group: str, opinion: DataFrame, first: int = 18, step: int = 3) -> DataFrame:
+    """Scores with points for the order that an outside opinion (group, order: array of ordinals) gives."""
+    boost = opinion.select(group, F.posexplode("order").alias("i", "ordinal")).withColumn("boost", F.greatest(F.lit(0), first - step * F.col("i")))
+    return rows.join(boost.drop("i"), [group, "ordinal"], "left").withColumn("score", F.col("score") + F.coalesce("boost", F.lit(0))).drop("boost")
+
+
+def hits_first(rows: DataFrame, column: str, query: str, keep: int = 24, ordinal: str = "ordinal") -> DataFrame:
+    """Names that start with the text before those that contain it, each in input order; scanning stops
+    once twice ``keep`` were met, so what comes later in the input is not seen."""
+    q = query.strip().lower()
+    name = F.lower(column)
+    tier = F.when(name.startswith(q), 0).when(name.contains(q), 1)
+    met = rows.withColumn("tier", tier).filter("tier is not null").orderBy(ordinal).limit(2 * keep)
+    return met.orderBy("tier", ordinal).limit(keep)
