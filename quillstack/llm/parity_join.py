@@ -11,8 +11,10 @@ below, so no link is lost:
   aren't empty, D being the largest d of that j.  Of two such lists the shorter-reaching one
   has a block in common with the other.  A set with fewer than D+1 blocks that aren't empty
   gives all of them, and its D+1 smallest hashes besides, for partners in the same case.
-* *Bits.*  Each shingle flips one of 512 bits; a candidate pair whose Hamming distance is
-  over d is dropped.
+* *Bits.*  Each shingle flips one of B bits, B between 2 and 4 times the size of the set (512
+  at least); a candidate pair whose Hamming distance is over d is dropped.  Sketches fold to
+  half their width by XOR of their halves, so sets of different B compare, and a fold to 512
+  bits is tested first.
 
 Sets that are equal are one class from the start.  In each group of equal blocks the members
 are first compared with the smallest class only, and what is linked becomes one component;
@@ -37,7 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, stored
+from .common import forget, map_arrow, release, stored
 from .tokens import slices
 
 WIDTH = 5
@@ -148,13 +150,16 @@ def signatures(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
     return sig[order], np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(n)))))
 
 
-def sketches(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """512 parity bits a set, as 8 signed 64-bit numbers."""
-    n = len(bounds) - 1
-    doc = np.repeat(np.arange(n), np.diff(bounds))
-    bit = (hashes & _U(511)).astype(np.int64)
-    odd = (np.bincount(doc * 512 + bit, minlength=n * 512) & 1).astype(np.uint8)
-    return np.packbits(odd.reshape(n, 512), axis=1, bitorder="little").view("<i8").reshape(n, 8)
+def sketches(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(512 parity bits a set, as 8 signed 64-bit numbers; all sets' wide sketches, offsets of each)."""
+    n = np.diff(bounds)
+    width = 2 ** np.ceil(np.log2(np.maximum(2 * n, 512))).astype(np.int64)
+    ends = np.concatenate(([0], np.cumsum(width)))
+    bit = (hashes & np.repeat((width - 1).astype(np.uint64), n)).astype(np.int64) + np.repeat(ends[:-1], n)
+    odd = (np.bincount(bit, minlength=int(ends[-1])) & 1).astype(np.uint8)
+    wide = np.packbits(odd, bitorder="little").view("<i8")
+    short = np.bitwise_xor.reduceat(wide.reshape(-1, 8), ends[:-1] // 512) if len(n) else np.zeros((0, 8), np.int64)
+    return short, wide, ends // 64
 
 
 def _lists(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
@@ -175,11 +180,11 @@ def described(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                     with np.errstate(over="ignore"):
                         sums[0, filled] = np.bitwise_xor.reduceat(_mix(h + _U(1)), bounds[:-1][filled])
                         sums[1, filled] = np.add.reduceat(_mix(h + _U(2)), bounds[:-1][filled])
-                bits = sketches(h, bounds)
-                arrays = [part.column("doc_id"), pa.array(n), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(8)), _lists(*signatures(h, bounds))]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n", "s1", "s2", *BITS, "blocks"])
+                bits, wide, ends = sketches(h, bounds)
+                arrays = [part.column("doc_id"), pa.array(n), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(8)), _lists(wide, ends), _lists(*signatures(h, bounds))]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n", "s1", "s2", *BITS, "wide", "blocks"])
 
-    schema = "doc_id long, n long, s1 long, s2 long, " + ", ".join(f"{k} long" for k in BITS) + ", blocks array<long>"
+    schema = "doc_id long, n long, s1 long, s2 long, " + ", ".join(f"{k} long" for k in BITS) + ", wide array<long>, blocks array<long>"
     return map_arrow(docs, run, schema)
 
 
@@ -199,6 +204,18 @@ def _possible(a: str, b: str) -> Column:
     return sizes & (apart * (DEN + NUM) <= (F.col(f"{a}.n") + F.col(f"{b}.n")) * (DEN - NUM))
 
 
+def _close(x: str, y: str) -> Column:
+    """The bound on the Hamming distance of the wide sketches."""
+    a, b = F.col(f"{x}.wide"), F.col(f"{y}.wide")
+    size = F.least(F.size(a), F.size(b))
+
+    def folded(w: Column) -> Column:  # sizes differ by a factor of 2 at most
+        return F.when(F.size(w) > size, F.zip_with(F.slice(w, F.lit(1), size), F.slice(w, size + 1, size), lambda p, q: p.bitwiseXOR(q))).otherwise(w)
+
+    apart = F.aggregate(F.zip_with(folded(a), folded(b), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, c: t + c)
+    return apart * (DEN + NUM) <= (F.col(f"{x}.n") + F.col(f"{y}.n")) * (DEN - NUM)
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     """Those pairs (a, b) whose whole sets are similar enough."""
     asked = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
@@ -245,22 +262,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Per document: doc_id, n_shingles, component_id."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("doc_id is not null")
     rows = stored(described(docs, width), "join-rows")
-    keys = rows.select("doc_id", "n", "s1", "s2")
+    keys = stored(rows.select("doc_id", "n", "s1", "s2"), "join-keys")
     classes = keys.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("cls"))
     classes = stored(classes, "join-classes")
     heads = rows.join(classes.select(F.col("cls").alias("doc_id"), "n", "s1", "s2"), ["doc_id", "n", "s1", "s2"], "left_semi").dropDuplicates(["doc_id", "n", "s1", "s2"])
-    heads = heads.select(F.col("doc_id").alias("cls"), "n", *BITS, "blocks")
+    heads = stored(heads.select(F.col("doc_id").alias("cls"), "n", *BITS, "wide", "blocks"), "join-heads")
+    forget(rows)
     blocks = heads.select("cls", F.explode("blocks").alias("sig"))
     shared = stored(blocks.groupBy("sig").agg(F.min("cls").alias("head"), F.count("*").alias("c")).filter("c > 1").select("sig", "head"), "join-shared")
+    release(docs)
     members = stored(blocks.join(shared, "sig"), "join-members")
     bits = stored(heads.drop("blocks").join(members.select("cls").distinct(), "cls", "left_semi"), "join-bits")
+    forget(heads)
+    release(docs)
+
+    def with_bits(frame: DataFrame, on: str, name: str, *columns: str) -> DataFrame:
+        return frame.join(bits.select(F.col("cls").alias(on), F.struct("n", *columns).alias(name)), on)
 
-    def with_bits(frame: DataFrame, on: str, name: str) -> DataFrame:
-        return frame.join(bits.select(F.col("cls").alias(on), F.struct("n", *BITS).alias(name)), on)
+    def close(pairs: DataFrame) -> DataFrame:
+        return with_bits(with_bits(pairs, "a", "x", "wide"), "b", "y", "wide").filter(_close("x", "y")).select("a", "b")
 
     stars = members.filter("cls <> head").select(F.col("head").alias("a"), F.col("cls").alias("b")).distinct()
-    stars = with_bits(with_bits(stars, "a", "x"), "b", "y").filter(_possible("x", "y")).select("a", "b")
-    stars = stored(stars, "join-stars")
+    stars = with_bits(with_bits(stars, "a", "x", *BITS), "b", "y", *BITS).filter(_possible("x", "y")).select("a", "b")
+    stars = stored(close(stored(stars, "join-stars")), "join-stars")
     links = stored(_verified(stars, docs, width), "join-links")
     roots = components(links)
 
@@ -268,10 +292,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labelled = stored(labelled, "join-labelled")
     mixed = labelled.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("sig")
     apart = labelled.join(stored(mixed, "join-mixed"), "sig", "left_semi")
-    apart = stored(with_bits(apart, "cls", "k"), "join-apart")
+    apart = stored(with_bits(apart, "cls", "k", *BITS), "join-apart")
     x, y = (apart.select("sig", F.col("cls").alias(a), F.col("root").alias(f"r{a}"), F.col("k").alias(k)) for a, k in (("a", "x"), ("b", "y")))
     crossing = x.join(y, (x["sig"] == y["sig"]) & (x["a"] < y["b"]) & (x["ra"] != y["rb"]) & _possible("x", "y")).select("a", "b").distinct()
-    crossing = stored(crossing.join(stars, ["a", "b"], "left_anti"), "join-crossing")
+    crossing = stored(close(stored(crossing.join(stars, ["a", "b"], "left_anti"), "join-crossing")), "join-crossing")
     more = stored(_verified(crossing, docs, width), "join-links")
     roots = components(links.union(more)) if not more.isEmpty() else roots
 
