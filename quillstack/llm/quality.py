@@ -61,8 +61,10 @@ def statistics(texts: pa.Array) -> np.ndarray:
     first = offsets[:-1][sizes > 0]
     starts[first] = ~blank[first]
     words = np.bincount(row[starts] // _KINDS, minlength=n).astype(float)
-    signed = (kind >= 5) & (kind <= 7)
-    signed[:-1] &= blank[1:]
+    last = np.ones(len(raw), bool)
+    last[:-1] = blank[1:]
+    last[offsets[1:][sizes > 0] - 1] = True
+    signed = (kind >= 5) & (kind <= 7) & last
     ends = np.bincount(row[signed] // _KINDS, minlength=n).astype(float)
     total = np.maximum(sizes.astype(float), 1)
     letters = np.maximum(count[:, 1] + count[:, 2], 1)
