@@ -13,8 +13,8 @@ The driver handles file names and sizes only; rows move in narrow reads and writ
 shuffle, so a hot key or source has no bearing on the work of a task.
 
 Edge cases: null and empty texts, null and repeated ids are kept as they are; an empty arrival
-adds no shard but a version; columns go through unchanged; a store without manifests reads as
-version 0 without shards.
+adds no shard but a version; columns go through unchanged; a store without manifests has version
+0 without shards or columns.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 @dataclass(frozen=True)
@@ -59,23 +60,27 @@ class ShardStore:
         names = [s.getPath().getName() for s in self.fs.listStatus(folder)]
         return max((int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json")), default=0)
 
-    def shards(self, version: int | None = None) -> list[Shard]:
-        version = self.version() if version is None else version
+    def _manifest(self, version: int) -> dict:
         if version == 0:
-            return []
+            return {"schema": None, "shards": []}
         stream = self.fs.open(self._path(f"manifest/v{version:012d}.json"))
         try:
             text = self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         finally:
             stream.close()
-        return [Shard(**x) for x in json.loads(text)["shards"]]
+        return json.loads(text)
+
+    def shards(self, version: int | None = None) -> list[Shard]:
+        return [Shard(**x) for x in self._manifest(self.version() if version is None else version)["shards"]]
 
-    def commit(self, base: int, shards: list[Shard]) -> bool:
-        """Makes ``shards`` the version after ``base``; False if another writer has made one."""
+    def commit(self, base: int, shards: list[Shard], schema: StructType | None = None) -> bool:
+        """Makes ``shards`` the version after ``base``; False if another writer has made one. The schema
+        stays that of the version before unless one is given."""
         temporary = self._path(f"manifest/.{uuid.uuid4().hex}.tmp")
         stream = self.fs.create(temporary, False)
         try:
-            stream.write(bytearray(json.dumps({"version": base + 1, "shards": [asdict(s) for s in sorted(shards, key=lambda s: s.path)]}).encode()))
+            known = schema.jsonValue() if schema else self._manifest(base)["schema"]
+            stream.write(bytearray(json.dumps({"version": base + 1, "schema": known, "shards": [asdict(s) for s in sorted(shards, key=lambda s: s.path)]}).encode()))
         finally:
             stream.close()
         gateway = self.spark.sparkContext._gateway
@@ -111,27 +116,27 @@ class ShardStore:
             return []
         counts = self.spark.read.parquet(f"{self.root}/{folder}").groupBy(_name(F.input_file_name()).alias("f")).agg(F.count("*").alias("n")).collect()  # a row per file
         rows = {r["f"]: r["n"] for r in counts}
-        files = [(f, n) for f, n in files if rows.get(f.rsplit("/", 1)[-1])]
+        files = [(f"{folder}/{f}", n) for f, n in files if rows.get(f"{folder}/{f}")]
         tier = self._tier(sum(n for _, n in files)) if tier is None else tier
-        return [Shard(f"{folder}/{f}", run, tier, n, rows[f.rsplit("/", 1)[-1]]) for f, n in files]
+        return [Shard(f, run, tier, n, rows[f]) for f, n in files]
 
     def _tier(self, size: int) -> int:
         return max(0, math.ceil(math.log(max(size, 1) / self.small_bytes, self.fan_in)))
 
-    def _add(self, fresh: list[Shard], gone: frozenset[str] = frozenset()) -> int:
+    def _add(self, fresh: list[Shard], gone: frozenset[str] = frozenset(), schema: StructType | None = None) -> int:
         while True:
             base = self.version()
             now = self.shards(base)
             if gone - {s.path for s in now}:
                 raise RuntimeError("another writer has merged these shards already")
-            if self.commit(base, [s for s in now if s.path not in gone] + fresh):
+            if self.commit(base, [s for s in now if s.path not in gone] + fresh, schema):
                 return base + 1
 
     def append(self, arrival: DataFrame) -> int:
         """Adds an arrival as it is partitioned; returns the new version."""
         run = uuid.uuid4().hex[:12]
         arrival.write.parquet(f"{self.root}/data/{run}")
-        return self._add(self._described(f"data/{run}", run, None))
+        return self._add(self._described(f"data/{run}", run, None), schema=arrival.schema)
 
     def append_arrivals(self, rows: DataFrame, arrival: Column) -> int:
         """Adds the rows of each value of ``arrival`` as an arrival of its own, all written in one
@@ -140,11 +145,13 @@ class ShardStore:
         rows.withColumn("__arrival", arrival).write.partitionBy("__arrival").parquet(f"{self.root}/data/{batch}")
         shards = self._described(f"data/{batch}", batch, 0)
         folders = sorted({s.path.rsplit("/", 1)[0] for s in shards})
+        if not folders:
+            return self._add([], schema=rows.schema)
         for folder in folders:
             run = f"{batch}-{folder.rsplit('=', 1)[-1]}"
             own = [s for s in shards if s.path.rsplit("/", 1)[0] == folder]
             tier = self._tier(sum(s.bytes for s in own))
-            self._add([Shard(s.path, run, tier, s.bytes, s.rows) for s in own])
+            self._add([Shard(s.path, run, tier, s.bytes, s.rows) for s in own], schema=rows.schema)
             self.compact()
         return self.version()
 
@@ -190,11 +197,15 @@ class ShardStore:
     def read(self, version: int | None = None) -> DataFrame:
         """The rows of a version, with the columns shard, tier and version."""
         version = self.version() if version is None else version
-        shards = self.shards(version)
-        known = F.create_map(*[F.lit(x) for s in {s.path.rsplit("/", 1)[-1]: s for s in shards}.values() for x in (s.path.rsplit("/", 1)[-1], s.tier)])
+        manifest, shards = self._manifest(version), self.shards(version)
+        if not shards:
+            schema = StructType.fromJson(manifest["schema"]) if manifest["schema"] else StructType()
+            return self.spark.createDataFrame([], schema).withColumns({"shard": F.lit(""), "tier": F.lit(0), "version": F.lit(version)})
+        known = F.create_map(*[F.lit(x) for s in shards for x in (s.path, s.tier)])
         name = _name(F.input_file_name())
         return self._read(shards).withColumn("shard", name).withColumn("tier", known[F.col("shard")]).withColumn("version", F.lit(version))
 
 
 def _name(path: Column) -> Column:
-    return F.element_at(F.split(path, "/"), -1)
+    """A file's path below the store."""
+    return F.concat(F.lit("data/"), F.substring_index(path, "/data/", -1))
