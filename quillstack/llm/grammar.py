@@ -85,8 +85,14 @@ def compress(ids: np.ndarray, least: int = 6, gain: float = 0.02) -> Grammar:
         often = np.bincount(slot[fits], minlength=SLOTS)
         value = np.where(fits, often[slot], 0)
         value[value < least] = 0
-        wins = value > 0
-        wins[1:] &= value[1:] > value[:-1]
+        # of neighbours with one value every other one wins, from the first that no higher one blocks
+        new = np.flatnonzero(value[1:] != value[:-1]) + 1
+        start = np.zeros(len(value), np.int64)
+        start[new] = new
+        start = np.maximum.accumulate(start)
+        behind_higher = np.zeros(len(value), bool)
+        behind_higher[new] = value[new - 1] > value[new]
+        wins = (value > 0) & ((np.arange(len(value)) - start) % 2 == behind_higher[start])
         wins[:-1] &= value[:-1] >= value[1:]
         used = np.bincount(slot[wins], minlength=SLOTS)
         wins &= (used >= least)[slot]

@@ -17,7 +17,8 @@ unchanged.  Work is one pass per row: no shuffle, and a hot source or a long tex
 own length of work.
 
 Edge cases: a null text stays null with no findings; an empty one stays empty; an empty table
-gives an empty result; other columns go through unchanged; repeated rows give equal rows.
+gives an empty result; other columns go through unchanged, but for one with the name of a count,
+which the count replaces; repeated rows give equal rows.
 """
 
 from __future__ import annotations
@@ -187,7 +188,8 @@ def pseudonymised(docs: DataFrame, key: str = "quillstack", text_col: str = "tex
     gaps = F.split(text, ANY, -1)
     whole = F.array_join(F.flatten(F.zip_with(gaps, F.col("__made"), lambda g, m: F.array(g, F.coalesce(m["fresh"], F.lit(""))))), "")
     out = with_made.withColumn("__text", F.when(F.size("__found") == 0, text).otherwise(whole))
-    columns = [F.col("__text").alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+    counted = {f"n_{k}" for k in FOUND} if counts else set()
+    columns = [F.col("__text").alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c not in counted]
     if counts:
         columns += [F.coalesce(F.size(F.filter("__made", lambda m: m["kind"] == k)), F.lit(0)).alias(f"n_{k}") for k in FOUND]
     return out.select(*columns)
