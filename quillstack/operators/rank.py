@@ -12,6 +12,10 @@ from ..functions.text import url_host, url_key
 # What a URL says about being a company's mark.
 URL_POINTS = ((".png", 12), (".webp", 8), (".jpg|.jpeg", 5), (".gif", 1), ("logo", 10), ("brand", 4), ("vector|svg", 3), ("thumb|icon|sprite|avatar|profile", -22), ("gstatic.com|googleusercontent.com/imgres|bing.com/th|=s16|=s32|w=16|h=16", -18))
 SOURCE_POINTS = {"Brands of the World": 6, "Serper": 14, "Bing Images": 14, "Google Images": 10, "Wikipedia": -8, "Site scrape": 14, "DuckDuckGo": 2, "DuckDuckGo Images": 5}
+JUNK_HOSTS = "shutterstock gettyimages istockphoto alamy dreamstime depositphotos 123rf stock.adobe adobestock freepik pngtree pngwing cleanpng pinimg pinterest facebook twitter instagram tiktok reddit youtube linkedin cnn.com bbc. forbes people.com celebrity news. blog. wordpress.com medium.com ebay. amazon. walmart."
+JUNK_PATHS = "stock-photo stockphoto headshot portrait news/ /article/ /articles/ press-release thumbnail apple-touch-icon /favicon/ favicon.ico"
+NOT_CORPORATE = "wikipedia.org wikidata.org wikimedia.org facebook.com linkedin.com twitter.com x.com instagram.com youtube.com bloomberg.com reuters.com crunchbase.com glassdoor. indeed.com"
+DOMAIN_ENDINGS = (".com", ".ca", ".com.au", ".co.uk", ".net", ".org", ".co", ".io", ".energy", ".oil")
 IMAGE_ENDINGS = r"\.(png|webp|jpe?g|gif|svg)(\?|$)"
 
 
@@ -29,8 +33,38 @@ def url_score(url: Column, source: Column, domain: Column) -> Column:
     return own + of_domain + of_source
 
 
-def token_points(text: Column, tokens: Column, each: int = 10) -> Column:
-    return F.size(F.filter(tokens, lambda t: (F.length(t) >= 3) & F.contains(F.lower(text), t))) * each
+def token_points(text: Column, tokens: Column) -> Column:
+    """Points for company tokens in a text: more for long ones and for two or more, a loss for none."""
+    plain = F.regexp_replace(F.lower(text), "[^a-z0-9]", "")
+    met = F.filter(tokens, lambda t: (F.length(t) >= 3) & F.contains(plain, t))
+    each = F.aggregate(met, F.lit(0), lambda a, t: a + F.when(F.length(t) >= 6, 16).otherwise(12))
+    some = F.when(F.size(met) >= 2, 10).when(F.size(met) == 0, -6).otherwise(0)
+    return F.when((F.size(tokens) == 0) | (plain == ""), 0).otherwise(each + some)
+
+
+def junk_points(url: Column) -> Column:
+    """Points lost by stock, news and social hosts, and by paths of portraits, articles and icons."""
+    lower = F.lower(url)
+    icon = lower.rlike("apple-touch-icon|/favicon/|favicon.ico")
+    path = F.when(_any(lower, JUNK_PATHS.replace(" ", "|")), F.when(icon, 80).otherwise(20)).otherwise(0)
+    return F.when(_any(lower, JUNK_HOSTS.replace(" ", "|")), 35).otherwise(0) + path
+
+
+def is_corporate(domain: Column, tokens: Column) -> Column:
+    """A domain that isn't a public site and shares a token with the company, if it has any."""
+    host, stem = F.lower(domain), F.split_part(F.lower(domain), F.lit("."), F.lit(1))
+    shares = F.exists(tokens, lambda t: (F.length(t) >= 4) & (F.contains(stem, t) | F.contains(t, stem)))
+    return ~_any(host, NOT_CORPORATE.replace(" ", "|")) & (shares | (F.size(tokens) == 0))
+
+
+def guessed_domains(name: Column) -> Column:
+    """Domains that a company of this name may have, the likeliest first."""
+    words = F.filter(F.split(F.regexp_replace(F.regexp_replace(F.lower(name), r"\b(inc|incorporated|ltd|limited|llc|corp|corporation|co|company|plc|lp|partnership|the)\b", ""), r"[^a-z0-9]+", " "), " "), lambda w: w != "")
+    joined, dashed = F.array_join(words, ""), F.array_join(words, "-")
+    spread = F.flatten(F.transform(F.array(*map(F.lit, DOMAIN_ENDINGS)), lambda e: F.array(F.concat(joined, e), F.concat(dashed, e))))
+    pair = F.concat(F.get(words, F.lit(0)), F.coalesce(F.get(words, F.lit(1)), F.lit("")))
+    short = F.array(F.concat(pair, F.lit(".com")), F.concat(F.get(words, F.lit(0)), F.lit(".com")), F.concat(pair, F.lit(".ca")), F.concat(F.get(words, F.lit(0)), F.lit(".ca")))
+    return F.when(F.size(words) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(spread, short)))
 
 
 def usable_image(url: Column) -> Column:

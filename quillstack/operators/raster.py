@@ -301,3 +301,93 @@ def versions(prints: DataFrame, near: int = 10) -> DataFrame:
         return pd.DataFrame({"cluster": p["cluster"], "id": p["id"], "version": best})
 
     return prints.groupBy("cluster").applyInPandas(split, "cluster long, id long, version int")
+
+
+def checkerboard_share(pixels: DataFrame, step: int = 8, contrast: int = 12) -> DataFrame:
+    """Share of sampled 2 x 2 cells, ``step`` apart, whose diagonals agree and whose sides differ."""
+    light = pixels.filter(F.col("a") >= OPAQUE).select("img_id", "x", "y", ((F.col("r") + F.col("g") + F.col("b")) / 3).alias("l"))
+    at = lambda dx, dy, n: light.select("img_id", (F.col("x") - dx).alias("x"), (F.col("y") - dy).alias("y"), F.col("l").alias(n))
+    j = light.filter((F.col("x") % step == 0) & (F.col("y") % step == 0))
+    for dx, dy, n in ((step, 0, "e"), (0, step, "s"), (step, step, "d")):
+        j = j.join(at(dx, dy, n), ["img_id", "x", "y"])
+    hit = (F.abs(F.col("l") - F.col("d")) < contrast / 2) & (F.abs(F.col("e") - F.col("s")) < contrast / 2) & (F.abs(F.col("l") - F.col("e")) >= contrast)
+    return j.groupBy("img_id").agg(F.avg(hit.cast("int")).alias("share"))
+
+
+def trimmed(pixels: DataFrame, pad: int = 0) -> DataFrame:
+    """Pixels of the box of what isn't empty, with a margin, from 0."""
+    box = ink_box(pixels, F.col("a") >= OPAQUE).select("img_id", "x0", "y0", "x1", "y1")
+    j = pixels.join(box, "img_id").filter("x between x0 - {0} and x1 + {0} and y between y0 - {0} and y1 + {0}".format(pad))
+    return j.select("img_id", (F.col("x") - F.greatest(F.col("x0") - pad, F.lit(0))).alias("x"), (F.col("y") - F.greatest(F.col("y0") - pad, F.lit(0))).alias("y"), "r", "g", "b", "a")
+
+
+def pad_sizes(width: Column, height: Column, share: float = 0.06, least: int = 4, most: int = 64) -> Column:
+    """struct(x, y): margins in proportion, within limits."""
+    one = lambda n: F.greatest(F.lit(least), F.least(F.lit(most), F.round(n * share).cast("int")))
+    return F.struct(one(width).alias("x"), one(height).alias("y"))
+
+
+def resized(g: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Average over source cells, colours weighted by opacity, so that clear pixels lend no colour."""
+    h, w = g.shape[:2]
+    alpha = g[..., 3:].astype(float)
+    flat = np.concatenate((g[..., :3] * alpha, alpha), axis=2)
+
+    def along(a: np.ndarray, n: int) -> np.ndarray:
+        size = a.shape[0]
+        total = np.concatenate((np.zeros((1, *a.shape[1:])), np.cumsum(a, axis=0)))
+        edges = np.arange(n + 1) * size / n
+        low = np.floor(edges).astype(int)
+        upto = total[low] + (edges - low).reshape(-1, *[1] * (a.ndim - 1)) * a[np.minimum(low, size - 1)]
+        return (upto[1:] - upto[:-1]) * n / size
+
+    out = along(along(flat, height).swapaxes(0, 1), width).swapaxes(0, 1)
+    colour = out[..., :3] / np.maximum(out[..., 3:], 1e-9)
+    return np.concatenate((np.rint(colour), np.rint(out[..., 3:])), axis=2).astype(np.int32) if (h, w) != (height, width) else g
+
+
+def colour_layers(g: np.ndarray, k: int = 3, rounds: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """(centres, labels with -1 where clear): k-means by the largest channel difference, evenly spaced seeds."""
+    on = g[..., 3] >= OPAQUE
+    p = g[on][:, :3].astype(float)
+    label = np.full(on.shape, -1)
+    if not len(p):
+        return np.zeros((0, 3)), label
+    order = p[np.lexsort(p.T[::-1])]
+    centres = order[np.linspace(0, len(order) - 1, k).astype(int)]
+    for _ in range(rounds):
+        near = np.abs(p[:, None] - centres[None]).max(axis=2).argmin(axis=1)
+        centres = np.array([p[near == i].mean(axis=0) if (near == i).any() else centres[i] for i in range(len(centres))])
+    label[on] = np.abs(p[:, None] - centres[None]).max(axis=2).argmin(axis=1)
+    return centres, label
+
+
+def outlined(g: np.ndarray, passes: int, colour: tuple[int, int, int]) -> np.ndarray:
+    """A ring of a colour around the ink: dilated ``passes`` times, less the ink itself."""
+    ink = g[..., 3] >= OPAQUE
+    grown = ink.copy()
+    for _ in range(passes):
+        wide = np.pad(grown, 1)
+        grown = np.logical_or.reduce([wide[1 + dy : 1 + dy + ink.shape[0], 1 + dx : 1 + dx + ink.shape[1]] for dy in (-1, 0, 1) for dx in (-1, 0, 1)])
+    out = g.copy()
+    out[grown & ~ink] = (*colour, 255)
+    return out
+
+
+def holes_punched(g: np.ndarray, most: float = 0.2) -> np.ndarray:
+    """Clears light regions inside the ink that don't touch the border and are small."""
+    plate = (g[..., 3] >= OPAQUE) & (g[..., :3].min(axis=2) >= 240)
+    label = labelled(plate, True)
+    rim = set(np.concatenate((label[0], label[-1], label[:, 0], label[:, -1])).tolist())
+    out = g.copy()
+    for i, n in zip(*np.unique(label[label > 0], return_counts=True), strict=True):
+        if i not in rim and n <= most * plate.size:
+            out[label == i, 3] = 0
+    return out
+
+
+def visible(g: np.ndarray) -> np.ndarray:
+    """Background and corner marks gone, holes open, cut to what is left."""
+    out = holes_punched(without_corner_marks(without_background(g)))
+    y, x = np.nonzero(out[..., 3] >= OPAQUE)
+    return out[y.min() : y.max() + 1, x.min() : x.max() + 1] if len(y) else out[:1, :1]

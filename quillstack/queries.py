@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import address as A
 from .functions import text as T
-from .operators import expand, history, layout, orders, rank, raster, resolve, scoring, sync
+from .operators import expand, headers, history, layout, orders, places, rank, raster, resolve, restore, scoring, sync
 from .plans.components import components
 from .plans.hamming_join import hamming_pairs, nearest
 from .plans.prefix_join import prefix_join
@@ -775,3 +775,119 @@ def typing_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def snoozed_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("ts")
     return read(spark, sf_dir, "events", "event_id", "ts").select("event_id", L.snoozed(t + F.make_dt_interval(F.lit(0), F.lit(12)), t).alias("snoozed"))
+
+
+# headers, places and choices
+
+_HEADERS = [
+    (1, "ORDER ACKNOWLEDGEMENT\nBill To: 10000 Ship To:\nEXAMPLE SYSTEMS LTD.\n1 SAMPLE ROAD\nCanada\nZED YARD LTD\n5 OAK ST\nTOWN AB\nCanada\nOrdered By: X\nProject Location PO Number\n4460.168-016  Riser Site  P600001\nRequisitioner Approver AFE # Cost\nMARLENE\nDUNAND\nDelivery Instructions:\nFreight collect\nABLE CO\n9 ELM RD\nShip via Fast\n\nmore\n"),
+    (2, "PACKING LIST\nPL-1234\nPO Number Location Project\nP613120\tNorth Pad\t77001\nAFE # AB12-9\n"),
+    (3, "Project Location PO Number\n12 Long Road\nTown T2P 1A1\nP700007\nrest"),
+    (4, None),
+]
+_HEADER_ROWS = [
+    (1, "4460.168-016", "Riser Site", "P600001", "MARLENE DUNAND", "", "EXAMPLE SYSTEMS LTD.", "ZED YARD LTD", "5 OAK ST|TOWN AB", "ABLE CO", "9 ELM RD", "Freight collect", ""),
+    (2, "77001", "North Pad", "P613120", "", "AB12-9", "", "", "", "", "", "", "PL-1234"),
+    (3, "P700007", "12 Long Road Town T2P 1A1", "P700007", "", "", "", "", "", "", "", "", ""),
+    (4, "", "", "", "", "", "", "", "", "", "", "", ""),
+]
+
+
+@query(f"SELECT * FROM {_sql_rows('doc_id, project, location, po, requisitioner, afe, bill_name, ship_name, ship_address, delivery_name, delivery_address, delivery_carrier, packing_slip', _HEADER_ROWS)}")
+def header_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return headers.headers(values(spark, "doc_id int, text string", *_HEADERS)).withColumn("ship_address", F.regexp_replace("ship_address", "\n", "|"))
+
+
+_CIVIC = [("130 Avenue Road, Calgary", "130", "Avenue Road", "Calgary", True), ("12B Elm St", "12B", "Elm St", "", True), ("Oak Crescent, X, Y", "", "Oak Crescent", "X, Y", True), ("", "", "", "", True), ("5 Main St, 90210", "5", "Main St", "90210", False), ("5 Main St, USA", "5", "Main St", "USA", False)]
+
+
+@query(f"SELECT raw, house_number, street, locality, bias FROM {_sql_rows('raw, house_number, street, locality, bias', _CIVIC)}")
+def civic_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return values(spark, "raw string, a string, b string, c string, d boolean", *_CIVIC).select("raw", places.civic_query(F.col("raw"))["house_number"].alias("house_number"), places.civic_query(F.col("raw"))["street"].alias("street"), places.civic_query(F.col("raw"))["locality"].alias("locality"), places.biased_to_canada(F.col("raw")).alias("bias"))
+
+
+@query("""WITH h AS (SELECT s_nationkey AS q, s_suppkey AS ordinal, s_suppkey % 9 || ' Elm' AS display_address, CASE WHEN s_suppkey % 4 = 0 THEN '' ELSE (s_suppkey % 9)::VARCHAR END AS hit FROM supplier),
+o AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY q, lower(display_address) ORDER BY ordinal) = 1), t AS (SELECT *, CASE WHEN hit = '3' THEN 0 WHEN hit = '' THEN 2 ELSE 1 END AS tier FROM o),
+p AS (SELECT * FROM t QUALIFY NOT (min(tier) OVER (PARTITION BY q) = 0 AND tier = 2)) SELECT q, display_address, tier, row_number() OVER (PARTITION BY q ORDER BY tier, display_address)::INT AS position FROM p QUALIFY position <= 8""")
+def ranked_geocoder_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("s_suppkey")
+    s = read(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey")
+    hits = s.select(F.col("s_nationkey").alias("q"), n.alias("ordinal"), F.concat((n % 9).cast("string"), F.lit(" Elm")).alias("display_address"), F.when(n % 4 == 0, "").otherwise((n % 9).cast("string")).alias("hit_number"), F.lit("3").alias("wanted"))
+    return places.ranked_hits(hits, "q", "wanted").select("q", "display_address", "tier", "position")
+
+
+@query("SELECT * FROM (VALUES ('5 Oak', 'Town', 'AB', 'T2P')) v(street, city, province, postal)")
+def place_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = F.from_json(F.lit('[{"long_name":"5","short_name":"5","types":["street_number"]},{"long_name":"Oak","short_name":"O","types":["route"]},{"long_name":"Sub","short_name":"S","types":["sublocality"]},{"long_name":"Town","short_name":"T","types":["political","locality"]},{"long_name":"Alberta","short_name":"AB","types":["administrative_area_level_1"]},{"long_name":"T2P","short_name":"T2P","types":["postal_code"]}]'), "array<struct<long_name:string,short_name:string,types:array<string>>>")
+    return spark.range(1).select(places.place_address(parts).alias("p")).select("p.*")
+
+
+_RESTORES = [(1, 3200, 0.01, 0.1, 0.5, False, True, "pristine", "repair, don't restyle"), (2, 2100, 0.05, 0.3, 0.9, True, True, "favourable", "clear the plate; keep the aspect; add no marks; repair, don't restyle"), (3, 1900, 0.0, 0.0, 0.1, False, True, "fail", ""), (4, 4000, 0.0, 0.0, 0.1, False, False, "fail", ""), (5, 4000, 0.2, 0.1, 0.1, False, True, "fail", "clear the plate")]
+
+
+@query(f"SELECT id, grade, lessons FROM {_sql_rows('id, h, p, d, o, c, m, grade, lessons', _RESTORES)}")
+def restore_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = values(spark, "id int, h int, p double, d double, o double, c boolean, m boolean, g string, l string", *_RESTORES)
+    g = r.withColumn("grade", restore.grade(F.col("h"), F.col("p"), F.col("d"), F.col("o"), F.col("c"), F.col("m")))
+    return g.select("id", "grade", F.array_join(restore.lessons(F.col("p"), F.col("d"), F.col("c"), F.col("grade")), "; ").alias("lessons"))
+
+
+@query("""WITH a AS (SELECT user_id, event_id, event_type AS engine, value, CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'purchase' THEN 3 END AS place FROM events WHERE event_id % 3 = 0), u AS (SELECT * FROM a WHERE place IS NOT NULL QUALIFY row_number() OVER (PARTITION BY user_id, engine ORDER BY event_id) = 1)
+SELECT user_id, engine, event_id FROM u WHERE value > 25 OR place = 3 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY place) = 1""")
+def restore_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "events", "user_id", "event_id", "event_type", "value").filter("event_id % 3 = 0").withColumnRenamed("event_type", "engine")
+    one = sync.first_per_key(e, ["user_id", "engine"], F.col("event_id"))
+    return restore.cascade(one, "user_id", ("view", "click", "purchase"), F.col("value") > 25).select("user_id", "engine", "event_id")
+
+
+@query("""WITH e AS (SELECT user_id, event_type, value > 50 AS good, value < 10 AS bad, unnest([event_type, 'all']) AS technique FROM events) SELECT technique, count(*) AS uses, count(*) FILTER (good) AS wins, count(*) FILTER (bad) AS fails FROM e GROUP BY 1""")
+def graded_techniques(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = F.when(F.col("value") > 50, "favourable").when(F.col("value") < 10, "fail").otherwise("other")
+    return restore.technique_record(read(spark, sf_dir, "events", "event_type", "value").select(F.array("event_type", F.lit("all")).alias("used"), g.alias("grade")))
+
+
+@query("""SELECT p_partkey, round(ln(greatest(p_size * 10, 16)) * 10 + ln(greatest(p_size * 4000, 16)) * 4 + CASE WHEN p_brand = 'Brand#1' THEN 80 ELSE 0 END + CASE WHEN p_partkey % 3 = 0 THEN -12 ELSE 24 END + CASE WHEN p_partkey % 3 = 0 THEN 6 ELSE 0 END, 4) AS score FROM part""")
+def keep_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.when(F.col("p_partkey") % 3 == 0, "My mark(2).png").otherwise("mark.png")
+    return read(spark, sf_dir, "part").select("p_partkey", F.round(restore.keep_score(name, F.col("p_size") * 10, F.col("p_size"), F.lit(4000), F.col("p_brand") == "Brand#1"), 4).alias("score"))
+
+
+@query("""SELECT o_custkey, least(a, b) / greatest(a, b) AS size_ratio, least(a, b) / greatest(a, b) >= 0.5 AS holds FROM (SELECT o_custkey, max(o_totalprice) AS a, min(o_totalprice) AS b FROM orders GROUP BY 1)""")
+def parity_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max("o_totalprice").alias("size_a"), F.min("o_totalprice").alias("size_b"))
+    return restore.parity(p, {"size": 0.5}).select("o_custkey", "size_ratio", "holds")
+
+
+_COMPANIES = [("Zed Yards Ltd", "https://cdn.zedyards.example/zed-yards.png", 50, 0), ("Zed Yards Ltd", "https://x.pinterest.com/news/portrait", -6, 55), ("", "https://x.example/favicon.ico", 0, 80)]
+
+
+@query("SELECT * FROM (VALUES ('Zed Yards Ltd', 'https://cdn.zedyards.example/zed-yards.png', 50, 0), ('Zed Yards Ltd', 'https://x.pinterest.com/news/portrait', -6, 55), ('', 'https://x.example/favicon.ico', 0, 80)) v(company, url, points, junk)")
+def token_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = values(spark, "company string, url string, a int, b int", *_COMPANIES)
+    return c.select("company", "url", rank.token_points(F.col("url"), T.company_tokens("company")).alias("points"), rank.junk_points(F.col("url")).alias("junk"))
+
+
+@query("SELECT * FROM (VALUES ('Zed Yards Inc.', 22, 'zedyards.com,zed-yards.com,zedyards.ca', true), ('Solo Co', 10, 'solo.com,solo.ca,solo.com.au', false), ('The', 0, '', true)) v(name, n, first, corporate)")
+def company_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = values(spark, "name string", ("Zed Yards Inc.",), ("Solo Co",), ("The",))
+    d = c.withColumn("d", rank.guessed_domains(F.col("name")))
+    return d.select("name", F.size("d").alias("n"), F.array_join(F.slice("d", 1, 3), ",").alias("first"), rank.is_corporate(F.lit("zedyards.example"), F.when(F.col("name") == "The", F.array().cast("array<string>")).otherwise(T.company_tokens("name"))).alias("corporate"))
+
+
+@query(f"""WITH {_PIXELS_SQL}, l AS (SELECT img_id, x, y, (r + g + b) / 3.0 AS l FROM px WHERE a >= 16), j AS (SELECT p.img_id, abs(p.l - d.l) < 6 AND abs(e.l - s.l) < 6 AND abs(p.l - e.l) >= 12 AS hit FROM l p JOIN l e ON e.img_id = p.img_id AND e.x = p.x + 8 AND e.y = p.y
+JOIN l s ON s.img_id = p.img_id AND s.x = p.x AND s.y = p.y + 8 JOIN l d ON d.img_id = p.img_id AND d.x = p.x + 8 AND d.y = p.y + 8 WHERE p.x % 8 = 0 AND p.y % 8 = 0) SELECT img_id, avg(hit::INT) AS share FROM j GROUP BY 1""")
+def checkerboard_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raster.checkerboard_share(_pixels(spark))
+
+
+@query(f"WITH {_PIXELS_SQL}, b AS (SELECT img_id, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM px WHERE a >= 16 GROUP BY 1) SELECT px.img_id, count(*) AS pixels, max(px.x - greatest(x0 - 2, 0))::INT AS right, max(px.y - greatest(y0 - 2, 0))::INT AS bottom FROM px JOIN b ON b.img_id = px.img_id AND px.x BETWEEN x0 - 2 AND x1 + 2 AND px.y BETWEEN y0 - 2 AND y1 + 2 GROUP BY 1")
+def trimmed_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raster.trimmed(_pixels(spark), 2).groupBy("img_id").agg(F.count("*").alias("pixels"), F.max("x").alias("right"), F.max("y").alias("bottom"))
+
+
+@query("SELECT o_orderkey, o_orderdate, len(list_filter([o_orderstatus, o_orderpriority], lambda x: x <> 'P')) AS n FROM orders WHERE o_orderkey % 3 = 0")
+def records_with_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read(spark, sf_dir, "orders", "o_orderkey", "o_orderdate", "o_orderstatus", "o_orderpriority").withColumn("id", F.col("o_orderkey").cast("string"))
+    fields = F.map_filter(F.create_map(F.lit("status"), F.col("o_orderstatus"), F.lit("priority"), F.col("o_orderpriority")), lambda k, v: v != "P")
+    forms = o.filter("o_orderkey % 3 = 0").select("id", fields.alias("fields"))
+    return restore.with_snapshots(o, forms).select("o_orderkey", "o_orderdate", F.col("n_fields").cast("long").alias("n"))

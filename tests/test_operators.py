@@ -178,3 +178,54 @@ def test_daily_gate(spark):
     ts = lambda s: F.lit(s).cast("timestamp")
     r = spark.range(1).select(L.due_daily(ts("2024-01-02 23:00"), ts("2024-01-01 23:00")), L.due_daily(ts("2024-01-02 20:00"), ts("2024-01-01 23:00")), L.due_daily(ts("2024-01-02 23:30"), ts("2024-01-02 22:30")), L.due_daily(ts("2024-01-02 23:30"), F.lit(None).cast("timestamp"))).first()
     assert tuple(r) == (True, False, False, True)
+
+
+def test_png_files(spark, tmp_path):
+    import struct
+    import zlib
+
+    from quillstack.sources import png
+
+    rng = np.random.default_rng(1)
+    g = rng.integers(0, 256, (7, 5, 4)).astype(np.int32)
+    assert (png.decode(png.encode(g)) == g).all() and png.decode(b"no") is None
+    raw = g.astype(np.uint8)
+    lines = []
+    for y in range(7):  # every filter of the format
+        how = y % 5
+        line = bytearray([how])
+        for x in range(5):
+            for c in range(4):
+                left = int(raw[y, x - 1, c]) if x else 0
+                up = int(raw[y - 1, x, c]) if y else 0
+                corner = int(raw[y - 1, x - 1, c]) if x and y else 0
+                p = left + up - corner
+                paeth = min((abs(p - left), 0, left), (abs(p - up), 1, up), (abs(p - corner), 2, corner))[2]
+                line.append((int(raw[y, x, c]) - (0, left, up, (left + up) // 2, paeth)[how]) % 256)
+        lines.append(bytes(line))
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    data = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 5, 7, 8, 6, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"".join(lines))) + chunk(b"IEND", b"")
+    assert (png.decode(data) == g).all()
+    (tmp_path / "a.png").write_bytes(data)
+    (tmp_path / "b.png").write_bytes(b"broken")
+    table = png.pixels(S.images(spark, str(tmp_path)))
+    assert table.count() == 35 and table.agg(F.sum("r")).first()[0] == int(g[..., 0].sum())
+
+
+def test_arrays_resized_layered_and_outlined():
+    g = np.zeros((8, 8, 4), np.int32)
+    g[2:6, 2:6] = [200, 0, 0, 255]
+    g[3:5, 3:5] = [250, 250, 250, 255]
+    half = raster.resized(g, 4, 4)
+    assert half.shape == (4, 4, 4) and half[0, 0, 3] == 0 and half[1, 1, 3] == 255 and half[1, 1, 0] > 200
+    assert raster.resized(g, 8, 8) is g
+    centres, label = raster.colour_layers(g, 2)
+    assert sorted(centres[:, 1].round().tolist()) == [0, 250] and (label[g[..., 3] == 0] == -1).all()
+    ring = raster.outlined(g, 1, (1, 2, 3))
+    assert (ring[1, 1] == [1, 2, 3, 255]).all() and (ring[2:6, 2:6] == g[2:6, 2:6]).all() and (ring[..., 3] > 0).sum() == 36
+    assert raster.holes_punched(g)[3, 3, 3] == 0 and raster.holes_punched(g)[2, 2, 3] == 255
+    plate = np.full((20, 20, 4), 255, np.int32)
+    plate[5:15, 5:15, 1:3] = 0
+    plate[8:12, 8:12, 1:3] = 255
+    seen = raster.visible(plate)
+    assert seen.shape == (10, 10, 4) and seen[0, 0, 3] == 255 and seen[5, 5, 3] == 0
