@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import name_key, trim_ws
+from ..plans.numbering import numbered
 
 Keys = str | Sequence[str]
 
@@ -129,8 +130,8 @@ def remove_value(rows: DataFrame, column: str, value: Column) -> DataFrame:
 
 
 def assign_serials(rows: DataFrame, last: int, *order: str) -> DataFrame:
-    """Serial numbers after ``last`` in an order, for a batch that fits a counter."""
-    return rows.withColumn("serial", F.row_number().over(Window.orderBy(*order)) + last)
+    """Serial numbers after ``last`` in an order."""
+    return numbered(rows, "serial", *order).withColumn("serial", (F.col("serial") + last).cast("int"))
 
 
 def free_names(wanted: DataFrame, taken: DataFrame, *order: str) -> DataFrame:
@@ -147,4 +148,4 @@ def free_names(wanted: DataFrame, taken: DataFrame, *order: str) -> DataFrame:
 
 def chunks(rows: DataFrame, size: int, *order: str) -> DataFrame:
     """Rows with the number, from 0, of the chunk of at most ``size`` that they go in."""
-    return rows.withColumn("chunk", F.floor((F.row_number().over(Window.orderBy(*order)) - 1) / size).cast("int"))
+    return numbered(rows, "chunk", *order).withColumn("chunk", F.floor((F.col("chunk") - 1) / size).cast("int"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _kept(frame: DataFrame) -> DataFrame:
+def kept(frame: DataFrame) -> DataFrame:
     """A checkpoint in the folder that spark.checkpoint.dir names; in local mode without one, in a temporary folder."""
     spark = frame.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
@@ -24,14 +24,14 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     Each round a node takes the least label of itself and its neighbours, then the label of that label,
     so the rounds grow with the logarithm of the longest path; labels that changed are counted, no row
     comes to the driver."""
-    both = _kept(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = _kept(nodes.select("id", F.col("id").alias("component")))
+    both = kept(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    labels = kept(nodes.select("id", F.col("id").alias("component")))
     while True:
         near = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("component").alias("near"))
         step = labels.join(near, labels["id"] == near["a"], "left").select("id", F.col("component").alias("old"), F.least("component", F.coalesce("near", "component")).alias("component"))
-        step = _kept(step)
+        step = kept(step)
         jump = step.select(F.col("id").alias("t"), F.col("component").alias("c"))
-        following = _kept(step.join(jump, step["component"] == jump["t"], "left").select("id", "old", F.least("component", F.coalesce("c", "component")).alias("component")))
+        following = kept(step.join(jump, step["component"] == jump["t"], "left").select("id", "old", F.least("component", F.coalesce("c", "component")).alias("component")))
         if following.filter("old <> component").isEmpty():
             return following.select("id", "component")
         labels = following.select("id", "component")

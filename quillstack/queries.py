@@ -447,6 +447,14 @@ def recent_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.top_recent(book, 4).select("address_key", "position")
 
 
+@query("SELECT * FROM (VALUES (0, 1, '5 oak street'), (1, 4, '7 Ash Ave'), (1, 5, '8 Fir Rd')) v(tier, n, address)")
+def address_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A saved place shows once, however often it is saved or found."""
+    book = values(spark, "address_key string, ship_to_name string, address string, carrier string, account_numbers string, last_used_at int", *_BOOK)
+    hits = values(spark, "ordinal int, display_address string", (3, "5 Oak St, Town AB"), (4, "7 Ash Ave"), (5, "8 Fir Rd"), (6, "7 Ash Avenue"))
+    return resolve.suggestions(book, hits, "OAK", 8)
+
+
 _SPECS = [("1-4", "1,2,3,4"), ("8, 9", "8,9"), ("5", "5"), ("1, 3-5", "1,3,4,5"), ("5-3", "5"), ("x", ""), ("", ""), (" 2 - 3 ,, 7", "2,3,7")]
 
 
