@@ -391,3 +391,52 @@ def visible(g: np.ndarray) -> np.ndarray:
     out = holes_punched(without_corner_marks(without_background(g)))
     y, x = np.nonzero(out[..., 3] >= OPAQUE)
     return out[y.min() : y.max() + 1, x.min() : x.max() + 1] if len(y) else out[:1, :1]
+
+
+def hardened(pixels: DataFrame, soft: int = 200) -> DataFrame:
+    """Half-clear ink takes the whole-number mean colour of its solid neighbours and becomes solid."""
+    solid = (F.col("a") >= soft) & ~is_plate()
+    shifts = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if dx or dy])
+    sent = pixels.filter(solid).select("img_id", F.explode(shifts).alias("s"), "x", "y", "r", "g", "b").select("img_id", (F.col("x") + F.col("s.dx")).alias("x"), (F.col("y") + F.col("s.dy")).alias("y"), "r", "g", "b")
+    mean = sent.groupBy("img_id", "x", "y").agg(*[F.floor(F.sum(c) / F.count("*")).cast("int").alias(f"m{c}") for c in "rgb"])
+    j = pixels.join(mean, ["img_id", "x", "y"], "left")
+    takes = (F.col("a") >= OPAQUE) & (F.col("a") < soft) & F.col("mr").isNotNull()
+    return j.select("img_id", "x", "y", *[F.when(takes, F.col(f"m{c}")).otherwise(F.col(c)).alias(c) for c in "rgb"], F.when(takes, 255).otherwise(F.col("a")).alias("a"))
+
+
+def outline_colour(pixels: DataFrame, least: float = 0.02, most: float = 0.5) -> DataFrame:
+    """The mean colour of dark ink next to coloured fill, for images where it is a fitting share of the fill."""
+    fill = is_ink() & ~is_near_black()
+    n = neighbour_counts(pixels, fill)
+    edge = is_ink() & is_near_black() & (F.col("ink_near") > 0)
+    sums = n.groupBy("img_id").agg(F.count_if(edge).alias("edge"), F.count_if(fill).alias("fill"), *[F.avg(F.when(edge, F.col(c))).alias(c) for c in "rgb"])
+    share = F.col("edge") / F.greatest(F.col("fill"), F.lit(1))
+    return sums.filter(share.between(least, most)).select("img_id", *[F.floor(c).cast("int").alias(c) for c in "rgb"], share.alias("share"))
+
+
+def protected(pixels: DataFrame, plate: DataFrame, near: int = 24) -> DataFrame:
+    """Keys of pixels that no clearing may touch: ink unlike the plate and what is next to it, less the plate itself.
+
+    plate: img_id, br, bg, bb, as ``background`` gives it."""
+    p = pixels.join(plate.select("img_id", "br", "bg", "bb"), "img_id")
+    like = colour_distance(F.col("r"), F.col("g"), F.col("b"), F.col("br"), F.col("bg"), F.col("bb")) <= near
+    grown = dilated(p, (F.col("a") >= OPAQUE) & ~like)
+    return grown.filter(~like).select("img_id", "x", "y")
+
+
+def without_remnants(g: np.ndarray, plate: tuple[int, int, int], near: int = 40, reach: int = 2) -> np.ndarray:
+    """Clears plate-like regions that touch the border or clear pixels and lie ``reach`` pixels away from ink."""
+    on = g[..., 3] >= OPAQUE
+    like = on & (np.abs(g[..., :3] - np.array(plate)).max(axis=2) <= near)
+    guard = on & ~like
+    for _ in range(reach):
+        wide = np.pad(guard, 1)
+        guard = np.logical_or.reduce([wide[1 + dy : 1 + dy + on.shape[0], 1 + dx : 1 + dx + on.shape[1]] for dy in (-1, 0, 1) for dx in (-1, 0, 1)])
+    free = like & ~guard
+    label = labelled(free, True)
+    open_ = np.pad(~on, 1, constant_values=True)
+    beside = np.logical_or.reduce([open_[1 + dy : 1 + dy + on.shape[0], 1 + dx : 1 + dx + on.shape[1]] for dy in (-1, 0, 1) for dx in (-1, 0, 1)])
+    reached = np.unique(label[beside & free])
+    out = g.copy()
+    out[np.isin(label, reached[reached > 0]), 3] = 0
+    return out

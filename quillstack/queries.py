@@ -206,11 +206,11 @@ def _now():
     return F.lit("2001-08-01").cast("timestamp_ntz")
 
 
-@query(f"""WITH {_RECORDS_SQL}, w AS (SELECT *, row_number() OVER (ORDER BY created_at DESC, id)::INT AS position, ceil(count(*) OVER () / 20.0)::BIGINT AS pages FROM rec
-WHERE kind = 'shipping' AND created_at >= TIMESTAMP '2001-08-01' - INTERVAL 90 DAY) SELECT * FROM w WHERE position BETWEEN 21 AND 40""")
+@query(f"""WITH {_RECORDS_SQL}, w AS (SELECT *, row_number() OVER (ORDER BY created_at DESC, id)::INT AS position, ceil(count(*) OVER () / 5.0)::BIGINT AS pages FROM rec
+WHERE kind = 'shipping' AND created_at >= TIMESTAMP '2001-08-01' - INTERVAL 90 DAY) SELECT * FROM w WHERE position BETWEEN 6 AND 10""")
 def history_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = history.in_window(_records(spark, sf_dir).filter("kind = 'shipping'"), _now())
-    return history.page(rows, 1, 20, F.desc("created_at"), F.col("id"))
+    return history.page(rows, 1, 5, F.desc("created_at"), F.col("id"))
 
 
 @query(f"WITH {_RECORDS_SQL} SELECT kind, count(*) AS n, min(id) AS first_id FROM rec WHERE lower(concat_ws(' ', title, kind, id)) LIKE '%urgent ship%' GROUP BY 1")
@@ -218,9 +218,9 @@ def history_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.search(_records(spark, sf_dir), "  URGENT ship", "title", "kind", "id").groupBy("kind").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
 
 
-@query("SELECT doc_id, lang FROM documents WHERE lower(concat_ws(' ', text, source)) LIKE '%the license%'")
+@query("SELECT doc_id, lang FROM documents WHERE lower(concat_ws(' ', text, source)) LIKE '%that the%'")
 def document_text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return history.search(read(spark, sf_dir, "documents", "doc_id", "text", "source", "lang"), "the license", "text", "source").select("doc_id", "lang")
+    return history.search(read(spark, sf_dir, "documents", "doc_id", "text", "source", "lang"), "That THE", "text", "source").select("doc_id", "lang")
 
 
 @query(f"""WITH {_RECORDS_SQL}, gone AS (SELECT kind, id FROM rec WHERE created_at < TIMESTAMP '2001-08-01' - INTERVAL 90 DAY)

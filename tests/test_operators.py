@@ -229,3 +229,23 @@ def test_arrays_resized_layered_and_outlined():
     plate[8:12, 8:12, 1:3] = 255
     seen = raster.visible(plate)
     assert seen.shape == (10, 10, 4) and seen[0, 0, 3] == 255 and seen[5, 5, 3] == 0
+
+
+def test_edges_outlines_and_remnants(spark):
+    g = np.zeros((12, 12, 4), np.int32)
+    g[2:10, 2:10] = [200, 30, 30, 255]
+    g[2, 2:10] = [10, 10, 10, 255]
+    g[5, 9] = [90, 90, 90, 120]
+    y, x = np.indices((12, 12)).reshape(2, -1)
+    table = spark.createDataFrame([("a", int(i), int(j), *map(int, g[j, i])) for i, j in zip(x, y, strict=True)], raster.PIXEL)
+    soft = raster.hardened(table).filter("x = 9 and y = 5").first()
+    assert (soft.r, soft.g, soft.b, soft.a) == (200, 30, 30, 255)
+    line = raster.outline_colour(table).first()
+    assert (line.r, line.g, line.b) == (10, 10, 10)
+    plate = np.full((16, 16, 4), 255, np.int32)
+    plate[6:10, 6:10, :3] = 0
+    kept = raster.without_remnants(plate, (255, 255, 255))
+    assert kept[0, 0, 3] == 0 and kept[5, 5, 3] == 255 and kept[7, 7, 3] == 255 and kept[2, 2, 3] == 0
+    y, x = np.indices((16, 16)).reshape(2, -1)
+    white = spark.createDataFrame([("p", int(i), int(j), *map(int, plate[j, i])) for i, j in zip(x, y, strict=True)], raster.PIXEL)
+    assert raster.protected(white, raster.background(white)).count() == 16
