@@ -24,8 +24,9 @@ before the shuffle, and rows meet their group in joins that Spark can split.
 
 Edge cases: null and empty texts and texts of spaces have an empty set and link with nothing;
 a text of fewer than ``width`` words is one shingle; repeated rows and repeated ids are
-linked like any other equal texts; null ids are left out; an empty table gives an empty
-result; other columns are ignored.
+linked like any other equal texts; rows of one id with different texts count as one document for
+links, with a size each; rows with a null id belong to the component of documents with
+an equal set, else to none; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -260,10 +261,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("doc_id is not null")
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = stored(described(docs, width), "join-rows")
     keys = stored(rows.select("doc_id", "n", "s1", "s2"), "join-keys")
-    classes = keys.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("cls"))
+    classes = keys.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("cls")).filter("cls is not null")
     classes = stored(classes, "join-classes")
     heads = rows.join(classes.select(F.col("cls").alias("doc_id"), "n", "s1", "s2"), ["doc_id", "n", "s1", "s2"], "left_semi").dropDuplicates(["doc_id", "n", "s1", "s2"])
     heads = stored(heads.select(F.col("doc_id").alias("cls"), "n", *BITS, "wide", "blocks"), "join-heads")
@@ -284,7 +285,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     stars = members.filter("cls <> head").select(F.col("head").alias("a"), F.col("cls").alias("b")).distinct()
     stars = with_bits(with_bits(stars, "a", "x", *BITS), "b", "y", *BITS).filter(_possible("x", "y")).select("a", "b")
-    stars = stored(close(stored(stars, "join-stars")), "join-stars")
+    stars = stored(close(stars), "join-stars")
     links = stored(_verified(stars, docs, width), "join-links")
     roots = components(links)
 
@@ -295,9 +296,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     apart = stored(with_bits(apart, "cls", "k", *BITS), "join-apart")
     x, y = (apart.select("sig", F.col("cls").alias(a), F.col("root").alias(f"r{a}"), F.col("k").alias(k)) for a, k in (("a", "x"), ("b", "y")))
     crossing = x.join(y, (x["sig"] == y["sig"]) & (x["a"] < y["b"]) & (x["ra"] != y["rb"]) & _possible("x", "y")).select("a", "b").distinct()
-    crossing = stored(close(stored(crossing.join(stars, ["a", "b"], "left_anti"), "join-crossing")), "join-crossing")
-    more = stored(_verified(crossing, docs, width), "join-links")
-    roots = components(links.union(more)) if not more.isEmpty() else roots
+    crossing = stored(close(crossing.join(stars, ["a", "b"], "left_anti")), "join-crossing")
+    if not crossing.isEmpty():
+        more = stored(_verified(crossing, docs, width), "join-links")
+        roots = components(links.union(more)) if not more.isEmpty() else roots
 
     of_class = classes.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").select("n", "s1", "s2", F.coalesce("root", "cls").alias("root"))
     found = keys.join(stored(of_class, "join-roots"), ["n", "s1", "s2"], "left")

@@ -107,8 +107,8 @@ def test_shingles_of_any_part():
 
 def test_odd_rows_and_components(spark, docs, odd):
     got = near_duplicates(docs(*odd)).collect()
-    assert len(got) == len(odd) - 1 and {(r.doc_id, r.n_shingles) for r in got} >= {(1, 0), (2, 0), (3, 0), (4, 1), (7, 1)}
-    assert all(r.doc_id == r.component_id for r in got)
+    assert len(got) == len(odd) and {(r.doc_id, r.n_shingles) for r in got} >= {(1, 0), (2, 0), (3, 0), (4, 1), (7, 1)}
+    assert all(r.component_id == (4 if r.doc_id is None else r.doc_id) for r in got)
     assert near_duplicates(docs()).count() == 0
     edges = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(100, 90), (90, 100), (7, 7)], "a long, b long")
     assert {(r.node, r.root) for r in components(edges).collect() if r.node != r.root} == {(i, 0) for i in range(1, 51)} | {(100, 90)}
