@@ -62,7 +62,8 @@ def goods_totals(lines: DataFrame, key: str) -> DataFrame:
     in the pieces only, and a category without pieces is null. lines: pieces, weight, item_type."""
     from ..functions.text import ITEM_PLURALS
 
-    pieces, weight, kind = number_or_zero("pieces"), number_or_zero("weight"), item_plural("item_type")
+    lines = lines.select(key, number_or_zero("pieces").alias("pieces"), number_or_zero("weight").alias("weight"), item_plural("item_type").alias("kind"))
+    pieces, weight, kind = F.col("pieces"), F.col("weight"), F.col("kind")
     each = [F.nullif(F.sum(F.when(kind == p, pieces).otherwise(F.lit(0.0))), F.lit(0.0)).alias(p.lower()) for p in ITEM_PLURALS.values()]
     return lines.groupBy(key).agg(F.sum(pieces).alias("total_pieces"), F.sum(weight).alias("total_weight"), *each)
 
