@@ -1,25 +1,29 @@
-"""SentencePiece encoding and decoding with an Aho-Corasick automaton and a Viterbi pass.
+"""SentencePiece encoding and decoding: merges by rank or a Viterbi pass, as the model's type asks.
 
-The pieces and scores of a model file go into one automaton.  A single pass over a text
+The scores of a BPE model are merge ranks.  Neighbouring symbols whose joint text is a piece
+are merged, the best score first and the leftmost of equals, until no such pair is left.  The
+scores of a unigram model add up: a single pass of an Aho-Corasick automaton over a text
 follows the output links at each position, longest piece first, and relaxes the best score of
-what ends there; ties keep the longer last piece.  A character that is no piece costs the
-unknown score (10 below the lowest) and comes out as its UTF-8 byte pieces.  Decoding gathers
-the bytes of the pieces and undoes the space mark.
+what ends there; ties keep the longer last piece, and a character that is no piece costs the
+unknown score (10 below the lowest).  With both, a character that is no piece comes out as its
+UTF-8 byte pieces.  Decoding gathers the bytes of the pieces and undoes the space mark.
 
 In this vocabulary a space mark only stands at the front of a piece, so a text falls apart
-into chunks, each a run of marks with what follows, and the best segmentation is that of the
-chunks; each distinct chunk of a batch is segmented once.
+into chunks, each a run of marks with what follows, and neither merges nor the best
+segmentation reach over their bounds; each distinct chunk of a batch is segmented once.
 
 Edge cases: null and empty texts have no ids and decode to an empty text; runs of spaces,
 leading and trailing spaces and control characters survive the round trip; a model whose
-normaliser isn't the identity or whose pieces hold inner space marks is refused; an empty
-table gives an empty result; other columns are ignored.
+normaliser isn't the identity or whose pieces hold inner space marks is refused, and so is a
+BPE model with unused or user-defined pieces; a space mark in a text itself is encoded as the
+library does and decodes to a space; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +39,8 @@ UNKNOWN_PENALTY = 10.0
 CACHED = 300_000
 _CHUNKS = re.compile(f"{MARK}+[^{MARK}]*")
 _BY_PATH: dict[str, PieceCodec] = {}
+_OF_TYPE: dict[str, PieceCodec] = {}
+UNIGRAM, BPE = 1, 2
 
 
 def default_model() -> str:
@@ -43,7 +49,48 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of each field of a protobuf message."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = raw[at]
+            at += 1
+            value |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return value
+
+    while at < len(raw):
+        number, wire = divmod(varint(), 8)
+        if wire == 0:
+            yield number, varint()
+        else:
+            size = varint() if wire == 2 else {1: 8, 5: 4}[wire]
+            yield number, raw[at : at + size]
+            at += size
+
+
+def model_type(path: str) -> int:
+    """model_type (field 3) of the trainer's spec (field 2), by default unigram."""
+    with open(path, "rb") as file:
+        spec = b"".join(v for k, v in _fields(file.read()) if k == 2)
+    return ([v for k, v in _fields(spec) if k == 3] or [UNIGRAM])[-1]
+
+
+def piece_types(path: str) -> set[int]:
+    """The types of a model's pieces: field 3 of each field 1, by default normal (1)."""
+    with open(path, "rb") as file:
+        pieces = [v for k, v in _fields(file.read()) if k == 1]
+    return {([v for k, v in _fields(piece) if k == 3] or [1])[-1] for piece in pieces}
+
+
 class PieceCodec:
+    """A model's scores taken as those of a unigram model."""
+
     def __init__(self, path: str):
         import ahocorasick
         from sentencepiece import SentencePieceProcessor
@@ -128,8 +175,8 @@ class PieceCodec:
         which = coded.indices.to_numpy(zero_copy_only=False)
         ends = np.concatenate(([0], np.cumsum(sizes[which])))
         ids, offsets = gather(store, starts[which], sizes[which]), ends[bounds]
-        # texts with an empty word have runs of marks that belong to one chunk
-        odd = pc.or_(pc.match_substring_regex(texts, "^ |  | $"), pc.equal(texts, "")).to_numpy(zero_copy_only=False)
+        # texts with an empty word or marks of their own have runs of marks that belong to one chunk
+        odd = pc.or_(pc.match_substring_regex(texts, f"^ |  | $|{MARK}"), pc.equal(texts, "")).to_numpy(zero_copy_only=False)
         if not odd.any():
             return ids, offsets
         parts, each = [], np.diff(offsets)
@@ -154,12 +201,58 @@ class PieceCodec:
         return raw[stay], ends - np.concatenate(([0], np.cumsum(filled)))
 
 
+class MergeCodec(PieceCodec):
+    """A model's scores taken as merge ranks, the highest first."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        if piece_types(path) & {4, 5}:
+            raise ValueError("only merge models without user-defined and unused pieces")
+        self.ranks = {piece: -score for piece, (_, score) in self.pieces.items()}
+
+    def segment(self, chunk: str) -> list[int]:
+        """Ids of marked text after all merges."""
+        n, ranks = len(chunk), self.ranks
+        # the symbol from i ends before after[i]; before[i] is where the one ahead of it starts
+        after, before = list(range(1, n + 1)), list(range(-1, n))
+        pairs = [(ranks[pair], i, i + 2) for i in range(n - 1) if (pair := chunk[i : i + 2]) in ranks]
+        heapify(pairs)
+        while pairs:
+            _, i, end = heappop(pairs)
+            middle = after[i]
+            if middle >= end or middle < 0 or after[middle] != end:
+                continue  # one of the two has been merged since
+            after[i], after[middle] = end, -1
+            before[end] = i
+            if end < n and (rank := ranks.get(chunk[i : after[end]])) is not None:
+                heappush(pairs, (rank, i, after[end]))
+            if i and (rank := ranks.get(chunk[before[i] : end])) is not None:
+                heappush(pairs, (rank, before[i], end))
+        out: list[int] = []
+        i = 0
+        while i < n:
+            found = self.pieces.get(chunk[i : after[i]])
+            out += [found[0]] if found else [self.byte[b] for b in chunk[i].encode()]
+            i = after[i]
+        return out
+
+
 def codec(path: str) -> PieceCodec:
     if path not in _BY_PATH:
         _BY_PATH[path] = PieceCodec(path)
     return _BY_PATH[path]
 
 
+def library_codec(path: str) -> PieceCodec:
+    """The codec that reads the scores as the model's type asks."""
+    if path not in _OF_TYPE:
+        kind = model_type(path)
+        if kind not in (UNIGRAM, BPE):
+            raise ValueError("only unigram and BPE models")
+        _OF_TYPE[path] = MergeCodec(path) if kind == BPE else codec(path)
+    return _OF_TYPE[path]
+
+
 def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None) -> DataFrame:
     """doc_id and ids (array<int>) of each text."""
     path = model or default_model()
@@ -167,7 +260,7 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                ids, offsets = codec(path).encode(part.column("text"))
+                ids, offsets = library_codec(path).encode(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.astype(np.int32)))], ["doc_id", "ids"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -182,7 +275,7 @@ def decoded(rows: DataFrame, model: str | None = None) -> DataFrame:
         for batch in batches:
             lists = batch.column("ids")
             ids = lists.flatten().to_numpy(zero_copy_only=False)
-            raw, offsets = codec(path).decode(ids, lists.offsets.to_numpy() - lists.offsets[0].as_py())
+            raw, offsets = library_codec(path).decode(ids, lists.offsets.to_numpy() - lists.offsets[0].as_py())
             text = pa.Array.from_buffers(pa.large_string(), len(lists), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(raw)])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), text.cast(pa.string())], ["doc_id", "text"])
 
@@ -196,7 +289,7 @@ def round_trip(docs: DataFrame, model: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                own = codec(path)
+                own = library_codec(path)
                 ids, offsets = own.encode(part.column("text"))
                 raw, at = own.decode(ids, offsets)
                 text = pc.fill_null(part.column("text").cast(pa.large_string()), "")

@@ -3,7 +3,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from sentencepiece import SentencePieceProcessor
 
-from quillstack.llm.piece_codec import MARK, codec, decoded, default_model, encoded, round_trip
+from quillstack.llm.piece_codec import BPE, MARK, codec, decoded, default_model, encoded, library_codec, model_type, round_trip
 
 CODEC = codec(default_model())
 
@@ -66,3 +66,26 @@ def test_tables(docs, odd):
     back = decoded(encoded(docs(*rows))).collect()
     assert sorted(map(repr, ((r.doc_id, r.text) for r in back))) == sorted(map(repr, ((i, t or "") for i, t in rows)))
     assert round_trip(docs()).count() == 0
+
+
+LIBRARY = SentencePieceProcessor(model_file=default_model())
+
+
+def test_query_gives_the_ids_of_the_library(spark, docs):
+    """Whole documents of sf0.01 and the odd ones, against the library's own encode."""
+    assert model_type(default_model()) == BPE
+    own = ["The quick brown fox", f"a{MARK} b{MARK}{MARK}c {MARK}", " x  y ", "ab" * 5_000, "漢字 ﬁ\0\n", "Straße " * 300, "", None]
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").limit(300).collect()]
+    rows += [(-1 - i, t) for i, t in enumerate(own)]
+    got = {r.doc_id: r.ids for r in encoded(docs(*rows)).collect()}
+    counts = {r.doc_id: r.n_pieces for r in round_trip(docs(*rows)).collect()}
+    for i, t in rows:
+        assert got[i] == LIBRARY.encode(t or ""), (i, t and t[:80])
+        assert counts[i] == len(got[i])
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet=st.one_of(st.sampled_from("abcdefgh  the." + MARK), st.characters(exclude_categories=["Cs"])), max_size=60))
+def test_any_text_as_the_library(text):
+    ids, _ = library_codec(default_model()).encode(pa.array([text]))
+    assert ids.tolist() == LIBRARY.encode(text)
