@@ -5,14 +5,17 @@ permuted within their format by a keyed Feistel network over the two halves of t
 so that equal values stay equal across documents, different ones stay different, and the
 result passes the same check:
 
-* card numbers of 13 to 19 digits with a right Luhn digit; separators and length stay;
+* card numbers of 13 to 19 digits with a right Luhn digit; separators and length stay; in a run of
+  groups of digits each group may start one, the longest valid, unless it would cut a telephone
+  number, social security number or date in two;
 * telephone numbers of the North American plan, written with parentheses or separators;
 * social security numbers; IPv4 addresses; calendar dates from 1900 to 2099, in ISO, slashed
   or dotted day-month-year form;
 * e-mail addresses and quoted or assigned secrets of hexadecimal digits have no numeric
   format; they become keyed digests in the same shape.
 
-A number that fails its check stays as it is.  A text without a finding comes back
+A number that fails its check stays as it is, and what it holds or touches is looked at on its
+own.  Where two valid card numbers of a run overlap by chance, the first is taken.  A text without a finding comes back
 unchanged.  Work is one pass per row: no shuffle, and a hot source or a long text is only its
 own length of work.
 
@@ -34,9 +37,19 @@ FOUND = {
     "dates": r"(?<![\p{N}/.-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\p{N}/-])",
     "ssns": r"(?<![\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{N}]|-\d)",
     "phones": r"(?<![\p{N}+])(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\p{N}])",
-    "cards": r"(?<![\p{N}])\d(?:[ -]?\d){12,18}(?![\p{N}])",
+    "cards": r"(?<![\p{N}])(?!\d{20})(?=\d(?:[ -]?\d){12})\d[\d -]*(?<=\d" + r"[ -]?\d" * 12 + r")(?![\p{N}])"
+    # a run of groups ends before an address, date or telephone number that goes on with dots or slashes
+    r"(?!(?<=(?<!\d)\d{1,3})(?:\.\d{1,3}){3}(?![\p{N}]|\.\d))"
+    r"(?!(?<=(?<!\d)\d{2})(?:/\d{2}/|\.\d{2}\.)\d{4}(?![\p{N}/-]))"
+    r"(?!(?<=(?<!\d)\d{3})(?:\.\d{3}[ .-]|[ -]\d{3}\.)\d{4}(?![\p{N}]))"
+    r"(?!(?<=(?<!\d)\d{3}[ -]\d{3})\.\d{4}(?![\p{N}]))",
 }
 ANY = "|".join(FOUND.values())
+CARD = r"^\d(?:[ -]?\d){12,18}$"
+_OTHERS = (
+    r"(?:19|20)\d{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])(?![\p{N}-])|(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?!\p{N}|-\d)",
+    r"(?:1[ -]?)?\d{3}[ -]\d{3}[ -]\d{4}(?!\p{N})",
+)
 
 
 def _draw(key: str, what: str, i: Column, half: Column, modulus: Column) -> Column:
@@ -100,6 +113,62 @@ def _card(m: Column, key: str) -> Column:
     return _let(_digits(m), permuted)
 
 
+def _in_run(run: Column) -> Column:
+    """array<struct(plain, t)>: a run of groups of digits cut into numbers to replace and what lies between."""
+    count = lambda c: F.size(F.regexp_extract_all(c, F.lit(r"(\d+)"), 0))
+
+    def joined(parts: Column, start: Column, n: Column | int) -> Column:
+        return F.array_join(F.slice(parts, start + 1, n), "")
+
+    def other(parts: Column, i: Column, after_dash: bool) -> Column:
+        """Groups of the date, social security or telephone number that starts with group i, or 0."""
+        pattern = rf"^{'[ -]*' if after_dash else ' *'}(?:{_OTHERS[0]})|^[ -]*(?:{_OTHERS[1]})"
+        return count(F.regexp_extract(joined(parts, i, 5), pattern, 0))
+
+    def card(parts: Column, others: Column, i: Column) -> Column:
+        """Groups of the longest card number that starts with group i, or 0."""
+        def valid(n: Column) -> Column:
+            whole = F.forall(F.transform(F.slice(others, i + 1, n), lambda o, k: (k == 0) | (k + o <= n)), lambda x: x)
+            return _let(F.regexp_replace(joined(parts, i, n), r"^[ -]+", ""), lambda t: F.when(t.rlike(CARD), (F.pmod(_luhn(_digits(t), True), F.lit(10)) == 0) & whole).otherwise(False))
+
+        most = F.least(F.lit(19), F.size(parts) - i)
+        return F.coalesce(F.array_max(F.filter(F.sequence(F.lit(1), most), valid)), F.lit(0))
+
+    def taken(steps: Column) -> Column:
+        none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<i:int,n:int>>").alias("out"))
+
+        def step(acc: Column, s: Column) -> Column:
+            n = F.when(s["i"] < acc["at"], 0).when((s["i"] == acc["at"]) & (s["i"] > 0), s["behind"]).otherwise(s["n"])
+            return _let(n, lambda n: F.when(n > 0, F.struct((s["i"] + n).alias("at"), F.concat(acc["out"], F.array(F.struct(s["i"].alias("i"), n.alias("n")))).alias("out"))).otherwise(acc))
+
+        return F.aggregate(steps, none, step, lambda acc: acc["out"])
+
+    def cut(parts: Column, found: Column) -> Column:
+        plain = lambda t: F.struct(F.lit(True).alias("plain"), t.alias("t"))
+        end = lambda k: F.when(k > 0, F.get(found, k - 1)["i"] + F.get(found, k - 1)["n"]).otherwise(0)
+
+        def pair(x: Column, k: Column) -> Column:
+            front = F.concat(joined(parts, end(k), x["i"] - end(k)), F.regexp_extract(F.get(parts, x["i"]), "^[ -]*", 0))
+            return F.array(plain(front), F.struct(F.lit(False).alias("plain"), F.regexp_replace(joined(parts, x["i"], x["n"]), "^[ -]+", "").alias("t")))
+
+        last = end(F.size(found))
+        return F.concat(F.flatten(F.transform(found, pair)), F.array(plain(joined(parts, last, F.size(parts) - last))))
+
+    def solved(parts: Column) -> Column:
+        groups = F.sequence(F.lit(0), F.size(parts) - 1)
+        others = F.transform(groups, lambda i: F.struct(i.alias("i"), other(parts, i, False).alias("n"), other(parts, i, True).alias("behind")))
+
+        def steps(o: Column) -> Column:
+            def one(x: Column) -> Column:
+                return _let(F.when((x["n"] > 0) & (x["behind"] > 0), 0).otherwise(card(parts, o["behind"], x["i"])), lambda c: F.struct(x["i"].alias("i"), F.when(x["n"] > 0, x["n"]).otherwise(c).alias("n"), F.when(x["behind"] > 0, x["behind"]).otherwise(c).alias("behind")))
+
+            return F.transform(o, one)
+
+        return _let(taken(_let(others, steps)), lambda found: cut(parts, found))
+
+    return _let(F.regexp_extract_all(run, F.lit(r"([ -]*\d+)"), 0), solved)
+
+
 def _phone(m: Column, key: str) -> Column:
     def permuted(d: Column) -> Column:
         ten = F.substring(d, -10, 10).cast("long")
@@ -184,9 +253,14 @@ def pseudonymised(docs: DataFrame, key: str = "quillstack", text_col: str = "tex
     """The documents with pseudonyms in their texts and, with ``counts``, a column n_<kind> for each kind."""
     text = F.col(text_col)
     with_found = docs.withColumn("__found", F.when(text.rlike(r"[0-9@]"), F.regexp_extract_all(text, F.lit(f"({ANY})"), 0)).otherwise(F.array().cast("array<string>")))
-    with_made = with_found.withColumn("__made", F.transform("__found", lambda m: _pseudonym(m, key)))
+    run = lambda m: m.rlike(r"^\d[\d -]+$") & (F.length(_digits(m)) >= 13) & ~m.rlike(r"^\d{32,64}$")
+    as_is = lambda m: F.array(F.struct(F.lit(False).alias("plain"), m.alias("t")))
+    with_parts = with_found.withColumn("__parts", F.transform("__found", lambda m: F.when(run(m), _in_run(m)).otherwise(as_is(m))))
+    unchanged = lambda t: F.struct(F.lit(None).cast("string").alias("kind"), t.alias("fresh"))
+    with_each = with_parts.withColumn("__each", F.transform("__parts", lambda parts: F.transform(parts, lambda x: F.when(x["plain"], unchanged(x["t"])).otherwise(_pseudonym(x["t"], key)))))
+    with_made = with_each.withColumn("__made", F.flatten("__each"))
     gaps = F.split(text, ANY, -1)
-    whole = F.array_join(F.flatten(F.zip_with(gaps, F.col("__made"), lambda g, m: F.array(g, F.coalesce(m["fresh"], F.lit(""))))), "")
+    whole = F.array_join(F.flatten(F.zip_with(gaps, F.col("__each"), lambda g, e: F.array(g, F.coalesce(F.array_join(e["fresh"], ""), F.lit(""))))), "")
     out = with_made.withColumn("__text", F.when(F.size("__found") == 0, text).otherwise(whole))
     counted = {f"n_{k}" for k in FOUND} if counts else set()
     columns = [F.col("__text").alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c not in counted]

@@ -4,7 +4,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from quillstack.llm.pseudonyms import feistel, pseudonymised
+from quillstack.llm.pseudonyms import FOUND, feistel, pseudonymised
 
 CARD = "4111 1111 1111 1111"
 CASES = {
@@ -69,3 +69,35 @@ def test_odd_rows_and_columns(docs, odd, spark):
     assert pseudonymised(docs()).count() == 0
     clash = spark.createDataFrame([("1.2.3.4", 7)], "text string, n_ips int")
     assert pseudonymised(clash).first().n_ips == 1
+
+
+BESIDE = {
+    f"{CARD} 12/25": ({"cards": 1}, r"(?!4111 1111 1111 1111)\d{4} \d{4} \d{4} \d{4} 12/25"),
+    "4111111111111111 123": ({"cards": 1}, r"(?!4111111111111111)\d{16} 123"),
+    "2023 555-123-4567": ({"phones": 1}, r"2023 (?!555-123-4567)\d{3}-\d{3}-\d{4}"),
+    "2023 123-45-6789": ({"ssns": 1}, r"2023 (?!123-45-6789)\d{3}-\d\d-\d{4}"),
+    f"{CARD} 555-123-4567": ({"cards": 1, "phones": 1}, r"(?!4111)\d{4} \d{4} \d{4} \d{4} (?!555-123)\d{3}-\d{3}-\d{4}"),
+    f"{CARD} 5500 0000 0000 0004": ({"cards": 2}, r"(?!4111 1111)\d{4}( \d{4}){3} (?!5500 0000)\d{4}( \d{4}){3}"),
+    f"{CARD}-123-45-6789": ({"cards": 1, "ssns": 1}, r"(?!4111 1111)\d{4}( \d{4}){3}-(?!123-45)\d{3}-\d\d-\d{4}"),
+    "12345678901 10.20.30.40": ({"ips": 1}, r"12345678901 (?!10\.20\.30\.40)\d+\.\d+\.\d+\.\d+"),
+    "1234567890123 555.123.4567": ({"phones": 1}, r"1234567890123 (?!555\.123)\d{3}\.\d{3}\.\d{4}"),
+    "12345678901 31/12/1999": ({"dates": 1}, r"12345678901 (?!31/12/1999)\d\d/\d\d/\d{4}"),
+    "12345 1999-12-31 77": ({"dates": 1}, r"12345 (?!1999-12-31)\d{4}-\d\d-\d\d 77"),
+    "1234567890 123": ({}, "1234567890 123"),
+    "(" + "7" * 40 + ")": ({}, r"\(7{40}\)"),
+    "1 " * 12 + "1": ({}, "(1 ){12}1"),
+}
+
+
+def test_numbers_beside_each_other(spark):
+    frame = spark.createDataFrame(list(enumerate(BESIDE)), "doc_id long, text string")
+    out = {r.doc_id: r for r in pseudonymised(frame).collect()}
+    for i, (text, (counts, shape)) in enumerate(BESIDE.items()):
+        got = {k: out[i][f"n_{k}"] for k in FOUND if out[i][f"n_{k}"]}
+        assert got == counts and re.fullmatch(shape, out[i].text), (text, out[i])
+
+
+def test_long_runs(spark):
+    text = "1 2 3 45 " * 5_000
+    got = pseudonymised(spark.createDataFrame([(1, text.strip() + f"  {CARD}")], "doc_id long, text string")).first()
+    assert got.n_cards >= 1 and len(got.text) == len(text.strip()) + 2 + len(CARD) and not got.text.endswith(CARD)
