@@ -5,6 +5,9 @@ holds enough of its words, the window with a margin is aligned with the template
 are unique in both are anchors, the longest increasing subsequence of anchors stays, and the
 gaps between its anchors are aligned the same way; a gap without anchors matches what it has
 in common at its front and its end.  Coverage is the share of the template's words matched.
+Besides, the words that tell a licence from its neighbours (its name and version) must be among
+the matched ones, those of one phrase next to each other: "GNU Lesser General Public License"
+isn't the GNU General Public License.
 
 The window test loses nothing that reaches the coverage asked for without insertions, and the
 margin leaves room for as many insertions as the template has words.
@@ -37,6 +40,10 @@ TEMPLATES = {
     "Apache-2.0 notice": "Licensed under the Apache License, Version 2.0.",
     "GPL-3.0 notice": "This work is licensed under the GNU General Public License, version 3.",
     "CC-BY-NC-4.0 notice": "Licensed under CC BY-NC 4.0.",
+    "CC-BY-SA-4.0 notice": "Licensed under CC BY-SA 4.0.",
+    "CC-BY-ND-4.0 notice": "Licensed under CC BY-ND 4.0.",
+    "LGPL-3.0 notice": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "AGPL-3.0 notice": "This work is licensed under the GNU Affero General Public License, version 3.",
     "CC-BY-4.0 notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "BSD notice": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
@@ -44,11 +51,29 @@ TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
     "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
 }
+#: Phrases without which a text is under another licence; the text of MIT doesn't name it.
+NAMES = {
+    "MIT notice": ("mit license",),
+    "Apache-2.0 notice": ("apache license", "2.0"),
+    "GPL-3.0 notice": ("gnu general public license", "3"),
+    "CC-BY-NC-4.0 notice": ("cc by-nc 4.0",),
+    "CC-BY-SA-4.0 notice": ("cc by-sa 4.0",),
+    "CC-BY-ND-4.0 notice": ("cc by-nd 4.0",),
+    "LGPL-3.0 notice": ("gnu lesser general public license", "3"),
+    "AGPL-3.0 notice": ("gnu affero general public license", "3"),
+    "CC-BY-4.0 notice": ("creative commons attribution 4.0",),
+    "BSD notice": ("bsd-style",),
+    "MPL-2.0": ("mozilla public license", "2.0"),
+    "Apache-2.0": ("apache license", "2.0"),
+    "GPL-3.0": ("gnu general public license", "3"),
+}
+#: Other spellings of words in NAMES.
+SAME = {"3.0": "3", "v3": "3", "v3.0": "3", "2": "2.0", "v2": "2.0", "v2.0": "2.0", "4": "4.0", "v4": "4.0", "v4.0": "4.0", "bsd": "bsd-style", "licence": "license"}
 _EDGES = ".,;:!?()[]{}<>\"'*#$%&|"
 
 
 def template_words(text: str) -> list[str]:
-    return [w for w in (x.strip(_EDGES) for x in text.lower().split()) if w]
+    return [SAME.get(w, w) for w in (x.strip(_EDGES) for x in text.lower().split()) if w]
 
 
 def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -99,6 +124,17 @@ class Scanner:
         self.templates = {k: template_words(t) for k, t in templates.items()}
         self.number = {w: i for i, w in enumerate(sorted({w for t in self.templates.values() for w in t}))}
         self.coded = {k: [self.number[w] for w in t] for k, t in self.templates.items()}
+        self.names = {k: [found for name in NAMES.get(k, ()) if (found := self._places(t, name.split()))] for k, t in self.templates.items()}
+
+    @staticmethod
+    def _places(template: list[str], phrase: list[str]) -> list[range]:
+        """Where a template holds a phrase."""
+        return [range(i, i + len(phrase)) for i in range(len(template)) if template[i : i + len(phrase)] == phrase]
+
+    def _named(self, name: str, match: list[tuple[int, int]]) -> bool:
+        """Each phrase of a licence's name is matched in one piece."""
+        at = {j: i for i, j in match}
+        return all(any(all(j in at and at[j] - at[r[0]] == j - r[0] for j in r) for r in places if r[0] in at) for places in self.names[name])
 
     def scan(self, texts: pa.Array) -> list[tuple[int, str, int, int, float]]:
         """(text, template, first word, last word + 1, coverage) of each find."""
@@ -106,7 +142,7 @@ class Scanner:
         bounds = cut.offsets.to_numpy() - cut.offsets[0].as_py()
         coded = cut.flatten().dictionary_encode()
         plain = pc.utf8_trim(pc.utf8_lower(coded.dictionary), _EDGES).to_pylist()
-        code = np.array([self.number.get(w, -1) for w in plain], np.int64)[coded.indices.to_numpy(zero_copy_only=False)] if len(plain) else np.zeros(0, np.int64)
+        code = np.array([self.number.get(SAME.get(w, w), -1) for w in plain], np.int64)[coded.indices.to_numpy(zero_copy_only=False)] if len(plain) else np.zeros(0, np.int64)
         hits = np.flatnonzero(code >= 0)
         out = []
         for name, template in self.coded.items():
@@ -145,7 +181,7 @@ class Scanner:
                 continue
             window = region[start : start + 2 * size]
             match = patience(window, template)
-            if len(match) >= self.coverage * size - 1e-9:
+            if len(match) >= self.coverage * size - 1e-9 and self._named(name, match):
                 a, b = lo + start + match[0][0], lo + start + match[-1][0] + 1
                 if (a, b) not in tried:
                     tried.add((a, b))

@@ -53,3 +53,17 @@ def test_planted_notices(spark, small):
     want = {r.doc_id for r in frame.filter("text like '%Released under the MIT License.%' or text like '%Licensed under the Apache License, Version 2.0.%' or text like '%Licensed under CC BY-NC 4.0.%' or text like '%This work is licensed under the GNU General Public License, version 3.%'").collect()}
     got = {r.doc_id for r in license_report(frame).filter("n_finds > 0").collect()}
     assert want <= got and len(got) <= len(want) + 2
+
+
+def test_neighbouring_licences():
+    names = lambda text: {x[0] for x in scan(f"some words before. {text} and words behind")}
+    assert names("Licensed under CC BY-SA 4.0.") == {"CC-BY-SA-4.0 notice"}
+    assert names("Licensed under CC BY-ND 4.0.") == {"CC-BY-ND-4.0 notice"}
+    assert names("Licensed under CC BY-NC 4.0.") == {"CC-BY-NC-4.0 notice"}
+    for other in ("Licensed under CC BY-NC 3.0.", "Licensed under CC BY-NC-SA 4.0.", "Released under the BSD License.", "Released under the MIT No Attribution License.", "Licensed under the GNU License, Version 2.0.", "Licensed under the Apache License, Version 1.1.", "This work is licensed under the GNU General Public License, version 2.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "This work is licensed under a Creative Commons Attribution ShareAlike 4.0 International License.", TEMPLATES["MPL-2.0"].replace("v. 2.0", "v. 1.1"), TEMPLATES["GPL-3.0"].replace("General", "Affero General"), TEMPLATES["GPL-3.0"].replace("version 3", "version 2")):
+        assert names(other) == set(), other
+    lesser = "This work is licensed under the GNU Lesser General Public License, version 3."
+    assert names(lesser) == {"LGPL-3.0 notice"} and names(lesser.replace("Lesser", "Affero")) == {"AGPL-3.0 notice"}
+    for text in ("This work is licensed under the GNU General Public License (GPL), version 3.0.", "This work is licenced under the GNU General Public License, version 3."):
+        assert names(text) == {"GPL-3.0 notice"}
+    assert all(name in names(text) for name, text in TEMPLATES.items())
