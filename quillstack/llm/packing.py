@@ -3,10 +3,12 @@
 Lengths are whole numbers from 1 to the capacity, so the instance is its histogram: the
 driver plans on at most ``capacity`` numbers, whatever the number of documents.
 
-1. Reduction.  The longest open length w with room r = capacity - w is fixed for good with
+1. Reduction.  Each open length w with room r = capacity - w, longest first and again until none
+   changes, is fixed for good with
    * nothing, if no open piece fits the room;
-   * one piece of the longest fitting length v, if v fills the room or no two open pieces fit
-     it together with more than v (a set with w then never gains by holding other pieces);
+   * one piece of the longest fitting length v, if v fills the room, or if no three open pieces
+     fit it and no two together with more than v (a set with w then never gains by holding
+     other pieces);
    applied to as many pieces at once as the counts allow.
 2. What is left goes best-fit, longest first: each piece into the fullest sequence that holds
    it.  Sequences of equal filling are one entry with a count, so a step places many pieces.
@@ -49,12 +51,19 @@ def _dominating(w: int, open_: list[int], left: dict[int, int], capacity: int) -
     best = open_[i]
     if best == room:
         return best
+    least: list[int] = []
+    for v in open_:  # do the three smallest pieces fit?
+        least += [v] * min(3 - len(least), count(v))
+        if len(least) == 3:
+            if sum(least) <= room:
+                return None
+            break
     lo, hi = 0, i
     while lo <= hi:  # is there a pair that fits and holds more than the best single piece?
         a, b = open_[lo], open_[hi]
-        if a + b > room:
+        if a + b > room or count(b) < 1:
             hi -= 1
-        elif a + b > best and count(a) > 0 and count(b) > (a == b):
+        elif a + b > best and count(a) > (a == b):
             return None
         else:
             lo += 1
@@ -77,11 +86,12 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[Segm
         if not left[w]:
             open_.pop(bisect.bisect_left(open_, w))
 
-    while open_:
-        w = open_[-1]
+    def fix(w: int) -> bool:
+        """Places pieces of length w for good where a rule holds."""
+        nonlocal bins
         mate = _dominating(w, open_, left, capacity)
         if mate is None:
-            break
+            return False
         if mate == 0:
             n = left[w]
             place(w, n, 1, bins, 0)
@@ -93,6 +103,14 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[Segm
             place(w, n, 1, bins, 0)
             place(mate, n, 1, bins, w)
         bins += n
+        return True
+
+    changed = True
+    while changed:
+        changed = False
+        for w in open_[::-1]:
+            while left[w] and fix(w):
+                changed = True
     fixed = bins
 
     rooms: list[int] = []  # ascending; partly filled sequences by the room left

@@ -99,3 +99,31 @@ def test_documents(docs, odd):
             at += n
         assert at <= 4096
     assert pack(pieces(docs())).count() == 0
+
+
+def reduction_keeps_the_best(items):
+    histogram = {w: items.count(w) for w in set(items)}
+    segments, _, fixed = plan(histogram, 20)
+    filled(histogram, 20)
+    placed = {w: 0 for w in histogram}
+    for w, first, last, _, base, _ in segments:
+        if base < fixed:
+            placed[w] += last - first
+    assert fixed + best([w for w, c in histogram.items() for _ in range(c - placed[w])], 20) == best(items, 20)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 20), min_size=1, max_size=8))
+def test_dominance_is_optimal_with_triples(items):
+    reduction_keeps_the_best(items)
+
+
+def test_three_pieces_that_fill_a_room():
+    items = [10, 8, 4, 4, 4, 3, 3, 3]
+    reduction_keeps_the_best(items)
+    assert best(items, 20) == 2
+
+
+def test_reduction_goes_on_to_shorter_lengths():
+    """15 has no rule, as three smaller pieces fit its room; 12 and 8 are an exact pair all the same."""
+    assert plan({15: 2, 12: 3, 8: 3, 2: 2, 1: 4}, 20)[2] >= 3
