@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, stored
+from .common import map_arrow, send_package, stored
 from .tokens import slices
 
 NAMES = ("log_bytes", "log_words", "log_word_bytes", "spaces", "upper", "digits", "stops", "bangs", "signs", "bars", "others", "wide", "lines", "ends_signed", "repeats", "distinct")
@@ -190,14 +190,16 @@ def scored(found: DataFrame, model: QualityModel, threshold: float = THRESHOLD)
 
 
 def kept(docs: DataFrame, model: QualityModel, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The documents, all columns, that the model accepts; no shuffle."""
+    """The documents, all columns, that the model accepts. Only texts go to Python and only a flag
+    comes back, so rows stay where they are: no shuffle, and other columns cost nothing."""
+    send_package(docs)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, text_col):
-                yield part.filter(pa.array(model.score(statistics(part.column(text_col))) >= threshold))
+    @F.arrow_udf("boolean")
+    def accepted(texts: pa.Array) -> pa.Array:
+        parts = slices(pa.RecordBatch.from_arrays([texts], ["text"]), "text")
+        return pa.array(np.concatenate([np.zeros(0, bool), *(model.score(statistics(p.column("text"))) >= threshold for p in parts)]))
 
-    return map_arrow(docs, run, docs.schema)
+    return docs.filter(accepted(F.col(text_col).cast("string")))
 
 
 def quality(docs: DataFrame, labels: DataFrame, shrink: float = 0.05, temper: float = 4.0) -> DataFrame:

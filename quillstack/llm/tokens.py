@@ -148,7 +148,7 @@ def encoder(path: str) -> DistinctWordEncoder:
     return _BY_PATH[path]
 
 
-def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 8 << 20):
+def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 2 << 20):
     """Cuts a batch so that each part holds about ``most_bytes`` of text, one row at least.
 
     Parts are copies: Arrow's cast of a slice can leave offsets that string kernels misread."""
