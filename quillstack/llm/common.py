@@ -59,6 +59,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_names(frame: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that no column of the frame has."""
+    taken = {c.lower() for c in frame.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def whole_text(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
