@@ -31,22 +31,41 @@ def shared_path(spark: SparkSession, what: str) -> str:
     return f"{shared_folder(spark)}/quillstack/{what}-{uuid.uuid4().hex}"
 
 
+_WRITTEN: list[str] = []
+
+
 def stored(frame: DataFrame, what: str) -> DataFrame:
     """The same rows read back from a table in the shared folder: lineage ends there, and a lost
     executor costs no recomputation of what stands above."""
     path = shared_path(frame.sparkSession, what)
     frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+    _WRITTEN.append(path)
+    out = frame.sparkSession.read.schema(frame.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    _WRITTEN.remove(path)
 
 
 def forget(frame: DataFrame) -> None:
-    """Deletes the tables that ``stored`` wrote for a frame that is no longer read."""
-    spark = frame.sparkSession
-    jvm = spark.sparkContext._jvm
-    for file in frame.inputFiles()[:1]:
-        folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        if "/quillstack/" in folder.toString():
-            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    """Deletes the table that ``stored`` wrote for a frame that is no longer read."""
+    _delete(frame.sparkSession, frame._stored_at)
+
+
+def tables_written() -> set[str]:
+    """Places of the tables that ``stored`` has written and nobody has deleted."""
+    return set(_WRITTEN)
+
+
+def forget_since(spark: SparkSession, before: set[str], *keep: DataFrame) -> None:
+    """Deletes the tables written since ``before``, but for those of the frames to keep: for the end of a
+    job, when its result is written down."""
+    for path in tables_written() - before - {f._stored_at for f in keep}:
+        _delete(spark, path)
 
 
 def release(frame: DataFrame) -> None:
@@ -55,6 +74,11 @@ def release(frame: DataFrame) -> None:
     frame.sparkSession.sparkContext._jvm.System.gc()
 
 
+def pseudonym_key(spark: SparkSession) -> str:
+    """The session's secret, spark.quillstack.pseudonymKey; the stand-in is public and only for test tables."""
+    return spark.conf.get("spark.quillstack.pseudonymKey", None) or "test tables only"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

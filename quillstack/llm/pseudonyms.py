@@ -8,9 +8,10 @@ result passes the same check:
 * card numbers of 13 to 19 digits with a right Luhn digit; separators and length stay; in a run of
   groups of digits each group may start one, the longest valid, unless it would cut a telephone
   number, social security number or date in two;
-* telephone numbers of the North American plan, written with parentheses or separators;
-* social security numbers; IPv4 addresses; calendar dates from 1900 to 2099, in ISO, slashed
-  or dotted day-month-year form;
+* telephone numbers in North American form, written with parentheses or separators, those that
+  can be dialled and those that can't each among themselves; others with a plus and 8 to 14 digits;
+* social security numbers; IPv4 addresses; calendar dates from 1900 to 2099, in ISO form, or
+  slashed or dotted, day first, or month first where the day-first reading is no date;
 * e-mail addresses and quoted or assigned secrets of hexadecimal digits have no numeric
   format; they become keyed digests in the same shape.
 
@@ -20,8 +21,9 @@ unchanged.  Work is one pass per row: no shuffle, and a hot source or a long tex
 own length of work.
 
 Edge cases: a null text stays null with no findings; an empty one stays empty; an empty table
-gives an empty result; other columns go through unchanged, but for one with the name of a count,
-which the count replaces; repeated rows give equal rows.
+gives an empty result; other columns go through unchanged, whatever their names, but for one with the
+name of a count, which the count replaces; repeated rows give equal rows.  IPv6 addresses, account
+numbers of banks and names of people have no pattern here and stay.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_names
+
 ROUNDS = 10
 FOUND = {
     "emails": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
@@ -36,7 +40,7 @@ FOUND = {
     "ips": r"(?<![\p{N}.])\d{1,3}(?:\.\d{1,3}){3}(?![\p{N}]|\.\d)",
     "dates": r"(?<![\p{N}/.-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\p{N}/-])",
     "ssns": r"(?<![\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{N}]|-\d)",
-    "phones": r"(?<![\p{N}+])(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\p{N}])",
+    "phones": r"(?<![\p{N}+])\+[2-9]\d(?:[ .-]?\d){6,12}(?![\p{N}])|(?<![\p{N}+])(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\p{N}])",
     "cards": r"(?<![\p{N}])(?!\d{20})(?=\d(?:[ -]?\d){12})\d[\d -]*(?<=\d" + r"[ -]?\d" * 12 + r")(?![\p{N}])"
     # a run of groups ends before an address, date or telephone number that goes on with dots or slashes
     r"(?!(?<=(?<!\d)\d{1,3})(?:\.\d{1,3}){3}(?![\p{N}]|\.\d))"
@@ -170,10 +174,31 @@ def _in_run(run: Column) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
+    """North American numbers are permuted in three sets, so that what can be dialled stays so: area and
+    exchange from 200 on; areas below 200; exchanges below 200.  Of other international numbers the
+    first two digits stay."""
+
+    def north_american(d: Column) -> Column:
+        area, exchange, line = (F.substring(d, *at).cast("long") for at in ((-10, 3), (-7, 3), (-4, 4)))
+        shown = lambda x, y, z: F.concat(F.lpad(x.cast("string"), 3, "0"), F.lpad(y.cast("string"), 3, "0"), F.lpad(z.cast("string"), 4, "0"))
+
+        def within(what: str, a: int, b: int, first_area: int, first_exchange: int, exchanges: int) -> Column:
+            index = ((area - first_area) * exchanges + exchange - first_exchange) * 10_000 + line
+            part = lambda v, by: F.floor(v / F.lit(by)).cast("long")
+            return _let(feistel(index, F.lit(a), F.lit(b), key, what), lambda v: shown(part(v, exchanges * 10_000) + first_area, F.pmod(part(v, 10_000), F.lit(exchanges)) + first_exchange, F.pmod(v, F.lit(10_000))))
+
+        sets = (within("phone", 80_000, 80_000, 200, 200, 800), within("phone area", 40_000, 50_000, 0, 0, 1_000), within("phone exchange", 40_000, 40_000, 200, 0, 200))
+        return F.when(area < 200, sets[1]).when(exchange < 200, sets[2]).otherwise(sets[0])
+
+    def international(d: Column) -> Column:
+        size = F.length(d) - 2
+        half = F.floor(size / 2).cast("int")
+        start = F.struct(F.substring(d, F.lit(3), size - half).cast("long").alias("l"), F.substring(d, size - half + 3, half).cast("long").alias("r"), _power(size - half).alias("a"), _power(half).alias("b"))
+        return F.concat(F.substring(d, 1, 2), F.lpad(_feistel(start, key, "phone abroad").cast("string"), size, "0"))
+
     def permuted(d: Column) -> Column:
-        ten = F.substring(d, -10, 10).cast("long")
-        fresh = F.lpad(feistel(ten, F.lit(100_000), F.lit(100_000), key, "phone").cast("string"), 10, "0")
-        return F.when(F.length(d).between(10, 11), _reshaped(m, F.concat(F.substring(d, F.lit(1), F.length(d) - 10), fresh)))
+        home = _reshaped(m, F.concat(F.substring(d, F.lit(1), F.length(d) - 10), north_american(d)))
+        return F.when(m.rlike(r"^\+[2-9]"), _reshaped(m, international(d))).when(F.length(d).between(10, 11), home)
 
     return _let(_digits(m), permuted)
 
@@ -200,21 +225,52 @@ def _ssn(m: Column, key: str) -> Column:
 
 
 def _date(m: Column, key: str) -> Column:
-    """365 x 200 days from 1900-01-01 and the 49 days left over, which only go among themselves."""
-    pattern = F.when(m.contains("-"), "yyyy-MM-dd").when(m.contains("/"), "dd/MM/yyyy").otherwise("dd.MM.yyyy")
+    """Days from 1900 to 2099. Slashed and dotted dates are read day first, and month first only where
+    that is no date; those of the second kind are permuted among themselves, so both stay what they are."""
     iso = F.when(m.contains("-"), m).otherwise(F.concat_ws("-", F.substring(m, 7, 4), F.substring(m, 4, 2), F.substring(m, 1, 2)))
+    american = F.when(~m.contains("-"), F.concat_ws("-", F.substring(m, 7, 4), F.substring(m, 1, 2), F.substring(m, 4, 2)))
+    sign = F.when(m.contains("/"), "/").otherwise(".")
+
+    def shown(d: Column, *order: tuple[int, int]) -> Column:
+        """Null for null; the parts of an ISO date in another order."""
+        one, two, three = (F.substring(d, *at) for at in order)
+        return F.concat(one, sign, two, sign, three)
 
-    def permuted(day: Column) -> Column:
-        n = F.datediff(day, F.lit("1900-01-01").cast("date")).cast("long")
-        fresh = F.when(n < 73_000, feistel(n, F.lit(365), F.lit(200), key, "date")).otherwise(73_000 + feistel(n - 73_000, F.lit(7), F.lit(7), key, "last days"))
-        return F.when(n.between(0, 73_048), F.date_format(F.date_add(F.lit("1900-01-01").cast("date"), fresh.cast("int")), "yyyy-MM-dd"))
+    year, month, day = (1, 4), (6, 2), (9, 2)
+    usual = _let(_let(_day(iso), lambda v: _any_day(v, key)), lambda d: F.when(m.contains("-"), d).otherwise(shown(d, day, month, year)))
+    return F.coalesce(usual, _let(_let(_day(american), lambda v: _late_day(v, key)), lambda d: shown(d, month, day, year)))
 
-    def shown(d: Column) -> Column:
-        year, month, day = F.substring(d, 1, 4), F.substring(d, 6, 2), F.substring(d, 9, 2)
-        return F.when(pattern == "yyyy-MM-dd", d).when(pattern == "dd/MM/yyyy", F.concat_ws("/", day, month, year)).otherwise(F.concat_ws(".", day, month, year))
 
-    valid = F.when(F.try_to_timestamp(iso, F.lit("yyyy-MM-dd")).isNotNull(), F.try_to_timestamp(iso, F.lit("yyyy-MM-dd")).cast("date"))
-    return _let(valid, lambda v: _let(permuted(v), shown))
+def _day(iso: Column) -> Column:
+    """A date, or null where there is none or it is out of range."""
+    found = F.try_to_timestamp(iso, F.lit("yyyy-MM-dd")).cast("date")
+    return _let(found, lambda d: F.when(F.year(d).between(1900, 2099), d))
+
+
+def _any_day(day: Column, key: str) -> Column:
+    """ISO form of another day: 365 x 200 days from 1900-01-01; the 49 left over go among themselves."""
+    n = F.datediff(day, F.lit("1900-01-01").cast("date")).cast("long")
+    fresh = F.when(n < 73_000, feistel(n, F.lit(365), F.lit(200), key, "date")).otherwise(73_000 + feistel(n - 73_000, F.lit(7), F.lit(7), key, "last days"))
+    return F.when(day.isNotNull(), F.date_format(F.date_add(F.lit("1900-01-01").cast("date"), fresh.cast("int")), "yyyy-MM-dd"))
+
+
+_LONG_MONTHS = (1, 3, 5, 7, 8, 10, 12)
+
+
+def _late_day(day: Column, key: str) -> Column:
+    """ISO form of another day from the 13th on: the 13th to 28th of any month, the 29th and 30th of
+    months other than February, the 31st, and February 29th are permuted each among themselves."""
+    y, mon, d = F.year(day).cast("long") - 1900, F.month(day).cast("long"), F.dayofmonth(day).cast("long")
+    iso = lambda y_, m_, d_: F.concat_ws("-", (y_ + 1900).cast("string"), F.lpad(m_.cast("string"), 2, "0"), F.lpad(d_.cast("string"), 2, "0"))
+    part = lambda v, by, of: F.pmod(F.floor(v / F.lit(by)).cast("long"), F.lit(of))
+    whole = lambda v, by: F.floor(v / F.lit(by)).cast("long")
+    long_months = F.array(*map(F.lit, _LONG_MONTHS))
+    usual = _let(feistel((y * 12 + mon - 1) * 16 + d - 13, F.lit(192), F.lit(200), key, "late day"), lambda v: iso(whole(v, 192), part(v, 16, 12) + 1, part(v, 1, 16) + 13))
+    no_february = F.when(mon == 1, 0).otherwise(mon - 2)
+    ends = _let(feistel((y * 11 + no_february) * 2 + d - 29, F.lit(22), F.lit(200), key, "month end"), lambda v: _let(part(v, 2, 11), lambda k: iso(whole(v, 22), F.when(k == 0, 1).otherwise(k + 2), part(v, 1, 2) + 29)))
+    lasts = _let(feistel(y * 7 + F.array_position(long_months, mon.cast("int")) - 1, F.lit(7), F.lit(200), key, "31st"), lambda v: iso(whole(v, 7), F.element_at(long_months, (part(v, 1, 7) + 1).cast("int")), F.lit(31)))
+    leap = _let(feistel(whole(y - 4, 4), F.lit(7), F.lit(7), key, "leap day"), lambda v: iso(v * 4 + 4, F.lit(2), F.lit(29)))
+    return F.when(d.between(13, 28), usual).when((d == 29) & (mon == 2), leap).when(d.between(29, 30), ends).when(d == 31, lasts)
 
 
 def _email(m: Column, key: str) -> Column:
@@ -235,7 +291,7 @@ def _pseudonym(m: Column, key: str) -> Column:
         .when(m.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), "ips")
         .when(m.rlike(r"^(\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})$"), "dates")
         .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssns")
-        .when(digits.between(10, 11), "phones")
+        .when(m.startswith("+") | digits.between(10, 11), "phones")
         .otherwise("cards")
     )
     made = {"emails": _email, "secrets": _secret, "ips": _ip, "dates": _date, "ssns": _ssn, "phones": _phone, "cards": _card}
@@ -249,21 +305,26 @@ def _pseudonym(m: Column, key: str) -> Column:
     return _let(kind, chosen)
 
 
-def pseudonymised(docs: DataFrame, key: str = "quillstack", text_col: str = "text", counts: bool = True) -> DataFrame:
-    """The documents with pseudonyms in their texts and, with ``counts``, a column n_<kind> for each kind."""
+def pseudonymised(docs: DataFrame, key: str, text_col: str = "text", counts: bool = True) -> DataFrame:
+    """The documents with pseudonyms in their texts and, with ``counts``, a column n_<kind> for each kind.
+
+    Who has ``key`` can undo the permutations, so it has no default: draw it at random and keep it."""
+    if not key:
+        raise ValueError("pseudonyms need a secret key")
     text = F.col(text_col)
-    with_found = docs.withColumn("__found", F.when(text.rlike(r"[0-9@]"), F.regexp_extract_all(text, F.lit(f"({ANY})"), 0)).otherwise(F.array().cast("array<string>")))
+    found, parts_, each, made, fresh = free_names(docs, "found", "parts", "each", "made", "fresh")
+    with_found = docs.withColumn(found, F.when(text.rlike(r"[0-9@]"), F.regexp_extract_all(text, F.lit(f"({ANY})"), 0)).otherwise(F.array().cast("array<string>")))
     run = lambda m: m.rlike(r"^\d[\d -]+$") & (F.length(_digits(m)) >= 13) & ~m.rlike(r"^\d{32,64}$")
     as_is = lambda m: F.array(F.struct(F.lit(False).alias("plain"), m.alias("t")))
-    with_parts = with_found.withColumn("__parts", F.transform("__found", lambda m: F.when(run(m), _in_run(m)).otherwise(as_is(m))))
+    with_parts = with_found.withColumn(parts_, F.transform(F.col(found), lambda m: F.when(run(m), _in_run(m)).otherwise(as_is(m))))
     unchanged = lambda t: F.struct(F.lit(None).cast("string").alias("kind"), t.alias("fresh"))
-    with_each = with_parts.withColumn("__each", F.transform("__parts", lambda parts: F.transform(parts, lambda x: F.when(x["plain"], unchanged(x["t"])).otherwise(_pseudonym(x["t"], key)))))
-    with_made = with_each.withColumn("__made", F.flatten("__each"))
+    with_each = with_parts.withColumn(each, F.transform(F.col(parts_), lambda parts: F.transform(parts, lambda x: F.when(x["plain"], unchanged(x["t"])).otherwise(_pseudonym(x["t"], key)))))
+    with_made = with_each.withColumn(made, F.flatten(F.col(each)))
     gaps = F.split(text, ANY, -1)
-    whole = F.array_join(F.flatten(F.zip_with(gaps, F.col("__each"), lambda g, e: F.array(g, F.coalesce(F.array_join(e["fresh"], ""), F.lit(""))))), "")
-    out = with_made.withColumn("__text", F.when(F.size("__found") == 0, text).otherwise(whole))
+    whole = F.array_join(F.flatten(F.zip_with(gaps, F.col(each), lambda g, e: F.array(g, F.coalesce(F.array_join(e["fresh"], ""), F.lit(""))))), "")
+    out = with_made.withColumn(fresh, F.when(F.size(F.col(found)) == 0, text).otherwise(whole))
     counted = {f"n_{k}" for k in FOUND} if counts else set()
-    columns = [F.col("__text").alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c not in counted]
+    columns = [F.col(fresh).alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c not in counted]
     if counts:
-        columns += [F.coalesce(F.size(F.filter("__made", lambda m: m["kind"] == k)), F.lit(0)).alias(f"n_{k}") for k in FOUND]
+        columns += [F.coalesce(F.size(F.filter(F.col(made), lambda m: m["kind"] == k)), F.lit(0)).alias(f"n_{k}") for k in FOUND]
     return out.select(*columns)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_path, table
+from .common import pseudonym_key, shared_path, table
 from .exact_dedup import exact_groups
 from .grammar import round_trip
 from .license_scan import license_report
@@ -31,15 +31,15 @@ def op2_parity_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), pseudonym_key(spark))
 
 
 def op4_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight arrivals, dealt by a hash of the id; what the last manifest lists, read back."""
     store = ShardStore(spark, shared_path(spark, "shards"))
     store.append_arrivals(table(spark, sf_dir, "documents"), F.pmod(F.xxhash64("doc_id"), F.lit(8)))
-    rows = store.read()
-    return rows.select("doc_id", "shard", "tier", "version", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
+    rows = store.located()
+    return rows.select("row.doc_id", "shard", "tier", "version", F.crc32(F.coalesce("row.text", F.lit("")).cast("binary")).alias("text_crc32"))
 
 
 def op5_token_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
