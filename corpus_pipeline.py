@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillstack.llm import exact_dedup, packing, parity_join, pseudonyms, quality
-from quillstack.llm.common import stored, table
+from quillstack.llm.common import pseudonym_key, stored, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The same documents with pseudonyms in place of personal data."""
-    return pseudonyms.pseudonymised(docs, counts=False)
+    return pseudonyms.pseudonymised(docs, pseudonym_key(spark), counts=False)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
