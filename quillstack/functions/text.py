@@ -254,6 +254,30 @@ def item_units(c: Column | str) -> Column:
     return F.element_at(known, item_type(c))
 
 
+#: Freight terms with the spellings that mean them and how they are shown.
+FREIGHT_TERMS = {
+    "prepaid": (("prepaid",), "Prepaid"),
+    "collect": (("collect",), "Collect"),
+    "third_party": (("third_party", "3rd party", "third party"), "Third Party"),
+    "customer_pickup": (("customer_pickup", "customer pick-up", "customer pickup", "cust. pick-up", "cust pick-up", "pick-up", "pickup"), "Customer Pick-Up"),
+}
+
+
+def freight_term(c: Column | str) -> Column:
+    """The term that a text means, or empty."""
+    t = name_key(c)
+    out = F.lit("")
+    for term, (spellings, _) in FREIGHT_TERMS.items():
+        out = F.when(t.isin(*spellings), term).otherwise(out)
+    return out
+
+
+def freight_shown(c: Column | str) -> Column:
+    """A term as it is printed; other text as it is."""
+    t = trim_ws(c)
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for term, (_, shown) in FREIGHT_TERMS.items() for x in (term, shown)]), t), t)
+
+
 def prefer(current: Column | str, incoming: Column | str) -> Column:
     """The current value unless it is blank or the incoming one continues it."""
     a, b = trim_ws(current), trim_ws(incoming)

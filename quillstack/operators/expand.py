@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import item_plural, number_or_zero
+from ..functions.text import ITEM_PLURALS, item_plural, number_or_zero, trim_ws
 
 SHEET, SHEET_COLUMNS = 10, 2
 
@@ -60,8 +60,6 @@ def plan_checks(plans: DataFrame, declared: DataFrame, key: str) -> DataFrame:
 def goods_totals(lines: DataFrame, key: str) -> DataFrame:
     """Pieces and weight per document, and a column of pieces per category; unknown categories count
     in the pieces only, and a category without pieces is null. lines: pieces, weight, item_type."""
-    from ..functions.text import ITEM_PLURALS
-
     lines = lines.select(key, number_or_zero("pieces").alias("pieces"), number_or_zero("weight").alias("weight"), item_plural("item_type").alias("kind"))
     pieces, weight, kind = F.col("pieces"), F.col("weight"), F.col("kind")
     each = [F.nullif(F.sum(F.when(kind == p, pieces).otherwise(F.lit(0.0))), F.lit(0.0)).alias(p.lower()) for p in ITEM_PLURALS.values()]
@@ -79,3 +77,8 @@ def merged_documents(rows: DataFrame, key: str, ordinal: str, texts: list[str],
         return F.array_join(F.array_distinct(F.transform(items, lambda x: x["v"])), " / ").alias(c)
 
     return rows.groupBy(key).agg(*[joined(c) for c in texts], *[F.coalesce(F.bool_or(f), F.lit(False)).alias(f) for f in flags])
+
+
+def hints(sep: str, *cs: Column) -> Column:
+    """The texts that aren't blank, trimmed and joined."""
+    return F.array_join(F.filter(F.array(*[trim_ws(c) for c in cs]), lambda x: x != ""), sep)

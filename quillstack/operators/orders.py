@@ -2,23 +2,24 @@
 
 A document's notes part its text: what stands before a note holds its quantity and description,
 what follows it, up to the next one, its identity.  All of it is expressions over one exploded
-row per note; only first-per-key steps shuffle, by document.
+row per note; only the aggregates that pick first rows shuffle, by document.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import first_filled, number_spec, prefer, squeeze, trim_ws, differs
+from ..functions.text import differs, first_filled, let, number_spec, prefer, squeeze, trim_ws
 
 # How notes and references are written.
 LINE_NOTE = r"(?i)Order\s+Line\s+Notes:\s*CPO\s*(?:LINES?\s*)?#?\s*([0-9]+(?:\s*[-,]\s*[0-9]+)*)"
 IDENTITY_NOTE = r"(?im)Order\s+Line\s+Notes:\s*(TAG|PART|ITEM)\s*#\s*(.+)$"
 IDENTITY_LOOSE = r"(?im)^\s*(TAG|PART|ITEM)\s*#\s*(.+?)\s*$"
 REFERENCE = r"(?:P\d{4,}|(?:[A-Z]{1,6}-)?\d{3,}(?:[.\-/][A-Z0-9]+)*)"
-QUANTITY_AFTER, QUANTITY_BEFORE = r"EA\s*(\d+\.\d+)", r"(?<![\d.])(\d+\.\d+)\s+EA\b"
+QUANTITY_AFTER, QUANTITY_BEFORE = r"(?i)EA\s*(\d+\.\d+)", r"(?i)(\d+\.\d+)\s+EA\b"
 NO_IDENTITY = r"(?i)^Order\s+Line\s+Notes:|^(Rev|Page|Subtotal|GST|Total)\b|^\d{1,3}$|\d\s*EA\s*\d|\bEA\b"
+LINE_PO = rf"(?im)^\s*PO\s*#\s*({REFERENCE})\s*$"
 LOOK_BACK = 400
 
 
@@ -26,31 +27,55 @@ def _text(c: str) -> Column:
     return F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"\r\n?", "\n")
 
 
+def _places(t: Column, pattern: str) -> Column:
+    """array<struct(start, end, value)> of the matches of a pattern with one group: places from 0."""
+    gaps, whole, value = F.split(t, pattern, -1), F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), F.regexp_extract_all(t, F.lit(pattern), F.lit(1))
+    steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(whole)), F.arrays_zip(whole.alias("w"), value.alias("v")), lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m["w"]).alias("n"), m["v"].alias("value")))
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        start = acc["at"] + s["gap"]
+        return F.struct((start + s["n"]).alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), (start + s["n"]).alias("end"), s["value"].alias("value")))).alias("out"))
+
+    return F.aggregate(steps, none, step, lambda acc: acc["out"])
+
+
 def notes(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row per line note: key, ordinal, spec, before, note, after."""
-    rows = documents.select(key, _text(text).alias("t"))
-    rows = rows.withColumn("g", F.split("t", LINE_NOTE, -1)).withColumn("m", F.regexp_extract_all("t", F.lit(LINE_NOTE), 0)).withColumn("s", F.regexp_extract_all("t", F.lit(LINE_NOTE), 1))
-    rows = rows.select(key, "g", "m", "s", F.posexplode("s").alias("ordinal", "spec"))
-    woven = F.flatten(F.zip_with(F.slice("g", F.lit(1), F.col("ordinal")), F.slice("m", F.lit(1), F.col("ordinal")), lambda g, m: F.array(g, m)))
-    before = F.concat(F.array_join(woven, ""), F.get("g", F.col("ordinal")))
-    return rows.select(key, "ordinal", squeeze("spec").alias("spec"), before.alias("before"), F.get("m", F.col("ordinal")).alias("note"), F.get("g", F.col("ordinal") + 1).alias("after"))
+    """A row per line note: key, ordinal, spec, quantity (null without one), description, back, note, after.
 
+    Places of notes and quantities are found once a document; a row carries the text up to the next note
+    and the last characters before it, so a document with many notes isn't copied for each."""
+    t = F.col("t")
+    rows = documents.select(key, _text(text).alias("t")).withColumn("notes", _places(t, LINE_NOTE))
+    quantities = F.concat(_places(t, QUANTITY_AFTER), _places(t, QUANTITY_BEFORE))
+    rows = rows.filter(F.size("notes") > 0).withColumn("quantities", F.array_sort(F.transform(quantities, lambda q: F.struct(q["end"].alias("end"), q["value"].try_cast("double").alias("value")))))
+    part = lambda a, b: F.substring(t, a + 1, F.greatest(b - a, F.lit(0)))
 
-def _quantity(before: Column) -> Column:
-    """struct(end, value) of the last quantity; end is 0 without one."""
-    last = lambda p: F.struct(F.length(F.regexp_extract(before, f"(?is)^.*{p}", 0)).alias("end"), F.regexp_extract(before, f"(?is)^.*{p}", 1).try_cast("double").alias("value"))
-    return F.greatest(last(QUANTITY_AFTER), last(QUANTITY_BEFORE))
+    def one(n: Column, i: Column) -> Column:
+        following = F.coalesce(F.get("notes", i + 1)["start"], F.length(t))
+        last = F.try_element_at(F.filter("quantities", lambda q: q["end"] <= n["start"]), F.lit(-1))
 
+        def row(q: Column) -> Column:
+            return F.struct(
+                i.alias("ordinal"), squeeze(n["value"]).alias("spec"), q["value"].alias("quantity"),
+                F.when(q.isNull(), "").otherwise(_description(part(q["end"], n["start"]))).alias("description"),
+                part(F.greatest(n["start"] - LOOK_BACK, F.lit(0)), n["start"]).alias("back"),
+                part(n["start"], n["end"]).alias("note"), part(n["end"], following).alias("after"),
+            )
 
-def _description(before: Column, end: Column) -> Column:
-    lines = F.filter(F.transform(F.split(F.substring(before, end + 1, F.length(before)), "\n"), trim_ws), lambda x: (x != "") & ~x.rlike(r"^\d+$"))
-    text = F.array_join(F.slice(lines, 1, 3), " ")
-    return F.when(end == 0, "").when(F.length(text) > 120, F.concat(F.substring(text, 1, 117), F.lit("…"))).otherwise(text)
+        return let(last, row)
 
+    return rows.select(key, F.explode(F.transform("notes", one)).alias("n")).select(key, "n.*")
 
-def _identity(before: Column, note: Column, after: Column) -> Column:
+
+def _description(slice_: Column) -> Column:
+    lines = F.filter(F.transform(F.split(slice_, "\n"), trim_ws), lambda x: (x != "") & ~x.rlike(r"^\d+$"))
+    return let(F.array_join(F.slice(lines, 1, 3), " "), lambda text: F.when(F.length(text) > 120, F.concat(F.substring(text, 1, 117), F.lit("…"))).otherwise(text))
+
+
+def _identity(back: Column, note: Column, after: Column) -> Column:
     """struct(kind, value) from the note behind, the nearest one around, a loose mark, or the first line."""
-    around = F.concat(F.substring(before, -LOOK_BACK, LOOK_BACK), note, after)
+    around = F.concat(back, note, after)
     pair = lambda kind, value: F.when(kind != "", F.struct(F.lower(kind).alias("kind"), squeeze(value).alias("value")))
     behind = pair(F.regexp_extract(after, IDENTITY_NOTE, 1), F.regexp_extract(after, IDENTITY_NOTE, 2))
     last = lambda i: F.coalesce(F.try_element_at(F.regexp_extract_all(around, F.lit(IDENTITY_NOTE), i), F.lit(-1)), F.lit(""))
@@ -63,29 +88,74 @@ def _identity(before: Column, note: Column, after: Column) -> Column:
     return F.coalesce(behind, near, loose, bare)
 
 
-def parsed_lines(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, ordinal, line_no, cpo_display, cpo_numbers, quantity, description, id_kind, id_value, reason.
-
-    reason is empty for complete lines.  Of repeated references the first complete line stays, or else
-    the first incomplete one; a missing quantity is 1."""
+def all_lines(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Every line note as a line, repeats included: key, ordinal, line_no, cpo_display, cpo_numbers, quantity,
+    counted, description, id_kind, id_value, line_po, reason. reason is empty for complete lines; a
+    missing quantity is 1, and counted tells whether there was one."""
     rows = notes(documents, key, text).withColumn("cpo_numbers", number_spec("spec")).filter(F.size("cpo_numbers") > 0)
-    rows = rows.withColumn("q", _quantity(F.col("before"))).withColumn("i", _identity(F.col("before"), F.col("note"), F.col("after")))
-    value = F.coalesce(F.col("q.value"), F.lit(0.0))
+    rows = rows.withColumn("i", _identity(F.col("back"), F.col("note"), F.col("after")))
+    value = F.coalesce(F.col("quantity"), F.lit(0.0))
     quantity = F.when(value > 0, F.greatest(F.round(value), F.lit(1.0))).otherwise(1.0).cast("int")
     reason = F.when(F.col("i").isNull(), "Missing TAG# / PART# / ITEM#").when(F.col("i.value") == "", F.concat(F.lit("Empty "), F.upper("i.kind"), F.lit("#"))).otherwise("")
-    out = rows.select(key, "ordinal", F.get("cpo_numbers", F.lit(0)).alias("line_no"), F.col("spec").alias("cpo_display"), "cpo_numbers", quantity.alias("quantity"), _description(F.col("before"), F.col("q.end")).alias("description"), F.coalesce("i.kind", F.lit("")).alias("id_kind"), F.coalesce("i.value", F.lit("")).alias("id_value"), reason.alias("reason"))
-    at = F.row_number().over(Window.partitionBy(key, "cpo_display").orderBy((F.col("reason") != "").cast("int"), "ordinal"))
-    return out.withColumn("__n", at).filter("__n = 1").drop("__n")
+    line_po = trim_ws(F.regexp_extract("after", LINE_PO, 1))
+    return rows.select(key, "ordinal", F.get("cpo_numbers", F.lit(0)).alias("line_no"), F.col("spec").alias("cpo_display"), "cpo_numbers", quantity.alias("quantity"), F.col("quantity").isNotNull().alias("counted"), "description", F.coalesce("i.kind", F.lit("")).alias("id_kind"), F.coalesce("i.value", F.lit("")).alias("id_value"), line_po.alias("line_po"), reason.alias("reason"))
+
+
+def first_lines(lines: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Of repeated references the first complete line, or else the first incomplete one."""
+    order = F.struct((F.col("reason") != "").alias("open"), F.col("ordinal").alias("o"))
+    rest = [c for c in lines.columns if c not in (key, "cpo_display")]
+    one = lines.groupBy(key, "cpo_display").agg(F.min_by(F.struct(*rest), order).alias("r"))
+    return one.select(key, "cpo_display", "r.*").select(lines.columns)
+
+
+def parsed_lines(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``first_lines`` of ``all_lines``: what labels are printed from."""
+    return first_lines(all_lines(documents, key, text), key).drop("counted")
+
+
+def document_po(documents: DataFrame, lines: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, po_number (the header's, else the first beside a line), header_po, line_pos (those beside lines, in order)."""
+    beside = lines.filter("line_po <> ''").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ordinal", "line_po"))).alias("p"))
+    pos = F.coalesce(F.transform("p", lambda x: x["line_po"]), F.array().cast("array<string>"))
+    header = header_references(documents, key, text).select(key, F.col("po_number").alias("header_po"))
+    return header.join(beside, key, "left").select(key, first_filled("header_po", F.get(pos, F.lit(0))).alias("po_number"), "header_po", pos.alias("line_pos"))
+
+
+def warnings(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, kind, detail: what a reader of a document should know.
+
+    no_notes; no_quantity, duplicate and duplicate_incomplete with the reference; nothing_parsed; no_po; and
+    po_differs with the numbers beside the lines where one isn't the header's."""
+    lines = all_lines(documents, key, text)
+    of_line = lines.filter("not counted").select(key, F.lit("no_quantity").alias("kind"), F.col("cpo_display").alias("detail"))
+    seen = lines.join(first_lines(lines, key).select(key, "cpo_display", F.col("ordinal").alias("first"), (F.col("reason") == "").alias("complete")), [key, "cpo_display"]).filter("ordinal <> first")
+    repeated = seen.select(key, F.when(F.col("reason") == "", "duplicate").otherwise("duplicate_incomplete").alias("kind"), F.col("cpo_display").alias("detail"))
+    has_note = documents.select(key, _text(text).rlike(LINE_NOTE).alias("noted"))
+    counts = has_note.join(lines.groupBy(key).agg(F.count("*").alias("n")), key, "left")
+    po = document_po(documents, lines, key, text)
+    other = F.exists("line_pos", lambda p: F.upper(p) != F.upper("header_po"))
+    of_document = [
+        counts.filter("not noted").select(key, F.lit("no_notes").alias("kind"), F.lit("").alias("detail")),
+        counts.filter("n is null").select(key, F.lit("nothing_parsed").alias("kind"), F.lit("").alias("detail")),
+        po.filter("po_number = ''").select(key, F.lit("no_po").alias("kind"), F.lit("").alias("detail")),
+        po.filter((F.col("header_po") != "") & other).select(key, F.lit("po_differs").alias("kind"), F.array_join(F.array_distinct("line_pos"), ", ").alias("detail")),
+    ]
+    out = of_line.unionByName(repeated)
+    for rows in of_document:
+        out = out.unionByName(rows)
+    return out
 
 
 def header_references(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, po_number, order_number: the first of several ways to write them that is found."""
+    """key, po_number, order_number, document_kind: the first of several ways to write them that is found."""
+    from .headers import document_kind, reference_row
+
     t = _text(text)
     find = lambda p, i=1: F.nullif(trim_ws(F.regexp_extract(t, p, i)), F.lit(""))
-    po = F.coalesce(find(rf"(?i)PO\s*Number\s*[:#]?\s*({REFERENCE})"), find(rf"(?i)PO\s*Number[^\n]*\n\s*({REFERENCE})"), find(rf"(?i)PO\s*Number[\s\S]{{0,80}}?\b({REFERENCE})\b"), find(r"\b(P\d{5,})\b"), find(rf"(?im)^\s*PO\s*#\s*({REFERENCE})\s*$"), F.lit(""))
+    po = F.coalesce(F.nullif(reference_row(t)["po"], F.lit("")), find(rf"(?i)PO\s*Number\s*[:#]?\s*({REFERENCE})"), find(rf"(?i)PO\s*Number[^\n]*\n\s*({REFERENCE})"), find(rf"(?i)PO\s*Number[\s\S]{{0,80}}?\b({REFERENCE})\b"), find(r"\b(P\d{5,})\b"), F.lit(""))
     order = F.coalesce(find(r"(?i)ORDER\s+ACKNOWLEDGEMENT\s*\n\s*(\d{5,})"), find(r"(?i)Order\s*Number\s*(\d{5,})"), find(r"(?i)Order\s*Number\s*\n(?:[^\n]*\n){0,16}?(\d{6,})"), F.lit(""))
-    kind = F.when(t.rlike(r"(?i)ORDER\s+ACKNOWLEDGEMENT"), "order acknowledgement").when(t.rlike(r"(?i)PACKING\s+(LIST|SLIP)"), "packing list").otherwise("")
-    return documents.select(key, po.alias("po_number"), order.alias("order_number"), kind.alias("document_kind"))
+    return documents.select(key, po.alias("po_number"), order.alias("order_number"), document_kind(t).alias("document_kind"))
 
 
 def carrier_of(freight: Column) -> Column:
@@ -120,9 +190,8 @@ def reviewed_lines(lines: DataFrame, reviews: DataFrame, key: str = "doc_id") ->
     A parsed identity is never replaced; an incomplete line takes the review's, marked as missing_identity.
     reviews: key, ordinal, cpo, id_kind, id_value, confidence, reasoning."""
     norm = lambda c: F.upper(F.regexp_replace(c, r"\s+", ""))
-    first = F.row_number().over(Window.partitionBy(key, "__cpo").orderBy("ordinal"))
-    r = reviews.withColumn("__cpo", norm("cpo")).filter("__cpo <> ''").withColumn("__n", first).filter("__n = 1")
-    r = r.select(key, "__cpo", F.col("id_kind").alias("__k"), trim_ws("id_value").alias("__v"), "confidence", "reasoning", F.lit(True).alias("__met"))
+    r = reviews.withColumn("__cpo", norm("cpo")).filter("__cpo <> ''").groupBy(key, "__cpo").agg(F.min_by(F.struct("id_kind", "id_value", "confidence", "reasoning"), "ordinal").alias("r"))
+    r = r.select(key, "__cpo", F.col("r.id_kind").alias("__k"), trim_ws("r.id_value").alias("__v"), "r.confidence", "r.reasoning", F.lit(True).alias("__met"))
     j = lines.withColumn("__cpo", norm("cpo_display")).join(r, [key, "__cpo"], "left")
     open_ = F.col("reason") != ""
     fills = open_ & F.coalesce(F.col("__k").isNotNull() & (F.col("__v") != ""), F.lit(False))

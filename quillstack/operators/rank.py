@@ -2,35 +2,77 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import url_host, url_key
+from ..functions.text import company_tokens, compact_key, let, url_host, url_key
+from ..plans.numbering import numbered
 
 # What a URL says about being a company's mark.
-URL_POINTS = ((".png", 12), (".webp", 8), (".jpg|.jpeg", 5), (".gif", 1), ("logo", 10), ("brand", 4), ("vector|svg", 3), ("thumb|icon|sprite|avatar|profile", -22), ("gstatic.com|googleusercontent.com/imgres|bing.com/th|=s16|=s32|w=16|h=16", -18))
+URL_POINTS = (
+    ((".png",), 12), ((".webp",), 8), ((".jpg", ".jpeg"), 5), ((".gif",), 1), (("logo",), 10), (("brand",), 4), (("vector", "svg"), 3),
+    (("thumb", "icon", "sprite", "avatar", "profile"), -22),
+    (("gstatic.com", "googleusercontent.com/imgres", "bing.com/th", "=s16", "=s32", "w=16", "h=16"), -18),
+)
 SOURCE_POINTS = {"Brands of the World": 6, "Serper": 14, "Bing Images": 14, "Google Images": 10, "Wikipedia": -8, "Site scrape": 14, "DuckDuckGo": 2, "DuckDuckGo Images": 5}
-JUNK_HOSTS = "shutterstock gettyimages istockphoto alamy dreamstime depositphotos 123rf stock.adobe adobestock freepik pngtree pngwing cleanpng pinimg pinterest facebook twitter instagram tiktok reddit youtube linkedin cnn.com bbc. forbes people.com celebrity news. blog. wordpress.com medium.com ebay. amazon. walmart."
-JUNK_PATHS = "stock-photo stockphoto headshot portrait news/ /article/ /articles/ press-release thumbnail apple-touch-icon /favicon/ favicon.ico"
-NOT_CORPORATE = "wikipedia.org wikidata.org wikimedia.org facebook.com linkedin.com twitter.com x.com instagram.com youtube.com bloomberg.com reuters.com crunchbase.com glassdoor. indeed.com"
+#: More for sources whose links say what they show.
+NAMED_POINTS = {"Serper": 6, "Bing Images": 6, "Google Images": 4}
+JUNK_HOSTS = (
+    "shutterstock", "gettyimages", "istockphoto", "alamy", "dreamstime", "depositphotos", "123rf", "stock.adobe", "adobestock",
+    "freepik", "pngtree", "pngwing", "cleanpng", "pinimg", "pinterest", "facebook", "twitter", "instagram", "tiktok", "reddit",
+    "youtube", "linkedin", "cnn.com", "bbc.", "forbes", "people.com", "celebrity", "news.", "blog.", "wordpress.com", "medium.com",
+    "ebay.", "amazon.", "walmart.",
+)
+JUNK_PATHS = ("stock-photo", "stockphoto", "headshot", "portrait", "news/", "/article/", "/articles/", "press-release", "thumbnail", "apple-touch-icon", "/favicon/", "favicon.ico")
+NOT_CORPORATE = (
+    "wikipedia.org", "wikidata.org", "wikimedia.org", "facebook.com", "linkedin.com", "twitter.com", "x.com", "instagram.com",
+    "youtube.com", "bloomberg.com", "reuters.com", "crunchbase.com", "glassdoor.", "indeed.com",
+)
 DOMAIN_ENDINGS = (".com", ".ca", ".com.au", ".co.uk", ".net", ".org", ".co", ".io", ".energy", ".oil")
 IMAGE_ENDINGS = r"\.(png|webp|jpe?g|gif|svg)(\?|$)"
 
 
-def _any(text: Column, words: str) -> Column:
-    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words.split("|")])
+def _any(text: Column, words: Iterable[str]) -> Column:
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words])
 
 
-def url_score(url: Column, source: Column, domain: Column) -> Column:
-    """Points for a URL's own words, for the company's domain and for where it was found."""
+def _points_of(source: Column, points: dict[str, int]) -> Column:
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in points.items() for x in kv]), source), F.lit(0))
+
+
+def domain_points(host: Column, domains: Column) -> Column:
+    """Points for the company's domains, in order: the first that the host holds ends the search."""
+    none = F.struct(F.lit(0).alias("points"), F.lit(False).alias("met"))
+
+    def step(acc: Column, d: Column) -> Column:
+        stem = F.split_part(d, F.lit("."), F.lit(1))
+        near = F.when((F.length(stem) >= 4) & F.contains(host, stem), 16).otherwise(0)
+        return F.when(acc["met"], acc).when(F.contains(host, d), F.struct((acc["points"] + 28).alias("points"), F.lit(True).alias("met"))).otherwise(F.struct((acc["points"] + near).alias("points"), F.lit(False).alias("met")))
+
+    return F.aggregate(F.filter(domains, lambda d: d != ""), none, step, lambda acc: acc["points"])
+
+
+def url_score(url: Column, source: Column, domains: Column, tokens: Column) -> Column:
+    """Points for a URL: its own words, the company's tokens and domains, where it was found, less what marks junk."""
     lower, host = F.lower(url), url_host(url)
     own = reduce(lambda a, b: a + b, [F.when(_any(lower, words), points).otherwise(0) for words, points in URL_POINTS])
-    stem = F.split_part(domain, F.lit("."), F.lit(1))
-    of_domain = F.when((domain != "") & F.contains(host, domain), 28).when((F.length(stem) >= 4) & F.contains(host, stem), 16).otherwise(0)
-    of_source = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in SOURCE_POINTS.items() for x in kv]), source), F.lit(0))
-    return own + of_domain + of_source
+    cdn = F.when(_any(lower, ("cloudfront.net",)) & (_any(lower, ("logo",)) | (source == "Brands of the World")), 8).otherwise(0)
+    named = F.when(_any(lower, ("logo", "wordmark")), _points_of(source, NAMED_POINTS)).otherwise(0)
+    score = own + token_points(lower, tokens) + domain_points(host, domains) - junk_points(url) + cdn + _points_of(source, SOURCE_POINTS) + named
+    return let(score, lambda s: F.when((source == "TinEye") & (s < 32), s - 6).otherwise(s))
+
+
+def candidates(found: DataFrame, companies: DataFrame, group: str, least: int = 18, keep: int = 30) -> DataFrame:
+    """The candidate flow: usable images, scored for their company, one of each URL, the best ``keep`` a company.
+
+    found: group, ordinal, url, source; companies: group, name, domains (array)."""
+    known = companies.select(group, company_tokens("name").alias("__tokens"), F.col("domains").alias("__domains"))
+    rows = found.filter(usable_image(F.col("url"))).join(known, group)
+    scored = rows.withColumn("score", url_score(F.col("url"), F.col("source"), F.col("__domains"), F.col("__tokens")))
+    return picked(scored.drop("__tokens", "__domains"), group, least, keep)
 
 
 def token_points(text: Column, tokens: Column) -> Column:
@@ -46,15 +88,15 @@ def junk_points(url: Column) -> Column:
     """Points lost by stock, news and social hosts, and by paths of portraits, articles and icons."""
     lower = F.lower(url)
     icon = lower.rlike("apple-touch-icon|/favicon/|favicon.ico")
-    path = F.when(_any(lower, JUNK_PATHS.replace(" ", "|")), F.when(icon, 80).otherwise(20)).otherwise(0)
-    return F.when(_any(lower, JUNK_HOSTS.replace(" ", "|")), 35).otherwise(0) + path
+    path = F.when(_any(lower, JUNK_PATHS), F.when(icon, 80).otherwise(20)).otherwise(0)
+    return F.when(_any(lower, JUNK_HOSTS), 35).otherwise(0) + path
 
 
 def is_corporate(domain: Column, tokens: Column) -> Column:
     """A domain that isn't a public site and shares a token with the company, if it has any."""
     host, stem = F.lower(domain), F.split_part(F.lower(domain), F.lit("."), F.lit(1))
     shares = F.exists(tokens, lambda t: (F.length(t) >= 4) & (F.contains(stem, t) | F.contains(t, stem)))
-    return ~_any(host, NOT_CORPORATE.replace(" ", "|")) & (shares | (F.size(tokens) == 0))
+    return ~_any(host, NOT_CORPORATE) & (shares | (F.size(tokens) == 0))
 
 
 def guessed_domains(name: Column) -> Column:
@@ -69,7 +111,7 @@ def guessed_domains(name: Column) -> Column:
 
 def usable_image(url: Column) -> Column:
     lower = F.lower(url)
-    return lower.startswith("http") & lower.rlike(f"{IMAGE_ENDINGS}|/image|logo") & ~_any(lower, "data:|javascript:|.html|.pdf")
+    return lower.startswith("http") & lower.rlike(f"{IMAGE_ENDINGS}|/image|logo") & ~_any(lower, ("data:", "javascript:", ".html", ".pdf"))
 
 
 def united(*sources: DataFrame) -> DataFrame:
@@ -121,3 +163,9 @@ def hits_first(rows: DataFrame, column: str, query: str, keep: int = 24, ordinal
     tier = F.when(name.startswith(q), 0).when(name.contains(q), 1)
     met = rows.withColumn("tier", tier).filter("tier is not null").orderBy(ordinal).limit(2 * keep)
     return met.orderBy("tier", ordinal).limit(keep)
+
+
+def longest_first(rows: DataFrame, column: str, tie: str) -> DataFrame:
+    """Rows with the compact key of a name and their place, longest keys first, over the whole table."""
+    keyed = rows.withColumn("key", compact_key(column)).withColumn("__shortness", -F.length("key"))
+    return numbered(keyed, "place", "__shortness", tie).drop("__shortness")

@@ -44,6 +44,14 @@ def ink_box(pixels: DataFrame, ink: Column | None = None) -> DataFrame:
     return box.withColumn("aspect", w / h).withColumn("fill", F.col("ink") / (w * h))
 
 
+def inset_box(pixels: DataFrame, margin: int, ink: Column | None = None) -> DataFrame:
+    """The ink's box with a margin, within the image."""
+    size = pixels.groupBy("img_id").agg(F.max("x").alias("__w"), F.max("y").alias("__h"))
+    box = ink_box(pixels, ink).join(size, "img_id")
+    low = lambda c: F.greatest(F.col(c) - margin, F.lit(0)).alias(c)
+    return box.select("img_id", low("x0"), low("y0"), F.least(F.col("x1") + margin, "__w").alias("x1"), F.least(F.col("y1") + margin, "__h").alias("y1"))
+
+
 def aspect_drift(boxes: DataFrame, other: DataFrame) -> DataFrame:
     o = other.select("img_id", F.col("aspect").alias("__a"))
     return boxes.join(o, "img_id").select("img_id", (F.abs(F.col("aspect") - F.col("__a")) / F.col("aspect")).alias("drift"))
@@ -123,6 +131,15 @@ def dilated(pixels: DataFrame, ink: Column | None = None) -> DataFrame:
     return n.filter((is_ink() if ink is None else ink) | (F.col("ink_near") > 0)).select(pixels.columns)
 
 
+def eroded(pixels: DataFrame, ink: Column | None = None) -> DataFrame:
+    """Ink pixels whose four neighbours are ink too."""
+    p = pixels.filter(is_ink() if ink is None else ink)
+    shifts = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ((1, 0), (-1, 0), (0, 1), (0, -1))])
+    sent = p.select("img_id", F.explode(shifts).alias("s"), "x", "y").select("img_id", (F.col("x") + F.col("s.dx")).alias("x"), (F.col("y") + F.col("s.dy")).alias("y"))
+    inner = sent.groupBy("img_id", "x", "y").agg(F.count("*").alias("n")).filter("n = 4").drop("n")
+    return p.join(inner, ["img_id", "x", "y"], "left_semi").select(pixels.columns)
+
+
 def rim_punched(pixels: DataFrame, most: int = 6) -> DataFrame:
     """Light pixels between ink and nothing become clear."""
     n = neighbour_counts(pixels)
@@ -130,16 +147,39 @@ def rim_punched(pixels: DataFrame, most: int = 6) -> DataFrame:
     return n.withColumn("a", F.when(rim, 0).otherwise(F.col("a"))).select(pixels.columns)
 
 
+def to_hsv(r: Column, g: Column, b: Column) -> Column:
+    """struct(h, s, v) of channels from 0 to 255: degrees, and shares of 1."""
+    high, low = F.greatest(r, g, b), F.least(r, g, b)
+    d = (high - low).cast("double")
+    sector = F.when(high == r, F.pmod((g - b) / d, F.lit(6.0))).when(high == g, (b - r) / d + 2).otherwise((r - g) / d + 4)
+    return F.struct(F.when(d == 0, 0.0).otherwise(sector * 60).alias("h"), F.when(high == 0, 0.0).otherwise(d / high).alias("s"), (high / 255.0).alias("v"))
+
+
+def from_hsv(h: Column, s: Column, v: Column) -> Column:
+    """struct(r, g, b) of channels from 0 to 255."""
+
+    def channel(n: int) -> Column:
+        k = F.pmod(F.lit(float(n)) + h / 60, F.lit(6.0))
+        return F.round((v - v * s * F.greatest(F.lit(0.0), F.least(k, 4 - k, F.lit(1.0)))) * 255).cast("int")
+
+    return F.struct(channel(5).alias("r"), channel(3).alias("g"), channel(1).alias("b"))
+
+
 def hue_anchor(pixels: DataFrame) -> DataFrame:
     """The circular mean hue, in degrees, of coloured ink."""
-    r, g, b = (F.col(c) / 255.0 for c in "rgb")
-    high, low = F.greatest(r, g, b), F.least(r, g, b)
-    d = high - low
-    hue = F.when(d == 0, 0.0).when(high == r, F.pmod((g - b) / d, F.lit(6.0))).when(high == g, (b - r) / d + 2).otherwise((r - g) / d + 4) * 60
-    rad = F.radians(hue)
+    rad = F.radians(to_hsv(F.col("r"), F.col("g"), F.col("b"))["h"])
     return pixels.filter(is_ink() & ~is_grey()).groupBy("img_id").agg(F.pmod(F.degrees(F.atan2(F.avg(F.sin(rad)), F.avg(F.cos(rad)))), F.lit(360.0)).alias("hue"))
 
 
+def recoloured(pixels: DataFrame, faint: int = 64) -> DataFrame:
+    """Nearly grey ink with little opacity takes the image's mean hue, at its own lightness and full saturation."""
+    p = pixels.join(hue_anchor(pixels), "img_id", "left")
+    c = to_hsv(F.col("r"), F.col("g"), F.col("b"))
+    fresh = from_hsv(F.col("hue"), F.lit(1.0), c["v"])
+    takes = is_ink(least=1) & (F.col("a") < faint) & is_grey() & F.col("hue").isNotNull()
+    return p.select("img_id", "x", "y", *[F.when(takes, fresh[k]).otherwise(F.col(k)).alias(k) for k in "rgb"], "a")
+
+
 def signature_ink(pixels: DataFrame, cut: int = 18) -> DataFrame:
     """Darkness as opacity of black ink; faint pixels go."""
     dark = (F.lit(255) - ((F.col("r") * 299 + F.col("g") * 587 + F.col("b") * 114) / 1000)).cast("int")
@@ -192,7 +232,7 @@ def labelled(mask: np.ndarray, eight: bool = False) -> np.ndarray:
             return label
 
 
-def _grid(p: pd.DataFrame) -> np.ndarray:
+def grid(p: pd.DataFrame) -> np.ndarray:
     g = np.zeros((int(p["y"].max()) + 1, int(p["x"].max()) + 1, 4), np.int32)
     g[p["y"], p["x"]] = p[["r", "g", "b", "a"]].to_numpy()
     return g
@@ -205,14 +245,14 @@ def _table(img_id: str, g: np.ndarray) -> pd.DataFrame:
 
 def per_image(pixels: DataFrame, change) -> DataFrame:
     """Pixels after change(grid), a height x width x 4 array."""
-    return pixels.groupBy("img_id").applyInPandas(lambda key, p: _table(key[0], change(_grid(p))), PIXEL)
+    return pixels.groupBy("img_id").applyInPandas(lambda key, p: _table(key[0], change(grid(p))), PIXEL)
 
 
 def regions(pixels: DataFrame, eight: bool = True) -> DataFrame:
     """Pixel, box and size of the connected ink regions of each image: img_id, region, x0, y0, x1, y1, n."""
 
     def find(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
-        g = _grid(p)
+        g = grid(p)
         label = labelled((g[..., 3] >= OPAQUE) & (g[..., :3].min(axis=2) < 240), eight)
         y, x = np.nonzero(label)
         rows = pd.DataFrame({"region": label[y, x], "x": x, "y": y})
@@ -242,8 +282,9 @@ def without_corner_marks(g: np.ndarray, share: float = 0.02) -> np.ndarray:
 
 def without_background(g: np.ndarray, near: int = 24) -> np.ndarray:
     """Clears what is connected with the border and close to the border's commonest colour."""
-    edge = np.concatenate((g[0], g[-1], g[:, 0], g[:, -1]))
-    edge = edge[edge[:, 3] >= OPAQUE]
+    border = np.ones(g.shape[:2], bool)
+    border[1:-1, 1:-1] = False
+    edge = g[border & (g[..., 3] >= OPAQUE)]
     if not len(edge):
         return g
     colours, n = np.unique(edge[:, :3], axis=0, return_counts=True)
@@ -283,26 +324,6 @@ def skeleton(mask: np.ndarray) -> np.ndarray:
     return out
 
 
-def versions(prints: DataFrame, near: int = 10) -> DataFrame:
-    """Versions within each cluster of fingerprints: a print that differs from all seeds so far is a seed;
-    every print goes to its nearest seed. prints: cluster, id, hash, aspect, ink, ordered by id.
-
-    Seeds depend on order, so a cluster is one group; clusters are copies of one mark and small."""
-
-    def split(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("id").reset_index(drop=True)
-        bits = lambda a, b: (int(a) ^ int(b)).bit_count() if (int(a) ^ int(b)) >= 0 else ((int(a) ^ int(b)) & (2**64 - 1)).bit_count()
-        apart = lambda a, b: bits(a.hash, b.hash) > near or abs(a.aspect - b.aspect) / max(a.aspect, b.aspect) > 0.28 or abs(a.ink - b.ink) / max(a.ink, b.ink, 1) > 0.28
-        seeds: list = []
-        for row in p.itertuples():
-            if all(apart(row, s) for s in seeds):
-                seeds.append(row)
-        best = [min(range(len(seeds)), key=lambda i: (bits(row.hash, seeds[i].hash), i)) for row in p.itertuples()]
-        return pd.DataFrame({"cluster": p["cluster"], "id": p["id"], "version": best})
-
-    return prints.groupBy("cluster").applyInPandas(split, "cluster long, id long, version int")
-
-
 def checkerboard_share(pixels: DataFrame, step: int = 8, contrast: int = 12) -> DataFrame:
     """Share of sampled 2 x 2 cells, ``step`` apart, whose diagonals agree and whose sides differ."""
     light = pixels.filter(F.col("a") >= OPAQUE).select("img_id", "x", "y", ((F.col("r") + F.col("g") + F.col("b")) / 3).alias("l"))
@@ -314,13 +335,25 @@ def checkerboard_share(pixels: DataFrame, step: int = 8, contrast: int = 12) ->
     return j.groupBy("img_id").agg(F.avg(hit.cast("int")).alias("share"))
 
 
-def trimmed(pixels: DataFrame, pad: int = 0) -> DataFrame:
-    """Pixels of the box of what isn't empty, with a margin, from 0."""
-    box = ink_box(pixels, F.col("a") >= OPAQUE).select("img_id", "x0", "y0", "x1", "y1")
+def trimmed(pixels: DataFrame, pad: int = 0, ink: Column | None = None) -> DataFrame:
+    """Pixels of the box of what isn't empty, or of ``ink``, with a margin, from 0."""
+    box = ink_box(pixels, F.col("a") >= OPAQUE if ink is None else ink).select("img_id", "x0", "y0", "x1", "y1")
     j = pixels.join(box, "img_id").filter("x between x0 - {0} and x1 + {0} and y between y0 - {0} and y1 + {0}".format(pad))
     return j.select("img_id", (F.col("x") - F.greatest(F.col("x0") - pad, F.lit(0))).alias("x"), (F.col("y") - F.greatest(F.col("y0") - pad, F.lit(0))).alias("y"), "r", "g", "b", "a")
 
 
+def trimmed_by_coverage(pixels: DataFrame, least: float = 0.02, ink: Column | None = None) -> DataFrame:
+    """Pixels between the outermost rows and columns of which enough is ink, from 0; margins with less go."""
+    full = (is_ink() if ink is None else ink).cast("int")
+
+    def span(c: str) -> DataFrame:
+        lines = pixels.groupBy("img_id", c).agg(F.avg(full).alias("__s")).filter(F.col("__s") >= least)
+        return lines.groupBy("img_id").agg(F.min(c).alias(f"{c}0"), F.max(c).alias(f"{c}1"))
+
+    j = pixels.join(span("x"), "img_id").join(span("y"), "img_id").filter("x between x0 and x1 and y between y0 and y1")
+    return j.select("img_id", (F.col("x") - F.col("x0")).alias("x"), (F.col("y") - F.col("y0")).alias("y"), "r", "g", "b", "a")
+
+
 def pad_sizes(width: Column, height: Column, share: float = 0.06, least: int = 4, most: int = 64) -> Column:
     """struct(x, y): margins in proportion, within limits."""
     one = lambda n: F.greatest(F.lit(least), F.least(F.lit(most), F.round(n * share).cast("int")))

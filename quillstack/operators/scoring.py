@@ -38,9 +38,13 @@ def gates_hold(gates: Column) -> Column:
 
 
 def summary(cases: DataFrame, key: str) -> DataFrame:
-    """mean, cases, failures and sorted names of failed cases. cases: case_id, composite, ok."""
-    failed = F.array_sort(F.collect_set(F.when(~F.col("ok"), F.col("case_id"))))
-    return cases.groupBy(key).agg(F.round(F.avg("composite"), 4).alias("mean_composite"), F.count("*").alias("cases"), F.count_if(~F.col("ok")).alias("failures"), F.concat_ws(",", failed).alias("failed"))
+    """mean, cases and failures of each key. cases: composite, ok."""
+    return cases.groupBy(key).agg(F.round(F.avg("composite"), 4).alias("mean_composite"), F.count("*").alias("cases"), F.count_if(~F.col("ok")).alias("failures"))
+
+
+def failed_cases(cases: DataFrame, key: str) -> DataFrame:
+    """The cases that failed, a row each. cases: case_id, ok."""
+    return cases.filter(~F.col("ok")).select(key, "case_id").distinct()
 
 
 def extremes(cases: DataFrame, k: int, value: str = "composite", tie: str = "case_id") -> DataFrame:
@@ -63,13 +67,8 @@ def longest_run(rows: DataFrame, key: str, position: str, above: Column) -> Data
     return runs.withColumn("__n", best).filter("__n = 1").select(key, "first", "length")
 
 
-def upper_middle(value: str) -> Column:
-    """The element at n div 2, from 0, of the sorted values of a group."""
-    return F.get(F.array_sort(F.collect_list(value)), F.floor(F.count(value) / 2).cast("int"))
-
-
 def upper_middles(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """``upper_middle`` of large groups, from value counts: no list of values is built."""
+    """The value at n div 2, from 0, of the sorted values of each group, from value counts: no list is built."""
     counts = rows.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("c"))
     w = Window.partitionBy(*keys)
     upto = counts.withColumn("u", F.sum("c").over(w.orderBy(value))).withColumn("n", F.sum("c").over(w))

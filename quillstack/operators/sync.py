@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import name_key, trim_ws
-from ..plans.numbering import numbered
+from ..plans.numbering import highest_so_far, numbered
 
 Keys = str | Sequence[str]
 
@@ -22,9 +22,18 @@ def _list(keys: Keys) -> list[str]:
 
 
 def first_per_key(rows: DataFrame, keys: Keys, *order: Column) -> DataFrame:
-    """The first row of each key in an order; give a total order for a repeatable result."""
-    at = F.row_number().over(Window.partitionBy(*_list(keys)).orderBy(*order))
-    return rows.withColumn("__at", at).filter("__at = 1").drop("__at")
+    """The first row of each key in an order; give a total order for a repeatable result.
+
+    A window with a limit of one row: Spark keeps the first of each key and partition before the shuffle,
+    so a hot key is a few rows. Any order goes, descending and nulls last too."""
+    (at,) = _free(rows, "at")
+    number = F.row_number().over(Window.partitionBy(*_list(keys)).orderBy(*order))
+    return rows.withColumn(at, number).filter(F.col(at) == 1).drop(at)
+
+
+def _free(rows: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that the rows don't have."""
+    return [next(n for n in (f"{'_' * i}{name}" for i in range(1, 99)) if n not in rows.columns) for name in names]
 
 
 def latest_per_key(rows: DataFrame, keys: Keys, when: str, tie: str) -> DataFrame:
@@ -97,6 +106,12 @@ def sync_names(local: DataFrame, remote: DataFrame, tombstones: DataFrame, now:
     return kept.withColumn("position", F.row_number().over(Window.orderBy(F.desc_nulls_last("last_used_at"), "name_key")))
 
 
+def most_recent(uses: DataFrame, name: str, when: str, keep: int = 60) -> DataFrame:
+    """name, its last use, and position from 1: what a list with move-to-front holds after all uses."""
+    last = uses.groupBy(name).agg(F.max(when).alias(when)).orderBy(F.desc(when), name).limit(keep)
+    return last.withColumn("position", F.row_number().over(Window.orderBy(F.desc(when), name)))
+
+
 def last_writer(local: DataFrame, remote: DataFrame, keys: Keys, when: str = "updated_at", fill: Sequence[str] = ()) -> DataFrame:
     """Merged rows with ``origin`` (local, remote) and ``push`` (the shared table lacks it or is older).
 
@@ -137,13 +152,21 @@ def assign_serials(rows: DataFrame, last: int, *order: str) -> DataFrame:
 def free_names(wanted: DataFrame, taken: DataFrame, *order: str) -> DataFrame:
     """(stem, n) pairs that no existing one holds: wanted rows of a stem get the lowest free numbers.
 
-    wanted: stem; taken: stem, n (from 1)."""
-    count = Window.partitionBy("stem")
-    # the i-th wanted row takes the i-th number that isn't taken
-    highest = wanted.groupBy("stem").agg(F.count("*").alias("c")).join(taken.filter("n > 0").groupBy("stem").agg(F.count_distinct("n").alias("t")), "stem", "left")
-    free = highest.select("stem", F.explode(F.sequence(F.lit(1), (F.col("c") + F.coalesce("t", F.lit(0))).cast("int"))).alias("n")).join(taken.select("stem", "n").distinct(), ["stem", "n"], "left_anti")
-    free = free.withColumn("i", F.row_number().over(count.orderBy("n")))
-    return wanted.withColumn("i", F.row_number().over(count.orderBy(*order))).join(free, ["stem", "i"]).drop("i")
+    wanted: stem; taken: stem, n (from 1).  Numbers that are taken part those that are free into runs; the
+    i-th wanted row takes the i-th free number, which lies in the run that holds place i. Wanted rows are
+    numbered over ranges of the whole table, so a stem that all of them want isn't one task."""
+    in_all = numbered(wanted, "__all", "stem", *order)
+    first = in_all.groupBy("stem").agg((F.min("__all") - 1).alias("__before"))
+    rows = in_all.join(first, "stem").withColumn("__i", F.col("__all") - F.col("__before"))
+    # the k-th smallest taken number t of a stem has t - k free numbers below it
+    used = numbered(taken.filter("n > 0").select("stem", F.col("n").cast("long").alias("n")).distinct(), "__all", "stem", "n")
+    start = used.groupBy("stem").agg((F.min("__all") - 1).alias("__before"))
+    below = used.join(start, "stem").withColumn("__k", F.col("__all") - F.col("__before")).select("stem", (F.col("n") - F.col("__k")).alias("__free"), "__k")
+    runs = below.groupBy("stem", "__free").agg(F.max("__k").alias("__k"))
+    # row i lies behind all taken numbers with fewer than i free ones below: the last such run
+    both = rows.select("stem", F.col("__i").alias("__p"), F.lit(1).alias("__row"), F.lit(0).cast("long").alias("__k")).distinct().unionByName(runs.select("stem", (F.col("__free") + 1).alias("__p"), F.lit(0).alias("__row"), "__k"))
+    shift = highest_so_far(both, "__s", "stem", "__k", "__p", "__row").filter("__row = 1").select("stem", F.col("__p").alias("__i"), "__s")
+    return rows.join(shift, ["stem", "__i"]).withColumn("n", (F.col("__i") + F.col("__s")).cast("int")).drop("__all", "__before", "__i", "__s")
 
 
 def chunks(rows: DataFrame, size: int, *order: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import name_key, preset_key_parts, trim_ws
+from ..functions.text import json_in_text, name_key, preset_key_parts, trim_ws
 
 SCHEMAS = {
     "presets": "kind string, name string, fields map<string,string>, logo_refs array<string>, updated_at timestamp",
@@ -111,3 +111,20 @@ def links(pages: DataFrame, html: str = "html", *keys: str) -> DataFrame:
     found = F.flatten(F.array(*[F.regexp_extract_all(h, F.lit(p), F.lit(1)) for p in (r'(?i)href="([^"#]+)"', r'(?i)src="([^"]+)"', r"(?i)content=\"(https?://[^\"]+)\"")]))
     rows = pages.select(*keys, F.posexplode(found).alias("ordinal", "link")).withColumn("bare", F.substring_index("link", "?", 1))
     return rows.groupBy(*keys, "bare").agg(F.min("ordinal").alias("ordinal"), F.min_by("link", "ordinal").alias("link")).drop("bare")
+
+
+def image_search_hits(answers: DataFrame, key: str, column: str) -> DataFrame:
+    """key, ordinal, url of the images of a search service's JSON answer; entries without an address go."""
+    hits = F.from_json(column, "struct<images:array<struct<imageUrl:string,title:string>>>")["images"]
+    rows = answers.select(key, F.posexplode(F.transform(hits, lambda h: trim_ws(h["imageUrl"]))).alias("ordinal", "url"))
+    return rows.filter("url <> ''")
+
+
+def answered_lines(answers: DataFrame, key: str, column: str) -> DataFrame:
+    """key, ordinal, cpo, id_kind, id_value, quantity, confidence, reasoning: the rows of a JSON array inside a
+    model's answer, which may be fenced or have text around it; rows without a reference go."""
+    item = "struct<cpo:string,id_kind:string,id_value:string,quantity:string,confidence:string,reasoning:string>"
+    rows = answers.select(key, F.posexplode(F.from_json(json_in_text(column), f"array<{item}>")).alias("ordinal", "r"))
+    blank = lambda c: F.coalesce(trim_ws(f"r.{c}"), F.lit(""))
+    out = rows.select(key, "ordinal", blank("cpo").alias("cpo"), F.lower(blank("id_kind")).alias("id_kind"), blank("id_value").alias("id_value"), blank("quantity").alias("quantity"), blank("confidence").alias("confidence"), blank("reasoning").alias("reasoning"))
+    return out.filter("cpo <> ''")

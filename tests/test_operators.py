@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from quillstack.functions import address as A
 from quillstack.functions import text as T
-from quillstack.operators import expand, layout, raster, resolve, sync
-from quillstack.plans.hamming_join import bands, hamming_pairs
+from quillstack.operators import expand, layout, marks, raster, resolve, restore, sync
+from quillstack.plans.hamming_join import hamming_pairs
 from quillstack.plans.prefix_join import prefix_join
 from quillstack.sources import sinks
 from quillstack.sources import tables as S
@@ -80,7 +80,8 @@ def test_blocked_joins_equal_the_plain_ones(spark):
     got = {(r.a, r.b, r.distance) for r in hamming_pairs(h, "id", "h", 10).collect()}
     dist = lambda x, y: ((x ^ y) & (2**64 - 1)).bit_count()
     assert got == {(i, j, dist(x, y)) for i, x in enumerate(hashes) for j, y in enumerate(hashes) if i < j and dist(x, y) <= 10}
-    assert sum(w for _, w in bands(10)) == 64 and len(bands(10)) == 11
+    near = {(r.a, r.b) for r in hamming_pairs(h, "id", "h", 3).collect()}
+    assert near == {(i, j) for i, j, d in got if d <= 3}
     names = ["ab", "abc", "abcd", "abd", "", "a", "ab", "xyz", "xy"]
     k = spark.createDataFrame([(n,) for n in names], "a string")
     pairs = sorted((r.a, r.b) for r in prefix_join(k, k.withColumnRenamed("a", "b"), "a", "b").collect())
@@ -124,9 +125,48 @@ def test_arrays_per_image(spark):
     assert 355 < raster.hue_anchor(table).first().hue or raster.hue_anchor(table).first().hue < 5
 
 
-def test_versions_of_a_cluster(spark):
-    prints = spark.createDataFrame([(1, 1, 0, 1.0, 100), (1, 2, 1, 1.0, 100), (1, 3, -1, 1.0, 100), (1, 4, 0, 1.0, 500)], "cluster long, id long, hash long, aspect double, ink int")
-    assert rows(raster.versions(prints)) == ["(1, 1, 0)", "(1, 2, 0)", "(1, 3, 1)", "(1, 4, 0)"]
+def test_mark_cleanup_against_brute_force(spark):
+    """Clusters by mark or name, greedy versions and the keeper of each, as a loop over all files would have them."""
+    rng = np.random.default_rng(6)
+    base = [int(x) for x in rng.integers(-(2**63), 2**63 - 1, 8)]
+    rows = []
+    for i in range(60):
+        k = int(rng.integers(0, 8))
+        h = base[k] ^ int(sum(1 << int(j) for j in rng.choice(63, rng.integers(0, 9), replace=False)))
+        name = f"{rng.choice(['Mark', 'old', 'X'])}{k if rng.random() < 0.5 else 100 + i}{rng.choice(['.png', '(2).png', '_restored.png', ' copy.png'])}"
+        rows.append((i, h, 1 + k / 8 + float(rng.choice([0, 0.1, 0.6])), int(rng.integers(50, 90)), int(rng.choice([100, 110, 160])), 100, 1000, name))
+    frame = spark.createDataFrame(rows, "id long, h long, aspect double, ink int, width int, height int, bytes int, name string")
+    bits = lambda a, b: ((a[1] ^ b[1]) & (2**64 - 1)).bit_count()
+    gap = lambda a, b: abs(a - b) / max(a, b)
+    stem = {r.id: r.stem for r in frame.select("id", T.file_stem("name").alias("stem")).collect()}
+    score = {r.id: r.s for r in frame.select("id", restore.keep_score(F.col("name"), F.col("ink"), F.col("width"), F.col("height"), F.lit(False)).alias("s")).collect()}
+    root = list(range(60))
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    for a in rows:
+        for b in rows[: a[0]]:
+            s, t = stem[a[0]], stem[b[0]]
+            named = s and t and (s == t or min(len(s), len(t)) >= 4 and (s in t or t in s))
+            if named or bits(a, b) <= 10 and gap(a[2], b[2]) <= 0.22 and gap(a[3], b[3]) <= 0.55:
+                x, y = find(a[0]), find(b[0])
+                root[max(x, y)] = min(x, y)
+    want = {}
+    for r in range(60):
+        own = [row for row in rows if find(row[0]) == r]
+        seeds = []
+        for row in own:
+            if all(bits(row, s) > 10 or gap(row[2], s[2]) > 0.28 or gap(row[4] / row[5], s[4] / s[5]) > 0.18 or gap(row[3], s[3]) > 0.28 for s in seeds):
+                seeds.append(row)
+        groups = {}
+        for row in own:
+            groups.setdefault(min(range(len(seeds)), key=lambda i: (bits(row, seeds[i]), i)), []).append(row[0])
+        for ids in groups.values():
+            keep = min(ids, key=lambda i: (-score[i], i))
+            want |= {i: keep for i in ids if i != keep}
+    assert {r.id: r.cluster for r in marks.clusters(frame).collect()} == {i: find(i) for i in range(60)}
+    assert {r.id: r.keep for r in marks.cleanup(frame).collect()} == want
 
 
 def test_files(spark, tmp_path):
