@@ -8,10 +8,14 @@ table of slots, each frequent slot stands for one pair of its own, and where can
 overlap the more frequent one wins.
 
 File format: Parquet rows (part, block, documents, ids, payload) in the shared folder, in
-ascending document order by (part, block).  A payload is a header of seven little-endian
-64-bit numbers, then the document ids (int64), numbers of ids and of symbols per document,
-left and right sides of the rules with their expansion lengths (uint32), and the symbols
-(uint32); all of it in one zstd frame.
+ascending document order by (part, block).  A payload is a header of nine little-endian
+64-bit numbers, then the document ids (int64), numbers of ids and of symbols per document
+(uint32), a bit for each id that isn't null, and, each number in as many bits as the largest needs, left and right sides of the
+rules, their expansion lengths, and the symbols.  Nothing else is compressed, so a document's
+symbols can be read where they stand.
+
+The rounds stop when a pair occurs fewer than ``least`` times (four: a rule costs two sides and a
+length) or a round saves less than ``gain`` of the symbols.
 
 Edge cases: null and empty texts are one end id; repeated ids follow each other, ordered by a
 hash of the text; null ids come first; an empty table gives an empty file and result; other
@@ -32,12 +36,11 @@ from pyspark.sql import functions as F
 from .common import map_arrow, shared_path
 from .tokens import END_ID, crc32_of, default_vocabulary, encoder, gather, slices
 
-BASE = 1 << 16  # nonterminals are numbered from here on; ids lie below
-MAGIC = 0x31525051
+BASE = 1 << 16  # nonterminals are numbered from here on at least, and from beyond the largest id
+MAGIC = 0x32525051
 SLOTS = 1 << 18
 BLOCK_BYTES = 4 << 20  # of text
 SCHEMA = "part int, block int, documents long, ids long, payload binary"
-_NO_ID = -(1 << 63)
 
 
 @dataclass
@@ -45,6 +48,7 @@ class Grammar:
     left: np.ndarray
     right: np.ndarray
     symbols: np.ndarray
+    base: int = BASE
 
     def lengths(self) -> np.ndarray:
         """Expansion lengths of the rules; a rule's sides come before it."""
@@ -54,12 +58,12 @@ class Grammar:
         return out
 
     def _of(self, lengths: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-        rule = symbols.astype(np.int64) - BASE
+        rule = symbols.astype(np.int64) - self.base
         return np.where(rule < 0, 1, lengths[np.maximum(rule, 0)] if len(lengths) else 1)
 
     def _levels(self) -> Iterator[tuple[int, int]]:
         """Runs of rules whose sides all come before the run."""
-        newest = np.maximum.accumulate(np.maximum(self.left, self.right).astype(np.int64)) - BASE if len(self.left) else np.zeros(0, np.int64)
+        newest = np.maximum.accumulate(np.maximum(self.left, self.right).astype(np.int64)) - self.base if len(self.left) else np.zeros(0, np.int64)
         lo = 0
         while lo < len(newest):
             hi = int(np.searchsorted(newest, lo))
@@ -68,9 +72,12 @@ class Grammar:
             lo = hi
 
 
-def compress(ids: np.ndarray, least: int = 6, gain: float = 0.02) -> Grammar:
+def compress(ids: np.ndarray, least: int = 4, gain: float = 0.002) -> Grammar:
     """``least``: occurrences that make a pair worth a rule. ``gain``: share of symbols a round must save."""
     seq = ids.astype(np.uint32)
+    base = max(BASE, 1 << int(ids.max(initial=0)).bit_length())
+    if base + len(ids) > 1 << 32:
+        raise ValueError("ids leave no room for rules in 32 bits")
     left, right = [], []
     rules = 0
     while len(seq) > 1:
@@ -101,7 +108,7 @@ def compress(ids: np.ndarray, least: int = 6, gain: float = 0.02) -> Grammar:
             break
         chosen = np.flatnonzero(used >= least)
         rule = np.zeros(SLOTS, np.uint32)
-        rule[chosen] = BASE + rules + np.arange(len(chosen))
+        rule[chosen] = base + rules + np.arange(len(chosen))
         left.append(a[stands[chosen]])
         right.append(b[stands[chosen]])
         rules += len(chosen)
@@ -111,35 +118,71 @@ def compress(ids: np.ndarray, least: int = 6, gain: float = 0.02) -> Grammar:
         seq[where] = rule[slot[where]]
         seq = seq[stay]
     empty = np.zeros(0, np.uint32)
-    return Grammar(np.concatenate(left or [empty]), np.concatenate(right or [empty]), seq)
+    return Grammar(np.concatenate(left or [empty]), np.concatenate(right or [empty]), seq, base)
 
 
 def expand(grammar: Grammar, symbols: np.ndarray | None = None) -> np.ndarray:
     """The ids of the symbols given, or of all."""
-    store = np.arange(BASE, dtype=np.uint32)
-    starts = np.concatenate((np.arange(BASE), np.zeros(len(grammar.left), np.int64)))
-    sizes = np.concatenate((np.ones(BASE, np.int64), np.zeros(len(grammar.left), np.int64)))
+    base = grammar.base
+    store = np.arange(base, dtype=np.uint32)
+    starts = np.concatenate((np.arange(base), np.zeros(len(grammar.left), np.int64)))
+    sizes = np.concatenate((np.ones(base, np.int64), np.zeros(len(grammar.left), np.int64)))
     for lo, hi in grammar._levels():
         sides = np.column_stack((grammar.left[lo:hi], grammar.right[lo:hi])).ravel()
         each = sizes[sides]
         own = each[0::2] + each[1::2]
-        starts[BASE + lo : BASE + hi] = len(store) + np.cumsum(own) - own
-        sizes[BASE + lo : BASE + hi] = own
+        starts[base + lo : base + hi] = len(store) + np.cumsum(own) - own
+        sizes[base + lo : base + hi] = own
         store = np.concatenate((store, gather(store, starts[sides], each)))
     of = grammar.symbols if symbols is None else symbols
     return gather(store, starts[of], sizes[of])
 
 
+def unfolded(grammar: Grammar, symbols: np.ndarray) -> np.ndarray:
+    """The ids of a few symbols: all rules among them give way to their sides, again and again; no other
+    rule is looked at."""
+    seq = symbols.astype(np.int64)
+    left, right = grammar.left.astype(np.int64), grammar.right.astype(np.int64)
+    while (rule := seq >= grammar.base).any():
+        wide = np.repeat(seq, 1 + rule)
+        second = np.flatnonzero(np.repeat(rule, 1 + rule))[1::2]
+        own = seq[rule] - grammar.base
+        wide[second - 1], wide[second] = left[own], right[own]
+        seq = wide
+    return seq.astype(np.uint32)
+
+
+def packed(values: np.ndarray, width: int) -> bytes:
+    """Whole numbers in ``width`` bits each."""
+    bits = (values.astype(np.int64)[:, None] >> np.arange(width)) & 1
+    return np.packbits(bits.astype(np.uint8).ravel(), bitorder="little").tobytes()
+
+
+def unpacked(raw: bytes, at: int, width: int, first: int, n: int) -> np.ndarray:
+    """Numbers first .. first + n of those that ``packed`` has put at a place in ``raw``: only their bytes are read."""
+    low = first * width
+    start, stop = at + low // 8, at + -(-(low + n * width) // 8)
+    bits = np.unpackbits(np.frombuffer(raw, np.uint8, stop - start, start), bitorder="little")[low % 8 : low % 8 + n * width]
+    return (bits.reshape(n, width).astype(np.int64) << np.arange(width)).sum(axis=1)
+
+
+def _bytes(n: int, width: int) -> int:
+    return -(-n * width // 8)
+
+
 @dataclass
 class Block:
-    doc_ids: np.ndarray
+    """Documents of a block. Symbols stay packed until they are asked for."""
+
+    doc_ids: pa.Array
     sizes: np.ndarray
     symbols_each: np.ndarray
-    grammar: Grammar
+    grammar: Grammar  # without symbols where ``raw`` holds them
     rule_lengths: np.ndarray
+    raw: tuple[bytes, int, int, int] | None = None  # payload, where symbols start, their width, how many
 
     @classmethod
-    def of(cls, doc_ids: np.ndarray, ids: np.ndarray, bounds: np.ndarray) -> Block:
+    def of(cls, doc_ids: pa.Array, ids: np.ndarray, bounds: np.ndarray) -> Block:
         grammar = compress(ids)
         lengths = grammar.lengths()
         ends = np.cumsum(grammar._of(lengths, grammar.symbols))
@@ -147,37 +190,51 @@ class Block:
         return cls(doc_ids, np.diff(bounds), np.diff(stops, prepend=0), grammar, lengths)
 
     def to_bytes(self) -> bytes:
-        import zstandard
-
         g = self.grammar
-        head = np.array([MAGIC, len(self.doc_ids), int(self.sizes.sum()), len(g.symbols), len(g.left), BASE, END_ID], "<i8")
-        parts = [head, self.doc_ids.astype("<i8"), *(x.astype("<u4") for x in (self.sizes, self.symbols_each, g.left, g.right, self.rule_lengths, g.symbols))]
-        return zstandard.ZstdCompressor(level=1).compress(b"".join(x.tobytes() for x in parts))
+        width = max(1, int(g.base + len(g.left)).bit_length())
+        length_width = max(1, int(self.rule_lengths.max(initial=1)).bit_length())
+        head = np.array([MAGIC, len(self.doc_ids), int(self.sizes.sum()), len(g.symbols), len(g.left), g.base, END_ID, width, length_width], "<i8")
+        known = self.doc_ids.is_valid().to_numpy(zero_copy_only=False)
+        tables = [head, self.doc_ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"), self.sizes.astype("<u4"), self.symbols_each.astype("<u4")]
+        return b"".join([*(x.tobytes() for x in tables), packed(known, 1), packed(g.left, width), packed(g.right, width), packed(self.rule_lengths, length_width), packed(g.symbols, width)])
 
     @classmethod
     def from_bytes(cls, payload: bytes) -> Block:
-        import zstandard
-
-        raw = zstandard.ZstdDecompressor().decompress(payload)
-        magic, docs, _, symbols, rules, base, end = np.frombuffer(raw, "<i8", 7).tolist()
-        if magic != MAGIC or base != BASE or end != END_ID:
+        magic, docs, _, symbols, rules, base, end, width, length_width = np.frombuffer(payload, "<i8", 9).tolist()
+        if magic != MAGIC or base < BASE or end != END_ID:
             raise ValueError("not a block of this format")
-        at, parts = 56 + 8 * docs, []
-        for n in (docs, docs, rules, rules, rules, symbols):
-            parts.append(np.frombuffer(raw, "<u4", n, at))
-            at += 4 * n
-        sizes, each, left, right, lengths, seq = parts
-        return cls(np.frombuffer(raw, "<i8", docs, 56), sizes.astype(np.int64), each.astype(np.int64), Grammar(left, right, seq), lengths.astype(np.int64))
+        at = 72 + 8 * docs
+        sizes, each = np.frombuffer(payload, "<u4", docs, at), np.frombuffer(payload, "<u4", docs, at + 4 * docs)
+        at += 8 * docs
+        known = unpacked(payload, at, 1, 0, docs) == 1
+        at += _bytes(docs, 1)
+        sides = []
+        for w in (width, width, length_width):
+            sides.append(unpacked(payload, at, w, 0, rules))
+            at += _bytes(rules, w)
+        left, right, lengths = sides
+        grammar = Grammar(left.astype(np.uint32), right.astype(np.uint32), np.zeros(0, np.uint32), base)
+        return cls(pa.array(np.frombuffer(payload, "<i8", docs, 72), mask=~known), sizes.astype(np.int64), each.astype(np.int64), grammar, lengths, (payload, at, width, symbols))
+
+    def _symbols(self, first: int, n: int) -> np.ndarray:
+        if self.raw is None:
+            return self.grammar.symbols[first : first + n]
+        payload, at, width, _ = self.raw
+        return unpacked(payload, at, width, first, n).astype(np.uint32)
+
+    def ids(self) -> np.ndarray:
+        """The ids of all documents."""
+        return expand(self.grammar, self._symbols(0, int(self.symbols_each.sum())))
 
     def document(self, k: int, start: int = 0, stop: int | None = None) -> np.ndarray:
-        """Ids start .. stop of the k-th document: only the symbols that cover them are expanded."""
+        """Ids start .. stop of the k-th document: its symbols are read, and by the rules' lengths only those
+        that cover the place are unfolded."""
         stop = int(self.sizes[k]) if stop is None else min(stop, int(self.sizes[k]))
-        first = int(self.symbols_each[:k].sum())
-        own = self.grammar.symbols[first : first + int(self.symbols_each[k])]
+        own = self._symbols(int(self.symbols_each[:k].sum()), int(self.symbols_each[k]))
         ends = np.cumsum(self.grammar._of(self.rule_lengths, own))
         lo, hi = int(np.searchsorted(ends, start, side="right")), int(np.searchsorted(ends, stop)) + 1
         before = int(ends[lo - 1]) if lo else 0
-        return expand(self.grammar, own[lo:hi])[start - before : stop - before]
+        return unfolded(self.grammar, own[lo:hi])[start - before : stop - before]
 
 
 def write_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> None:
@@ -189,7 +246,7 @@ def write_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         for batch in batches:
             for piece in slices(batch, "text", BLOCK_BYTES):
                 ids, bounds = encoder(words).encode_documents(piece.column("text"))
-                own = piece.column("doc_id").fill_null(_NO_ID).to_numpy(zero_copy_only=False)
+                own = piece.column("doc_id")
                 payload = Block.of(own, ids, bounds).to_bytes()
                 yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([len(own)], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([payload], pa.binary())], ["part", "block", "documents", "ids", "payload"])
                 block += 1
@@ -212,10 +269,10 @@ def read_ids(blocks: DataFrame) -> DataFrame:
                     [
                         pa.array(np.full(n, part, np.int32)),
                         pa.array(np.full(n, block, np.int32)),
-                        pa.array(got.doc_ids, mask=got.doc_ids == _NO_ID),
+                        got.doc_ids,
                         pa.array(bounds[:-1]),
                         pa.array(got.sizes),
-                        pa.array(crc32_of(expand(got.grammar), bounds)),
+                        pa.array(crc32_of(got.ids(), bounds)),
                     ],
                     ["part", "block", "doc_id", "inner", "n_tokens", "ids_crc32"],
                 )
