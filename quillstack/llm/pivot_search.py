@@ -6,15 +6,18 @@ many pivots.  By the triangle inequality |d(q, p) - d(x, p)| <= d(q, x) for each
 score from above.  Candidates are evaluated in the order of their bounds until the next bound
 is below the k-th best score so far: what is left cannot change the answer.
 
-Candidates are dealt into blocks by a hash of their ids, queries into groups; each task takes
-one group against one block and returns k rows a query, and a second step keeps the best k of
-all blocks.  A repeated vector, however often it occurs, is spread over all blocks.
+The table is worked out once and stored with the vectors.  Candidates are dealt into blocks by a
+hash of their ids, queries into groups; each task takes one group against one block and returns k
+rows a query at most, and a last step keeps the best k of all blocks.  Queries see the first block
+first, and what they find there is the least that counts in the others.  A repeated vector, however
+often it occurs, is spread over all blocks.
 
 Pivots are a bounded sample (``pivots`` vectors, farthest-first within ``sample`` rows); every
 vector is indexed.  The answer is exact with any pivots.
 
 Edge cases: a null vector, one with null or non-finite components, or with a null id takes no
-part; vectors of another length than most are compared among those of the same length; ties
+part, nor does one with a whole number beyond 62 bits; a score beyond 64 bits is the nearest number of
+64 bits; vectors of another length than most are compared among those of the same length; ties
 go to the smaller id; a row is not its own candidate, rows that repeat its id aren't either;
 with fewer candidates than k all are returned; an empty table gives an empty result; other
 columns are ignored.
@@ -26,10 +29,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import send_package, stored
+from .common import map_arrow, send_package, stored
 
 SCALE = 256
 ROW = "query_id long, vec_id long, score long"
@@ -38,7 +42,7 @@ ROW = "query_id long, vec_id long, score long"
 def whole_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE) -> DataFrame:
     """vec_id, v (whole numbers) and dim of the vectors that take part."""
     v = F.transform(F.col(vector_col), lambda x: x.cast("double"))
-    fine = F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    fine = F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) * scale < float(2**62)))
     return vectors.filter(F.coalesce(fine, F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(v, lambda x: F.floor(x * scale).cast("long")).alias("v"), F.size(vector_col).alias("dim"))
 
 
@@ -59,53 +63,90 @@ def _table(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(squares, 0))
 
 
-def search_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, pivots: np.ndarray, k: int, step: int = 256) -> pd.DataFrame:
-    """The k best of the block for each query, exactly."""
+def tabled(vectors: DataFrame, by_dim: dict[int, np.ndarray]) -> DataFrame:
+    """Vectors with the row of the pivot table that is theirs: their distances to the pivots, worked out once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims = batch.column("dim").to_numpy(zero_copy_only=False)
+            rows: list[np.ndarray] = [np.zeros(0, np.float32)] * batch.num_rows
+            for dim in np.unique(dims).tolist():
+                own = np.flatnonzero(dims == dim)
+                x = batch.column("v").take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(own), dim)
+                for i, row in zip(own.tolist(), _table(x, by_dim.get(dim, np.zeros((0, dim)))).astype(np.float32), strict=True):
+                    rows[i] = row
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.list_(pa.float32()))], [*batch.schema.names, "far"])
+
+    return map_arrow(vectors.select("vec_id", "v", "dim"), run, "vec_id long, v array<long>, dim int, far array<float>")
+
+
+def search_block(q_ids: np.ndarray, q: np.ndarray, of_q: np.ndarray, least: np.ndarray, ids: np.ndarray, x: np.ndarray, of_x: np.ndarray, k: int, step: int = 64) -> pd.DataFrame:
+    """The k best of the block for each query, exactly, but for those whose scores are below ``least``.
+
+    of_q, of_x: rows of the pivot table."""
     order = np.argsort(ids, kind="stable")
-    ids, x = ids[order], x[order]
+    ids, x, of_x = ids[order], x[order], np.ascontiguousarray(of_x[order].T)
     small = max(np.abs(q).max(initial=0), np.abs(x).max(initial=0)) ** 2 * max(x.shape[1], 1) < 2**52
     exact = (lambda a, b: a @ b) if small else (lambda a, b: np.array([sum(int(i) * int(j) for i, j in zip(r, b, strict=True)) for r in a], dtype=object))
-    of_q, of_x = _table(q, pivots), _table(x, pivots).astype(np.float32)
-    norm_x = (x * x).sum(axis=1)
+    norm_x, norm_q = (x * x).sum(axis=1), (q * q).sum(axis=1)
+    # distances are rounded to 24 bits, and small ones come from differences of large squares
+    rounding = 1e-2 + 1e-6 * (of_x.max(initial=0) + np.sqrt(norm_x.max(initial=0)))
     out = []
     for i in range(len(q)):
         gap = np.zeros(len(x), np.float32)
-        for p in range(of_x.shape[1]):
-            np.maximum(gap, np.abs(of_x[:, p] - np.float32(of_q[i, p])), out=gap)
-        gap = np.maximum(gap.astype(np.float64) * (1 - 1e-5) - 1e-2, 0)
-        bound = ((q[i] * q[i]).sum() + norm_x - gap * gap) / 2
-        turn = np.argsort(-bound, kind="stable")
+        for p, own in enumerate(of_x):
+            np.maximum(gap, np.abs(own - of_q[i, p]), out=gap)
+        gap = np.maximum(gap.astype(np.float64) - rounding - 1e-6 * of_q[i].max(initial=0), 0)
+        bound = (norm_q[i] + norm_x - gap * gap) / 2
+        slack = 1 + 1e-9 * abs(bound).max(initial=0)
+        open_ = np.flatnonzero((bound + slack >= least[i]) & (ids != q_ids[i]))
+        turn = open_[np.argsort(-bound[open_], kind="stable")]
         best_s, best_id = np.zeros(0), np.zeros(0, np.int64)
         at = 0
-        while at < len(turn) and not (len(best_s) == k and bound[turn[at]] + 1 < best_s[-1]):
+        while at < len(turn) and not (len(best_s) == k and bound[turn[at]] + slack < best_s[-1]):
             now = turn[at : at + step]
-            now = now[ids[now] != q_ids[i]]
             s, n = np.concatenate((best_s, exact(x[now], q[i]))), np.concatenate((best_id, ids[now]))
             top = np.lexsort((n, -s))[:k]
             best_s, best_id = s[top], n[top]
-            at += step
-        out.append(pd.DataFrame({"query_id": q_ids[i], "vec_id": best_id, "score": best_s.astype(np.int64)}))
+            at, step = at + len(now), step * 2 if at else step
+        score = np.array([max(min(int(v), 2**63 - 1), -(2**63)) for v in best_s], np.int64)
+        out.append(pd.DataFrame({"query_id": q_ids[i], "vec_id": best_id, "score": score}))
     return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype(np.int64)
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, pivots: int = 24, sample: int = 2000, a_block: int = 16_000, a_group: int = 1_000) -> DataFrame:
     """query_id, rank, vec_id, score. Both inputs have the columns of ``whole_vectors``."""
-    vectors, queries = stored(vectors, "search-vectors"), stored(queries, "search-queries")
     send_package(vectors)
-    blocks, groups = max(1, -(-vectors.count() // a_block)), max(1, -(-queries.count() // a_group))
     near = vectors.select("v", "dim", F.xxhash64("vec_id").alias("h")).orderBy("h").limit(sample).collect()  # at most `sample` rows
     by_dim: dict[int, np.ndarray] = {}
     for dim in {r["dim"] for r in near}:
         by_dim[dim] = choose_pivots(np.array([r["v"] for r in near if r["dim"] == dim], float).reshape(-1, dim), pivots)
-    pair = lambda column, n: F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
-    left = queries.select("vec_id", "v", "dim", pair("vec_id", groups).alias("g"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
-    right = vectors.select("vec_id", "v", "dim", pair("vec_id", blocks).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
+    vectors, queries = stored(tabled(vectors, by_dim), "search-vectors"), stored(tabled(queries, by_dim), "search-queries")
+    blocks, groups = max(1, -(-vectors.count() // a_block)), max(1, -(-queries.count() // a_group))
+    dealt = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    columns = ["vec_id", "v", "dim", "far"]
+    asked, held = queries.select(*columns, dealt(groups).alias("g")), vectors.select(*columns, dealt(blocks).alias("b"))
 
     def run(key: tuple, own: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        dim = key[2]
-        as_rows = lambda f: np.array(f["v"].tolist(), float).reshape(len(f), dim)
-        return search_block(own["vec_id"].to_numpy(), as_rows(own), block["vec_id"].to_numpy(), as_rows(block), by_dim.get(dim, np.zeros((0, dim))), k)
-
-    found = left.groupBy("g", "b", "dim").cogroup(right.groupBy("g", "b", "dim")).applyInPandas(run, ROW)
+        rows = lambda f, c, kind: np.array(f[c].tolist(), kind).reshape(len(f), len(f[c].iloc[0]))
+        if not len(own) or not len(block):
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype(np.int64)
+        return search_block(own["vec_id"].to_numpy(), rows(own, "v", float), rows(own, "far", np.float32), own["least"].to_numpy(float), block["vec_id"].to_numpy(), rows(block, "v", float), rows(block, "far", np.float32), k)
+
+    def search(asked: DataFrame, first: int, last: int) -> DataFrame:
+        """All queries against blocks first .. last."""
+        every = lambda low, high: F.explode(F.sequence(F.lit(low), F.lit(high)))
+        left = asked.withColumn("b", every(first, last))
+        right = held.filter(F.col("b").between(first, last)).withColumn("g", every(0, groups - 1))
+        return left.groupBy("g", "b", "dim").cogroup(right.groupBy("g", "b", "dim")).applyInPandas(run, ROW)
+
+    found = search(asked.withColumn("least", F.lit(float("-inf"))), 0, 0)
+    if blocks > 1:
+        # what a query has found in the first block is the least that counts in all others
+        found = stored(found, "search-first")
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        known = found.withColumn("rank", rank).filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("found"))
+        least = F.coalesce("found", F.lit(float("-inf")))
+        found = found.union(search(asked.join(known, "vec_id", "left").withColumn("least", least).drop("found"), 1, blocks - 1))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -3,7 +3,7 @@ import math
 import numpy as np
 import pytest
 
-from quillstack.llm.pivot_search import choose_pivots, search_block, top_k, whole_vectors
+from quillstack.llm.pivot_search import _table, choose_pivots, search_block, top_k, whole_vectors
 
 SCHEMA = "vec_id long, embedding array<float>, v int, dim string, score int"
 
@@ -52,6 +52,24 @@ def test_elimination_skips_candidates():
                 seen.append(len(self))
             return np.asarray(self) @ np.asarray(other)
 
-    got = search_block(np.array([-1]), x[:1], np.arange(4000), x.view(Counted), choose_pivots(x[:500], 24), 5, step=64)
-    assert got["score"].tolist() == sorted((x @ x[0]).astype(int).tolist(), reverse=True)[:5]
+    far = _table(x, choose_pivots(x[:500], 24)).astype(np.float32)
+    search = lambda least: search_block(np.array([-1]), x[:1], far[:1], np.array([least]), np.arange(4000), x.view(Counted), far, 5)
+    got = search(float("-inf"))
+    best = sorted((x @ x[0]).astype(int).tolist(), reverse=True)[:5]
+    assert got["score"].tolist() == best
     assert sum(seen) < 2000
+    before = sum(seen)
+    assert [s for s in search(float(best[-1]))["score"] if s >= best[-1]] == best and sum(seen) - before <= before
+
+
+def test_large_numbers(spark):
+    """Components far beyond those whose products fit in a double or in 64 bits."""
+    rng = np.random.default_rng(7)
+    rows = [(i, [float(x) for x in rng.normal(size=4) * 10.0 ** (i % 12)]) for i in range(120)] + [(500, [1e30, 0.0, 0.0, 0.0])]
+    frame = spark.createDataFrame([(i, v, 1, "d", 2) for i, v in rows], SCHEMA)
+    w = whole_vectors(frame)
+    got = {tuple(r) for r in top_k(w, w.filter("vec_id % 50 = 0"), a_block=30, a_group=2).collect()}
+    clip = lambda s: max(min(s, 2**63 - 1), -(2**63))
+    want = {(q, n, i, clip(s)) for q, n, i, s in brute(rows[:-1], {0, 50, 100})}
+    assert {(q, n, s) for q, n, _, s in got} == {(q, n, s) for q, n, _, s in want}
+    assert {r for r in got if abs(r[3]) < 2**62} == {r for r in want if abs(r[3]) < 2**62}
