@@ -1,12 +1,15 @@
-"""SentencePiece encoding and decoding: merges by rank or a Viterbi pass, as the model's type asks.
-
-The scores of a BPE model are merge ranks.  Neighbouring symbols whose joint text is a piece
-are merged, the best score first and the leftmost of equals, until no such pair is left.  The
-scores of a unigram model add up: a single pass of an Aho-Corasick automaton over a text
-follows the output links at each position, longest piece first, and relaxes the best score of
-what ends there; ties keep the longer last piece, and a character that is no piece costs the
-unknown score (10 below the lowest).  With both, a character that is no piece comes out as its
-UTF-8 byte pieces.  Decoding gathers the bytes of the pieces and undoes the space mark.
+"""SentencePiece encoding and decoding by a single Viterbi pass of an Aho-Corasick automaton.
+
+The automaton holds all pieces.  At each position of a text its output links give the pieces
+that end there, longest first, and the best way to that position is kept.  The scores of a
+unigram model add up: ties keep the longer last piece, and a character that is no piece
+costs the unknown score (10 below the lowest).  The scores of a BPE model are merge ranks: the
+library merges neighbours whose joint text is a piece, the best score first and the leftmost of
+equals, and adding those scores up gives other ids.  There a way is worth something only if
+merging would end in it, which two neighbouring pieces tell by themselves (``MergeCodec``), so
+at each position one way is left and the ids are the library's.  With both, a character
+that is no piece comes out as its UTF-8 byte pieces.  Decoding gathers the bytes of the pieces and
+undoes the space mark.
 
 In this vocabulary a space mark only stands at the front of a piece, so a text falls apart
 into chunks, each a run of marks with what follows, and neither merges nor the best
@@ -41,6 +44,7 @@ _CHUNKS = re.compile(f"{MARK}+[^{MARK}]*")
 _BY_PATH: dict[str, PieceCodec] = {}
 _OF_TYPE: dict[str, PieceCodec] = {}
 UNIGRAM, BPE = 1, 2
+_START, _ODD = (1 << 20) - 1, 1 << 20
 
 
 def default_model() -> str:
@@ -202,16 +206,25 @@ class PieceCodec:
 
 
 class MergeCodec(PieceCodec):
-    """A model's scores taken as merge ranks, the highest first."""
+    """A model's scores taken as merge ranks, the highest first.
+
+    A row of pieces is what merging makes of a text if and only if each two neighbours are what merging
+    makes of the two alone: until a merge reaches over a bound between pieces, both sides go on as they would
+    without the rest, and whether one does is between the two pieces at that bound.  So the merged form of
+    a text's first p characters ends with the one piece that stands behind the merged form of what is before
+    it.  The single pass of the automaton finds, at each position, that piece among its outputs; all other
+    paths are worth nothing there."""
 
     def __init__(self, path: str):
         super().__init__(path)
         if piece_types(path) & {4, 5}:
             raise ValueError("only merge models without user-defined and unused pieces")
         self.ranks = {piece: -score for piece, (_, score) in self.pieces.items()}
+        self.single = {p for p in self.pieces if len(p) == 1}
+        self.stand: dict[int, bool] = {}
 
-    def segment(self, chunk: str) -> list[int]:
-        """Ids of marked text after all merges."""
+    def merged(self, chunk: str) -> list[str]:
+        """The symbols of a text after all merges, one by one."""
         n, ranks = len(chunk), self.ranks
         # the symbol from i ends before after[i]; before[i] is where the one ahead of it starts
         after, before = list(range(1, n + 1)), list(range(-1, n))
@@ -228,14 +241,64 @@ class MergeCodec(PieceCodec):
                 heappush(pairs, (rank, i, after[end]))
             if i and (rank := ranks.get(chunk[before[i] : end])) is not None:
                 heappush(pairs, (rank, before[i], end))
-        out: list[int] = []
-        i = 0
+        out, i = [], 0
         while i < n:
-            found = self.pieces.get(chunk[i : after[i]])
-            out += [found[0]] if found else [self.byte[b] for b in chunk[i].encode()]
+            out.append(chunk[i : after[i]])
             i = after[i]
         return out
 
+    def _stands(self, chunk: str, start: int, middle: int, end: int) -> bool:
+        """Whether chunk[middle:end] stays as it is behind chunk[start:middle], or alone where that is empty."""
+        behind, piece = chunk[start:middle], chunk[middle:end]
+        return self.merged(behind + piece) == ([behind, piece] if behind else [piece])
+
+    def segment(self, chunk: str) -> list[int]:
+        """Ids of marked text after all merges. A character that is no piece has a number of its own here."""
+        n, stand = len(chunk), self.stand
+        if len(stand) > 8 * CACHED:
+            stand.clear()
+        last, sizes = [-1] * (n + 1), [0] * (n + 1)  # the piece that ends at each position, and its length
+        last[0] = _START
+        odd = {} if self.single.issuperset(chunk) else {i: _ODD + ord(c) for i, c in enumerate(chunk) if c not in self.single}
+        done = 0
+
+        def relax(end: int, size: int, piece: int) -> None:
+            middle = end - size
+            if last[end] < 0 <= last[middle]:
+                key = last[middle] << 22 | piece
+                holds = stand.get(key)
+                if holds is None:
+                    holds = stand[key] = self._stands(chunk, middle - sizes[middle], middle, end)
+                if holds:
+                    last[end], sizes[end] = piece, size
+
+        if odd:
+            for at, (size, piece, _) in self.automaton.iter(chunk):
+                for i in range(done, at):
+                    if i in odd:
+                        relax(i + 1, 1, odd[i])
+                done = max(done, at)
+                relax(at + 1, size, piece)
+            for i in range(done, n):
+                if i in odd:
+                    relax(i + 1, 1, odd[i])
+        else:
+            for at, (size, piece, _) in self.automaton.iter(chunk):
+                end = at + 1
+                if last[end] < 0 <= (behind := last[end - size]):
+                    key = behind << 22 | piece
+                    holds = stand.get(key)
+                    if holds is None:
+                        holds = stand[key] = self._stands(chunk, end - size - sizes[end - size], end - size, end)
+                    if holds:
+                        last[end], sizes[end] = piece, size
+        out: list[int] = []
+        while n:
+            piece = last[n]
+            out += [piece] if piece < _ODD else [self.byte[b] for b in reversed(chunk[n - 1].encode())]
+            n -= sizes[n]
+        return out[::-1]
+
 
 def codec(path: str) -> PieceCodec:
     if path not in _BY_PATH:
