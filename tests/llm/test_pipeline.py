@@ -6,7 +6,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from quillstack.llm import queries
-from quillstack.llm.common import stored, table
+from quillstack.llm.common import stored, table, tables_written
 from quillstack.llm.tokens import default_vocabulary
 
 from .test_parity_join import brute
@@ -46,3 +46,33 @@ def test_stages_against_brute_force(spark, small):
 def test_queries_are_named():
     names = sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.queries())
     assert names == list(range(1, 11)) and set(queries.oracle_sql()) <= set(queries.queries())
+
+
+def test_stages_on_odd_rows_and_names(spark, small, docs, odd):
+    """Nulls, empty and long texts, repeated rows and ids, and columns named like helper columns go through every stage."""
+    frame = docs(*odd, (9, "call 555-123-4567 " * 3), (9, "call 555-123-4567 " * 3), (10, None))
+    want = {"quality": None, "exact_dedup": 6, "near_dedup": None, "pii": None, "packing": None}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stored(stage(spark, frame, small), "test-odd")
+        if name == "packing":
+            assert {r.doc_id for r in out.collect()} == {r.doc_id for r in frame.collect()}
+        else:
+            assert out.columns == frame.columns
+            n = want[name]
+            assert out.count() == n if n else out.count() <= frame.count()
+    texts = [r.text for r in corpus_pipeline.pii_stage(spark, frame, small).collect()]
+    assert len(texts) == frame.count() and sum(t is None for t in texts) == 2 and not any("555-123-4567" in (t or "") for t in texts)
+    kept = corpus_pipeline.near_stage(spark, frame, small).collect()
+    assert sum(r.text is None for r in kept) == 2 and sum(r.doc_id is None for r in kept) == 1
+
+
+def test_stages_on_an_empty_table(spark, small, docs):
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs(), small)
+        assert out.count() == 0 and (name == "packing" or out.columns == docs().columns)
+
+
+def test_run_deletes_what_it_no_longer_needs(spark, small):
+    before = tables_written()
+    result = corpus_pipeline.run(spark, small)
+    assert tables_written() - before == {result._stored_at} and result.count() > 0

@@ -1,3 +1,5 @@
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -45,3 +47,32 @@ def test_held_out_rows_teach_nothing(spark, docs):
     flipped = labels.withColumn("quality", F.when(held_out(), 1 - F.col("quality")).otherwise(F.col("quality")))
     a, b = (fit(features(docs(*rows)), x) for x in (labels, flipped))
     assert np.allclose(a.middle, b.middle) and np.allclose(a.classes[0][1], b.classes[0][1])
+
+
+def test_against_a_plain_discriminant(spark, small):
+    """The same densities from whole matrices, determinants and solved equations."""
+    documents, labels = table(spark, small, "documents"), table(spark, small, "labels")
+    texts = {r.doc_id: r.text for r in documents.select("doc_id", "text").collect()}
+    known = {r.doc_id: r.quality for r in labels.collect()}
+    taught = [i for i in texts if known.get(i) in (0, 1) and zlib.crc32(str(i).encode()) % 5]
+    x = statistics(pa.array([texts[i] for i in taught], pa.string()))
+    y = np.array([known[i] for i in taught])
+    middle, spread = x.mean(axis=0), np.sqrt(np.maximum(x.var(axis=0), 1e-8))
+    z = (x - middle) / spread
+    p, shrink, temper = len(NAMES), 0.05, 4.0
+
+    def density(v):
+        out = []
+        for k in (0, 1):
+            own = z[y == k]
+            cov = np.cov(own.T, bias=True)
+            cov = (1 - shrink) * cov + shrink * max(np.trace(cov) / p, 0.05) * np.eye(p)
+            d = v - own.mean(axis=0)
+            out.append(np.log((y == k).mean()) - 0.5 * np.linalg.slogdet(cov)[1] - 0.5 * (d * np.linalg.solve(cov, d.T).T).sum(axis=1))
+        return out
+
+    ids = sorted(texts)
+    low, high = density((statistics(pa.array([texts[i] for i in ids], pa.string())) - middle) / spread)
+    want = dict(zip(ids, 1 / (1 + np.exp(-np.clip((high - low) / temper, -500, 500))), strict=True))
+    got = {r.doc_id: r.score for r in quality(documents, labels).collect()}
+    assert set(got) == set(want) and all(abs(got[i] - want[i]) < 1e-6 for i in ids)
