@@ -2,6 +2,11 @@
 
 quality -> exact dedup -> near dedup -> PII -> packing.  Each stage takes (spark, docs,
 sf_dir); what it returns is written as Parquet and read again as the next one's docs.
+
+Edge cases, for all stages: an empty table gives an empty result; columns go through unchanged, whatever their
+names, up to the last stage; null and empty texts are documents like others (the classifier
+scores them, they equal each other as exact copies, have no shingles, hold no personal data and
+are one end id); a row without an id equals others by its text, and stays where it equals none.
 """
 
 from __future__ import annotations
@@ -9,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillstack.llm import exact_dedup, packing, parity_join, pseudonyms, quality
-from quillstack.llm.common import pseudonym_key, stored, table
+from quillstack.llm.common import forget_since, pseudonym_key, stored, table, tables_written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +50,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the documents; tables that a stage leaves are deleted once its result is written."""
+    docs, before = table(spark, sf_dir, "documents"), tables_written()
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        forget_since(spark, before, docs)
     return docs
