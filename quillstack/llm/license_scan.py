@@ -1,16 +1,18 @@
 """License texts in documents, by patience alignment.
 
-A template is a short list of words.  Where a window of a document, as long as the template,
-holds enough of its words, the window with a margin is aligned with the template: words that
-are unique in both are anchors, the longest increasing subsequence of anchors stays, and the
-gaps between its anchors are aligned the same way; a gap without anchors matches what it has
-in common at its front and its end.  Coverage is the share of the template's words matched.
+A template is a list of words.  A find is a stretch of a document, from a word of the template on and
+``spread`` times as long as the template at most, that aligned with the template covers enough of it:
+words that are unique in both are anchors, the longest increasing subsequence of anchors stays,
+and the gaps between its anchors are aligned the same way; a gap without anchors matches what
+it has in common at its front and its end.  Coverage is the share of the template's words matched.
+Marks of comments and lines (``//``, ``*``, ``#``, ``dnl``, ``rem``) are no words.
 Besides, the words that tell a licence from its neighbours (its name and version) must be among
 the matched ones, those of one phrase next to each other: "GNU Lesser General Public License"
 isn't the GNU General Public License.
 
-The window test loses nothing that reaches the coverage asked for without insertions, and the
-margin leaves room for as many insertions as the template has words.
+Stretches are aligned only where as many of the template's words as the coverage asks for lie
+within one; others cannot reach it, so the test loses no find.  A find inside one of a longer template
+(the two-clause BSD licence in the three-clause one) is dropped.
 
 Edge cases: null and empty texts, and texts of other words, have no match; a license may occur
 several times in a document and each time is counted; overlapping finds of one template count
@@ -33,7 +35,12 @@ from pyspark.sql import functions as F
 from .common import map_arrow
 from .tokens import slices
 
-COVERAGE = 0.8
+COVERAGE, SPREAD = 0.8, 2.0
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. ",
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. ",
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+)
 #: Public notices, as their publishers word them.
 TEMPLATES = {
     "MIT notice": "Released under the MIT License.",
@@ -49,6 +56,14 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+    "BSD-2-Clause": _BSD[0] + _BSD[2],
+    "BSD-3-Clause": _BSD[0] + _BSD[1] + _BSD[2],
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "LGPL-2.1": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "AGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
 }
 #: Phrases without which a text is under another licence; the text of MIT doesn't name it.
@@ -65,15 +80,20 @@ NAMES = {
     "BSD notice": ("bsd-style",),
     "MPL-2.0": ("mozilla public license", "2.0"),
     "Apache-2.0": ("apache license", "2.0"),
+    "BSD-3-Clause": ("neither the name of",),
+    "EPL-2.0": ("eclipse public license 2.0",),
+    "LGPL-2.1": ("gnu lesser general public license", "2.1"),
+    "AGPL-3.0": ("gnu affero general public license", "3"),
     "GPL-3.0": ("gnu general public license", "3"),
 }
 #: Other spellings of words in NAMES.
 SAME = {"3.0": "3", "v3": "3", "v3.0": "3", "2": "2.0", "v2": "2.0", "v2.0": "2.0", "4": "4.0", "v4": "4.0", "v4.0": "4.0", "bsd": "bsd-style", "licence": "license"}
-_EDGES = ".,;:!?()[]{}<>\"'*#$%&|"
+_EDGES = ".,;:!?()[]{}<>\"'*#$%&|/-=~"
+_COMMENT = ("", "dnl", "rem")
 
 
 def template_words(text: str) -> list[str]:
-    return [SAME.get(w, w) for w in (x.strip(_EDGES) for x in text.lower().split()) if w]
+    return [SAME.get(w, w) for w in (x.strip(_EDGES) for x in text.lower().split()) if w not in _COMMENT]
 
 
 def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -119,8 +139,8 @@ def patience(text: Sequence, template: Sequence) -> list[tuple[int, int]]:
 
 
 class Scanner:
-    def __init__(self, templates: dict[str, str], coverage: float):
-        self.coverage = coverage
+    def __init__(self, templates: dict[str, str], coverage: float, spread: float = SPREAD):
+        self.coverage, self.spread = coverage, spread
         self.templates = {k: template_words(t) for k, t in templates.items()}
         self.number = {w: i for i, w in enumerate(sorted({w for t in self.templates.values() for w in t}))}
         self.coded = {k: [self.number[w] for w in t] for k, t in self.templates.items()}
@@ -142,34 +162,46 @@ class Scanner:
         bounds = cut.offsets.to_numpy() - cut.offsets[0].as_py()
         coded = cut.flatten().dictionary_encode()
         plain = pc.utf8_trim(pc.utf8_lower(coded.dictionary), _EDGES).to_pylist()
-        code = np.array([self.number.get(SAME.get(w, w), -1) for w in plain], np.int64)[coded.indices.to_numpy(zero_copy_only=False)] if len(plain) else np.zeros(0, np.int64)
+        which = coded.indices.to_numpy(zero_copy_only=False)
+        real = np.array([w not in _COMMENT for w in plain], bool)[which] if len(plain) else np.zeros(0, bool)
+        place = np.flatnonzero(real)
+        code = np.array([self.number.get(SAME.get(w, w), -1) for w in plain], np.int64)[which[place]] if len(plain) else np.zeros(0, np.int64)
+        words, bounds = bounds, np.concatenate(([0], np.cumsum(real)))[bounds]
         hits = np.flatnonzero(code >= 0)
         out = []
         for name, template in self.coded.items():
             known = np.zeros(len(self.number) + 1, bool)
             known[template] = True
             at = hits[known[code[hits]]]
-            need = max(1, int(np.ceil(self.coverage * len(template) - 1e-9)))
+            need, size = max(1, int(np.ceil(self.coverage * len(template) - 1e-9))), self._stretch(template)
             if len(at) < need:
                 continue
-            # `need` known words in a row that lie within twice the template
-            dense = at[need - 1 :] - at[: len(at) - need + 1] < 2 * len(template)
-            seeds = np.flatnonzero(dense)
-            if not len(seeds):
-                continue
-            spans = np.column_stack((at[seeds] - len(template), at[seeds + need - 1] + len(template) + 1))
-            doc = np.searchsorted(bounds, at[seeds], side="right") - 1
-            fits = at[seeds + need - 1] < bounds[doc + 1]
+            # `need` known words in a row that lie within one stretch of one text
+            first, last = at[: len(at) - need + 1], at[need - 1 :]
+            doc = np.searchsorted(bounds, first, side="right") - 1
+            fits = (last - first < size) & (last < bounds[doc + 1])
             merged: list[list[int]] = []
-            for (lo, hi), k in zip(spans[fits].tolist(), doc[fits].tolist(), strict=True):
-                lo, hi = max(lo, int(bounds[k])), min(hi, int(bounds[k + 1]))
+            for lo, k in zip(first[fits].tolist(), doc[fits].tolist(), strict=True):
+                hi = min(lo + size, int(bounds[k + 1]))
                 if merged and merged[-1][2] == k and lo <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], hi)
+                    merged[-1][1] = hi
                 else:
                     merged.append([lo, hi, k])
             for lo, hi, k in merged:
-                out += self._within(code, lo, hi, k, name, template, int(bounds[k]))
-        return out
+                out += self._within(code, lo, hi, k, name, template, 0)
+        finds = [(k, name, int(place[a] - words[k]), int(place[b - 1] - words[k]) + 1, share) for k, name, a, b, share in self._outermost(out)]
+        return finds
+
+    def _stretch(self, template: list[int]) -> int:
+        return max(len(template), int(self.spread * len(template)))
+
+    def _outermost(self, finds: list[tuple[int, str, int, int, float]]) -> list[tuple[int, str, int, int, float]]:
+        """Finds that don't lie inside one with more matched words."""
+        of_doc: dict[int, list] = {}
+        for f in finds:
+            of_doc.setdefault(f[0], []).append((f, f[4] * len(self.coded[f[1]])))
+        inside = lambda f, g: g[2] <= f[2] and f[3] <= g[3]
+        return [f for own in of_doc.values() for f, n in own if not any(m > n and inside(f, g) for g, m in own)]
 
     def _within(self, code: np.ndarray, lo: int, hi: int, k: int, name: str, template: list[int], base: int) -> list[tuple[int, str, int, int, float]]:
         """Finds of one region: a window from each place where the template can start, best first, none overlapping."""
@@ -179,7 +211,7 @@ class Scanner:
         for start in range(len(region)):
             if region[start] < 0 or region[start] not in template:
                 continue
-            window = region[start : start + 2 * size]
+            window = region[start : start + self._stretch(template)]
             match = patience(window, template)
             if len(match) >= self.coverage * size - 1e-9 and self._named(name, match):
                 a, b = lo + start + match[0][0], lo + start + match[-1][0] + 1
@@ -196,21 +228,21 @@ class Scanner:
         return out
 
 
-def license_finds(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
+def license_finds(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, coverage: float = COVERAGE, spread: float = SPREAD) -> DataFrame:
     """One row per find: doc_id, license, first_word, last_word (exclusive), coverage."""
-    return _scanned(docs, id_col, text_col, templates, coverage).select("doc_id", F.explode("finds").alias("f")).select("doc_id", "f.*")
+    return _scanned(docs, id_col, text_col, templates, coverage, spread).select("doc_id", F.explode("finds").alias("f")).select("doc_id", "f.*")
 
 
-def license_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
+def license_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, coverage: float = COVERAGE, spread: float = SPREAD) -> DataFrame:
     """One row per document: doc_id, n_finds, licenses (sorted names), coverage (the best, 0 without a find)."""
     finds = F.col("finds")
     names = F.array_sort(F.array_distinct(F.transform(finds, lambda x: x["license"])))
     best = F.coalesce(F.array_max(F.transform(finds, lambda x: x["coverage"])), F.lit(0.0))
-    return _scanned(docs, id_col, text_col, templates, coverage).select("doc_id", F.size(finds).cast("long").alias("n_finds"), F.array_join(names, "; ").alias("licenses"), best.alias("coverage"))
+    return _scanned(docs, id_col, text_col, templates, coverage, spread).select("doc_id", F.size(finds).cast("long").alias("n_finds"), F.array_join(names, "; ").alias("licenses"), best.alias("coverage"))
 
 
-def _scanned(docs: DataFrame, id_col: str, text_col: str, templates: dict[str, str] | None, coverage: float) -> DataFrame:
-    scanner = Scanner(templates or TEMPLATES, coverage)
+def _scanned(docs: DataFrame, id_col: str, text_col: str, templates: dict[str, str] | None, coverage: float, spread: float) -> DataFrame:
+    scanner = Scanner(templates or TEMPLATES, coverage, spread)
     find = pa.struct([("license", pa.string()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("coverage", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
