@@ -14,6 +14,7 @@ from .functions import text as T
 from .operators import expand, headers, history, orders, places, rank, resolve, restore, scoring, sync
 from .plans.prefix_join import prefix_join
 from .queries import query, read
+from .sources import sinks
 from .sources import tables as S
 
 
@@ -552,3 +553,52 @@ def instruction_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT p_partkey, lower(regexp_replace(p_name, '[^A-Za-z0-9]', '', 'g')) AS key, row_number() OVER (ORDER BY length(regexp_replace(p_name, '[^A-Za-z0-9]', '', 'g')) DESC, p_partkey)::BIGINT AS place FROM part""")
 def longest_names_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank.longest_first(read(spark, sf_dir, "part", "p_partkey", "p_name"), "p_name", "p_partkey").select("p_partkey", "key", "place")
+
+
+# files
+
+
+@query("SELECT doc_id::VARCHAR AS case_id, 'r' || toxic AS run_id, quality = 1 AS ok, doc_id % 7 / 2.0::DOUBLE AS speed, CASE WHEN doc_id % 3 <> 0 THEN quality = 1 END AS gate, quality::DOUBLE AS composite FROM labels")
+def run_log_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log of cases, written in two appends and read again."""
+    id_, ok = F.col("doc_id"), F.col("quality") == 1
+    rows = read(spark, sf_dir, "labels").select(id_, _joined("r", _s("toxic")).alias("run_id"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("ts"), _s("doc_id").alias("case_id"), ok.alias("ok"), F.create_map(F.lit("speed"), id_ % 7 / 2).alias("metrics"), F.when(id_ % 3 != 0, F.create_map(F.lit("gate"), ok)).otherwise(F.create_map().cast("map<string,boolean>")).alias("gates"), F.col("quality").cast("double").alias("composite"))
+    path = sinks.scratch(spark, "log")
+    for odd in (0, 1):
+        sinks.append_log(rows.filter(id_ % 2 == odd).drop("doc_id"), path)
+    log = S.run_log(spark, path)
+    return log.select("case_id", "run_id", "ok", log["metrics"]["speed"].alias("speed"), F.try_element_at("gates", F.lit("gate")).alias("gate"), "composite")
+
+
+@query("SELECT CASE n_nationkey % 3 WHEN 0 THEN 'bol' WHEN 1 THEN 'receiving' ELSE 'shipping' END AS kind, n_name AS name, n_regionkey::VARCHAR AS region, CASE n_nationkey % 2 WHEN 0 THEN 'a.png,b.png' ELSE 'c.png' END AS logos FROM nation")
+def presets_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Presets as one JSON object, written as a file and read again; keys without a kind are of the default one."""
+    k = F.col("n_nationkey")
+    key = F.when(k % 3 == 0, T.preset_key(F.lit("bol"), "n_name")).when(k % 3 == 1, T.preset_key(F.lit("receiving"), "n_name")).otherwise(F.col("n_name"))
+    many = F.when(k % 2 == 0, F.array(F.lit("a.png"), F.lit("b.png"))).otherwise(F.array().cast("array<string>"))
+    value = F.struct(F.create_map(F.lit("region"), _s("n_regionkey")).alias("fields"), many.alias("logos"), F.lit("c.png").alias("logo"))
+    path = sinks.scratch(spark, "presets")
+    sinks.text_file(sinks.map_json(read(spark, sf_dir, "nation").select(key.alias("key"), value.alias("value")), "key", "value"), path)
+    found = S.presets_file(spark, path)
+    return found.select("kind", "name", found["fields"]["region"].alias("region"), F.array_join("logos", ",").alias("logos"))
+
+
+@query("SELECT n_nationkey AS ordinal, n_name AS name FROM nation ORDER BY n_nationkey LIMIT 12")
+def remembered_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A JSON list of names in which the later half repeats the first: the first of each key, and twelve at most."""
+    names = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("o"), F.col("n_name").alias("v"))
+    again = names.select((F.col("o") + 1000).alias("o"), F.concat(F.lit(" "), F.lower("v")).alias("v"))
+    path = sinks.scratch(spark, "names")
+    sinks.text_file(names.union(again).agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("o", "v"))), lambda x: x["v"])).alias("value")), path)
+    return S.list_file(spark, path, 12).select(F.col("ordinal").cast("long").alias("ordinal"), "name")
+
+
+@query("SELECT 'k' || n_regionkey AS kind, n_nationkey::VARCHAR AS id, 1::BIGINT AS files, length(n_name) + 1 AS bytes FROM nation")
+def listed_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects below kind and id, listed with their sizes; files of another ending aren't images."""
+    path = sinks.scratch(spark, "objects")
+    n = read(spark, sf_dir, "nation").select(_joined("k", _s("n_regionkey")).alias("kind"), _s("n_nationkey").alias("id"), F.col("n_name").alias("value"))
+    n.write.partitionBy("kind", "id").text(path)
+    found = S.stored_objects(spark, path).filter(F.col("file").startswith("part-"))
+    images = S.images(spark, path).select(F.element_at(F.split("path", "/"), -1).alias("file"))
+    return found.join(images, "file", "left_anti").groupBy("kind", "id").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))

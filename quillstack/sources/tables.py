@@ -75,9 +75,9 @@ def images(spark: SparkSession, path: str, glob: str = "*.{png,jpg,jpeg,webp,gif
 
 
 def stored_objects(spark: SparkSession, path: str) -> DataFrame:
-    """Objects kept as kind/id/file below a folder: kind, id, file, length."""
+    """Objects kept as kind/id/file, or kind=.../id=.../file, below a folder: kind, id, file, length."""
     parts = F.split("path", "/")
-    at = lambda i: F.element_at(parts, i)
+    at = lambda i: F.regexp_replace(F.element_at(parts, i), "^(?:kind|id)=", "")
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(at(-3).alias("kind"), at(-2).alias("id"), at(-1).alias("file"), "length")
 
 
