@@ -14,7 +14,7 @@ from .functions import text as T
 from .operators import expand, headers, history, orders, places, rank, resolve, restore, scoring, sync
 from .plans.prefix_join import prefix_join
 from .queries import query, read
-from .sources import sinks
+from .sources import office, sinks
 from .sources import tables as S
 
 
@@ -602,3 +602,31 @@ def listed_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = S.stored_objects(spark, path).filter(F.col("file").startswith("part-"))
     images = S.images(spark, path).select(F.element_at(F.split("path", "/"), -1).alias("file"))
     return found.join(images, "file", "left_anti").groupBy("kind", "id").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
+
+
+_SHEET = f"WITH {_LINES_SQL} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1)::INT AS row, n || '|' || 'Part ' || p || ' <&>' || '|' || q AS line FROM l"
+
+
+def _sheet_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _order_lines(spark, sf_dir).select("doc_id", "n", _joined("Part ", _s("p"), " <&>").alias("part"), "q")
+
+
+@query(_SHEET)
+def sheet_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sheet for each order, written as XLSX and read again."""
+    found = office.files(_sheet_rows(spark, sf_dir), "doc_id", "n", ["n", "part", "q"], office.xlsx)
+    return office.cells(found, "doc_id", office.xlsx_rows).select("doc_id", "row", F.array_join("cells", "|").alias("line"))
+
+
+@query(_SHEET)
+def label_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of labels for each order, written as DOCX and read again."""
+    found = office.files(_sheet_rows(spark, sf_dir), "doc_id", "n", ["n", "part", "q"], office.docx)
+    return office.cells(found, "doc_id", office.docx_rows).select("doc_id", "row", F.array_join("cells", "|").alias("line"))
+
+
+@query(f"WITH {_LINES_SQL} SELECT doc_id, string_agg('Line ' || n || chr(10) || '(Part ' || p || ') x' || q, chr(10) ORDER BY n) AS text FROM l GROUP BY 1")
+def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page for each line of an order, written as PDF, and the text of it."""
+    pages = _order_lines(spark, sf_dir).select("doc_id", "n", _joined("Line ", _s("n")).alias("head"), _joined("(Part ", _s("p"), ") x", _s("q")).alias("body"))
+    return office.texts(office.files(pages, "doc_id", "n", ["head", "body"], office.pdf), "doc_id")
