@@ -20,7 +20,14 @@ Sets that are equal are one class from the start.  In each group of equal blocks
 are first compared with the smallest class only, and what is linked becomes one component;
 after that, pairs of one group in different components are compared, all of them.  Copies are
 thus never expanded into pairs, and no group is gathered in a task: groups are aggregated
-before the shuffle, and rows meet their group in joins that Spark can split.
+before the shuffle, and rows meet their group in joins that Spark can split.  A group of more
+than ``crowd`` sets in different components, as a passage makes that many texts share, isn't
+compared: the sets of such groups meet by their rarest blocks instead (``_uncrowded``).  What stays quadratic is
+a crowd of texts that are so largely made of one passage that too few other blocks are left: with
+about two thirds or more in common, short of the 0.8 that links them.
+
+Sets are kept as 64-bit hashes of their shingles, and sets are taken as equal if their sizes and two
+64-bit hashes of all shingles are; a false link needs a collision of such hashes.
 
 Edge cases: null and empty texts and texts of spaces have an empty set and link with nothing;
 a text of fewer than ``width`` words is one shingle; repeated rows and repeated ids are
@@ -37,7 +44,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import forget, map_arrow, release, stored
@@ -45,6 +52,7 @@ from .tokens import slices
 
 WIDTH = 5
 NUM, DEN = 4, 5
+CROWD = 512
 BITS = [f"k{i}" for i in range(8)]
 _P = np.uint64(0x9E3779B97F4A7C15)
 _U = np.uint64
@@ -100,12 +108,21 @@ def _level(d: np.ndarray) -> np.ndarray:
 
 
 def signatures(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(block hashes of all sets, offsets of each)."""
+    """(signatures of all sets, offsets of each): of each list of ``signature_lists`` as many as it needs."""
+    owner, _, rank, need, sig = signature_lists(hashes, bounds)
+    first = rank < need
+    return sig[first], np.concatenate(([0], np.cumsum(np.bincount(owner[first], minlength=len(bounds) - 1))))
+
+
+def signature_lists(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(owner, list, rank, need, signature), by owner: the blocks that aren't empty of each level, and the
+    hashes of sets with too few of them, in order.  Sets that are similar enough have a signature in common
+    among the first ``need`` of a list, in this or any other order that is the same for all sets."""
     n = np.diff(bounds)
     lowest, highest = _most(n, -(-n * NUM // DEN)), _most(n, n * DEN // NUM)
     doc = np.repeat(np.arange(len(n)), n)
     value = _mix(hashes ^ _P)
-    owners, out = [], []
+    found: list[tuple[np.ndarray, ...]] = []
     levels = _level(highest)
 
     def emit(own: np.ndarray, level: np.ndarray, d: np.ndarray) -> None:
@@ -124,16 +141,15 @@ def signatures(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
         owner, block = of[first], block[first]
         filled = np.bincount(owner, minlength=len(n))
         rank = np.arange(len(owner)) - np.repeat(np.cumsum(filled) - filled, filled)
-        keep = rank <= d_of[owner]
-        owner, j = owner[keep], j_of[owner[keep]].astype(np.uint64)
-        owners.append(owner)
-        out.append(_mix(held[keep] ^ _mix((block[keep] << _U(8)) ^ j)))
+        j = j_of[owner].astype(np.uint64)
+        found.append((owner, 2 * j_of[owner], rank, d_of[owner] + 1, _mix(held ^ _mix((block << _U(8)) ^ j))))
         short = (d_of > 0) & (filled <= d_of)
         if short.any():
-            start = np.arange(len(h)) - np.repeat((np.cumsum(np.bincount(of, minlength=len(n))) - np.bincount(of, minlength=len(n))), np.bincount(of, minlength=len(n)))
-            least = short[of] & (start <= d_of[of])
-            owners.append(of[least])
-            out.append(_mix(v[least] + j_of[of[least]].astype(np.uint64) + _U(0x5851F42D4C957F2D)))
+            size = np.bincount(of, minlength=len(n))
+            place = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)
+            least = short[of]
+            of, place, v = of[least], place[least], v[least]
+            found.append((of, 2 * j_of[of] + 1, place, d_of[of] + 1, _mix(v + j_of[of].astype(np.uint64) + _U(0x5851F42D4C957F2D))))
 
     with np.errstate(over="ignore"):
         has = np.flatnonzero(highest > 0)
@@ -144,11 +160,12 @@ def signatures(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
             top = (2.0 ** _level(lowest[below]) / 1.2).astype(np.int64) - 1
             top = np.where(_level(top + 1) == _level(lowest[below]), top + 1, top)
             emit(below, _level(lowest[below]), np.minimum(top, highest[below]))
-    if not out:
-        return np.zeros(0, np.uint64), np.zeros(len(n) + 1, np.int64)
-    owner, sig = np.concatenate(owners), np.concatenate(out)
-    order = np.argsort(owner, kind="stable")
-    return sig[order], np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(n)))))
+    if not found:
+        none = np.zeros(0, np.int64)
+        return none, none, none, none, np.zeros(0, np.uint64)
+    whole = [np.concatenate(x) for x in zip(*found, strict=True)]
+    order = np.argsort(whole[0], kind="stable")
+    return tuple(x[order] for x in whole)
 
 
 def sketches(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -167,6 +184,17 @@ def _lists(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values.view(np.int64)))
 
 
+def _checksums(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Two 64-bit hashes of each set."""
+    out = np.zeros((2, len(bounds) - 1), np.uint64)
+    filled = np.diff(bounds) > 0
+    if len(h):
+        with np.errstate(over="ignore"):
+            out[0, filled] = np.bitwise_xor.reduceat(_mix(h + _U(1)), bounds[:-1][filled])
+            out[1, filled] = np.add.reduceat(_mix(h + _U(2)), bounds[:-1][filled])
+    return out
+
+
 def described(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, n, two hashes of the set, its bits and its block hashes, without a shuffle."""
 
@@ -175,12 +203,7 @@ def described(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             for part in slices(batch, "text"):
                 h, bounds = shingles(part.column("text"), width)
                 n = np.diff(bounds)
-                sums = np.zeros((2, len(n)), np.uint64)
-                if len(h):
-                    filled = n > 0
-                    with np.errstate(over="ignore"):
-                        sums[0, filled] = np.bitwise_xor.reduceat(_mix(h + _U(1)), bounds[:-1][filled])
-                        sums[1, filled] = np.add.reduceat(_mix(h + _U(2)), bounds[:-1][filled])
+                sums = _checksums(h, bounds)
                 bits, wide, ends = sketches(h, bounds)
                 arrays = [part.column("doc_id"), pa.array(n), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(8)), _lists(wide, ends), _lists(*signatures(h, bounds))]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n", "s1", "s2", *BITS, "wide", "blocks"])
@@ -198,6 +221,35 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     return map_arrow(docs, run, "doc_id long, h array<long>")
 
 
+def _whole_lists(docs: DataFrame, width: int) -> DataFrame:
+    """cls, s1, list, rank, need, sig: all signatures of the documents, not only those needed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                h, bounds = shingles(part.column("text"), width)
+                owner, kind, rank, need, sig = signature_lists(h, bounds)
+                own = _checksums(h, bounds)[0]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(owner)), pa.array(own.view(np.int64)[owner]), pa.array(kind), pa.array(rank), pa.array(need), pa.array(sig.view(np.int64))], ["cls", "s1", "list", "rank", "need", "sig"])
+
+    return map_arrow(docs, run, "cls long, s1 long, list long, rank long, need long, sig long")
+
+
+def _uncrowded(docs: DataFrame, width: int, members: DataFrame, crowds: DataFrame) -> DataFrame:
+    """Memberships (sig, cls) that take the place of those in crowds, groups that are too large to compare.
+
+    A crowd is what a passage makes that many different texts hold.  Both sets of a pair that meets in a
+    crowd are in one, so it is enough to join the sets of crowds with each other, and that in
+    another order of signatures: the rarest among these sets first.  What the passage gives is then
+    taken only by sets that have too little else."""
+    moved = stored(members.join(crowds, "sig", "left_semi").select("cls").distinct(), "join-moved")
+    lists = stored(_whole_lists(docs.join(moved, docs["doc_id"] == moved["cls"], "left_semi"), width), "join-lists")
+    common = stored(lists.groupBy("sig").agg(F.count("*").alias("often")).filter("often > 1"), "join-common")
+    ranked = lists.join(common, "sig", "left").withColumn("often", F.coalesce("often", F.lit(1)))
+    at = F.row_number().over(Window.partitionBy("cls", "s1", "list").orderBy("often", "sig"))
+    return ranked.withColumn("at", at).filter("at <= need and often > 1").select("sig", "cls").distinct()
+
+
 def _possible(a: str, b: str) -> Column:
     """The bounds on sizes and on the Hamming distance of two rows."""
     sizes = F.least(f"{a}.n", f"{b}.n") * DEN >= F.greatest(f"{a}.n", f"{b}.n") * NUM
@@ -259,8 +311,9 @@ def components(edges: DataFrame) -> DataFrame:
         known = now
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, crowd: int = CROWD) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id. ``crowd``: size from which a group of equal blocks whose
+    sets aren't linked is split; it changes the work, never the result."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = stored(described(docs, width), "join-rows")
     keys = stored(rows.select("doc_id", "n", "s1", "s2"), "join-keys")
@@ -289,10 +342,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = stored(_verified(stars, docs, width), "join-links")
     roots = components(links)
 
-    labelled = members.select("sig", "cls").join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").select("sig", "cls", F.coalesce("root", "cls").alias("root"))
+    of_node = roots.select(F.col("node").alias("cls"), "root")
+    labelled = members.select("sig", "cls").join(of_node, "cls", "left").select("sig", "cls", F.coalesce("root", "cls").alias("root"))
     labelled = stored(labelled, "join-labelled")
-    mixed = labelled.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("sig")
-    apart = labelled.join(stored(mixed, "join-mixed"), "sig", "left_semi")
+    mixed = labelled.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c")).filter("lo < hi")
+    mixed = stored(mixed.select("sig", "c"), "join-mixed")
+    apart = labelled.join(mixed.filter(F.col("c") <= crowd), "sig", "left_semi")
+    crowds = stored(mixed.filter(F.col("c") > crowd).select("sig"), "join-crowds")
+    if not crowds.isEmpty():
+        more = _uncrowded(docs, width, members, crowds).join(of_node, "cls", "left").select("sig", "cls", F.coalesce("root", "cls").alias("root"))
+        more = stored(more, "join-uncrowded")
+        split = more.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("sig")
+        apart = apart.union(more.join(split, "sig", "left_semi"))
     apart = stored(with_bits(apart, "cls", "k", *BITS), "join-apart")
     x, y = (apart.select("sig", F.col("cls").alias(a), F.col("root").alias(f"r{a}"), F.col("k").alias(k)) for a, k in (("a", "x"), ("b", "y")))
     crossing = x.join(y, (x["sig"] == y["sig"]) & (x["a"] < y["b"]) & (x["ra"] != y["rb"]) & _possible("x", "y")).select("a", "b").distinct()

@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 
 from quillstack.llm.common import table
-from quillstack.llm.parity_join import components, near_duplicates, representatives, shingles, signatures, sketches
+from quillstack.llm.parity_join import components, near_duplicates, representatives, shingles, signature_lists, signatures, sketches
 
 
 def sets_of(rows):
@@ -65,6 +65,46 @@ def test_against_brute_force(docs, seed):
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize("crowd", [3, 12])
+def test_crowds_against_brute_force(docs, crowd):
+    """Groups that hold a passage of half their words, with copies among them, and hardly any limit for a group."""
+    rng = random.Random(crowd)
+    words = [f"w{i}" for i in range(5_000)]
+    rows, i = [], 0
+    for size, share in ((120, 0.3), (120, 0.5), (40, 0.6), (300, 0.7), (9, 0.5)):
+        passage = rng.choices(words, k=int(size * share))
+        for _ in range(16):
+            own = rng.choices(words, k=size - len(passage))
+            at = rng.randrange(len(own) + 1)
+            text = own[:at] + passage + own[at:]
+            for _ in range(rng.choice((1, 1, 2, 3))):
+                rows.append((i, " ".join(text)))
+                i += 1
+                text = list(text)
+                text[rng.randrange(len(text))] = "edit"
+    rows += near_copies(3)[:40]
+    rows = [(k, t) for k, (_, t) in enumerate(rows)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(docs(*rows), crowd=crowd).collect()}
+    assert got == brute(rows)
+
+
+def test_any_order_of_signatures_keeps_similar_sets_together():
+    """Whatever is put last, the first needed ones of two similar sets have one in common."""
+    rng = np.random.default_rng(4)
+    for n in [*range(4, 60, 3), 200, 900]:
+        a = np.unique(rng.integers(0, 2**64, n, np.uint64))
+        b = np.sort(rng.permutation(a)[: len(a) - len(a) // 5])
+        owner, kind, rank, need, sig = signature_lists(np.concatenate((a, b)), np.array([0, len(a), len(a) + len(b)]))
+        last = set(sig[rng.random(len(sig)) < 0.6].tolist())
+        first = [set(), set()]
+        for o in (0, 1):
+            for k in np.unique(kind[owner == o]):
+                own = np.flatnonzero((owner == o) & (kind == k))
+                turn = sorted(own, key=lambda i: (sig[i] in last, rank[i]))
+                first[o] |= {sig[i] for i in turn[: need[own[0]]]}
+        assert first[0] & first[1] or len(a) == len(b)
+
+
 def test_small_table_against_brute_force(spark, small):
     frame = table(spark, small, "documents")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(frame).collect()}
