@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import differs, first_filled, let, number_spec, prefer, squeeze, trim_ws
+from ..plans.components import kept
 
 # How notes and references are written.
 LINE_NOTE = r"(?i)Order\s+Line\s+Notes:\s*CPO\s*(?:LINES?\s*)?#?\s*([0-9]+(?:\s*[-,]\s*[0-9]+)*)"
@@ -127,7 +128,7 @@ def warnings(documents: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
     no_notes; no_quantity, duplicate and duplicate_incomplete with the reference; nothing_parsed; no_po; and
     po_differs with the numbers beside the lines where one isn't the header's."""
-    lines = all_lines(documents, key, text)
+    lines = kept(all_lines(documents, key, text))
     of_line = lines.filter("not counted").select(key, F.lit("no_quantity").alias("kind"), F.col("cpo_display").alias("detail"))
     seen = lines.join(first_lines(lines, key).select(key, "cpo_display", F.col("ordinal").alias("first"), (F.col("reason") == "").alias("complete")), [key, "cpo_display"]).filter("ordinal <> first")
     repeated = seen.select(key, F.when(F.col("reason") == "", "duplicate").otherwise("duplicate_incomplete").alias("kind"), F.col("cpo_display").alias("detail"))

@@ -16,6 +16,7 @@ from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 Rows = list[list[str]]
 _HEAD = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n'
@@ -89,7 +90,7 @@ def pdf(pages: Rows) -> bytes:
     return bytes(out)
 
 
-_STREAM = re.compile(rb"<<(?P<d>(?:[^<>]|<[^<]|<<[^<>]*>>)*)>>\s*stream\r?\n(?P<s>.*?)\r?\nendstream", re.S)
+_STREAM = re.compile(rb"<<(?P<d>(?:[^<>]|<[^<]|<<[^<>]*>>)*)>>\s*stream\r?\n", re.S)
 _SHOWN = re.compile(rb"\((?P<t>(?:\\.|[^\\()])*)\)|(?P<o>Tj|TJ|T\*|Td|TD|Tm|'|\")", re.S)
 
 
@@ -97,7 +98,9 @@ def pdf_text(data: bytes) -> str:
     """The text of a PDF's content streams, line by line, where fonts use Latin codes."""
     lines = []
     for m in _STREAM.finditer(data):
-        body = m["s"]
+        length = re.search(rb"/Length\s+(\d+)", m["d"])
+        stop = m.end() + int(length[1]) if length else data.find(b"endstream", m.end())
+        body = data[m.end() : stop]
         if b"FlateDecode" in m["d"]:
             try:
                 body = zlib.decompress(body)
@@ -117,14 +120,17 @@ def pdf_text(data: bytes) -> str:
 
 
 def files(rows: DataFrame, key: str, order: str, columns: list[str], made: Callable[[Rows], bytes]) -> DataFrame:
-    """key, content: one file from the rows of each key, in an order; nulls are empty."""
+    """key, content: one file from the rows of each key, in an order; nulls are empty. A file's rows are
+    brought together as one value, as they are in the file."""
     kind = rows.schema[key].dataType.simpleString()
+    texts_ = F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+    lines = rows.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), texts_.alias("v")))), lambda x: x["v"]).alias("lines"))
 
-    def make(keys: tuple, p: pd.DataFrame) -> pd.DataFrame:
-        cells = p.sort_values(order)[columns].astype(object)
-        return pd.DataFrame({key: [keys[0]], "content": [made(cells.where(cells.notna(), "").astype(str).values.tolist())]})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({key: b[key], "content": [made([list(row) for row in p]) for p in b["lines"]]})
 
-    return rows.select(key, *dict.fromkeys([order, *columns])).groupBy(key).applyInPandas(make, f"{key} {kind}, content binary")
+    return lines.mapInPandas(run, f"{key} {kind}, content binary")
 
 
 def texts(found: DataFrame, key: str) -> DataFrame:
