@@ -11,7 +11,8 @@ the matched ones, those of one phrase next to each other: "GNU Lesser General Pu
 isn't the GNU General Public License.
 
 Stretches are aligned only where as many of the template's words as the coverage asks for lie
-within one; others cannot reach it, so the test loses no find.  A find inside one of a longer template
+within one, each word counted as often as the template has it; others cannot reach it, so the test
+loses no find.  A find inside one of a longer template
 (the two-clause BSD licence in the three-clause one) is dropped.
 
 Edge cases: null and empty texts, and texts of other words, have no match; a license may occur
@@ -170,25 +171,24 @@ class Scanner:
         hits = np.flatnonzero(code >= 0)
         out = []
         for name, template in self.coded.items():
-            known = np.zeros(len(self.number) + 1, bool)
-            known[template] = True
-            at = hits[known[code[hits]]]
+            times = np.bincount(template, minlength=len(self.number) + 1)
+            at = hits[times[code[hits]] > 0]
             need, size = max(1, int(np.ceil(self.coverage * len(template) - 1e-9))), self._stretch(template)
             if len(at) < need:
                 continue
-            # `need` known words in a row that lie within one stretch of one text
-            first, last = at[: len(at) - need + 1], at[need - 1 :]
-            doc = np.searchsorted(bounds, first, side="right") - 1
-            fits = (last - first < size) & (last < bounds[doc + 1])
-            merged: list[list[int]] = []
-            for lo, k in zip(first[fits].tolist(), doc[fits].tolist(), strict=True):
-                hi = min(lo + size, int(bounds[k + 1]))
-                if merged and merged[-1][2] == k and lo <= merged[-1][1]:
-                    merged[-1][1] = hi
-                else:
-                    merged.append([lo, hi, k])
-            for lo, hi, k in merged:
-                out += self._within(code, lo, hi, k, name, template, 0)
+            # how many of the template's words a stretch from each place can match: a word counts as often as
+            # the template has it, so an occurrence counts from behind the one so many before it
+            order = np.lexsort((at, code[at]))
+            p, word = at[order], code[at][order]
+            rank = np.arange(len(p)) - np.searchsorted(word, word)
+            before = np.where(rank >= times[word], p[np.maximum(np.arange(len(p)) - times[word], 0)], -1)
+            own = np.searchsorted(bounds, p, side="right") - 1
+            low = np.maximum(np.maximum(before + 1, p - size + 1), bounds[own])
+            change = np.bincount(low, minlength=len(code) + 1) - np.bincount(p + 1, minlength=len(code) + 1)
+            starts = at[np.cumsum(change)[at] >= need]
+            doc = np.searchsorted(bounds, starts, side="right") - 1
+            for k in np.unique(doc).tolist():
+                out += self._within(code, starts[doc == k].tolist(), int(bounds[k + 1]), k, name, template)
         finds = [(k, name, int(place[a] - words[k]), int(place[b - 1] - words[k]) + 1, share) for k, name, a, b, share in self._outermost(out)]
         return finds
 
@@ -203,18 +203,14 @@ class Scanner:
         inside = lambda f, g: g[2] <= f[2] and f[3] <= g[3]
         return [f for own in of_doc.values() for f, n in own if not any(m > n and inside(f, g) for g, m in own)]
 
-    def _within(self, code: np.ndarray, lo: int, hi: int, k: int, name: str, template: list[int], base: int) -> list[tuple[int, str, int, int, float]]:
-        """Finds of one region: a window from each place where the template can start, best first, none overlapping."""
+    def _within(self, code: np.ndarray, starts: list[int], stop: int, k: int, name: str, template: list[int]) -> list[tuple[int, str, int, int, float]]:
+        """Finds of one text: a stretch from each start, the best first, none overlapping."""
         size = len(template)
-        region = code[lo:hi].tolist()
         tried, found = set(), []
-        for start in range(len(region)):
-            if region[start] < 0 or region[start] not in template:
-                continue
-            window = region[start : start + self._stretch(template)]
-            match = patience(window, template)
+        for start in starts:
+            match = patience(code[start : min(start + self._stretch(template), stop)].tolist(), template)
             if len(match) >= self.coverage * size - 1e-9 and self._named(name, match):
-                a, b = lo + start + match[0][0], lo + start + match[-1][0] + 1
+                a, b = start + match[0][0], start + match[-1][0] + 1
                 if (a, b) not in tried:
                     tried.add((a, b))
                     found.append((len(match) / size, b - a, a, b))
@@ -224,7 +220,7 @@ class Scanner:
         for share, _, a, b in found:
             if all(b <= c or d <= a for c, d in taken):
                 taken.append((a, b))
-                out.append((k, name, a - base, b - base, share))
+                out.append((k, name, a, b, share))
         return out
 
 
