@@ -40,6 +40,7 @@ from .tokens import crc32_of, gather, slices
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 CACHED = 300_000
+SLICE = 8 << 20  # bytes of text whose distinct words are looked up together
 _CHUNKS = re.compile(f"{MARK}+[^{MARK}]*")
 _BY_PATH: dict[str, PieceCodec] = {}
 _OF_TYPE: dict[str, PieceCodec] = {}
@@ -322,7 +323,7 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 ids, offsets = library_codec(path).encode(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.astype(np.int32)))], ["doc_id", "ids"])
 
@@ -351,7 +352,7 @@ def round_trip(docs: DataFrame, model: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 own = library_codec(path)
                 ids, offsets = own.encode(part.column("text"))
                 raw, at = own.decode(ids, offsets)
