@@ -7,7 +7,9 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,7 +33,32 @@ def shared_path(spark: SparkSession, what: str) -> str:
     return f"{shared_folder(spark)}/quillstack/{what}-{uuid.uuid4().hex}"
 
 
-_WRITTEN: list[str] = []
+class Tables:
+    """The tables that one job has written and not deleted; jobs within it add those they leave."""
+
+    def __init__(self) -> None:
+        self.paths: set[str] = set()
+
+    def forget(self, spark: SparkSession, *keep: DataFrame) -> None:
+        """Deletes them, but for those of the frames to keep: when nothing else is read any more."""
+        for path in self.paths - {f._stored_at for f in keep}:
+            _delete(spark, path)
+
+
+_JOB: ContextVar[Tables | None] = ContextVar("job", default=None)
+
+
+@contextmanager
+def job() -> Iterator[Tables]:
+    """Tables stored within are this job's. Other jobs of the session, in threads of their own, have theirs."""
+    own, outer = Tables(), _JOB.get()
+    token = _JOB.set(own)
+    try:
+        yield own
+    finally:
+        _JOB.reset(token)
+        if outer is not None:
+            outer.paths |= own.paths
 
 
 def stored(frame: DataFrame, what: str) -> DataFrame:
@@ -39,7 +66,8 @@ def stored(frame: DataFrame, what: str) -> DataFrame:
     executor costs no recomputation of what stands above."""
     path = shared_path(frame.sparkSession, what)
     frame.write.parquet(path)
-    _WRITTEN.append(path)
+    if (own := _JOB.get()) is not None:
+        own.paths.add(path)
     out = frame.sparkSession.read.schema(frame.schema).parquet(path)
     out._stored_at = path
     return out
@@ -48,7 +76,8 @@ def stored(frame: DataFrame, what: str) -> DataFrame:
 def _delete(spark: SparkSession, path: str) -> None:
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-    _WRITTEN.remove(path)
+    if (own := _JOB.get()) is not None:
+        own.paths.discard(path)
 
 
 def forget(frame: DataFrame) -> None:
@@ -56,20 +85,9 @@ def forget(frame: DataFrame) -> None:
     _delete(frame.sparkSession, frame._stored_at)
 
 
-def tables_written() -> set[str]:
-    """Places of the tables that ``stored`` has written and nobody has deleted."""
-    return set(_WRITTEN)
-
-
-def forget_since(spark: SparkSession, before: set[str], *keep: DataFrame) -> None:
-    """Deletes the tables written since ``before``, but for those of the frames to keep: for the end of a
-    job, when its result is written down."""
-    for path in tables_written() - before - {f._stored_at for f in keep}:
-        _delete(spark, path)
-
-
 def release(frame: DataFrame) -> None:
-    """Lets Spark's cleaner see that shuffles of finished tables are no longer needed, and delete their files."""
+    """Collects the driver's garbage, as Spark deletes the files of a shuffle only once the driver has dropped
+    its last reference to it: without this, shuffles of all finished tables of a job lie on the disks together."""
     gc.collect()
     frame.sparkSession.sparkContext._jvm.System.gc()
 

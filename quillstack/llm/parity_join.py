@@ -30,10 +30,10 @@ Sets are kept as 64-bit hashes of their shingles, and sets are taken as equal if
 64-bit hashes of all shingles are; a false link needs a collision of such hashes.
 
 Edge cases: null and empty texts and texts of spaces have an empty set and link with nothing;
-a text of fewer than ``width`` words is one shingle; repeated rows and repeated ids are
-linked like any other equal texts; rows of one id with different texts count as one document for
-links, with a size each; rows with a null id belong to the component of documents with
-an equal set, else to none; an empty table gives an empty result; other columns are ignored.
+a text of fewer than ``width`` words is one shingle; repeated rows are linked like any other equal
+texts; rows of one id with different texts are documents of their own, with a size and a component
+each; rows with a null id belong to the component of documents with an equal set, else to none,
+and link nothing; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -47,7 +47,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import forget, map_arrow, release, stored
+from .common import forget, free_names, job, map_arrow, release, stored
 from .tokens import slices
 
 WIDTH = 5
@@ -196,7 +196,7 @@ def _checksums(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def described(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, n, two hashes of the set, its bits and its block hashes, without a shuffle."""
+    """doc_id, t (hash of the text), n, two hashes of the set, its bits and its block hashes, without a shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,49 +205,80 @@ def described(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 n = np.diff(bounds)
                 sums = _checksums(h, bounds)
                 bits, wide, ends = sketches(h, bounds)
-                arrays = [part.column("doc_id"), pa.array(n), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(8)), _lists(wide, ends), _lists(*signatures(h, bounds))]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n", "s1", "s2", *BITS, "wide", "blocks"])
+                arrays = [part.column("doc_id"), part.column("t"), pa.array(n), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(8)), _lists(wide, ends), _lists(*signatures(h, bounds))]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "t", "n", "s1", "s2", *BITS, "wide", "blocks"])
 
-    schema = "doc_id long, n long, s1 long, s2 long, " + ", ".join(f"{k} long" for k in BITS) + ", wide array<long>, blocks array<long>"
-    return map_arrow(docs, run, schema)
+    schema = "doc_id long, t long, n long, s1 long, s2 long, " + ", ".join(f"{k} long" for k in BITS) + ", wide array<long>, blocks array<long>"
+    return map_arrow(docs.select("doc_id", "t", "text"), run, schema)
 
 
-def _sets(docs: DataFrame, width: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), _lists(*shingles(part.column("text"), width))], ["doc_id", "h"])
+class _Texts:
+    """Whole texts of sets, read again where they are needed: from the row whose id and text hash stand for the set."""
 
-    return map_arrow(docs, run, "doc_id long, h array<long>")
+    def __init__(self, docs: DataFrame, keys: DataFrame, classes: DataFrame, width: int):
+        self.docs, self.classes, self.width = docs, classes, width
+        again = keys.groupBy("doc_id", "t").agg(F.count("*").alias("rows")).filter("rows > 1").select("doc_id", "t")
+        self.again = stored(again.withColumn("often", F.lit(True)), "join-again")
+        self.repeats = not self.again.isEmpty()
 
+    def _of(self, nodes: DataFrame) -> DataFrame:
+        """node, s1, often (the row occurs repeatedly) and text of all rows that stand for the nodes."""
+        wanted = nodes.join(self.classes.select("node", "doc_id", "t", "s1"), "node")
+        wanted = wanted.join(self.again, ["doc_id", "t"], "left") if self.repeats else wanted.withColumn("often", F.lit(None).cast("boolean"))
+        return self.docs.join(stored(wanted, "join-asked"), ["doc_id", "t"]).select("node", "s1", F.coalesce("often", F.lit(False)).alias("often"), "text")
 
-def _whole_lists(docs: DataFrame, width: int) -> DataFrame:
-    """cls, s1, list, rank, need, sig: all signatures of the documents, not only those needed."""
+    def _once(self, found: DataFrame, *keys: str) -> DataFrame:
+        """One row of each that repeated rows gave."""
+        if not self.repeats:
+            return found.drop("often")
+        return found.filter("not often").drop("often").union(found.filter("often").dropDuplicates(list(keys)).drop("often"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                h, bounds = shingles(part.column("text"), width)
-                owner, kind, rank, need, sig = signature_lists(h, bounds)
-                own = _checksums(h, bounds)[0]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(owner)), pa.array(own.view(np.int64)[owner]), pa.array(kind), pa.array(rank), pa.array(need), pa.array(sig.view(np.int64))], ["cls", "s1", "list", "rank", "need", "sig"])
+    def sets(self, nodes: DataFrame) -> DataFrame:
+        """node and h, the whole set."""
+        width = self.width
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in slices(batch, "text"):
+                    h, bounds = shingles(part.column("text"), width)
+                    own = pa.array(_checksums(h, bounds)[0].view(np.int64) == part.column("s1").to_numpy())
+                    yield pa.RecordBatch.from_arrays([part.column("node"), part.column("often"), _lists(h, bounds)], ["node", "often", "h"]).filter(own)
+
+        found = stored(map_arrow(self._of(nodes), run, "node long, often boolean, h array<long>"), "join-sets")
+        return self._once(found, "node") if not self.repeats else stored(self._once(found, "node"), "join-sets")
+
+    def lists(self, nodes: DataFrame) -> DataFrame:
+        """node, list, rank, need, sig: all signatures of each set once, not only those needed."""
+        width = self.width
 
-    return map_arrow(docs, run, "cls long, s1 long, list long, rank long, need long, sig long")
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in slices(batch, "text"):
+                    h, bounds = shingles(part.column("text"), width)
+                    owner, kind, rank, need, sig = signature_lists(h, bounds)
+                    own = (_checksums(h, bounds)[0].view(np.int64) == part.column("s1").to_numpy())[owner]
+                    row = pa.array(owner)
+                    arrays = [part.column("node").take(row), part.column("often").take(row), pa.array(kind), pa.array(rank), pa.array(need), pa.array(sig.view(np.int64))]
+                    yield pa.RecordBatch.from_arrays(arrays, ["node", "often", "list", "rank", "need", "sig"]).filter(pa.array(own))
 
+        found = map_arrow(self._of(nodes), run, "node long, often boolean, list long, rank long, need long, sig long")
+        return stored(self._once(stored(found, "join-listed") if self.repeats else found, "node", "list", "rank"), "join-lists")
 
-def _uncrowded(docs: DataFrame, width: int, members: DataFrame, crowds: DataFrame) -> DataFrame:
-    """Memberships (sig, cls) that take the place of those in crowds, groups that are too large to compare.
+
+def _uncrowded(texts: _Texts, members: DataFrame, crowds: DataFrame) -> DataFrame:
+    """Memberships (sig, node) that take the place of those in crowds, groups that are too large to compare.
 
     A crowd is what a passage makes that many different texts hold.  Both sets of a pair that meets in a
     crowd are in one, so it is enough to join the sets of crowds with each other, and that in
     another order of signatures: the rarest among these sets first.  What the passage gives is then
-    taken only by sets that have too little else."""
-    moved = stored(members.join(crowds, "sig", "left_semi").select("cls").distinct(), "join-moved")
-    lists = stored(_whole_lists(docs.join(moved, docs["doc_id"] == moved["cls"], "left_semi"), width), "join-lists")
+    taken only by sets that have too little else.  Each set has each of its signatures once here, however
+    many rows have it, or a set would fill what it needs with repeats of one signature."""
+    moved = stored(members.join(crowds, "sig", "left_semi").select("node").distinct(), "join-moved")
+    lists = texts.lists(moved)
     common = stored(lists.groupBy("sig").agg(F.count("*").alias("often")).filter("often > 1"), "join-common")
     ranked = lists.join(common, "sig", "left").withColumn("often", F.coalesce("often", F.lit(1)))
-    at = F.row_number().over(Window.partitionBy("cls", "s1", "list").orderBy("often", "sig"))
-    return ranked.withColumn("at", at).filter("at <= need and often > 1").select("sig", "cls").distinct()
+    at = F.row_number().over(Window.partitionBy("node", "list").orderBy("often", "sig"))
+    return ranked.withColumn("at", at).filter("at <= need and often > 1").select("sig", "node").distinct()
 
 
 def _possible(a: str, b: str) -> Column:
@@ -269,11 +300,10 @@ def _close(x: str, y: str) -> Column:
     return apart * (DEN + NUM) <= (F.col(f"{x}.n") + F.col(f"{y}.n")) * (DEN - NUM)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+def _verified(pairs: DataFrame, texts: _Texts) -> DataFrame:
     """Those pairs (a, b) whose whole sets are similar enough."""
-    asked = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = stored(_sets(docs.join(stored(asked, "join-asked"), "doc_id", "left_semi"), width), "join-sets")
-    left, right = sets.select(F.col("doc_id").alias("a"), F.col("h").alias("ha")), sets.select(F.col("doc_id").alias("b"), F.col("h").alias("hb"))
+    sets = texts.sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+    left, right = sets.select(F.col("node").alias("a"), F.col("h").alias("ha")), sets.select(F.col("node").alias("b"), F.col("h").alias("hb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -311,64 +341,95 @@ def components(edges: DataFrame) -> DataFrame:
         known = now
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, crowd: int = CROWD) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id. ``crowd``: size from which a group of equal blocks whose
-    sets aren't linked is split; it changes the work, never the result."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def _grouped(docs: DataFrame, width: int, crowd: int) -> DataFrame:
+    """doc_id, t, n, component (its smallest id) and group (a number of the component's own) of each row of docs
+    (doc_id, t, text); both null without shingles. Two components have one smallest id if that stands on several texts."""
     rows = stored(described(docs, width), "join-rows")
-    keys = stored(rows.select("doc_id", "n", "s1", "s2"), "join-keys")
-    classes = keys.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("cls")).filter("cls is not null")
-    classes = stored(classes, "join-classes")
-    heads = rows.join(classes.select(F.col("cls").alias("doc_id"), "n", "s1", "s2"), ["doc_id", "n", "s1", "s2"], "left_semi").dropDuplicates(["doc_id", "n", "s1", "s2"])
-    heads = stored(heads.select(F.col("doc_id").alias("cls"), "n", *BITS, "wide", "blocks"), "join-heads")
+    keys = stored(rows.select("doc_id", "t", "n", "s1", "s2"), "join-keys")
+    # a class is a set; the row of its smallest id stands for it, and its node is a number of its own, as ids may repeat
+    classes = keys.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("doc_id"), F.min_by("t", "doc_id").alias("t")).filter("doc_id is not null")
+    classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "join-classes")
+    texts = _Texts(docs, keys, classes, width)
+    of_row = ["doc_id", "t", "n", "s1", "s2"]
+    heads = rows.join(classes, of_row).dropDuplicates(of_row)
+    heads = stored(heads.select("node", "n", *BITS, "wide", "blocks"), "join-heads")
     forget(rows)
-    blocks = heads.select("cls", F.explode("blocks").alias("sig"))
-    shared = stored(blocks.groupBy("sig").agg(F.min("cls").alias("head"), F.count("*").alias("c")).filter("c > 1").select("sig", "head"), "join-shared")
+    blocks = heads.select("node", F.explode("blocks").alias("sig"))
+    shared = stored(blocks.groupBy("sig").agg(F.min("node").alias("head"), F.count("*").alias("c")).filter("c > 1").select("sig", "head"), "join-shared")
     release(docs)
     members = stored(blocks.join(shared, "sig"), "join-members")
-    bits = stored(heads.drop("blocks").join(members.select("cls").distinct(), "cls", "left_semi"), "join-bits")
+    bits = stored(heads.drop("blocks").join(members.select("node").distinct(), "node", "left_semi"), "join-bits")
     forget(heads)
     release(docs)
 
     def with_bits(frame: DataFrame, on: str, name: str, *columns: str) -> DataFrame:
-        return frame.join(bits.select(F.col("cls").alias(on), F.struct("n", *columns).alias(name)), on)
+        return frame.join(bits.select(F.col("node").alias(on), F.struct("n", *columns).alias(name)), on)
 
     def close(pairs: DataFrame) -> DataFrame:
         return with_bits(with_bits(pairs, "a", "x", "wide"), "b", "y", "wide").filter(_close("x", "y")).select("a", "b")
 
-    stars = members.filter("cls <> head").select(F.col("head").alias("a"), F.col("cls").alias("b")).distinct()
+    stars = members.filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
     stars = with_bits(with_bits(stars, "a", "x", *BITS), "b", "y", *BITS).filter(_possible("x", "y")).select("a", "b")
     stars = stored(close(stars), "join-stars")
-    links = stored(_verified(stars, docs, width), "join-links")
+    links = stored(_verified(stars, texts), "join-links")
     roots = components(links)
 
-    of_node = roots.select(F.col("node").alias("cls"), "root")
-    labelled = members.select("sig", "cls").join(of_node, "cls", "left").select("sig", "cls", F.coalesce("root", "cls").alias("root"))
-    labelled = stored(labelled, "join-labelled")
+    rooted = lambda frame: frame.join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
+    labelled = stored(rooted(members.select("sig", "node")), "join-labelled")
     mixed = labelled.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c")).filter("lo < hi")
     mixed = stored(mixed.select("sig", "c"), "join-mixed")
-    apart = labelled.join(mixed.filter(F.col("c") <= crowd), "sig", "left_semi")
-    crowds = stored(mixed.filter(F.col("c") > crowd).select("sig"), "join-crowds")
-    if not crowds.isEmpty():
-        more = _uncrowded(docs, width, members, crowds).join(of_node, "cls", "left").select("sig", "cls", F.coalesce("root", "cls").alias("root"))
-        more = stored(more, "join-uncrowded")
-        split = more.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("sig")
-        apart = apart.union(more.join(split, "sig", "left_semi"))
-    apart = stored(with_bits(apart, "cls", "k", *BITS), "join-apart")
-    x, y = (apart.select("sig", F.col("cls").alias(a), F.col("root").alias(f"r{a}"), F.col("k").alias(k)) for a, k in (("a", "x"), ("b", "y")))
-    crossing = x.join(y, (x["sig"] == y["sig"]) & (x["a"] < y["b"]) & (x["ra"] != y["rb"]) & _possible("x", "y")).select("a", "b").distinct()
-    crossing = stored(close(crossing.join(stars, ["a", "b"], "left_anti")), "join-crossing")
-    if not crossing.isEmpty():
-        more = stored(_verified(crossing, docs, width), "join-links")
-        roots = components(links.union(more)) if not more.isEmpty() else roots
-
-    of_class = classes.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").select("n", "s1", "s2", F.coalesce("root", "cls").alias("root"))
-    found = keys.join(stored(of_class, "join-roots"), ["n", "s1", "s2"], "left")
-    return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
-
-
-def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, all columns, without those whose near-duplicate group has a smaller id; rows without an id stay."""
-    groups = near_duplicates(docs, id_col, text_col)
-    replaced = stored(groups.filter("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct(), "join-replaced")
-    return docs.join(replaced, id_col, "left_anti").select(docs.columns)
+    if not mixed.isEmpty():
+        apart = labelled.join(mixed.filter(F.col("c") <= crowd), "sig", "left_semi")
+        crowds = stored(mixed.filter(F.col("c") > crowd).select("sig"), "join-crowds")
+        if not crowds.isEmpty():
+            more = stored(rooted(_uncrowded(texts, members, crowds)), "join-uncrowded")
+            split = more.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("sig")
+            apart = apart.union(more.join(split, "sig", "left_semi"))
+        apart = stored(with_bits(apart, "node", "k", *BITS), "join-apart")
+        x, y = (apart.select("sig", F.col("node").alias(a), F.col("root").alias(f"r{a}"), F.col("k").alias(k)) for a, k in (("a", "x"), ("b", "y")))
+        crossing = x.join(y, (x["sig"] == y["sig"]) & (x["a"] < y["b"]) & (x["ra"] != y["rb"]) & _possible("x", "y")).select("a", "b").distinct()
+        crossing = stored(close(crossing.join(stars, ["a", "b"], "left_anti")), "join-crossing")
+        if not crossing.isEmpty():
+            more = stored(_verified(crossing, texts), "join-links")
+            roots = components(links.union(more)) if not more.isEmpty() else roots
+
+    roots = roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
+    of_class = stored(classes.join(roots, "node", "left").select("n", "s1", "s2", "doc_id", "node", "root"), "join-roots")
+    least = of_class.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
+    of_class = stored(of_class.join(least, "root", "left").select("n", "s1", "s2", F.coalesce("least", "doc_id").alias("component"), F.coalesce("root", "node").alias("group")), "join-components")
+    return stored(keys.join(of_class, ["n", "s1", "s2"], "left").select("doc_id", "t", "n", "component", "group"), "join-grouped")
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), text.alias("text"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, crowd: int = CROWD) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id. ``crowd``: size from which a group of equal blocks whose
+    sets aren't linked is split; it changes the work, never the result."""
+    with job() as tables:
+        found = _grouped(_rows(docs, id_col, text_col), width, crowd)
+        tables.forget(docs.sparkSession, found)
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, crowd: int = CROWD) -> DataFrame:
+    """The documents, all columns, of which one row of each near-duplicate group stays: one with the smallest id.
+
+    Rows leave by id and text, so a text of its own stays whatever other rows have its id; rows without an id
+    stay, and so do rows without shingles."""
+    id_, t = free_names(docs, "row_id", "row_t")
+    with job() as tables:
+        groups = _grouped(_rows(docs, id_col, text_col), width, crowd).filter("component is not null and doc_id is not null")
+        first = groups.filter("doc_id = component").groupBy("group", "doc_id").agg(F.min("t").alias("t")).select("doc_id", "t")
+        first = stored(first, "join-first")
+        rows = groups.groupBy("doc_id", "t").agg(F.count("*").alias("times"))
+        gone = stored(rows.join(first, ["doc_id", "t"], "left_anti").select(F.col("doc_id").alias(id_), F.col("t").alias(t)), "join-gone")
+        often = stored(rows.filter("times > 1").join(first, ["doc_id", "t"], "left_semi").select(F.col("doc_id").alias(id_), F.col("t").alias(t)), "join-often")
+        tables.forget(docs.sparkSession, gone, often)
+    keyed = docs.withColumns({id_: F.col(id_col).cast("long"), t: F.xxhash64(F.col(text_col).cast("string"))})
+    kept = keyed.join(gone, [id_, t], "left_anti")
+    if not often.isEmpty():
+        kept = kept.join(often, [id_, t], "left_anti").unionByName(keyed.join(often, [id_, t], "left_semi").dropDuplicates([id_, t]))
+    return kept.select(docs.columns)

@@ -36,6 +36,40 @@ def brute(rows):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
+def brute_rows(rows):
+    """(id, size, component) of each row, ids repeated or null: sets of rows with an id are the nodes."""
+    shingled = [frozenset(next(iter(sets_of([(0, t)]).values()))) for _, t in rows]
+    least = {}
+    for (i, _), s in zip(rows, shingled, strict=True):
+        if s and i is not None:
+            least[s] = min(i, least.get(s, i))
+    sets = list(least)
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    held = {}
+    for k, s in enumerate(sets):
+        for w in s:
+            held.setdefault(w, []).append(k)
+    for x, y in {(x, y) for own in held.values() for x in own for y in own if x < y}:
+        both = len(sets[x] & sets[y])
+        if 100 * both >= 80 * (len(sets[x]) + len(sets[y]) - both):
+            root[max(find(x), find(y))] = min(find(x), find(y))
+    groups = {}
+    for k, s in enumerate(sets):
+        groups[find(k)] = min(least[s], groups.get(find(k), least[s]))
+    component = {s: groups[find(k)] for k, s in enumerate(sets)}
+    return sorted((repr((i, len(s), component.get(s, i))) for (i, _), s in zip(rows, shingled, strict=True)))
+
+
+def grouped(frame, **k):
+    return sorted(repr(tuple(r)) for r in near_duplicates(frame, **k).collect())
+
+
 def near_copies(seed):
     """Groups of edited copies of all lengths, chains, shared passages and words in common."""
     rng = random.Random(seed)
@@ -88,6 +122,60 @@ def test_crowds_against_brute_force(docs, crowd):
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize("times, crowd", [(1, 20), (2, 3), (6, 20), (20, 3)])
+def test_crowds_of_repeated_rows(docs, times, crowd):
+    """Pairs with a few words of their own beside a passage, each row several times: no link is lost."""
+    rng = random.Random(times)
+    passage = [f"p{i}" for i in range(78)]
+    rows = []
+    for pair in range(60):
+        shared = [f"s{pair}x{i}" for i in range(6)]
+        for one in range(2):
+            own = [f"o{pair}y{one}z{i}" for i in range(8)]
+            rows.append((2 * pair + one, " ".join(own + shared + passage if pair % 2 else own + passage + shared)))
+    rows = [r for r in rows for _ in range(times)]
+    rng.shuffle(rows)
+    got = grouped(docs(*rows), crowd=crowd)
+    assert got == brute_rows(rows)
+    assert len({eval(r)[2] for r in got}) == 60
+
+
+@pytest.mark.parametrize("crowd", [3, 512])
+def test_repeated_and_clashing_ids(docs, crowd):
+    rng = random.Random(crowd)
+    rows = near_copies(5)[:90]
+    rows = [(i % 25 if i % 4 else i, t) for i, t in rows] + [(None, rows[3][1]), (None, "an own text without an id")]
+    rows = [r for r in rows for _ in range(rng.choice((1, 1, 3)))]
+    assert grouped(docs(*rows), crowd=crowd) == brute_rows(rows)
+
+
+def test_representatives_of_clashing_ids(docs):
+    a = "the quick brown fox jumps over the lazy dog and runs away from it all the same today"
+    own = "something else entirely that nobody has written in any other of these rows"
+    got = sorted(tuple(r)[:2] for r in representatives(docs((1, a), (2, a + " yes"), (2, own))).collect())
+    assert got == [(1, a), (2, own)]
+    # one row of a group stays, even where its id stands on several of the group, or the row itself repeats
+    got = [tuple(r)[:2] for r in representatives(docs((4, a), (4, a + " yes"), (4, a), (7, a), (4, own), (4, own))).collect()]
+    assert sorted(got) in ([(4, own), (4, a)], [(4, own), (4, a + " yes")])
+
+
+def test_tables_of_a_job_are_its_own(spark, docs):
+    from quillstack.llm.common import job, stored
+
+    frame = docs((1, "a"))
+    outside = stored(frame, "outside")
+    with job() as tables:
+        inside = stored(frame, "inside")
+        with job() as inner:
+            within = stored(frame, "within")
+            assert inner.paths == {within._stored_at}
+        tables.forget(spark, inside)
+        assert tables.paths == {inside._stored_at}
+    assert outside.count() == inside.count() == 1
+    with pytest.raises(Exception, match="within"):
+        within.count()
+
+
 def test_any_order_of_signatures_keeps_similar_sets_together():
     """Whatever is put last, the first needed ones of two similar sets have one in common."""
     rng = np.random.default_rng(4)
