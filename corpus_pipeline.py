@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillstack.llm import exact_dedup, packing, parity_join, pseudonyms, quality
-from quillstack.llm.common import forget_since, pseudonym_key, stored, table, tables_written
+from quillstack.llm.common import job, pseudonym_key, stored, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,8 +51,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents; tables that a stage leaves are deleted once its result is written."""
-    docs, before = table(spark, sf_dir, "documents"), tables_written()
-    for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
-        forget_since(spark, before, docs)
+    docs = table(spark, sf_dir, "documents")
+    with job() as tables:
+        for name, stage in STAGES:
+            docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            tables.forget(spark, docs)
     return docs
