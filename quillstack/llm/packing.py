@@ -35,7 +35,7 @@ from .common import map_arrow, stored
 from .tokens import crc32_of, default_vocabulary, encoder, slices
 
 CAPACITY = 4096
-PIECES = "doc_id long, row_key long, piece int, start long, length int, ids_crc32 long"
+PIECES = "doc_id long, row_key long, piece int, start long, length long, ids_crc32 long"
 Segment = tuple[int, int, int, int, int, int]
 
 
@@ -171,7 +171,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
                         part.column("row_key").take(pa.array(doc)),
                         pa.array(piece, pa.int32()),
                         pa.array(start, pa.int64()),
-                        pa.array(length, pa.int32()),
+                        pa.array(length, pa.int64()),
                         pa.array(crc32_of(ids, np.append(bounds[:-1][doc] + start, bounds[-1])), pa.int64()),
                     ],
                     ["doc_id", "row_key", "piece", "start", "length", "ids_crc32"],
@@ -184,22 +184,24 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
 def pack(found: DataFrame, capacity: int = CAPACITY, a_bucket: int = 20_000) -> DataFrame:
     """Adds sequence_id and offset to rows of PIECES."""
     spark = found.sparkSession
-    found = stored(found, "pack-pieces")
+    # a row's place in the table tells equal rows apart: however often one occurs, its pieces fill many buckets
+    found = stored(found.withColumn("place", F.monotonically_increasing_id()), "pack-pieces")
     by_length = found.groupBy("length").agg(F.count("*").alias("n"))
     histogram = {r["length"]: r["n"] for r in by_length.collect()}  # at most `capacity` rows
     segments, _, _ = plan(histogram, capacity)
     buckets = max(16, sum(histogram.values()) // a_bucket)
-    dealt = found.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "row_key", "piece"), F.lit(buckets)))
+    dealt = found.withColumn("bucket", F.pmod(F.xxhash64("place"), F.lit(buckets)))
     counts = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     starts = stored(counts.select("length", "bucket", F.coalesce(before, F.lit(0)).alias("before")), "pack-starts")
-    within = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "row_key", "piece")) - 1
+    within = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("place")) - 1
     ranked = dealt.withColumn("within", within).join(starts, ["length", "bucket"]).withColumn("rank", F.col("before") + F.col("within"))
-    return map_arrow(ranked.select(*found.columns, "rank"), _placer(segments), f"{PIECES}, sequence_id long, offset long")
+    return map_arrow(ranked.select(*found.drop("place").columns, "rank"), _placer(segments), f"{PIECES}, sequence_id long, offset long")
 
 
 def _placer(segments: list[Segment]):
-    """The plan is at most a few numbers for each length and sequence filling, so it travels with the task."""
+    """The plan travels with the task. Each segment uses up a length, an entry of sequences or what is left of one, so
+    there are a few for each length and filling: 3,000 for the lengths of sf0.1, six numbers each."""
     known = np.array(sorted(segments), np.int64).reshape(-1, 6)
     keys = (known[:, 0] << 48) + known[:, 1]
 

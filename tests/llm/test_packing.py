@@ -127,3 +127,11 @@ def test_three_pieces_that_fill_a_room():
 def test_reduction_goes_on_to_shorter_lengths():
     """15 has no rule, as three smaller pieces fit its room; 12 and 8 are an exact pair all the same."""
     assert plan({15: 2, 12: 3, 8: 3, 2: 2, 1: 4}, 20)[2] >= 3
+
+
+def test_one_row_many_times(spark):
+    """Equal rows are told apart by their places, so they fill many buckets and no piece shares a place."""
+    frame = spark.createDataFrame([(1, "some words of a text")] * 3000, "doc_id long, text string")
+    got = pack(pieces(frame), a_bucket=50).collect()
+    assert len({(r.sequence_id, r.offset) for r in got}) == 3000 and {r.length for r in got} == {got[0].length}
+    assert len({r.sequence_id for r in got}) == -(-3000 // (4096 // got[0].length))
