@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.numbering import numbered
+
 RETENTION_DAYS = 90
 
 
@@ -23,12 +25,21 @@ def search(rows: DataFrame, query: str, *columns: str) -> DataFrame:
     return rows if not q else rows.filter(F.lower(F.concat_ws(" ", *columns)).contains(q))
 
 
-def page(rows: DataFrame, number: int, size: int, *order: Column, most: int = 20_000) -> DataFrame:
-    """Page ``number``, from 0, with the columns position, from 1, and pages."""
-    kept = rows.orderBy(*order).limit(most)
-    ranked = kept.withColumn("position", F.row_number().over(Window.orderBy(*order)))
-    pages = F.ceil(F.count("*").over(Window.partitionBy()) / size)
-    return ranked.withColumn("pages", pages.cast("long")).filter(F.col("position").between(number * size + 1, (number + 1) * size))
+#: pages up to this position come from the least rows of each task, deeper ones from row numbers over ranges
+NEAR = 10_000
+
+
+def page(rows: DataFrame, number: int, size: int, *order: Column, most: int | None = None) -> DataFrame:
+    """Page ``number``, from 0, with the columns position, from 1, and pages. ``most``: rows after so many in the
+    order aren't there. For many pages of one table see ``sources.ranged``, which reads a page's own files only."""
+    kept = rows if most is None else rows.orderBy(*order).limit(most)
+    last = (number + 1) * size
+    if last <= NEAR:
+        ranked = kept.orderBy(*order).limit(last).withColumn("position", F.row_number().over(Window.orderBy(*order)))
+    else:
+        ranked = numbered(kept, "position", *order)
+    pages = F.ceil(kept.agg(F.count("*")).scalar() / size)
+    return ranked.withColumn("position", F.col("position").cast("int")).filter(F.col("position").between(number * size + 1, last)).withColumn("pages", pages.cast("long"))
 
 
 def expired(rows: DataFrame, now: Column, created: str = "created_at", days: int = RETENTION_DAYS) -> DataFrame:

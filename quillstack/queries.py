@@ -548,4 +548,4 @@ def records_with_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return restore.with_snapshots(o, forms).select("o_orderkey", "o_orderdate", F.col("n_fields").cast("long").alias("n"))
 
 
-from . import image_queries, record_queries  # noqa: E402, F401  their queries are added to those above
+from . import image_queries, record_queries, store_queries  # noqa: E402, F401  their queries are added to those above
