@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from .common import free_names
 
 ROUNDS = 10
+PIECE = 200  # groups of a long run of digits that are handled together
 FOUND = {
     "emails": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
     "secrets": r"(?<=[\"'=:\s])[0-9a-fA-F]{32,64}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}])AKIA[0-9A-Z]{16}(?![\p{L}\p{N}])",
@@ -129,23 +130,34 @@ def _in_run(run: Column) -> Column:
         pattern = rf"^{'[ -]*' if after_dash else ' *'}(?:{_OTHERS[0]})|^[ -]*(?:{_OTHERS[1]})"
         return count(F.regexp_extract(joined(parts, i, 5), pattern, 0))
 
-    def card(parts: Column, others: Column, i: Column) -> Column:
+    def card(parts: Column, sizes: Column, others: Column, i: Column) -> Column:
         """Groups of the longest card number that starts with group i, or 0."""
         def valid(n: Column) -> Column:
             whole = F.forall(F.transform(F.slice(others, i + 1, n), lambda o, k: (k == 0) | (k + o <= n)), lambda x: x)
             return _let(F.regexp_replace(joined(parts, i, n), r"^[ -]+", ""), lambda t: F.when(t.rlike(CARD), (F.pmod(_luhn(_digits(t), True), F.lit(10)) == 0) & whole).otherwise(False))
 
-        most = F.least(F.lit(19), F.size(parts) - i)
-        return F.coalesce(F.array_max(F.filter(F.sequence(F.lit(1), most), valid)), F.lit(0))
+        # only so many groups as have 13 to 19 digits together are looked at
+        none = F.struct(F.lit(0).alias("digits"), F.lit(0).alias("low"), F.lit(0).alias("high"))
+        ends = F.aggregate(F.slice(sizes, i + 1, 19), none, lambda a, n: _let(a["digits"] + n, lambda d: F.struct(d.alias("digits"), (a["low"] + (d < 13).cast("int")).alias("low"), (a["high"] + (d <= 19).cast("int")).alias("high"))))
+        wanted = lambda e: F.when(e["high"] > e["low"], F.sequence(e["low"] + 1, e["high"])).otherwise(F.array().cast("array<int>"))
+        return F.coalesce(F.array_max(F.filter(_let(ends, wanted), valid)), F.lit(0))
 
     def taken(steps: Column) -> Column:
-        none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<i:int,n:int>>").alias("out"))
+        """The numbers to replace, from left to right. Those of a piece of the run are appended to a list of the
+        piece's own, and the lists to one of lists, as appending copies: a run costs in proportion to its length."""
+        kind = "array<struct<i:int,n:int>>"
+        none = lambda at: F.struct(at.alias("at"), F.array().cast(kind).alias("out"))
 
         def step(acc: Column, s: Column) -> Column:
             n = F.when(s["i"] < acc["at"], 0).when((s["i"] == acc["at"]) & (s["i"] > 0), s["behind"]).otherwise(s["n"])
             return _let(n, lambda n: F.when(n > 0, F.struct((s["i"] + n).alias("at"), F.concat(acc["out"], F.array(F.struct(s["i"].alias("i"), n.alias("n")))).alias("out"))).otherwise(acc))
 
-        return F.aggregate(steps, none, step, lambda acc: acc["out"])
+        def piece(acc: Column, first: Column) -> Column:
+            own = F.aggregate(F.slice(steps, first, PIECE), none(acc["at"]), step)
+            return _let(own, lambda o: F.struct(o["at"].alias("at"), F.concat(acc["out"], F.array(o["out"])).alias("out")))
+
+        pieces = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
+        return F.aggregate(F.sequence(F.lit(1), F.size(steps), F.lit(PIECE)), pieces, piece, lambda acc: F.flatten(acc["out"]))
 
     def cut(parts: Column, found: Column) -> Column:
         plain = lambda t: F.struct(F.lit(True).alias("plain"), t.alias("t"))
@@ -162,13 +174,15 @@ def _in_run(run: Column) -> Column:
         groups = F.sequence(F.lit(0), F.size(parts) - 1)
         others = F.transform(groups, lambda i: F.struct(i.alias("i"), other(parts, i, False).alias("n"), other(parts, i, True).alias("behind")))
 
-        def steps(o: Column) -> Column:
+        sizes = F.transform(parts, lambda p: F.length(F.regexp_replace(p, "^[ -]+", "")))
+
+        def steps(o: Column, sizes: Column) -> Column:
             def one(x: Column) -> Column:
-                return _let(F.when((x["n"] > 0) & (x["behind"] > 0), 0).otherwise(card(parts, o["behind"], x["i"])), lambda c: F.struct(x["i"].alias("i"), F.when(x["n"] > 0, x["n"]).otherwise(c).alias("n"), F.when(x["behind"] > 0, x["behind"]).otherwise(c).alias("behind")))
+                return _let(F.when((x["n"] > 0) & (x["behind"] > 0), 0).otherwise(card(parts, sizes, o["behind"], x["i"])), lambda c: F.struct(x["i"].alias("i"), F.when(x["n"] > 0, x["n"]).otherwise(c).alias("n"), F.when(x["behind"] > 0, x["behind"]).otherwise(c).alias("behind")))
 
             return F.transform(o, one)
 
-        return _let(taken(_let(others, steps)), lambda found: cut(parts, found))
+        return _let(_let(_let(sizes, lambda sz: _let(others, lambda o: steps(o, sz))), taken), lambda found: cut(parts, found))
 
     return _let(F.regexp_extract_all(run, F.lit(r"([ -]*\d+)"), 0), solved)
 
