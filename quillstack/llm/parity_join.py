@@ -213,56 +213,52 @@ def described(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 class _Texts:
-    """Whole texts of sets, read again where they are needed: from the row whose id and text hash stand for the set."""
+    """Whole texts of sets, read again where they are needed: of the row whose id and text hash stand for the set.
+
+    Texts are picked by their ids, a table of one column that is as small as can be; what else has such an id
+    goes when sets meet their nodes by id and text hash."""
 
     def __init__(self, docs: DataFrame, keys: DataFrame, classes: DataFrame, width: int):
-        self.docs, self.classes, self.width = docs, classes, width
+        self.docs, self.width = docs, width
+        self.of_node = classes.select("node", "doc_id", "t")
         again = keys.groupBy("doc_id", "t").agg(F.count("*").alias("rows")).filter("rows > 1").select("doc_id", "t")
-        self.again = stored(again.withColumn("often", F.lit(True)), "join-again")
+        self.again = stored(again, "join-again")
         self.repeats = not self.again.isEmpty()
 
-    def _of(self, nodes: DataFrame) -> DataFrame:
-        """node, s1, often (the row occurs repeatedly) and text of all rows that stand for the nodes."""
-        wanted = nodes.join(self.classes.select("node", "doc_id", "t", "s1"), "node")
-        wanted = wanted.join(self.again, ["doc_id", "t"], "left") if self.repeats else wanted.withColumn("often", F.lit(None).cast("boolean"))
-        return self.docs.join(stored(wanted, "join-asked"), ["doc_id", "t"]).select("node", "s1", F.coalesce("often", F.lit(False)).alias("often"), "text")
-
-    def _once(self, found: DataFrame, *keys: str) -> DataFrame:
-        """One row of each that repeated rows gave."""
+    def _mapped(self, nodes: DataFrame, run, schema: str, *once: str) -> DataFrame:
+        """run over the nodes' texts; of what repeated rows give one row of each ``once``."""
+        ids = stored(nodes.join(self.of_node, "node").select("doc_id").distinct(), "join-asked")
+        found = stored(map_arrow(self.docs.join(ids, "doc_id", "left_semi").select("doc_id", "t", "text"), run, f"doc_id long, t long, {schema}"), "join-mapped")
         if not self.repeats:
-            return found.drop("often")
-        return found.filter("not often").drop("often").union(found.filter("often").dropDuplicates(list(keys)).drop("often"))
+            return found
+        often = stored(found.join(self.again, ["doc_id", "t"], "left_semi").dropDuplicates(["doc_id", "t", *once]), "join-once")
+        return found.join(self.again, ["doc_id", "t"], "left_anti").union(often)
 
     def sets(self, nodes: DataFrame) -> DataFrame:
-        """node and h, the whole set."""
+        """doc_id, t and h, the whole set."""
         width = self.width
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in slices(batch, "text"):
-                    h, bounds = shingles(part.column("text"), width)
-                    own = pa.array(_checksums(h, bounds)[0].view(np.int64) == part.column("s1").to_numpy())
-                    yield pa.RecordBatch.from_arrays([part.column("node"), part.column("often"), _lists(h, bounds)], ["node", "often", "h"]).filter(own)
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("t"), _lists(*shingles(part.column("text"), width))], ["doc_id", "t", "h"])
 
-        found = stored(map_arrow(self._of(nodes), run, "node long, often boolean, h array<long>"), "join-sets")
-        return self._once(found, "node") if not self.repeats else stored(self._once(found, "node"), "join-sets")
+        return self._mapped(nodes, run, "h array<long>")
 
     def lists(self, nodes: DataFrame) -> DataFrame:
-        """node, list, rank, need, sig: all signatures of each set once, not only those needed."""
+        """doc_id, t, list, rank, need, sig: all signatures of each set once, not only those needed."""
         width = self.width
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in slices(batch, "text"):
-                    h, bounds = shingles(part.column("text"), width)
-                    owner, kind, rank, need, sig = signature_lists(h, bounds)
-                    own = (_checksums(h, bounds)[0].view(np.int64) == part.column("s1").to_numpy())[owner]
+                    owner, kind, rank, need, sig = signature_lists(*shingles(part.column("text"), width))
                     row = pa.array(owner)
-                    arrays = [part.column("node").take(row), part.column("often").take(row), pa.array(kind), pa.array(rank), pa.array(need), pa.array(sig.view(np.int64))]
-                    yield pa.RecordBatch.from_arrays(arrays, ["node", "often", "list", "rank", "need", "sig"]).filter(pa.array(own))
+                    arrays = [part.column("doc_id").take(row), part.column("t").take(row), pa.array(kind), pa.array(rank), pa.array(need), pa.array(sig.view(np.int64))]
+                    yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "t", "list", "rank", "need", "sig"])
 
-        found = map_arrow(self._of(nodes), run, "node long, often boolean, list long, rank long, need long, sig long")
-        return stored(self._once(stored(found, "join-listed") if self.repeats else found, "node", "list", "rank"), "join-lists")
+        found = self._mapped(nodes, run, "list long, rank long, need long, sig long", "list", "rank")
+        return found.join(nodes.join(self.of_node, "node"), ["doc_id", "t"]).select("node", "list", "rank", "need", "sig")
 
 
 def _uncrowded(texts: _Texts, members: DataFrame, crowds: DataFrame) -> DataFrame:
@@ -274,7 +270,7 @@ def _uncrowded(texts: _Texts, members: DataFrame, crowds: DataFrame) -> DataFram
     taken only by sets that have too little else.  Each set has each of its signatures once here, however
     many rows have it, or a set would fill what it needs with repeats of one signature."""
     moved = stored(members.join(crowds, "sig", "left_semi").select("node").distinct(), "join-moved")
-    lists = texts.lists(moved)
+    lists = stored(texts.lists(moved), "join-lists")
     common = stored(lists.groupBy("sig").agg(F.count("*").alias("often")).filter("often > 1"), "join-common")
     ranked = lists.join(common, "sig", "left").withColumn("often", F.coalesce("often", F.lit(1)))
     at = F.row_number().over(Window.partitionBy("node", "list").orderBy("often", "sig"))
@@ -303,7 +299,11 @@ def _close(x: str, y: str) -> Column:
 def _verified(pairs: DataFrame, texts: _Texts) -> DataFrame:
     """Those pairs (a, b) whose whole sets are similar enough."""
     sets = texts.sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
-    left, right = sets.select(F.col("node").alias("a"), F.col("h").alias("ha")), sets.select(F.col("node").alias("b"), F.col("h").alias("hb"))
+    side = lambda frame, x: frame.toDF(*(f"{c}_{x}" for c in frame.columns))
+    for x in ("a", "b"):
+        own = side(texts.of_node, x)
+        pairs = pairs.join(own, pairs[x] == own[f"node_{x}"]).drop(f"node_{x}")
+    left, right = side(sets, "a").withColumnRenamed("h_a", "ha"), side(sets, "b").withColumnRenamed("h_b", "hb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -317,7 +317,7 @@ def _verified(pairs: DataFrame, texts: _Texts) -> DataFrame:
                 keep[i] = DEN * common >= NUM * (len(x) + len(y) - common)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "ha", "hb")
+    joined = pairs.join(left, ["doc_id_a", "t_a"]).join(right, ["doc_id_b", "t_b"]).select("a", "b", "ha", "hb")
     return map_arrow(joined, run, "a long, b long")
 
 
@@ -393,10 +393,11 @@ def _grouped(docs: DataFrame, width: int, crowd: int) -> DataFrame:
             more = stored(_verified(crossing, texts), "join-links")
             roots = components(links.union(more)) if not more.isEmpty() else roots
 
-    roots = roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
-    of_class = stored(classes.join(roots, "node", "left").select("n", "s1", "s2", "doc_id", "node", "root"), "join-roots")
-    least = of_class.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
-    of_class = stored(of_class.join(least, "root", "left").select("n", "s1", "s2", F.coalesce("least", "doc_id").alias("component"), F.coalesce("root", "node").alias("group")), "join-components")
+    linked = stored(roots.union(roots.select(F.col("root").alias("node"), "root").distinct()), "join-linked")
+    least = linked.join(classes.select("node", "doc_id"), "node").groupBy("root").agg(F.min("doc_id").alias("component"))
+    linked = linked.join(stored(least, "join-least"), "root").select("node", F.col("root").alias("group"), "component")
+    of_class = classes.join(linked, "node", "left").select("n", "s1", "s2", F.coalesce("component", "doc_id").alias("component"), F.coalesce("group", "node").alias("group"))
+    of_class = stored(of_class, "join-components")
     return stored(keys.join(of_class, ["n", "s1", "s2"], "left").select("doc_id", "t", "n", "component", "group"), "join-grouped")
 
 
