@@ -80,6 +80,19 @@ def mark_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marks.clusters(_prints(spark, sf_dir))
 
 
+_SEED = "STRUCT(u HUGEINT, aspect DOUBLE, ink INTEGER, width BIGINT)"
+
+
+@query(f"""WITH RECURSIVE {_PRINTS_SQL}, c AS (SELECT id, u, aspect, ink, 100 + id % 13 AS width, id % 5 AS cluster, row_number() OVER (PARTITION BY id % 5 ORDER BY id) AS n FROM p),
+s AS (SELECT DISTINCT cluster, 0::BIGINT AS n, []::{_SEED}[] AS seeds FROM c UNION ALL SELECT s.cluster, c.n, CASE WHEN len(list_filter(s.seeds, lambda x: bit_count(xor(c.u, x.u)) <= 10 AND abs(c.aspect - x.aspect) / greatest(c.aspect, x.aspect) <= 0.28
+AND abs(c.width - x.width) / greatest(c.width, x.width)::DOUBLE <= 0.18 AND abs(c.ink - x.ink) / greatest(c.ink, x.ink)::DOUBLE <= 0.28)) = 0 THEN list_append(s.seeds, {{'u': c.u, 'aspect': c.aspect, 'ink': c.ink, 'width': c.width}}::{_SEED}) ELSE s.seeds END FROM s JOIN c ON c.cluster = s.cluster AND c.n = s.n + 1),
+f AS (SELECT cluster, arg_max(seeds, n) AS seeds FROM s GROUP BY 1), d AS (SELECT id, cluster, list_transform(seeds, lambda x: bit_count(xor(c.u, x.u))) AS apart FROM c JOIN f USING (cluster))
+SELECT id, cluster, (list_position(apart, list_min(apart)) - 1)::INT AS version FROM d""")
+def mark_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy versions of the prints of five large clusters."""
+    return marks.versions(_prints(spark, sf_dir).withColumn("cluster", F.col("id") % 5))
+
+
 # pixels
 
 _PIXELS_SQL = """px AS (SELECT 'v' || vec_id AS img_id, (i % 8)::INT AS x, (i // 8)::INT AS y, CASE WHEN w < 0.03 THEN 250 WHEN w < 0.05 THEN 20 ELSE floor(w * 2000)::INT % 256 END AS r, CASE WHEN w < 0.03 THEN 250 WHEN w < 0.05 THEN 20 ELSE floor(w * 3000)::INT % 256 END AS g,

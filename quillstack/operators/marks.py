@@ -7,13 +7,14 @@ comparing all rows with all.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import file_stem, hamming, sizes_match, stems_related
-from ..plans.components import components
+from ..plans.components import components, kept
+from ..plans.first_independent import first_independent
 from ..plans.hamming_join import matched, nearest
+from ..plans.numbering import numbered
 from .restore import keep_score
 
 # How far two pictures of one mark may differ.
@@ -39,17 +40,42 @@ def visual_pairs(prints: DataFrame) -> DataFrame:
     return matched(p, p, HAMMING, (F.col("a.id") < F.col("b.id")) & same_mark()).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
 
 
+def _parts(stems: DataFrame, least: int) -> DataFrame:
+    """stem, part: each stem beside itself and the parts of it that are long enough to count as names."""
+    n = F.length("stem")
+    inner = F.flatten(F.transform(F.when(n >= least, F.sequence(F.lit(least), n)).otherwise(F.array().cast("array<int>")), lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring("stem", i, k))))
+    return stems.select("*", F.explode(F.array_distinct(F.concat(inner, F.array("stem")))).alias("part"))
+
+
 def related_pairs(prints: DataFrame, least: int = 4) -> DataFrame:
     """(a, b) of ids, a < b, whose names' stems are equal or one inside the other: each stem meets those that
-    equal a part of it."""
+    equal a part of it. As many pairs as there are: for what they connect alone see ``related_links``."""
     s = prints.select("id", file_stem("name").alias("stem")).filter("stem <> ''")
-    n = F.length("stem")
-    inner = F.flatten(F.transform(F.when(n >= least, F.sequence(F.lit(least), n)).otherwise(F.array().cast("array<int>")), lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring("stem", i, k))))
-    parts = s.select(F.col("id").alias("holder"), F.explode(F.array_distinct(F.concat(inner, F.array("stem")))).alias("part"))
-    j = parts.join(s, F.col("part") == F.col("stem")).filter("holder <> id")
+    j = _parts(s.withColumnRenamed("id", "holder"), least).drop("stem").join(s, F.col("part") == F.col("stem")).filter("holder <> id")
     return j.select(F.least("holder", "id").alias("a"), F.greatest("holder", "id").alias("b")).distinct()
 
 
+def _stars(rows: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame]:
+    """(links (a, b) of each id to the smallest one of its key; keys with that id, as id)."""
+    heads = kept(rows.groupBy(*keys).agg(F.min("id").alias("id")))
+    links = rows.join(heads.withColumnRenamed("id", "a"), list(keys)).filter("id <> a").select("a", F.col("id").alias("b"))
+    return links, heads
+
+
+def related_links(prints: DataFrame, least: int = 4) -> DataFrame:
+    """Links (a, b) that connect what ``related_pairs`` connects: each file to the first of its stem, and the first
+    files of related stems, so n files of one name are n - 1 links."""
+    links, heads = _stars(prints.select("id", file_stem("name").alias("stem")).filter("stem <> ''"), "stem")
+    inside = _parts(heads, least).filter("part <> stem").select(F.col("id").alias("holder"), "part").join(heads, F.col("part") == F.col("stem"))
+    return links.union(inside.select(F.least("holder", "id").alias("a"), F.greatest("holder", "id").alias("b")))
+
+
+def visual_links(prints: DataFrame) -> DataFrame:
+    """Links (a, b) that connect what ``visual_pairs`` connects: equal prints to their first, and first prints that match."""
+    links, heads = _stars(prints.select("id", "h", "aspect", "ink"), "h", "aspect", "ink")
+    return links.union(visual_pairs(heads))
+
+
 def find_reusable(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     """id, match, distance: the stored file to use for each incoming one that shows a stored mark.
 
@@ -64,30 +90,38 @@ def find_reusable(incoming: DataFrame, stored: DataFrame) -> DataFrame:
 
 def clusters(prints: DataFrame) -> DataFrame:
     """(id, cluster) of all files: those linked by a mark or a name, directly or over others."""
-    return components(prints.select("id"), visual_pairs(prints).union(related_pairs(prints))).withColumnRenamed("component", "cluster")
+    return components(prints.select("id"), visual_links(prints).union(related_links(prints))).withColumnRenamed("component", "cluster")
+
+
+def same_version(a: str = "a", b: str = "b") -> Column:
+    """Whether two prints of one cluster are one version: hash, shape of mark and canvas, and amount of ink."""
+    of = lambda s, c: F.col(f"{s}.{c}")
+    canvas = lambda s: of(s, "width") / F.greatest(F.lit(1), of(s, "height"))
+    close = (hamming(of(a, "h"), of(b, "h")) <= HAMMING) & (of(a, "cluster") == of(b, "cluster"))
+    return close & (apart(of(a, "aspect"), of(b, "aspect")) <= VERSION_ASPECT) & (apart(canvas(a), canvas(b)) <= VERSION_CANVAS) & (apart(of(a, "ink"), of(b, "ink")) <= VERSION_INK)
 
 
 def versions(prints: DataFrame) -> DataFrame:
     """id and version, from 0, within each cluster: a print that differs from all seeds so far is a seed, and
     each print goes to its nearest seed. prints: fingerprint rows with cluster.
 
-    Seeds depend on the order of ids, so a cluster is one group: the copies of one mark."""
-
-    def split(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("id").reset_index(drop=True)
-        bits = lambda a, b: ((int(a) ^ int(b)) & (2**64 - 1)).bit_count()
-        gap = lambda x, y: abs(x - y) / max(x, y) if max(x, y) > 0 else 0.0
-        canvas = lambda r: r.width / max(1, r.height)
-        differs = lambda a, b: bits(a.h, b.h) > HAMMING or gap(a.aspect, b.aspect) > VERSION_ASPECT or gap(canvas(a), canvas(b)) > VERSION_CANVAS or gap(a.ink, b.ink) > VERSION_INK
-        seeds: list = []
-        for row in p.itertuples():
-            if all(differs(row, s) for s in seeds):
-                seeds.append(row)
-        best = [min(range(len(seeds)), key=lambda i: (bits(row.h, seeds[i].h), i)) for row in p.itertuples()]
-        return pd.DataFrame({"id": p["id"], "cluster": p["cluster"], "version": best})
-
-    columns = prints.select("cluster", "id", "h", "aspect", "ink", "width", "height")
-    return columns.groupBy("cluster").applyInPandas(split, "id long, cluster long, version int")
+    Equal prints stand or fall together, so their first is taken for all. Seeds are then the first independent
+    set of the graph of prints that agree, in the order of ids, found in rounds over all clusters at once. A
+    print agrees with a seed or is one, so its nearest seed is within reach of the same join."""
+    same = ["cluster", "h", "aspect", "ink", "width", "height"]
+    rows = prints.select("id", *same)
+    heads = kept(rows.groupBy(*same).agg(F.min("id").alias("id")))
+    agree = matched(heads, heads, HAMMING, (F.col("a.id") < F.col("b.id")) & same_version()).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+    seeds = kept(first_independent(heads.select("id"), agree).join(heads, "id"))
+    own = nearest(heads, seeds, HAMMING, F.col("a.cluster") == F.col("b.cluster"))
+    order = numbered(seeds.select("cluster", "id"), "place", "cluster", "id")
+    first = order.groupBy("cluster").agg(F.min("place").alias("first"))
+    placed = order.join(first, "cluster").select(F.col("id").alias("match"), (F.col("place") - F.col("first")).cast("int").alias("version"))
+    of_head = kept(own.join(placed, "match").join(heads, "id").select(*same, "version"))
+    matches = F.lit(True)
+    for c in same:
+        matches = matches & F.col(f"r.{c}").eqNullSafe(F.col(f"o.{c}"))
+    return rows.alias("r").join(of_head.alias("o"), matches).select("r.id", "r.cluster", "version")
 
 
 def cleanup(prints: DataFrame, preferred: tuple[str, ...] = ()) -> DataFrame:

@@ -32,13 +32,18 @@ class RangedTable:
         keys = [*(F.col(c) for c in self.by), *self._sorted()]
         dealt = rows.repartitionByRange(ranges, *keys).withColumn("range", F.spark_partition_id())
         dealt.sortWithinPartitions(*keys).write.partitionBy("range").parquet(f"{self.path}/rows")
-        counts = self.spark.read.parquet(f"{self.path}/rows").groupBy("range", *self.by).agg(F.count("*").alias("rows"))
+        rows.limit(0).write.parquet(f"{self.path}/columns")  # an empty table has no other file that names them
+        counts = self._rows().groupBy("range", *self.by).agg(F.count("*").alias("rows"))
         before = Window.partitionBy(*self.by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
         # a row for each range, so the running sum is over rows / a_range numbers
         counts.withColumn("before", F.coalesce(F.sum("rows").over(before), F.lit(0))).write.parquet(f"{self.path}/index")
 
+    def _rows(self) -> DataFrame:
+        columns = self.spark.read.parquet(f"{self.path}/columns").schema
+        return self.spark.read.schema(columns.add("range", "integer")).parquet(f"{self.path}/rows")
+
     def rows(self, **by) -> DataFrame:
-        found = self.spark.read.parquet(f"{self.path}/rows")
+        found = self._rows()
         for c, v in by.items():
             found = found.filter(F.col(c).eqNullSafe(F.lit(v)))
         return found

@@ -9,6 +9,7 @@ from .queries import query, read
 from .sources.ranged import RangedTable
 from .sources.sinks import scratch
 from .sources.snapshot import KeyedSnapshot
+from .sources.trigrams import TrigramIndex
 
 
 @query("""SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey, max(o_orderdate) AS o_orderdate,
@@ -44,3 +45,34 @@ def history_last_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     orders = read(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate")
     return page(orders, (orders.count() - 1) // 70, 70, F.desc("o_orderdate"), F.col("o_orderkey"))
+
+
+_SEARCHED = ["that the", "ization", "Thing AND", "qu", "zzz zzz", "token = ", "  AND, ON "]
+
+
+@query(f"""SELECT q.query, doc_id, lang FROM documents JOIN (VALUES {', '.join(f"('{q}')" for q in _SEARCHED)}) AS q(query) ON contains(lower(concat_ws(' ', text, source)), lower(trim(q.query)))""")
+def trigram_text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several searches of whole texts by one index; the short and the frequent ones scan."""
+    docs = read(spark, sf_dir, "documents", "doc_id", "text", "source", "lang")
+    index = TrigramIndex(spark, scratch(spark, "trigrams"), buckets=16)
+    index.build(docs, "doc_id", "text", "source")
+    out = None
+    for q in _SEARCHED:
+        found = index.search(q).select(F.lit(q).alias("query"), F.col("id").alias("doc_id"))
+        out = found if out is None else out.unionByName(found)
+    return out.join(docs.select("doc_id", "lang"), "doc_id")
+
+
+_TYPED = "4th st"
+_BOOK_SQL = "book AS (SELECT c_custkey, 'Customer ' || c_custkey AS ship_to_name, (c_custkey * 7 % 900 + 1) || ' ' || (c_custkey % 60) || 'th Street' AS address, c_acctbal FROM customer)"
+
+
+@query(f"WITH {_BOOK_SQL} SELECT c_custkey, address FROM book WHERE contains(lower(concat_ws(' ', ship_to_name, address)), '{_TYPED}') ORDER BY c_acctbal DESC, c_custkey LIMIT 8")
+def trigram_address_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Saved addresses while typing: the eight best of those that contain the text, from the index."""
+    key = F.col("c_custkey")
+    book = read(spark, sf_dir, "customer", "c_custkey", "c_acctbal").select(key, "c_acctbal", F.concat(F.lit("Customer "), key).alias("ship_to_name"), F.concat((key * 7 % 900 + 1).cast("string"), F.lit(" "), (key % 60).cast("string"), F.lit("th Street")).alias("address"))
+    index = TrigramIndex(spark, scratch(spark, "addresses"), buckets=16)
+    index.build(book, "c_custkey", "ship_to_name", "address")
+    hits = index.search(_TYPED).select(F.col("id").alias("c_custkey"))
+    return book.join(hits, "c_custkey", "left_semi").orderBy(F.desc("c_acctbal"), "c_custkey").limit(8).select("c_custkey", "address")

@@ -7,8 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillstack.operators.history import page
+from quillstack.plans.first_independent import first_independent
 from quillstack.sources.ranged import RangedTable
 from quillstack.sources.snapshot import KeyedSnapshot
+from quillstack.sources.trigrams import TrigramIndex
 
 SCHEMA = "k long, t int, v string, bucket string"
 
@@ -129,6 +131,9 @@ def test_pages_read_their_ranges(spark, many, tmp_path):
     plan = t.after({"day": day(96), "id": 5}, 10, kind="y")._jdf.queryExecution().executedPlan().toString()
     assert "LessThanOrEqual(day" in plan and "kind" in plan.split("PushedFilters")[1].split("]")[0]
     assert t.page(0, 10, kind="none").count() == 0
+    empty = RangedTable(spark, str(tmp_path / "empty"), ["-day", "id"])
+    empty.write(many.limit(0))
+    assert empty.page(0, 10).count() == 0 and empty.after(None, 5).count() == 0
 
 
 def test_pages_beyond_twenty_thousand(many):
@@ -136,3 +141,41 @@ def test_pages_beyond_twenty_thousand(many):
     assert [(r.position, r.pages) for r in page(many, 1199, 50, *order).orderBy("position").collect()] == [(59_951 + n, 1200) for n in range(50)]
     assert page(many, 0, 50, *order).agg(F.max("pages")).first()[0] == 1200
     assert page(many, 0, 50, *order, most=100).agg(F.max("pages")).first()[0] == 2 and page(many, 2, 50, *order, most=100).count() == 0
+
+
+def test_trigram_search_against_contains(spark, tmp_path):
+    rng = random.Random(8)
+    words = ["alpha", "beta", "Straße", "ÉCOLE", "gamma ray", "x", "", "漢字テスト", "a%b_c", "common"]
+    texts = [(i, " ".join(rng.choices(words, k=rng.randint(0, 6))) if i % 17 else None, "common tail") for i in range(4_000)] + [(4_001, "needle in a haystack", None), (4_001, "needle again", "x")]
+    frame = spark.createDataFrame(texts, "id long, text string, tail string")
+    index = TrigramIndex(spark, str(tmp_path), buckets=8, salts=2)
+    index.build(frame, "id", "text", "tail")
+    for q in ("Needle", "école gam", "漢字テ", "a%b_c x", "x", "common", "nothing like it", " ", "le in a hay", "needle"):
+        found = index.search(q)
+        low = q.strip().lower()
+        assert sorted(r.id for r in found.collect()) == sorted(i for i, *t in texts if low in " ".join(x for x in t if x is not None).lower()), q
+    rare = index.search("needle in")
+    assert scanned(rare) <= 1_000
+    assert index.candidates("x") is None and index.candidates("common") is None and index.candidates("needle") is not None
+    none = TrigramIndex(spark, str(tmp_path / "none"))
+    none.build(frame.limit(0), "id", "text")
+    assert none.search("abc").count() == 0
+    plan = index.candidates("needle")._jdf.queryExecution().executedPlan().toString()
+    assert "In(gram" in plan and "PartitionFilters: [bucket" in plan.replace("isnotnull(bucket", "bucket")
+
+
+def test_first_independent_against_a_greedy_pass(spark):
+    rng = random.Random(2)
+    for n, m in ((1, 0), (40, 60), (200, 900), (30, 29)):
+        edges = [(i, i + 1) for i in range(29)] if m == 29 else [(rng.randrange(n), rng.randrange(n)) for _ in range(m)]
+        near = {i: set() for i in range(n)}
+        for a, b in edges:
+            if a != b:
+                near[a].add(b)
+                near[b].add(a)
+        taken = set()
+        for i in range(n):
+            if not near[i] & taken:
+                taken.add(i)
+        got = first_independent(spark.range(n), spark.createDataFrame(edges, "a long, b long"))
+        assert sorted(r.id for r in got.collect()) == sorted(taken)
