@@ -334,3 +334,29 @@ def hash_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = _hashes(spark, sf_dir).withColumn("n", T.hamming(F.col("h"), F.lit(0).cast("long")))
     b = h.select((F.col("id") - 1).alias("a"), F.col("id").alias("b"), F.col("n").alias("m"))
     return h.join(b, F.col("id") == F.col("a")).select("a", "b", (F.col("n") + F.col("m")).alias("bits"))
+
+
+# other sizes
+
+
+def _resize_sql(n: int, weights: str) -> str:
+    return f"""WITH {_PIXELS_SQL}, k AS ({weights}), f AS (SELECT img_id, x, y, (r * a)::DOUBLE AS r, (g * a)::DOUBLE AS g, (b * a)::DOUBLE AS b, a::DOUBLE AS a FROM px),
+h AS (SELECT img_id, y, t AS x, sum(r * w) AS r, sum(g * w) AS g, sum(b * w) AS b, sum(a * w) AS a FROM f JOIN k ON s = x GROUP BY ALL), v AS (SELECT img_id, x, t AS y, sum(r * w) AS r, sum(g * w) AS g, sum(b * w) AS b, sum(a * w) AS a FROM h JOIN k ON s = y GROUP BY ALL)
+SELECT img_id, x::INT AS x, y::INT AS y, {', '.join(f"greatest(0, least(255, floor(CASE WHEN a > 1e-6 THEN {c} / a ELSE 0 END + 0.500001)))::INT AS {c}" for c in "rgb")}, greatest(0, least(255, floor(a + 0.500001)))::INT AS a FROM v"""
+
+
+_AVERAGED = "SELECT t, s, (least((t + 1) * 1.6::DOUBLE, s + 1) - greatest(t * 1.6::DOUBLE, s)) / 1.6::DOUBLE AS w FROM range(5) a(t), range(8) b(s) WHERE s < (t + 1) * 1.6::DOUBLE - 1e-9 AND s + 1 > t * 1.6::DOUBLE + 1e-9"
+_CUBED = """SELECT t, least(greatest(floor(t * 8 / 13.0::DOUBLE)::INT + k, 0), 7) AS s, sum(CASE k WHEN -1 THEN -d + 2 * d * d - d * d * d WHEN 0 THEN 2 - 5 * d * d + 3 * d * d * d WHEN 1 THEN d + 4 * d * d - 3 * d * d * d ELSE d * d * d - d * d END / 2) AS w
+FROM (SELECT t, t * 8 / 13.0::DOUBLE - floor(t * 8 / 13.0::DOUBLE) AS d FROM range(13) a(t)), (VALUES (-1), (0), (1), (2)) v(k) GROUP BY 1, 2"""
+
+
+@query(_resize_sql(5, _AVERAGED))
+def averaged_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _pixels(spark, sf_dir)
+    return raster.resized_pixels(p, p.select("img_id").distinct().select("img_id", F.lit(5).alias("width"), F.lit(5).alias("height")))
+
+
+@query(_resize_sql(13, _CUBED))
+def cubic_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _pixels(spark, sf_dir)
+    return raster.resized_pixels(p, p.select("img_id").distinct().select("img_id", F.lit(13).alias("width"), F.lit(13).alias("height")), "cubic")

@@ -379,6 +379,47 @@ def resized(g: np.ndarray, height: int, width: int) -> np.ndarray:
     return np.concatenate((np.rint(colour), np.rint(out[..., 3:])), axis=2).astype(np.int32) if (h, w) != (height, width) else g
 
 
+def resize_weights(sizes: DataFrame, how: str) -> DataFrame:
+    """old, new, target, source, weight: what each source cell of a line of ``old`` cells gives to each of ``new``.
+
+    ``average``: the share of the target cell that it covers. ``cubic``: the four cells around the target's place, by a
+    cubic through the middle two with the slopes of their neighbours; cells beyond an end are the end's."""
+    t = sizes.select("old", "new").distinct().withColumn("target", F.explode(F.sequence(F.lit(0), F.col("new") - 1)))
+    scale = F.col("old") / F.col("new")
+    if how == "average":
+        low, high = F.col("target") * scale, (F.col("target") + 1) * scale
+        cells = t.withColumn("source", F.explode(F.sequence(F.floor(low).cast("int"), F.least(F.ceil(high).cast("int"), F.col("old")) - 1)))
+        covered = F.least(high, F.col("source") + F.lit(1.0)) - F.greatest(low, F.col("source") + F.lit(0.0))
+        return cells.select("old", "new", "target", "source", (covered / scale).alias("weight")).filter("weight > 1e-12")
+    at = F.col("target") * scale
+    d = at - F.floor(at)
+    taps = F.array(*[F.struct(F.lit(k).alias("k"), (w / 2).alias("w")) for k, w in ((-1, -d + 2 * d * d - d * d * d), (0, 2 - 5 * d * d + 3 * d * d * d), (1, d + 4 * d * d - 3 * d * d * d), (2, -d * d + d * d * d))])
+    each = t.withColumn("tap", F.explode(taps)).withColumn("source", F.least(F.greatest((F.floor(at) + F.col("tap.k")).cast("int"), F.lit(0)), F.col("old") - 1))
+    return each.groupBy("old", "new", "target", "source").agg(F.sum("tap.w").alias("weight"))
+
+
+def resized_pixels(pixels: DataFrame, wanted: DataFrame, how: str = "average") -> DataFrame:
+    """Pixel tables in other sizes: along x, then along y, each a join with the weights of its line and a sum, so
+    a large image is as many tasks as its lines ask for. Colours are weighted by opacity, so that clear pixels lend none.
+
+    wanted: img_id, width, height (whole numbers from 1). Images have pixels at all places from 0."""
+    size = pixels.groupBy("img_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h")).join(wanted, "img_id")
+    size = size.select("img_id", "w", "h", F.col("width").cast("int").alias("tw"), F.col("height").cast("int").alias("th"))
+    flat = pixels.select("img_id", "x", "y", *[(F.col(c) * F.col("a")).cast("double").alias(c) for c in "rgb"], F.col("a").cast("double").alias("a"))
+
+    def along(rows: DataFrame, axis: str, old: str, new: str) -> DataFrame:
+        weights = resize_weights(size.select(F.col(old).alias("old"), F.col(new).alias("new")), how)
+        keyed = rows.join(size.select("img_id", F.col(old).alias("old"), F.col(new).alias("new")), "img_id").withColumnRenamed(axis, "source")
+        other = "y" if axis == "x" else "x"
+        sums = keyed.join(weights, ["old", "new", "source"]).groupBy("img_id", other, F.col("target").alias(axis))
+        return sums.agg(*[F.sum(F.col(c) * F.col("weight")).alias(c) for c in "rgba"])
+
+    out = along(along(flat, "x", "w", "tw"), "y", "h", "th")
+    whole = lambda v: F.greatest(F.lit(0), F.least(F.lit(255), F.floor(v + 0.500001).cast("int")))
+    colour = [whole(F.when(F.col("a") > 1e-6, F.col(c) / F.col("a")).otherwise(0.0)).alias(c) for c in "rgb"]
+    return out.select("img_id", "x", "y", *colour, whole(F.col("a")).alias("a"))
+
+
 def colour_layers(g: np.ndarray, k: int = 3, rounds: int = 8) -> tuple[np.ndarray, np.ndarray]:
     """(centres, labels with -1 where clear): k-means by the largest channel difference, evenly spaced seeds."""
     on = g[..., 3] >= OPAQUE

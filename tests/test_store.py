@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from quillstack.operators import resolve
 from quillstack.operators.history import page
 from quillstack.plans.first_independent import first_independent
 from quillstack.sources.ranged import RangedTable
@@ -179,3 +180,34 @@ def test_first_independent_against_a_greedy_pass(spark):
                 taken.add(i)
         got = first_independent(spark.range(n), spark.createDataFrame(edges, "a long, b long"))
         assert sorted(r.id for r in got.collect()) == sorted(taken)
+
+
+def test_questions_end_and_merge_as_one_pass(spark):
+    """Asking in rounds leads to what a pass over the rows, asking at once, comes to."""
+    rng = random.Random(4)
+    rows = [(i, i, f"Yard {rng.randrange(3)}", f"{100 + rng.randrange(7)} Elm Street", rng.choice(["Alpha", "Bravo"]), rng.choice(["", "A1", "B2"])) for i in range(80)]
+    book = spark.createDataFrame(rows, "address_key long, position long, ship_to_name string, address string, carrier string, account_numbers string")
+    keys = {r.address_key: r for r in resolve.keyed(book).collect()}
+    truth = lambda x, y: (int(x[:3]) - 100) // 2 == (int(y[:3]) - 100) // 2
+    street = {keys[i].street_key: a for i, _, _, a, _, _ in rows}
+    want, seeds = {}, []
+    for i, *_ in rows:
+        k = keys[i]
+        for s in seeds:
+            t = keys[s]
+            if t.carrier_key == k.carrier_key and (not t.account_key or not k.account_key or t.account_key == k.account_key) and t.ship_key == k.ship_key and (t.street_key == k.street_key or truth(street[t.street_key], street[k.street_key])):
+                want[i] = s
+                break
+        else:
+            seeds.append(i)
+            want[i] = i
+    known, asked = [], 0
+    for _ in range(20):
+        answers = spark.createDataFrame(known, "ship_key string, street_a string, street_b string, same boolean")
+        found = resolve.questions(book, answers).collect()
+        if not found:
+            break
+        asked += len(found)
+        known += [(r.ship_key, r.street_a, r.street_b, truth(street[r.street_a], street[r.street_b])) for r in found]
+    assert not found and asked <= 3 * 21
+    assert {r.address_key: r["into"] for r in resolve.greedy_merge(book, answers).collect()} == want
