@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import layout, marks, raster
+from .operators import layout, marks, raster, tiles
 from .plans.components import components
 from .plans.hamming_join import hamming_pairs, nearest
 from .queries import query, read
@@ -360,3 +360,27 @@ def averaged_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cubic_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _pixels(spark, sf_dir)
     return raster.resized_pixels(p, p.select("img_id").distinct().select("img_id", F.lit(13).alias("width"), F.lit(13).alias("height")), "cubic")
+
+
+# one large image of all vectors: a row of 40 small images, and as many rows as it takes
+
+_MOSAIC_SQL = f"{_PIXELS_SQL}, mo AS (SELECT img_id[2:]::BIGINT % 40 * 8 + x AS x, img_id[2:]::BIGINT // 40 * 8 + y AS y, r, g, b, a FROM px)"
+
+
+def _mosaic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.substring("img_id", 2, 20).cast("long")
+    return _pixels(spark, sf_dir).select(F.lit("m").alias("img_id"), (n % 40 * 8 + F.col("x")).cast("int").alias("x"), (F.floor(n / 40) * 8 + F.col("y")).cast("int").alias("y"), "r", "g", "b", "a")
+
+
+@query(f"""WITH RECURSIVE {_MOSAIC_SQL}, i AS (SELECT x, y, y * 4294967296 + x AS id FROM mo WHERE a = 120), c AS (SELECT x, y, id AS root FROM i UNION SELECT i.x, i.y, c.root FROM c, (VALUES (-1, -1), (0, -1), (1, -1), (-1, 0), (1, 0), (-1, 1), (0, 1), (1, 1)) d(dx, dy) JOIN i ON i.x = c.x + dx AND i.y = c.y + dy AND i.id > c.root)
+, l AS (SELECT x, y, min(root) AS root FROM c GROUP BY ALL) SELECT root AS region, min(x)::INT AS x0, min(y)::INT AS y0, max(x)::INT AS x1, max(y)::INT AS y1, count(*) AS n FROM l GROUP BY 1""")
+def mosaic_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions of half-clear pixels across the whole mosaic, from tiles of 64 x 64."""
+    return tiles.boxes(tiles.regions(_mosaic(spark, sf_dir), F.col("a") == 120, True, 64)).drop("img_id")
+
+
+@query(f"""WITH RECURSIVE {_MOSAIC_SQL}, z AS (SELECT max(x) AS w, max(y) AS h FROM mo), e AS (SELECT mo.* FROM mo, z WHERE x = 0 OR y = 0 OR x = w OR y = h), m AS (SELECT r AS pr, g AS pg, b AS pb FROM e WHERE a >= 16 GROUP BY 1, 2, 3 ORDER BY count(*) DESC, 1, 2, 3 LIMIT 1),
+p AS (SELECT x, y FROM mo, m WHERE a >= 16 AND greatest(abs(r - pr), abs(g - pg), abs(b - pb)) <= 24), c AS (SELECT p.x, p.y FROM p JOIN e USING (x, y) UNION SELECT p.x, p.y FROM c, (VALUES (0, -1), (-1, 0), (1, 0), (0, 1)) d(dx, dy) JOIN p ON p.x = c.x + dx AND p.y = c.y + dy)
+SELECT mo.x::INT AS x, mo.y::INT AS y, r, g, b, CASE WHEN c.x IS NULL THEN a ELSE 0 END AS a FROM mo LEFT JOIN c ON c.x = mo.x AND c.y = mo.y""")
+def mosaic_background(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiles.backgrounds_cleared(_mosaic(spark, sf_dir), tile=64).drop("img_id")
