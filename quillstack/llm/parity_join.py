@@ -346,9 +346,10 @@ def _grouped(docs: DataFrame, width: int, crowd: int) -> DataFrame:
     (doc_id, t, text); both null without shingles. Two components have one smallest id if that stands on several texts."""
     rows = stored(described(docs, width), "join-rows")
     keys = stored(rows.select("doc_id", "t", "n", "s1", "s2"), "join-keys")
-    # a class is a set; the row of its smallest id stands for it, and its node is a number of its own, as ids may repeat
+    # a class is a set; the row of its smallest id stands for it. Its node is a number of its own, as ids may repeat, in
+    # the order of ids: the first text of a group is then its head, and copies edited from it are linked by one comparison
     classes = keys.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("doc_id"), F.min_by("t", "doc_id").alias("t")).filter("doc_id is not null")
-    classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "join-classes")
+    classes = stored(stored(classes, "join-classes").sort("doc_id").withColumn("node", F.monotonically_increasing_id()), "join-nodes")
     texts = _Texts(docs, keys, classes, width)
     of_row = ["doc_id", "t", "n", "s1", "s2"]
     heads = rows.join(classes, of_row).dropDuplicates(of_row)

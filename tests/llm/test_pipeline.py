@@ -6,7 +6,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from quillstack.llm import queries
-from quillstack.llm.common import stored, table, tables_written
+from quillstack.llm.common import job, stored, table
 from quillstack.llm.tokens import default_vocabulary
 
 from .test_parity_join import brute
@@ -45,7 +45,7 @@ def test_stages_against_brute_force(spark, small):
 
 def test_queries_are_named():
     names = sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.queries())
-    assert names == list(range(1, 11)) and set(queries.oracle_sql()) <= set(queries.queries())
+    assert names == list(range(1, 14)) and set(queries.oracle_sql()) <= set(queries.queries())
 
 
 def test_stages_on_odd_rows_and_names(spark, small, docs, odd):
@@ -73,6 +73,6 @@ def test_stages_on_an_empty_table(spark, small, docs):
 
 
 def test_run_deletes_what_it_no_longer_needs(spark, small):
-    before = tables_written()
-    result = corpus_pipeline.run(spark, small)
-    assert tables_written() - before == {result._stored_at} and result.count() > 0
+    with job() as tables:
+        result = corpus_pipeline.run(spark, small)
+    assert tables.paths == {result._stored_at} and result.count() > 0
