@@ -282,7 +282,7 @@ def _order_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == 1, _joined("PO Number Location Project\n", po, "\tNorth ", c, "\t", (F.col("o_custkey") + 770_000).cast("string"), "\n"))
         .otherwise(_joined("Project Location PO Number\n", (F.col("o_custkey") + 1000).cast("string"), " Long Road\nTown\n", po, "\n"))
     )
-    rest = _joined("Requisitioner Approver AFE # Cost\n", F.when(k % 5 == 0, _joined("Shawn Epp\tX\tAB", c, "-9")).otherwise("Marlene\nDunand"), "\nDelivery Instructions:\n", F.when(k % 4 == 0, "Rosenau  Transport\n").otherwise(""), "Able ", c, " Co\n", c, " Elm Rd\nShip via Fast\n\n")
+    rest = _joined("Requisitioner Approver AFE # Cost\n", F.when(k % 5 == 0, _joined("Casey Holt\tX\tAB", c, "-9")).otherwise("Robin\nVance"), "\nDelivery Instructions:\n", F.when(k % 4 == 0, "Northmark  Transport\n").otherwise(""), "Able ", c, " Co\n", c, " Elm Rd\nShip via Fast\n\n")
     return o.withColumn("head", F.concat(title, parties, row, rest)).join(lines.groupBy("doc_id").agg(text.alias("body")), "doc_id", "left").select("doc_id", F.concat("head", F.coalesce("body", F.lit(""))).alias("text"))
 
 
@@ -319,10 +319,10 @@ def order_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT o_orderkey AS doc_id, CASE o_orderkey % 3 WHEN 0 THEN '4460.' || o_custkey WHEN 1 THEN (o_custkey + 770000)::VARCHAR ELSE 'P' || o_orderkey + 600000 END AS project, CASE o_orderkey % 3 WHEN 0 THEN 'Riser ' || o_custkey WHEN 1 THEN 'North ' || o_custkey ELSE (o_custkey + 1000) || ' Long Road Town' END AS location, 'P' || o_orderkey + 600000 AS po,
-CASE WHEN o_orderkey % 5 = 0 THEN 'Shawn Epp' ELSE 'Marlene Dunand' END AS requisitioner, CASE WHEN o_orderkey % 5 = 0 THEN 'AB' || o_custkey || '-9' ELSE '' END AS afe, 'Zed ' || o_custkey || ' Ltd.' AS bill_name, 'Yard ' || o_custkey || ' Inc' AS ship_name, o_custkey || ' Oak St' || chr(10) || 'Town AB' AS ship_address,
-'Able ' || o_custkey || ' Co' AS delivery_name, o_custkey || ' Elm Rd' AS delivery_address, CASE WHEN o_orderkey % 4 = 0 THEN 'Rosenau Transport' ELSE 'Ship via Fast' END AS delivery_carrier, TRUE AS has_delivery, CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE 'PL-' || o_orderkey || '00' END AS packing_slip, CASE WHEN o_orderkey % 2 = 0 THEN 'order_ack' ELSE 'packing_list' END AS document_kind FROM orders""")
+CASE WHEN o_orderkey % 5 = 0 THEN 'Casey Holt' ELSE 'Robin Vance' END AS requisitioner, CASE WHEN o_orderkey % 5 = 0 THEN 'AB' || o_custkey || '-9' ELSE '' END AS afe, 'Zed ' || o_custkey || ' Ltd.' AS bill_name, 'Yard ' || o_custkey || ' Inc' AS ship_name, o_custkey || ' Oak St' || chr(10) || 'Town AB' AS ship_address,
+'Able ' || o_custkey || ' Co' AS delivery_name, o_custkey || ' Elm Rd' AS delivery_address, CASE WHEN o_orderkey % 4 = 0 THEN 'Northmark Transport' ELSE 'Ship via Fast' END AS delivery_carrier, TRUE AS has_delivery, CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE 'PL-' || o_orderkey || '00' END AS packing_slip, CASE WHEN o_orderkey % 2 = 0 THEN 'order_ack' ELSE 'packing_list' END AS document_kind FROM orders""")
 def header_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return headers.headers(_order_documents(spark, sf_dir))
+    return headers.headers(_order_documents(spark, sf_dir), carriers=("northmark",))
 
 
 @query("""SELECT o_orderkey AS doc_id, CASE o_orderkey % 3 WHEN 1 THEN 'Arc ' || o_custkey ELSE 'Arc ' || o_custkey || ' Resources' END AS customer, 'P' || o_custkey AS po, CASE o_orderkey % 3 WHEN 0 THEN 'customer: Arc ' || o_custkey || ' / Arc ' || o_custkey || ' Resources' WHEN 1 THEN CASE WHEN o_custkey = 0 THEN '' ELSE 'po: P' || o_custkey || ' / P0' END ELSE '' END AS notes FROM orders""")
