@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.fit import Font
 from .operators import resolve
 from .queries import query, read
 from .sources.ranged import RangedTable
@@ -101,3 +102,28 @@ def greedy_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = (places.select("ship_key", F.col("street_key").alias(f"street_{x}"), F.col("street").alias(x)) for x in "ab")
     answers = a.filter("a % 3 = 0").withColumn("b", F.col("a") + 1).join(b, ["ship_key", "b"]).select("ship_key", "street_a", "street_b", F.lit(True).alias("same"))
     return resolve.greedy_merge(book, answers)
+
+
+_WIDTHS = {c: 222 for c in "ijl"} | {c: 278 for c in " .,ft"} | {c: 833 for c in "mw"}
+_WIDE = "(CASE WHEN c IN ('i', 'j', 'l') THEN 222 WHEN c IN (' ', '.', ',', 'f', 't') THEN 278 WHEN c IN ('m', 'w') THEN 833 ELSE 556 END)"
+_TAG_SQL = """t AS (SELECT p_partkey, lower(concat_ws(' ', p_name, p_type, p_brand)) AS s, 60 + p_size % 30 AS width FROM part),
+w AS (SELECT p_partkey, width, u.word, row_number() OVER (PARTITION BY p_partkey ORDER BY u.i) AS n FROM (SELECT p_partkey, width, unnest(list_zip(string_split(s, ' '), range(100))) AS z, z[1] AS word, z[2] AS i FROM t) u WHERE u.word IS NOT NULL)"""
+
+
+@query(f"""WITH RECURSIVE {_TAG_SQL}, m AS (SELECT *, (SELECT coalesce(sum({_WIDE}), 0) FROM (SELECT unnest(string_split(w.word, '')) AS c)) AS wide FROM w),
+f AS (SELECT p_partkey, width, 1::BIGINT AS n, word AS line, wide AS used, 1 AS no FROM m WHERE n = 1
+UNION ALL SELECT m.p_partkey, m.width, m.n, CASE WHEN f.used + 278 + m.wide <= m.width * 1000 / 9.0 THEN f.line || ' ' || m.word ELSE m.word END, CASE WHEN f.used + 278 + m.wide <= m.width * 1000 / 9.0 THEN f.used + 278 + m.wide ELSE m.wide END,
+CASE WHEN f.used + 278 + m.wide <= m.width * 1000 / 9.0 THEN f.no ELSE f.no + 1 END FROM f JOIN m ON m.p_partkey = f.p_partkey AND m.n = f.n + 1)
+SELECT p_partkey, no AS line_no, arg_max(line, n) AS line FROM f GROUP BY 1, 2""")
+def wrapped_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of each part's tag at nine points, on tags of different widths."""
+    tag = F.lower(F.concat_ws(" ", "p_name", "p_type", "p_brand"))
+    lines = Font(_WIDTHS, 556).lines(tag, 60 + F.col("p_size") % 30, F.lit(9.0))
+    return read(spark, sf_dir, "part").select("p_partkey", F.posexplode(lines).alias("i", "line")).select("p_partkey", (F.col("i") + 1).alias("line_no"), "line")
+
+
+@query(f"""WITH t AS (SELECT p_partkey, p_name, (SELECT sum({_WIDE}) FROM (SELECT unnest(string_split(p_name, '')) AS c)) AS w, 20 + p_size AS width FROM part)
+SELECT p_partkey, greatest(6.0, 12.0 - greatest(0, ceil((12.0 - width * 1000.0 / w) / 0.5)) * 0.5)::DOUBLE AS size FROM t""")
+def tag_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = Font(_WIDTHS, 556).one_line_size(F.col("p_name"), 20 + F.col("p_size"), 12.0, 6.0)
+    return read(spark, sf_dir, "part", "p_partkey", "p_name", "p_size").select("p_partkey", size.alias("size"))
