@@ -12,6 +12,7 @@ from .sources.ranged import RangedTable
 from .sources.sinks import scratch
 from .sources.snapshot import KeyedSnapshot
 from .sources.trigrams import TrigramIndex
+from .streaming.latest import fresh_answers
 
 
 @query("""SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey, max(o_orderdate) AS o_orderdate,
@@ -127,3 +128,33 @@ SELECT p_partkey, greatest(6.0, 12.0 - greatest(0, ceil((12.0 - width * 1000.0 /
 def tag_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = Font(_WIDTHS, 556).one_line_size(F.col("p_name"), 20 + F.col("p_size"), 12.0, 6.0)
     return read(spark, sf_dir, "part", "p_partkey", "p_name", "p_size").select("p_partkey", size.alias("size"))
+
+
+# streams, each run to the end of what is there
+
+
+@query("SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, max(ts) AS ts, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY 1")
+def followed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's last event, kept by a stream of the events in a keyed snapshot; they arrive in two halves, each across all times."""
+    events = read(spark, sf_dir, "events", "user_id", "event_id", "ts", "event_type")
+    kept = KeyedSnapshot(spark, scratch(spark, "last-events"), ["user_id"], ["ts", "event_id"], buckets=8)
+    checkpoint, arrived = scratch(spark, "followed"), scratch(spark, "arrived")
+    for late in (True, False):
+        events.filter((F.col("event_id") % 2 == 0) == late).write.mode("append").parquet(arrived)
+        kept.follow(spark.readStream.schema(events.schema).parquet(arrived), "events", checkpoint).awaitTermination()
+    return kept.read()
+
+
+@query("""WITH e AS (SELECT user_id, event_id, ts, event_type IN ('click', 'purchase') AS answer, value, CASE WHEN event_type IN ('click', 'purchase') THEN event_id // 7 * 7 ELSE event_id END AS request FROM events),
+a AS (SELECT *, max(CASE WHEN NOT answer THEN request END) OVER (PARTITION BY user_id ORDER BY ts, request, answer) AS asked FROM e)
+SELECT user_id::VARCHAR AS key, request, ts, value FROM a WHERE answer AND request = asked""")
+def wanted_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks and purchases are answers to the request with the last number of seven before theirs, other events are requests: a
+    stream of them, from a table in the order of time, gives the answers that are still wanted."""
+    is_answer = F.col("event_type").isin("click", "purchase")
+    rows = read(spark, sf_dir, "events", "user_id", "event_id", "ts", "event_type", "value").select(F.col("user_id").cast("string").alias("key"), F.when(is_answer, F.floor(F.col("event_id") / 7) * 7).otherwise(F.col("event_id")).alias("request"), F.col("ts").cast("timestamp").alias("ts"), is_answer.alias("answer"), "value")
+    where, out, checkpoint = (scratch(spark, x) for x in ("asked", "wanted", "wanted-log"))
+    rows.write.parquet(where)
+    stream = fresh_answers(spark.readStream.schema(rows.schema).parquet(where))
+    stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out).withColumn("ts", F.col("ts").cast("timestamp_ntz"))

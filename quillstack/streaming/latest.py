@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -38,3 +39,31 @@ def due_daily(now: Column, last_run: Column, hour: int = 15, zone: str = "Americ
 
 def snoozed(now: Column, asked: Column, days: int = 3) -> Column:
     return asked.isNotNull() & (now < asked + F.make_dt_interval(F.lit(days)))
+
+
+ANSWER = "key string, request long, ts timestamp, value double"
+
+
+def fresh_answers(rows: DataFrame) -> DataFrame:
+    """The answers that are still wanted when they come: those to the last request that their key has made by then.
+
+    rows: key string, request long, ts timestamp, answer boolean, value double; requests of a key count up, and of
+    equal times they come in the order of requests, a request before its answer.  On a stream, one number a key is
+    kept between batches, so a row has to come in no earlier batch than those before it; late requests are
+    requests all the same, as only the largest number counts."""
+    if not rows.isStreaming:
+        asked = F.max(F.when(~F.col("answer"), F.col("request"))).over(Window.partitionBy("key").orderBy("ts", "request", "answer"))
+        return rows.withColumn("__asked", asked).filter(F.col("answer") & (F.col("request") == F.col("__asked"))).select("key", "request", "ts", "value")
+
+    def fold(key: tuple, frames, state):
+        asked = state.get[0] if state.exists else None
+        every = pd.concat(list(frames)).sort_values(["ts", "request", "answer"], kind="stable")
+        wanted = every["request"].where(~every["answer"]).cummax().ffill()
+        if asked is not None:
+            wanted = wanted.fillna(asked).clip(lower=asked)
+        if wanted.notna().any():
+            state.update((int(wanted.dropna().iloc[-1]),))
+        fresh = every[every["answer"] & (every["request"] == wanted)]
+        yield fresh[["key", "request", "ts", "value"]]
+
+    return rows.groupBy("key").applyInPandasWithState(fold, ANSWER, "asked long", "append", "NoTimeout")

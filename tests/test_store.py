@@ -12,6 +12,7 @@ from quillstack.plans.first_independent import first_independent
 from quillstack.sources.ranged import RangedTable
 from quillstack.sources.snapshot import KeyedSnapshot
 from quillstack.sources.trigrams import TrigramIndex
+from quillstack.streaming.latest import fresh_answers
 
 SCHEMA = "k long, t int, v string, bucket string"
 
@@ -211,3 +212,32 @@ def test_questions_end_and_merge_as_one_pass(spark):
         known += [(r.ship_key, r.street_a, r.street_b, truth(street[r.street_a], street[r.street_b])) for r in found]
     assert not found and asked <= 3 * 21
     assert {r.address_key: r["into"] for r in resolve.greedy_merge(book, answers).collect()} == want
+
+
+@pytest.mark.parametrize("batches", [1, 4])
+def test_answers_in_any_split(spark, tmp_path, batches):
+    """A stream that comes in several batches gives the rows of the table."""
+    rng = random.Random(batches)
+    start = datetime.datetime(2024, 1, 1)
+    rows, last = [], {}
+    for i in range(300):
+        key = rng.choice("abc")
+        if rng.random() < 0.5 or key not in last:
+            last[key] = i
+            rows.append((key, i, start + datetime.timedelta(seconds=i), False, 0.0))
+        else:
+            rows.append((key, rng.choice([last[key], last[key], rng.randrange(i)]), start + datetime.timedelta(seconds=i), True, float(i)))
+    schema = "key string, request long, ts timestamp, answer boolean, value double"
+    whole = {tuple(r) for r in fresh_answers(spark.createDataFrame(rows, schema)).collect()}
+    asked, want = {}, set()
+    for k, r, t, answer, v in rows:
+        if not answer:
+            asked[k] = max(r, asked.get(k, r))
+        elif asked.get(k) == r:
+            want.add((k, r, t, v))
+    assert whole == want and want
+    for n in range(batches):
+        spark.createDataFrame(rows[n * 300 // batches : (n + 1) * 300 // batches], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = fresh_answers(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+        stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination(120)
+    assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == want
