@@ -15,7 +15,7 @@ the number of vectors.  By the same inequality they bound a query's score with a
 1. each query sees one block of its own ring; its k-th best score there is the least
    that counts;
 2. rings whose bound is below that are ruled out for the query before anything is shuffled, and it is
-   sent to the blocks of the others only.  Queries are grouped by their own rings, and a block
+   sent to the blocks of the others only.  Queries are grouped in the order of their own rings, and a block
    is sent to those groups of which a query asks for it.
 
 Each task takes one group against one block and returns k rows a query at most; a last step keeps
@@ -312,11 +312,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, pivots: int = 24,
     known = _dealt(vectors, max(1, min(pivots, vectors.count() // a_cell)), a_block, rings)
     blocks = {(dim, i): (int(r.first[i]), int(r.many[i])) for dim, r in known.items() for i in range(len(r.many))}
     held = stored(_ringed(vectors, known, blocks).withColumnRenamed("place", "b"), "search-held")
-    groups, begin = {}, 0
-    for r in _ringed(queries, known).groupBy("dim", "ring").count().collect():  # as many rows as rings
-        groups[r["dim"], r["ring"]] = begin, -(-r["count"] // a_group)
-        begin += groups[r["dim"], r["ring"]][1]
-    grouped = stored(_ringed(queries, known, groups).withColumnRenamed("place", "g"), "search-grouped")
+    # queries of one ring stand together, and every a_group of them are a group: small rings share one
+    order, begin = {}, 0
+    for r in sorted(_ringed(queries, known).groupBy("dim", "ring").count().collect()):  # as many rows as rings
+        order[r["dim"], r["ring"]] = begin, r["count"]
+        begin += r["count"]
+    grouped = _ringed(queries, known, order).withColumn("g", F.floor(F.col("place") / a_group).cast("long")).drop("place")
+    grouped = stored(grouped, "search-grouped")
 
     def run(key: tuple, asked: pa.Table, block: pa.Table) -> pa.Table:
         if not len(asked) or not len(block):
