@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clamp
+from ..plans.numbering import summed_so_far
 
 
 def band_score(value: Column, low: float, high: float, slack: float) -> Column:
@@ -68,11 +69,16 @@ def longest_run(rows: DataFrame, key: str, position: str, above: Column) -> Data
 
 
 def upper_middles(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """The value at n div 2, from 0, of the sorted values of each group, from value counts: no list is built."""
-    counts = rows.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*keys)
-    upto = counts.withColumn("u", F.sum("c").over(w.orderBy(value))).withColumn("n", F.sum("c").over(w))
-    return upto.filter("u > floor(n / 2)").groupBy(*keys).agg(F.min(value).alias("middle"))
+    """The value at n div 2, from 0, of the sorted values of each group, from value counts: no list is built, and running
+    counts go over ranges of all groups, so a group of many values isn't one task."""
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__c"))
+    upto = summed_so_far(counts, "__u", "__c", *keys, value)
+    whole = upto.groupBy(*keys).agg(F.min(F.col("__u") - F.col("__c")).alias("__start"), F.sum("__c").alias("__n"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    behind = upto.alias("a").join(whole.alias("b"), same & (F.col("__u") - F.col("__start") > F.floor(F.col("__n") / 2)))
+    return behind.groupBy(*(F.col(f"a.{k}").alias(k) for k in keys)).agg(F.min(f"a.{value}").alias("middle"))
 
 
 def capped_tail(log: DataFrame, key: str, when: str, keep: int = 40, tie: str | None = None) -> DataFrame:

@@ -28,6 +28,15 @@ def numbered(rows: DataFrame, name: str, *order: str) -> DataFrame:
     return ranged.withColumn("__within", within).join(starts, "__range").withColumn(name, F.col("__before") + F.col("__within")).drop("__range", "__within", "__before")
 
 
+def summed_so_far(rows: DataFrame, name: str, value: str, *order: str) -> DataFrame:
+    """A column with the sum of a column up to each row, in an order, the same way."""
+    ranged = _ranged(rows, *order)
+    sums = ranged.groupBy("__range").agg(F.sum(value).alias("__sum"))
+    starts = sums.select("__range", F.coalesce(F.sum("__sum").over(Window.orderBy("__range").rowsBetween(*_EARLIER)), F.lit(0)).alias("__before"))
+    within = F.sum(value).over(Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return ranged.withColumn("__within", within).join(starts, "__range").withColumn(name, F.col("__before") + F.col("__within")).drop("__range", "__within", "__before")
+
+
 def highest_so_far(rows: DataFrame, name: str, key: str, value: str, *order: str) -> DataFrame:
     """A column with the largest value of a key's rows up to each one, in an order, whatever the size of a key:
     ranges of rows take over the largest value of the key's earlier ranges."""

@@ -448,7 +448,8 @@ def batches_until_enough(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT page_id % 10 AS company, page_id AS ordinal, (page_id % 7 + CASE WHEN page_id // 10 < 6 THEN 18 - 3 * (page_id // 10) ELSE 0 END)::BIGINT AS score FROM pages""")
 def reranked_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read(spark, sf_dir, "pages", "page_id").select((F.col("page_id") % 10).alias("company"), F.col("page_id").alias("ordinal"), (F.col("page_id") % 7).alias("score"))
-    opinion = c.groupBy("company").agg(F.slice(F.array_sort(F.collect_list("ordinal")), 1, 9).alias("order"))
+    first = c.withColumn("i", F.row_number().over(Window.partitionBy("company").orderBy("ordinal"))).filter("i <= 9")
+    opinion = first.groupBy("company").agg(F.array_sort(F.collect_list("ordinal")).alias("order"))
     return rank.reranked(c, "company", opinion).select("company", "ordinal", "score")
 
 

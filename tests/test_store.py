@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quillstack.operators import resolve
+from quillstack.operators import resolve, scoring
 from quillstack.operators.history import page
 from quillstack.plans.first_independent import first_independent
 from quillstack.sources.ranged import RangedTable
@@ -241,3 +241,15 @@ def test_answers_in_any_split(spark, tmp_path, batches):
         stream = fresh_answers(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
         stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination(120)
     assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == want
+
+
+def test_upper_middles_of_any_group(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, 1.0, 2.5, rng.random()])) for _ in range(500)] + [("c", 4.0), ("d", None)]
+    got = {r.k: r.middle for r in scoring.upper_middles(spark.createDataFrame(rows, "k string, v double"), ["k"], "v").collect()}
+    want = {}
+    for k in {k for k, _ in rows}:
+        own = sorted(v for j, v in rows if j == k and v is not None)
+        if own:
+            want[k] = own[len(own) // 2]
+    assert got == want
