@@ -384,3 +384,29 @@ p AS (SELECT x, y FROM mo, m WHERE a >= 16 AND greatest(abs(r - pr), abs(g - pg)
 SELECT mo.x::INT AS x, mo.y::INT AS y, r, g, b, CASE WHEN c.x IS NULL THEN a ELSE 0 END AS a FROM mo LEFT JOIN c ON c.x = mo.x AND c.y = mo.y""")
 def mosaic_background(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiles.backgrounds_cleared(_mosaic(spark, sf_dir), tile=64).drop("img_id")
+
+
+# layers of colours
+
+_NEAREST = "list_transform(pts, lambda p: list_position(list_transform(c, lambda q: greatest(abs(p.r - q.r), abs(p.g - q.g), abs(p.b - q.b))), list_min(list_transform(c, lambda q: greatest(abs(p.r - q.r), abs(p.g - q.g), abs(p.b - q.b))))))"
+_POINT = "STRUCT(r DOUBLE, g DOUBLE, b DOUBLE)"
+
+
+def _mean(channel: str) -> str:
+    return f"list_avg(list_transform(list_filter(list_zip(pts, lab), lambda z: z[2] = i), lambda z: z[1].{channel}))"
+
+
+@query(f"""WITH RECURSIVE {_PIXELS_SQL}, o AS (SELECT img_id, list({{'r': r, 'g': g, 'b': b}}::{_POINT} ORDER BY r, g, b) AS pts FROM px WHERE a >= 16 GROUP BY 1),
+s AS (SELECT img_id, 0 AS k, list_transform([0, 1, 2], lambda i: pts[floor((len(pts) - 1) * i / 2.0)::INT + 1]) AS c FROM o
+UNION ALL SELECT img_id, k + 1, list_transform([1, 2, 3], lambda i: CASE WHEN list_contains(lab, i) THEN {{'r': {_mean('r')}, 'g': {_mean('g')}, 'b': {_mean('b')}}}::{_POINT} ELSE c[i] END)
+FROM (SELECT s.img_id, s.k, s.c, o.pts, {_NEAREST} AS lab FROM s JOIN o USING (img_id) WHERE s.k < 8))
+SELECT img_id, i::INT AS layer, round(c[i].r, 6) AS r, round(c[i].g, 6) AS g, round(c[i].b, 6) AS b, len(list_filter({_NEAREST}, lambda x: x = i))::INT AS n FROM s JOIN o USING (img_id), range(1, 4) t(i) WHERE k = 8""")
+def colour_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three layers of each image: their centres after eight rounds and how many pixels each has."""
+
+    def find(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
+        centres, label = raster.colour_layers(raster.grid(p), 3)
+        rows = [(key[0], i + 1, *(round(float(v), 6) for v in c), int((label == i).sum())) for i, c in enumerate(centres)]
+        return pd.DataFrame(rows, columns=["img_id", "layer", "r", "g", "b", "n"])
+
+    return _pixels(spark, sf_dir).groupBy("img_id").applyInPandas(find, "img_id string, layer int, r double, g double, b double, n int")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.fit import Font
-from .operators import resolve
+from .operators import history, resolve
 from .queries import query, read
 from .sources.ranged import RangedTable
 from .sources.sinks import scratch
@@ -26,12 +26,15 @@ def bucketed_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.read()
 
 
-@query("""WITH r AS (SELECT l_returnflag, l_orderkey, l_linenumber, l_shipdate, l_quantity, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_shipdate DESC, l_orderkey, l_linenumber) AS position, count(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem)
-SELECT l_returnflag, l_orderkey, l_linenumber, l_shipdate, l_quantity, position, ceil(n / 50)::BIGINT AS pages FROM r WHERE (position - 1) // 50 = (n - 1) // 50 // 2""")
+_LINE = ("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+_LINES_SQL = f"SELECT l_returnflag, {', '.join(_LINE)}, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_shipdate DESC, {', '.join(_LINE[1:])}) AS position, count(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem"
+
+
+@query(f"SELECT l_returnflag, {', '.join(_LINE)}, position, ceil(n / 50)::BIGINT AS pages FROM ({_LINES_SQL}) WHERE (position - 1) // 50 = (n - 1) // 50 // 2")
 def ranged_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The middle page of the lines of each flag, from its own ranges of a ranged table."""
-    lines = read(spark, sf_dir, "lineitem", "l_returnflag", "l_orderkey", "l_linenumber", "l_shipdate", "l_quantity")
-    table = RangedTable(spark, scratch(spark, "ranged"), ["-l_shipdate", "l_orderkey", "l_linenumber"], ["l_returnflag"])
+    lines = read(spark, sf_dir, "lineitem", "l_returnflag", *_LINE)
+    table = RangedTable(spark, scratch(spark, "ranged"), ["-l_shipdate", *_LINE[1:]], ["l_returnflag"])
     table.write(lines, 2_000)
     out = None
     for flag, n in lines.groupBy("l_returnflag").count().collect():  # as many as flags
@@ -40,14 +43,12 @@ def ranged_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@query("""WITH r AS (SELECT o_orderkey, o_custkey, o_orderdate, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey)::INT AS position, count(*) OVER () AS n FROM orders)
-SELECT o_orderkey, o_custkey, o_orderdate, position, ceil(n / 70)::BIGINT AS pages FROM r WHERE (position - 1) // 70 = (n - 1) // 70""")
+@query(f"""WITH r AS (SELECT {', '.join(_LINE)}, row_number() OVER (ORDER BY l_shipdate DESC, {', '.join(_LINE[1:])})::INT AS position, count(*) OVER () AS n FROM lineitem)
+SELECT {', '.join(_LINE)}, position, ceil(n / 70)::BIGINT AS pages FROM r WHERE (position - 1) // 70 = (n - 1) // 70""")
 def history_last_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last page, however far in it lies."""
-    from .operators.history import page
-
-    orders = read(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate")
-    return page(orders, (orders.count() - 1) // 70, 70, F.desc("o_orderdate"), F.col("o_orderkey"))
+    """The last page of all lines, however far in it lies."""
+    lines = read(spark, sf_dir, "lineitem", *_LINE)
+    return history.page(lines, (lines.count() - 1) // 70, 70, F.desc("l_shipdate"), *map(F.col, _LINE[1:]))
 
 
 _SEARCHED = ["that the", "ization", "Thing AND", "qu", "zzz zzz", "token = ", "  AND, ON "]
