@@ -225,17 +225,17 @@ class _Texts:
         self.again = stored(again, "join-again")
         self.repeats = not self.again.isEmpty()
 
-    def _mapped(self, nodes: DataFrame, run, schema: str, *once: str) -> DataFrame:
-        """run over the nodes' texts; of what repeated rows give one row of each ``once``."""
-        ids = stored(nodes.join(self.of_node, "node").select("doc_id").distinct(), "join-asked")
+    def _mapped(self, wanted: DataFrame, run, schema: str, *once: str) -> DataFrame:
+        """run over the texts of ids; of what repeated rows give one row of each ``once``."""
+        ids = stored(wanted.distinct(), "join-asked")
         found = stored(map_arrow(self.docs.join(ids, "doc_id", "left_semi").select("doc_id", "t", "text"), run, f"doc_id long, t long, {schema}"), "join-mapped")
         if not self.repeats:
             return found
         often = stored(found.join(self.again, ["doc_id", "t"], "left_semi").dropDuplicates(["doc_id", "t", *once]), "join-once")
         return found.join(self.again, ["doc_id", "t"], "left_anti").union(often)
 
-    def sets(self, nodes: DataFrame) -> DataFrame:
-        """doc_id, t and h, the whole set."""
+    def sets(self, ids: DataFrame) -> DataFrame:
+        """doc_id, t and h, the whole set, of the texts with these ids."""
         width = self.width
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,10 +243,10 @@ class _Texts:
                 for part in slices(batch, "text"):
                     yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("t"), _lists(*shingles(part.column("text"), width))], ["doc_id", "t", "h"])
 
-        return self._mapped(nodes, run, "h array<long>")
+        return self._mapped(ids, run, "h array<long>")
 
     def lists(self, nodes: DataFrame) -> DataFrame:
-        """doc_id, t, list, rank, need, sig: all signatures of each set once, not only those needed."""
+        """node, list, rank, need, sig: all signatures of each set once, not only those needed."""
         width = self.width
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,8 +257,9 @@ class _Texts:
                     arrays = [part.column("doc_id").take(row), part.column("t").take(row), pa.array(kind), pa.array(rank), pa.array(need), pa.array(sig.view(np.int64))]
                     yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "t", "list", "rank", "need", "sig"])
 
-        found = self._mapped(nodes, run, "list long, rank long, need long, sig long", "list", "rank")
-        return found.join(nodes.join(self.of_node, "node"), ["doc_id", "t"]).select("node", "list", "rank", "need", "sig")
+        own = stored(nodes.join(self.of_node, "node"), "join-rows-of")
+        found = self._mapped(own.select("doc_id"), run, "list long, rank long, need long, sig long", "list", "rank")
+        return found.join(own, ["doc_id", "t"]).select("node", "list", "rank", "need", "sig")
 
 
 def _uncrowded(texts: _Texts, members: DataFrame, crowds: DataFrame) -> DataFrame:
@@ -297,13 +298,9 @@ def _close(x: str, y: str) -> Column:
 
 
 def _verified(pairs: DataFrame, texts: _Texts) -> DataFrame:
-    """Those pairs (a, b) whose whole sets are similar enough."""
-    sets = texts.sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
-    side = lambda frame, x: frame.toDF(*(f"{c}_{x}" for c in frame.columns))
-    for x in ("a", "b"):
-        own = side(texts.of_node, x)
-        pairs = pairs.join(own, pairs[x] == own[f"node_{x}"]).drop(f"node_{x}")
-    left, right = side(sets, "a").withColumnRenamed("h_a", "ha"), side(sets, "b").withColumnRenamed("h_b", "hb")
+    """Those pairs (a, b) whose whole sets are similar enough; pairs also have the rows of a and b: doc_id_a, t_a, doc_id_b, t_b."""
+    sets = texts.sets(pairs.select(F.col("doc_id_a").alias("doc_id")).union(pairs.select("doc_id_b")))
+    left, right = (sets.select(F.col("doc_id").alias(f"doc_id_{x}"), F.col("t").alias(f"t_{x}"), F.col("h").alias(f"h{x}")) for x in "ab")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -341,19 +338,20 @@ def components(edges: DataFrame) -> DataFrame:
         known = now
 
 
-def _grouped(docs: DataFrame, width: int, crowd: int) -> DataFrame:
+def _grouped(docs: DataFrame, width: int, crowd: int) -> tuple[DataFrame, list[DataFrame]]:
     """doc_id, t, n, component (its smallest id) and group (a number of the component's own) of each row of docs
-    (doc_id, t, text); both null without shingles. Two components have one smallest id if that stands on several texts."""
+    (doc_id, t, text); both null without shingles. Two components have one smallest id if that stands on several texts.
+    With it, the tables that it is read from."""
     rows = stored(described(docs, width), "join-rows")
     keys = stored(rows.select("doc_id", "t", "n", "s1", "s2"), "join-keys")
     # a class is a set; the row of its smallest id stands for it. Its node is a number of its own, as ids may repeat, in
     # the order of ids: the first text of a group is then its head, and copies edited from it are linked by one comparison
     classes = keys.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("doc_id"), F.min_by("t", "doc_id").alias("t")).filter("doc_id is not null")
-    classes = stored(stored(classes, "join-classes").sort("doc_id").withColumn("node", F.monotonically_increasing_id()), "join-nodes")
+    classes = stored(classes.sort("doc_id").withColumn("node", F.monotonically_increasing_id()), "join-classes")
     texts = _Texts(docs, keys, classes, width)
     of_row = ["doc_id", "t", "n", "s1", "s2"]
     heads = rows.join(classes, of_row).dropDuplicates(of_row)
-    heads = stored(heads.select("node", "n", *BITS, "wide", "blocks"), "join-heads")
+    heads = stored(heads.select("node", "doc_id", "t", "n", *BITS, "wide", "blocks"), "join-heads")
     forget(rows)
     blocks = heads.select("node", F.explode("blocks").alias("sig"))
     shared = stored(blocks.groupBy("sig").agg(F.min("node").alias("head"), F.count("*").alias("c")).filter("c > 1").select("sig", "head"), "join-shared")
@@ -367,7 +365,8 @@ def _grouped(docs: DataFrame, width: int, crowd: int) -> DataFrame:
         return frame.join(bits.select(F.col("node").alias(on), F.struct("n", *columns).alias(name)), on)
 
     def close(pairs: DataFrame) -> DataFrame:
-        return with_bits(with_bits(pairs, "a", "x", "wide"), "b", "y", "wide").filter(_close("x", "y")).select("a", "b")
+        near = with_bits(with_bits(pairs, "a", "x", "doc_id", "t", "wide"), "b", "y", "doc_id", "t", "wide").filter(_close("x", "y"))
+        return near.select("a", "b", *(F.col(f"{k}.{c}").alias(f"{c}_{v}") for k, v in (("x", "a"), ("y", "b")) for c in ("doc_id", "t")))
 
     stars = members.filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
     stars = with_bits(with_bits(stars, "a", "x", *BITS), "b", "y", *BITS).filter(_possible("x", "y")).select("a", "b")
@@ -389,17 +388,17 @@ def _grouped(docs: DataFrame, width: int, crowd: int) -> DataFrame:
         apart = stored(with_bits(apart, "node", "k", *BITS), "join-apart")
         x, y = (apart.select("sig", F.col("node").alias(a), F.col("root").alias(f"r{a}"), F.col("k").alias(k)) for a, k in (("a", "x"), ("b", "y")))
         crossing = x.join(y, (x["sig"] == y["sig"]) & (x["a"] < y["b"]) & (x["ra"] != y["rb"]) & _possible("x", "y")).select("a", "b").distinct()
-        crossing = stored(close(crossing.join(stars, ["a", "b"], "left_anti")), "join-crossing")
+        crossing = stored(close(crossing.join(stars.select("a", "b"), ["a", "b"], "left_anti")), "join-crossing")
         if not crossing.isEmpty():
             more = stored(_verified(crossing, texts), "join-links")
             roots = components(links.union(more)) if not more.isEmpty() else roots
 
-    linked = stored(roots.union(roots.select(F.col("root").alias("node"), "root").distinct()), "join-linked")
+    linked = roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
     least = linked.join(classes.select("node", "doc_id"), "node").groupBy("root").agg(F.min("doc_id").alias("component"))
-    linked = linked.join(stored(least, "join-least"), "root").select("node", F.col("root").alias("group"), "component")
+    linked = linked.join(least, "root").select("node", F.col("root").alias("group"), "component")
     of_class = classes.join(linked, "node", "left").select("n", "s1", "s2", F.coalesce("component", "doc_id").alias("component"), F.coalesce("group", "node").alias("group"))
     of_class = stored(of_class, "join-components")
-    return stored(keys.join(of_class, ["n", "s1", "s2"], "left").select("doc_id", "t", "n", "component", "group"), "join-grouped")
+    return keys.join(of_class, ["n", "s1", "s2"], "left").select("doc_id", "t", "n", "component", "group"), [keys, of_class]
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -411,8 +410,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Per document: doc_id, n_shingles, component_id. ``crowd``: size from which a group of equal blocks whose
     sets aren't linked is split; it changes the work, never the result."""
     with job() as tables:
-        found = _grouped(_rows(docs, id_col, text_col), width, crowd)
-        tables.forget(docs.sparkSession, found)
+        found, read = _grouped(_rows(docs, id_col, text_col), width, crowd)
+        tables.forget(docs.sparkSession, *read)
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
@@ -423,7 +422,7 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stay, and so do rows without shingles."""
     id_, t = free_names(docs, "row_id", "row_t")
     with job() as tables:
-        groups = _grouped(_rows(docs, id_col, text_col), width, crowd).filter("component is not null and doc_id is not null")
+        groups = stored(_grouped(_rows(docs, id_col, text_col), width, crowd)[0].filter("component is not null and doc_id is not null"), "join-grouped")
         first = groups.filter("doc_id = component").groupBy("group", "doc_id").agg(F.min("t").alias("t")).select("doc_id", "t")
         first = stored(first, "join-first")
         rows = groups.groupBy("doc_id", "t").agg(F.count("*").alias("times"))
