@@ -117,9 +117,16 @@ def whole_text(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+_USUAL = str(64 << 20)
+
+
 def send_package(frame: DataFrame) -> None:
-    """Lets the executors' Python workers import this package."""
-    context = frame.sparkSession.sparkContext
+    """Lets the executors' Python workers import this package, and bounds the batches that they are sent: where the
+    session has Spark's usual 64 MB, to 8 MB, as a batch is held more than once by either side."""
+    conf, context = frame.sparkSession.conf, frame.sparkSession.sparkContext
+    if conf.get(ARROW_BYTES).rstrip("bB") == _USUAL:
+        conf.set(ARROW_BYTES, str(8 << 20))
     if not getattr(context, "_quillstack_sent", False):
         package = Path(__file__).resolve().parents[1]
         archive = os.path.join(tempfile.mkdtemp(prefix="quillstack-"), f"{package.name}.zip")
