@@ -20,11 +20,14 @@ Sets that are equal are one class from the start.  In each group of equal blocks
 are first compared with the smallest class only, and what is linked becomes one component;
 after that, pairs of one group in different components are compared, all of them.  Copies are
 thus never expanded into pairs, and no group is gathered in a task: groups are aggregated
-before the shuffle, and rows meet their group in joins that Spark can split.  A group of more
-than ``crowd`` sets in different components, as a passage makes that many texts share, isn't
-compared: the sets of such groups meet by their rarest blocks instead (``_uncrowded``).  What stays quadratic is
-a crowd of texts that are so largely made of one passage that too few other blocks are left: with
-about two thirds or more in common, short of the 0.8 that links them.
+before the shuffle, and rows meet their group in joins that Spark can split.  Of groups with the
+same members, as a passage makes one for each of its blocks, one is compared.  Groups are compared
+from the smallest on while that takes no more than ``PAIRS`` pairs for each of their members, so pairs grow
+with the input; larger ones are crowds, as a passage makes of the texts that share it.  The sets of crowds meet by their
+rarest blocks instead, and those of the crowds that are left by their rarest shingles
+(``_uncrowded``): prefixes of a ninth and a fifth of the smaller and the larger set.  What stays
+quadratic are texts of which one passage is more than 4/5 of the larger and 8/9 of the smaller of two,
+and which aren't linked: similar to between 0.72 and 0.8.
 
 Sets are kept as 64-bit hashes of their shingles, and sets are taken as equal if their sizes and two
 64-bit hashes of all shingles are; a false link needs a collision of such hashes.
@@ -38,7 +41,8 @@ and link nothing; an empty table gives an empty result; other columns are ignore
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -53,6 +57,7 @@ from .tokens import slices
 WIDTH = 5
 NUM, DEN = 4, 5
 CROWD = 512
+PAIRS = 8  # compared for each member of a group, before the sets of larger groups move to rarer signatures: moving one shuffles all it has
 BITS = [f"k{i}" for i in range(8)]
 _P = np.uint64(0x9E3779B97F4A7C15)
 _U = np.uint64
@@ -168,6 +173,18 @@ def signature_lists(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray,
     return tuple(x[order] for x in whole)
 
 
+def shingle_lists(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
+    """As ``signature_lists``, of single shingles: the first ``need`` of a set, in any order that is the same for all, hold
+    one of the first ``brief`` of a similar set that isn't larger."""
+    n = np.diff(bounds)
+    owner = np.repeat(np.arange(len(n)), n)
+    rank = np.arange(len(owner)) - np.repeat(bounds[:-1] - bounds[0], n)
+    need, brief = n + 1 + -n * NUM // DEN, n + 1 + -2 * n * NUM // (DEN + NUM)
+    with np.errstate(over="ignore"):
+        sig = _mix(hashes + _U(0x2545F4914F6CDD1D))
+    return owner, np.zeros(len(owner), np.int64), rank, need[owner], brief[owner], sig
+
+
 def sketches(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(512 parity bits a set, as 8 signed 64-bit numbers; all sets' wide sketches, offsets of each)."""
     n = np.diff(bounds)
@@ -245,37 +262,77 @@ class _Texts:
 
         return self._mapped(ids, run, "h array<long>")
 
-    def lists(self, nodes: DataFrame) -> DataFrame:
-        """node, list, rank, need, sig: all signatures of each set once, not only those needed."""
+    def lists(self, nodes: DataFrame, of: Callable) -> DataFrame:
+        """node, list, rank, need, brief, sig: all signatures of each set once, not only those needed."""
         width = self.width
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in slices(batch, "text"):
-                    owner, kind, rank, need, sig = signature_lists(*shingles(part.column("text"), width))
+                    owner, kind, rank, need, *brief, sig = of(*shingles(part.column("text"), width))
                     row = pa.array(owner)
-                    arrays = [part.column("doc_id").take(row), part.column("t").take(row), pa.array(kind), pa.array(rank), pa.array(need), pa.array(sig.view(np.int64))]
-                    yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "t", "list", "rank", "need", "sig"])
+                    arrays = [part.column("doc_id").take(row), part.column("t").take(row), pa.array(kind), pa.array(rank), pa.array(need), pa.array(brief[0] if brief else need), pa.array(sig.view(np.int64))]
+                    yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "t", "list", "rank", "need", "brief", "sig"])
 
         own = stored(nodes.join(self.of_node, "node"), "join-rows-of")
-        found = self._mapped(own.select("doc_id"), run, "list long, rank long, need long, sig long", "list", "rank")
-        return found.join(own, ["doc_id", "t"]).select("node", "list", "rank", "need", "sig")
+        found = self._mapped(own.select("doc_id"), run, "list long, rank long, need long, brief long, sig long", "list", "rank")
+        return found.join(own, ["doc_id", "t"]).select("node", "list", "rank", "need", "brief", "sig")
 
 
-def _uncrowded(texts: _Texts, members: DataFrame, crowds: DataFrame) -> DataFrame:
-    """Memberships (sig, node) that take the place of those in crowds, groups that are too large to compare.
+def _uncrowded(texts: _Texts, members: DataFrame, crowds: DataFrame, of: Callable) -> DataFrame:
+    """Memberships (sig, node, brief) that take the place of those in crowds, groups that are too large to compare.
 
     A crowd is what a passage makes that many different texts hold.  Both sets of a pair that meets in a
     crowd are in one, so it is enough to join the sets of crowds with each other, and that in
     another order of signatures: the rarest among these sets first.  What the passage gives is then
     taken only by sets that have too little else.  Each set has each of its signatures once here, however
-    many rows have it, or a set would fill what it needs with repeats of one signature."""
+    many rows have it, or a set would fill what it needs with repeats of one signature.  Of a pair the set that isn't
+    larger has the common signature among its brief ones."""
     moved = stored(members.join(crowds, "sig", "left_semi").select("node").distinct(), "join-moved")
-    lists = stored(texts.lists(moved), "join-lists")
+    lists = stored(texts.lists(moved, of), "join-lists")
     common = stored(lists.groupBy("sig").agg(F.count("*").alias("often")).filter("often > 1"), "join-common")
     ranked = lists.join(common, "sig", "left").withColumn("often", F.coalesce("often", F.lit(1)))
     at = F.row_number().over(Window.partitionBy("node", "list").orderBy("often", "sig"))
-    return ranked.withColumn("at", at).filter("at <= need and often > 1").select("sig", "node").distinct()
+    return ranked.withColumn("at", at).filter("at <= need and often > 1").groupBy("sig", "node").agg(F.max(F.expr("at <= brief")).alias("brief"))
+
+
+def _mixed(members: DataFrame) -> DataFrame:
+    """sig and c (members) of groups in more than one component, one of those with the same members; they are taken as
+    the same if two 64-bit hashes of them are."""
+    same = [F.bit_xor(F.xxhash64("node", "brief", F.lit(k))).alias(f"m{k}") for k in (0, 1)]
+    groups = members.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("brief").alias("brief"), F.count("*").alias("c"), *same)
+    return groups.filter("lo < hi and brief").groupBy("c", "m0", "m1").agg(F.min("sig").alias("sig")).select("sig", "c")
+
+
+def _affordable(mixed: DataFrame, crowd: int) -> tuple[int, bool]:
+    """(size up to which groups are compared pair by pair: ``crowd`` at most, and with ``PAIRS`` pairs for each member of
+    any group at most; whether any is larger). A row for each size up to ``crowd`` reaches the driver."""
+    by_size = mixed.groupBy(F.least("c", F.lit(crowd + 1)).alias("c")).agg(F.count("*").alias("n"), F.sum("c").alias("members"))
+    sizes = sorted(tuple(r) for r in by_size.collect())
+    left, most = PAIRS * sum(m for _, _, m in sizes), 1
+    for c, n, _ in sizes:
+        left -= n * c * (c - 1) // 2
+        if c > crowd or left < 0:
+            return most, True
+        most = c
+    return most, False
+
+
+def _apart(texts: _Texts, members: DataFrame, rooted: Callable[[DataFrame], DataFrame], crowd: int) -> DataFrame:
+    """Memberships (step, sig, node, root, brief) of the groups whose members in different components are to be compared."""
+    found = []
+    for step, finer in enumerate((signature_lists, shingle_lists, None)):
+        mixed = stored(_mixed(members), "join-mixed")
+        most, crowded = _affordable(mixed, crowd)
+        if crowded and finer:
+            compared, crowds = mixed.filter(F.col("c") <= most), stored(mixed.filter(F.col("c") > most).select("sig"), "join-crowds")
+        else:
+            compared, crowds = mixed, None
+        found.append(members.join(compared, "sig", "left_semi").select(F.lit(step).alias("step"), "sig", "node", "root", "brief"))
+        if crowds is None:
+            break
+        members = stored(rooted(_uncrowded(texts, members, crowds, finer)), "join-uncrowded")
+    return reduce(DataFrame.union, found)
 
 
 def _possible(a: str, b: str) -> Column:
@@ -374,21 +431,17 @@ def _grouped(docs: DataFrame, width: int, crowd: int) -> tuple[DataFrame, list[D
     links = stored(_verified(stars, texts), "join-links")
     roots = components(links)
 
-    rooted = lambda frame: frame.join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
-    labelled = stored(rooted(members.select("sig", "node")), "join-labelled")
-    mixed = labelled.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c")).filter("lo < hi")
-    mixed = stored(mixed.select("sig", "c"), "join-mixed")
-    if not mixed.isEmpty():
-        apart = labelled.join(mixed.filter(F.col("c") <= crowd), "sig", "left_semi")
-        crowds = stored(mixed.filter(F.col("c") > crowd).select("sig"), "join-crowds")
-        if not crowds.isEmpty():
-            more = stored(rooted(_uncrowded(texts, members, crowds)), "join-uncrowded")
-            split = more.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("sig")
-            apart = apart.union(more.join(split, "sig", "left_semi"))
-        apart = stored(with_bits(apart, "node", "k", *BITS), "join-apart")
-        x, y = (apart.select("sig", F.col("node").alias(a), F.col("root").alias(f"r{a}"), F.col("k").alias(k)) for a, k in (("a", "x"), ("b", "y")))
-        crossing = x.join(y, (x["sig"] == y["sig"]) & (x["a"] < y["b"]) & (x["ra"] != y["rb"]) & _possible("x", "y")).select("a", "b").distinct()
-        crossing = stored(close(crossing.join(stars.select("a", "b"), ["a", "b"], "left_anti")), "join-crossing")
+    rooted = lambda frame: frame.join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"), "brief")
+    labelled = stored(rooted(members.select("sig", "node", F.lit(True).alias("brief"))), "join-labelled")
+    apart = stored(with_bits(_apart(texts, labelled, rooted, crowd), "node", "k", *BITS), "join-apart")
+    if not apart.isEmpty():
+        x, y = (apart.select("step", "sig", F.col("node").alias(a), F.col("root").alias(f"r{a}"), F.col("k").alias(k), F.col("brief").alias(f"brief_{k}")) for a, k in (("a", "x"), ("b", "y")))
+        meets = (F.col("brief_x") & (F.col("x.n") <= F.col("y.n"))) | (F.col("brief_y") & (F.col("y.n") <= F.col("x.n")))
+        of_group = (x["step"] == y["step"]) & (x["sig"] == y["sig"]) & (x["a"] < y["b"]) & (x["ra"] != y["rb"])
+        crossing = x.join(y, of_group & meets & _possible("x", "y")).select("a", "b").distinct()
+        # the join would be moved below distinct(), to pairs as often as they meet
+        crossing = stored(close(crossing), "join-near").join(stars.select("a", "b"), ["a", "b"], "left_anti")
+        crossing = stored(crossing, "join-crossing")
         if not crossing.isEmpty():
             more = stored(_verified(crossing, texts), "join-links")
             roots = components(links.union(more)) if not more.isEmpty() else roots
@@ -408,7 +461,7 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, crowd: int = CROWD) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id. ``crowd``: size from which a group of equal blocks whose
-    sets aren't linked is split; it changes the work, never the result."""
+    sets aren't linked is split at the latest; it changes the work, never the result."""
     with job() as tables:
         found, read = _grouped(_rows(docs, id_col, text_col), width, crowd)
         tables.forget(docs.sparkSession, *read)

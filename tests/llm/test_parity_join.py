@@ -5,6 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from quillstack.llm import parity_join
 from quillstack.llm.common import table
 from quillstack.llm.parity_join import components, near_duplicates, representatives, shingles, signature_lists, signatures, sketches
 
@@ -122,6 +123,32 @@ def test_crowds_against_brute_force(docs, crowd):
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize("share", [0.3, 0.75])
+def test_pairs_of_a_passage_grow_with_the_input(docs, monkeypatch, share):
+    """Texts that share a passage, fewer than a crowd, and one pair of near copies: twice as many take no more than about twice the pairs."""
+    stored = parity_join.stored
+
+    def counted(frame, what):
+        out = stored(frame, what)
+        if what == "join-apart":
+            sizes = out.groupBy([c for c in ("step", "sig") if c in out.columns]).count().collect()
+            compared.append(sum(r["count"] * (r["count"] - 1) // 2 for r in sizes))
+        return out
+
+    monkeypatch.setattr(parity_join, "stored", counted)
+    compared = []
+    for n in (100, 200, 400):
+        rng = random.Random(n)
+        words = [f"w{i}" for i in range(20_000)]
+        passage = rng.choices(words, k=int(240 * share))
+        rows = [(i, " ".join(rng.choices(words, k=240 - len(passage)) + passage)) for i in range(n)]
+        rows.append((n, rows[7][1].replace(passage[-20], "edit")))
+        got = {r.doc_id: r.component_id for r in near_duplicates(docs(*rows)).collect()}
+        assert got == {i: i for i in range(n)} | {n: 7}
+    few, more, most = compared
+    assert most <= 2.5 * max(more, 2_000) and more <= 2.5 * max(few, 1_000), compared
+
+
 @pytest.mark.parametrize("times, crowd", [(1, 20), (2, 3), (6, 20), (20, 3)])
 def test_crowds_of_repeated_rows(docs, times, crowd):
     """Pairs with a few words of their own beside a passage, each row several times: no link is lost."""
@@ -218,6 +245,23 @@ def test_similar_sets_share_a_signature():
             assert sum(int(x).bit_count() for x in (short[0] ^ short[1]).view(np.uint64)) <= len(a) + len(b) - 2 * both
 
 
+def test_brief_shingles_keep_similar_sets_together():
+    """In any order of shingles the brief ones of the set that isn't larger meet the needed ones of the other."""
+    rng = np.random.default_rng(6)
+    for n in [*range(1, 60), 200, 900]:
+        for larger in (n, n + n // 8, n * 5 // 4):
+            b = np.unique(rng.integers(0, 2**64, larger, np.uint64))
+            both = max(-(-4 * (n + larger) // 9), 1)
+            a = np.unique(np.concatenate((rng.permutation(b)[:both], rng.integers(0, 2**64, n - both, np.uint64))))
+            owner, _, _, need, brief, sig = parity_join.shingle_lists(np.concatenate((a, b)), np.array([0, len(a), len(a) + len(b)]))
+            for last in (set(sig[np.isin(np.concatenate((a, b)), a) & np.isin(np.concatenate((a, b)), b)].tolist()), set(sig[rng.random(len(sig)) < 0.6].tolist())):
+                first = []
+                for o, most in ((0, brief), (1, need)):
+                    own = sorted(np.flatnonzero(owner == o), key=lambda i: (sig[i] in last, sig[i]))
+                    first.append({sig[i] for i in own[: most[own[0]]]})
+                assert first[0] & first[1], (n, larger)
+
+
 def test_crowded_blocks_fall_back():
     """Sets whose hashes all fall into one block still share a signature."""
     low = np.arange(1, 41, dtype=np.uint64)
