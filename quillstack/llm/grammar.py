@@ -80,43 +80,56 @@ def compress(ids: np.ndarray, least: int = 4, gain: float = 0.002) -> Grammar:
         raise ValueError("ids leave no room for rules in 32 bits")
     left, right = [], []
     rules = 0
-    while len(seq) > 1:
-        a, b = seq[:-1], seq[1:]
-        slot = ((a * np.uint32(2654435761)) ^ (b * np.uint32(2246822519) + np.uint32(374761393))) >> np.uint32(14)
-        often = np.bincount(slot, minlength=SLOTS)
-        stands = np.zeros(SLOTS, np.int64)
-        stands[slot] = np.arange(len(slot))
-        at = stands[slot]
-        fits = (a[at] == a) & (b[at] == b) & (a != END_ID) & (b != END_ID)
-        fits &= (often >= least)[slot]
-        often = np.bincount(slot[fits], minlength=SLOTS)
-        value = np.where(fits, often[slot], 0)
-        value[value < least] = 0
+    table = np.zeros(SLOTS, np.uint64)
+    rule = np.zeros(SLOTS, np.uint32)
+    # places of pairs that may be frequent: a pair that occurs too rarely never comes to occur more often
+    at = np.arange(max(len(seq) - 1, 0))
+    while len(at):
+        a, b = seq[at], seq[at + 1]
+        slot = (((a * np.uint32(2654435761)) ^ (b * np.uint32(2246822519) + np.uint32(374761393))) >> np.uint32(14)).astype(np.int64)
+        open_ = (np.bincount(slot, minlength=SLOTS) >= least)[slot]
+        open_ &= a != END_ID
+        open_ &= b != END_ID
+        at, slot = at[open_], slot[open_]
+        pair = (a[open_].astype(np.uint64) << np.uint64(32)) | b[open_]
+        # each slot stands for one of its pairs
+        table[slot] = pair
+        fits = table[slot] == pair
+        value = np.bincount(slot[fits], minlength=SLOTS)[slot]
+        open_ = ~fits
+        open_ |= value >= least
+        fits &= value >= least
+        place, own, value = at[fits], slot[fits], value[fits]
         # of neighbours with one value every other one wins, from the first that no higher one blocks
-        new = np.flatnonzero(value[1:] != value[:-1]) + 1
-        start = np.zeros(len(value), np.int64)
-        start[new] = new
-        start = np.maximum.accumulate(start)
-        behind_higher = np.zeros(len(value), bool)
-        behind_higher[new] = value[new - 1] > value[new]
-        wins = (value > 0) & ((np.arange(len(value)) - start) % 2 == behind_higher[start])
-        wins[:-1] &= value[:-1] >= value[1:]
-        used = np.bincount(slot[wins], minlength=SLOTS)
-        wins &= (used >= least)[slot]
-        where = np.flatnonzero(wins)
+        beside = place[1:] == place[:-1] + 1
+        new = np.ones(len(place), bool)
+        new[1:] = ~beside | (value[1:] != value[:-1])
+        start = np.flatnonzero(new)
+        blocked = np.zeros(len(start), np.int64)
+        later = start[1:] if len(start) else start
+        blocked[1:] = beside[later - 1] & (value[later - 1] > value[later])
+        run = np.cumsum(new) - 1
+        wins = ((place - (place[start] + blocked)[run]) & 1) == 0
+        wins[:-1] &= ~beside | (value[:-1] >= value[1:])
+        used = np.bincount(own[wins], minlength=SLOTS)
+        wins &= (used >= least)[own]
+        where = place[wins]
         if len(where) < max(gain * len(seq), least):
             break
         chosen = np.flatnonzero(used >= least)
-        rule = np.zeros(SLOTS, np.uint32)
         rule[chosen] = base + rules + np.arange(len(chosen))
-        left.append(a[stands[chosen]])
-        right.append(b[stands[chosen]])
+        left.append((table[chosen] >> np.uint64(32)).astype(np.uint32))
+        right.append(table[chosen].astype(np.uint32))
         rules += len(chosen)
+        seq[where] = rule[own[wins]]
+        live = np.zeros(len(seq), bool)
+        live[at[open_]] = True
+        live[where] = True
+        live[where[where > 0] - 1] = True
         stay = np.ones(len(seq), bool)
         stay[where + 1] = False
-        seq = seq.copy()
-        seq[where] = rule[slot[where]]
         seq = seq[stay]
+        at = np.flatnonzero(live[stay][:-1])
     empty = np.zeros(0, np.uint32)
     return Grammar(np.concatenate(left or [empty]), np.concatenate(right or [empty]), seq, base)
 
@@ -154,8 +167,8 @@ def unfolded(grammar: Grammar, symbols: np.ndarray) -> np.ndarray:
 
 def packed(values: np.ndarray, width: int) -> bytes:
     """Whole numbers in ``width`` bits each."""
-    bits = (values.astype(np.int64)[:, None] >> np.arange(width)) & 1
-    return np.packbits(bits.astype(np.uint8).ravel(), bitorder="little").tobytes()
+    bits = np.unpackbits(np.ascontiguousarray(values, "<i8").view(np.uint8).reshape(-1, 8)[:, : -(-width // 8)], axis=1, count=width, bitorder="little")
+    return np.packbits(bits.ravel(), bitorder="little").tobytes()
 
 
 def unpacked(raw: bytes, at: int, width: int, first: int, n: int) -> np.ndarray:
@@ -163,7 +176,9 @@ def unpacked(raw: bytes, at: int, width: int, first: int, n: int) -> np.ndarray:
     low = first * width
     start, stop = at + low // 8, at + -(-(low + n * width) // 8)
     bits = np.unpackbits(np.frombuffer(raw, np.uint8, stop - start, start), bitorder="little")[low % 8 : low % 8 + n * width]
-    return (bits.reshape(n, width).astype(np.int64) << np.arange(width)).sum(axis=1)
+    out = np.zeros((n, 8), np.uint8)
+    out[:, : -(-width // 8)] = np.packbits(bits.reshape(n, width), axis=1, bitorder="little")
+    return out.view("<i8").ravel()
 
 
 def _bytes(n: int, width: int) -> int:

@@ -95,3 +95,14 @@ def test_rounds_come_near_plain_re_pair(spark, small):
     symbols, rules = plain(ids, 4)
     grammar = compress(ids)
     assert len(grammar.symbols) + 2 * len(grammar.left) <= 1.05 * (symbols + 2 * rules)
+
+
+def test_rare_pairs_leave_their_slots():
+    """A pair that occurs too rarely isn't counted again: it takes no slot from a frequent one, and no more time."""
+    rng = np.random.default_rng(5)
+    phrases = rng.integers(2, 40_000, (3_000, 6))
+    often = phrases[rng.permutation(np.repeat(np.arange(3_000), 12))].ravel()
+    ids = np.concatenate((often, rng.integers(2, 40_000, 600_000), [END_ID])).astype(np.uint32)
+    grammar = compress(ids)
+    assert (expand(grammar) == ids).all()
+    assert len(grammar.symbols) < 600_000 + len(often) / 4
