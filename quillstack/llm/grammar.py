@@ -85,31 +85,36 @@ def compress(ids: np.ndarray, least: int = 4, gain: float = 0.002) -> Grammar:
     # places of pairs that may be frequent: a pair that occurs too rarely never comes to occur more often
     at = np.arange(max(len(seq) - 1, 0))
     while len(at):
-        a, b = seq[at], seq[at + 1]
+        a, b = (seq[:-1], seq[1:]) if len(at) == len(seq) - 1 else (seq[at], seq[at + 1])
         slot = (((a * np.uint32(2654435761)) ^ (b * np.uint32(2246822519) + np.uint32(374761393))) >> np.uint32(14)).astype(np.int64)
         open_ = (np.bincount(slot, minlength=SLOTS) >= least)[slot]
         open_ &= a != END_ID
         open_ &= b != END_ID
+        open_ = np.flatnonzero(open_)
         at, slot = at[open_], slot[open_]
-        pair = (a[open_].astype(np.uint64) << np.uint64(32)) | b[open_]
+        pair = a[open_].astype(np.uint64)
+        pair <<= np.uint64(32)
+        pair |= b[open_]
         # each slot stands for one of its pairs
         table[slot] = pair
-        fits = table[slot] == pair
-        value = np.bincount(slot[fits], minlength=SLOTS)[slot]
-        open_ = ~fits
-        open_ |= value >= least
-        fits &= value >= least
-        place, own, value = at[fits], slot[fits], value[fits]
+        fits = np.flatnonzero(table[slot] == pair)
+        own = slot[fits]
+        value = np.bincount(own, minlength=SLOTS).astype(np.int32)[own]
+        frequent = value >= least
+        open_ = np.ones(len(at), bool)
+        open_[fits[~frequent]] = False
+        frequent = np.flatnonzero(frequent)
+        place, own, value = at[fits[frequent]], own[frequent], value[frequent]
         # of neighbours with one value every other one wins, from the first that no higher one blocks
-        beside = place[1:] == place[:-1] + 1
-        new = np.ones(len(place), bool)
-        new[1:] = ~beside | (value[1:] != value[:-1])
-        start = np.flatnonzero(new)
-        blocked = np.zeros(len(start), np.int64)
-        later = start[1:] if len(start) else start
-        blocked[1:] = beside[later - 1] & (value[later - 1] > value[later])
-        run = np.cumsum(new) - 1
-        wins = ((place - (place[start] + blocked)[run]) & 1) == 0
+        beside = place[1:] - place[:-1] == 1
+        blocked = np.zeros(len(place), bool)
+        blocked[1:] = beside & (value[:-1] > value[1:])
+        wins = ~blocked
+        inner = np.flatnonzero(beside & (value[1:] == value[:-1])) + 1
+        first = np.arange(len(place))
+        first[inner] = 0
+        first = np.maximum.accumulate(first)[inner]
+        wins[inner] = ((place[inner] - place[first] - blocked[first]) & 1) == 0
         wins[:-1] &= ~beside | (value[:-1] >= value[1:])
         used = np.bincount(own[wins], minlength=SLOTS)
         wins &= (used >= least)[own]
