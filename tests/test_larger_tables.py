@@ -28,3 +28,9 @@ def against_sql(spark, tmp_path):
 
 def test_house_numbers_of_five_digits(spark, against_sql):
     against_sql("same_sites", supplier=spark.range(990, 1_100).union(spark.range(9_990, 10_050)).withColumnRenamed("id", "s_suppkey"))
+
+
+def test_site_numbers_of_five_digits(spark, against_sql):
+    nation = spark.range(25).selectExpr("cast(id as int) n_nationkey", "'NATION_' || id n_name")
+    keys = spark.range(9_990, 10_050).union(spark.range(99_990, 100_010))
+    against_sql("ship_to_keys", nation=nation, supplier=keys.selectExpr("id s_suppkey", "cast(id % 25 as int) s_nationkey"))
