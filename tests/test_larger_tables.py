@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from quillstack import queries as Q
 
@@ -34,3 +35,10 @@ def test_site_numbers_of_five_digits(spark, against_sql):
     nation = spark.range(25).selectExpr("cast(id as int) n_nationkey", "'NATION_' || id n_name")
     keys = spark.range(9_990, 10_050).union(spark.range(99_990, 100_010))
     against_sql("ship_to_keys", nation=nation, supplier=keys.selectExpr("id s_suppkey", "cast(id % 25 as int) s_nationkey"))
+
+
+def test_line_numbers_that_could_equal_the_order_s_own(spark, against_sql):
+    """P700007 is order 100,007's number and part 7's."""
+    orders = spark.createDataFrame([(100_007, 5), (100_012, 6), (3, 7), (4, 8)], "o_orderkey long, o_custkey long")
+    lines = spark.createDataFrame([(100_007, 7, 1), (100_012, 12, 1), (100_012, 17, 2), (3, 22, 1), (3, 23, 2)], "l_orderkey long, l_partkey long, l_linenumber int")
+    against_sql("order_warnings", orders=orders, lineitem=lines.withColumn("l_quantity", F.lit(2.0)))
