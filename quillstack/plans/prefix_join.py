@@ -11,8 +11,11 @@ def prefix_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str
 
     Either the right key is one of the left key's prefixes, itself included, or the left key is a shorter
     prefix of the right one's.  Both are equality joins on whole prefixes, so keys that merely start alike
-    don't meet; a key of n characters stands for n - ``stem`` + 1 of them."""
-    a, b = left.filter(F.col(left_key) != ""), right.filter(F.col(right_key) != "")
+    don't meet; a key of n characters stands for n - ``stem`` + 1 of them.
+
+    Both sides are shuffled: either may be a table of records, whose files are far smaller than its rows in memory, so that
+    a broadcast chosen by their size would not fit the driver."""
+    a, b = left.filter(F.col(left_key) != "").hint("merge"), right.filter(F.col(right_key) != "").hint("merge")
 
     def prefixes(key: str, whole: bool):
         """Prefixes of ``stem`` characters or more; with ``whole`` the key itself, however short."""

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillstack import queries as Q
+from quillstack.plans.prefix_join import prefix_join
 
 from .test_queries import rows
 
@@ -42,3 +43,13 @@ def test_line_numbers_that_could_equal_the_order_s_own(spark, against_sql):
     orders = spark.createDataFrame([(100_007, 5), (100_012, 6), (3, 7), (4, 8)], "o_orderkey long, o_custkey long")
     lines = spark.createDataFrame([(100_007, 7, 1), (100_012, 12, 1), (100_012, 17, 2), (3, 22, 1), (3, 23, 2)], "l_orderkey long, l_partkey long, l_linenumber int")
     against_sql("order_warnings", orders=orders, lineitem=lines.withColumn("l_quantity", F.lit(2.0)))
+
+
+def test_no_side_of_a_prefix_join_is_broadcast(spark):
+    """The driver would hold a side whose files are small and whose rows are not."""
+    a, b = (spark.range(50).selectExpr(f"id {k}", f"'name' || id k{k}") for k in "ab")
+    pairs = prefix_join(a, b, "ka", "kb")
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    want = sorted((i, j) for i in range(50) for j in range(50) if f"name{i}".startswith(f"name{j}") or f"name{j}".startswith(f"name{i}"))
+    assert sorted((r.a, r.b) for r in pairs.select("a", "b").collect()) == want
