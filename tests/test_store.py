@@ -11,7 +11,7 @@ from quillstack.operators.history import page
 from quillstack.plans.first_independent import first_independent
 from quillstack.sources.ranged import RangedTable
 from quillstack.sources.snapshot import KeyedSnapshot
-from quillstack.sources.trigrams import TrigramIndex
+from quillstack.sources.trigrams import TrigramIndex, _gathered
 from quillstack.streaming.latest import fresh_answers
 
 SCHEMA = "k long, t int, v string, bucket string"
@@ -253,3 +253,27 @@ def test_upper_middles_of_any_group(spark):
         if own:
             want[k] = own[len(own) // 2]
     assert got == want
+
+
+def test_postings_are_gathered_before_they_are_written(spark, tmp_path):
+    """A row of postings stands for a gram's texts, not for one of them; any letters, also very many, keep their places."""
+    many = "".join(map(chr, range(0x4E00, 0x9FFF)))
+    texts = [(i, f"{i} over and over") for i in range(3_000)] + [(9_000, many), (9_001, many[::-1] + chr(0x10FFFF)), (9_002, "ab"), (9_003, "")]
+    index = TrigramIndex(spark, str(tmp_path), buckets=4)
+    index.build(spark.createDataFrame(texts, "id long, text string").coalesce(2), "id", "text")
+    assert spark.read.parquet(f"{tmp_path}/postings").filter("gram = 'ove'").count() <= 16
+    counts = {r.gram: r.texts for r in spark.read.parquet(f"{tmp_path}/counts").collect()}
+    want = {}
+    for _, t in texts:
+        for g in {t[i : i + 3] for i in range(len(t) - 2)}:
+            want[g] = want.get(g, 0) + 1
+    assert counts == want
+    assert [r.id for r in index.search(many[70:80]).collect()] == [9_000]
+
+
+def test_grams_of_texts_with_too_many_letters_for_one_number():
+    texts = ["".join(map(chr, range(0x10000, 0x10000 + 250_000))), *["abcab"] * 300, *["cabx"] * 300]
+    grams, ends, numbers = _gathered(texts)
+    got = {g: numbers[ends[i] : ends[i + 1]].tolist() for i, g in enumerate(grams)}
+    assert len(got) == 249_998 + 4 and got[texts[0][:3]] == got[texts[0][-3:]] == [0]
+    assert got["cab"] == list(range(1, 601)) and got["abc"] == got["bca"] == list(range(1, 301)) and got["abx"] == list(range(301, 601))
