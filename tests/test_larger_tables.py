@@ -72,3 +72,11 @@ def test_pairs_of_names_are_not_shuffled(spark):
     assert pairs.count() == 3 * 2_000 * 1_999 // 2 and pairs.distinct().count() == pairs.count()
     plan = pairs._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate(keys=[a#" not in plan
+
+
+def test_rows_of_one_place_are_dealt_over_tasks(spark, against_sql, tmp_path):
+    """Keys of rows that are written alike are worked out once, and no place is paired in one task."""
+    orders = spark.range(4_000).selectExpr("id o_orderkey", "id * 7 % 90 o_custkey", "timestamp_ntz'2024-01-01' o_orderdate")
+    against_sql("same_place_same_courier", orders=orders, supplier=spark.range(150).withColumnRenamed("id", "s_suppkey"))
+    plan = Q.queries()["same_place_same_courier"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [place#" in plan and "__l#" in plan
