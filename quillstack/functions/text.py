@@ -89,11 +89,16 @@ def assign_one_to_one(values: Column, orders: Column, assigned: Column) -> Colum
     can be deduced: as many values as can be paired with orders, and one of each still open."""
     many, of = F.size(values), F.size(orders)
     pairs = F.when((many <= 1) | (of <= 1), 0).otherwise(F.least(many, of))
-    sound = F.map_filter(assigned, lambda i, v: (i >= 0) & (i < pairs) & (trim_ws(v) != ""))
-    open_values = F.filter(F.when(pairs > 0, F.sequence(F.lit(0), pairs - 1)).otherwise(F.array().cast("array<int>")), lambda i: ~F.array_contains(F.map_keys(sound), i))
-    open_orders = F.filter(orders, lambda o: ~F.array_contains(F.transform(F.map_values(sound), trim_ws), o))
-    deduced = (F.size(open_values) == 1) & (F.size(open_orders) == 1)
-    return F.when(deduced, F.map_concat(sound, F.map_from_arrays(open_values, open_orders))).otherwise(sound)
+    numbers = F.when(pairs > 0, F.sequence(F.lit(0), pairs - 1)).otherwise(F.array().cast("array<int>"))
+
+    def completed(sound: Column) -> Column:
+        """Each step is worked out once a row, not once an element of the next."""
+        taken = F.struct(F.map_keys(sound).alias("values"), F.transform(F.map_values(sound), trim_ws).alias("orders"))
+        left = lambda t: F.struct(F.filter(numbers, lambda i: ~F.array_contains(t["values"], i)).alias("values"), F.filter(orders, lambda o: ~F.array_contains(t["orders"], o)).alias("orders"))
+        deduced = lambda x: (F.size(x["values"]) == 1) & (F.size(x["orders"]) == 1)
+        return let(let(taken, left), lambda x: F.when(deduced(x), F.map_concat(sound, F.map_from_arrays(x["values"], x["orders"]))).otherwise(sound))
+
+    return let(F.map_filter(assigned, lambda i, v: (i >= 0) & (i < pairs) & (trim_ws(v) != "")), completed)
 
 
 # keys of records and files

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillstack import queries as Q
+from quillstack.functions import text as T
 from quillstack.operators.marks import related_pairs
 from quillstack.plans.prefix_join import prefix_join
 from quillstack.plans.tiled_join import tiled_join
@@ -80,3 +81,11 @@ def test_rows_of_one_place_are_dealt_over_tasks(spark, against_sql, tmp_path):
     against_sql("same_place_same_courier", orders=orders, supplier=spark.range(150).withColumnRenamed("id", "s_suppkey"))
     plan = Q.queries()["same_place_same_courier"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin [place#" in plan and "__l#" in plan
+
+
+def test_sound_pairs_are_worked_out_once_a_row(spark):
+    """Not again for each value and each order, which made the work grow with the square of their number."""
+    rows_ = spark.createDataFrame([(["a", "b", "c"], ["x", "y", "z"], {0: "x ", 2: "z", 9: "q"}), (["a"], ["x"], {0: "x"}), (["a", "b"], ["x", "x"], {0: "x"}), (["a", "b"], ["x", "y"], None), (None, ["x"], {0: "x"})], "v array<string>, o array<string>, g map<int,string>")
+    found = rows_.select(T.assign_one_to_one(F.col("v"), F.col("o"), F.col("g")).alias("m"))
+    assert [r.m for r in found.collect()] == [{0: "x ", 1: "y", 2: "z"}, {}, {0: "x"}, None, {}]
+    assert found._jdf.queryExecution().analyzed().toString().count("map_filter(") == 1
