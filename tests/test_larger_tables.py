@@ -1,5 +1,9 @@
 """Queries against their SQL where keys are larger than in the given tables, or rows lie otherwise."""
 
+import io
+import zipfile
+from collections import Counter
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +13,7 @@ from quillstack.functions import text as T
 from quillstack.operators.marks import related_pairs
 from quillstack.plans.prefix_join import prefix_join
 from quillstack.plans.tiled_join import tiled_join
+from quillstack.sources import office
 
 from .test_queries import rows
 
@@ -89,3 +94,20 @@ def test_sound_pairs_are_worked_out_once_a_row(spark):
     found = rows_.select(T.assign_one_to_one(F.col("v"), F.col("o"), F.col("g")).alias("m"))
     assert [r.m for r in found.collect()] == [{0: "x ", 1: "y", 2: "z"}, {}, {0: "x"}, None, {}]
     assert found._jdf.queryExecution().analyzed().toString().count("map_filter(") == 1
+
+
+def test_a_sheet_packs_only_its_own_part():
+    """Parts that are the same in every file are packed once; the files stay whole packages."""
+    sheets = [[[str(i), f"é <&> {i}", "x" * i], []] for i in range(40)]
+    office.xlsx(sheets[0])
+    made = Counter()
+    real = zipfile.ZipFile.writestr
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(zipfile.ZipFile, "writestr", lambda self, *a, **k: (made.update(["parts"]), real(self, *a, **k)))
+        files = [office.xlsx(s) for s in sheets]
+    assert made["parts"] == 0
+    for s, f in zip(sheets, files, strict=True):
+        z = zipfile.ZipFile(io.BytesIO(f))
+        assert z.testzip() is None and len(z.namelist()) == 5 and office.xlsx_rows(f) == s
+    table = zipfile.ZipFile(io.BytesIO(office.docx([["a", "b\nc"]])))
+    assert table.testzip() is None and table.namelist()[-1] == "word/document.xml" and office.docx_rows(office.docx([["a", "b\nc"]])) == [["a", "b\nc"]]
