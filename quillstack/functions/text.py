@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: White space as Unicode has it; Java's \s and Spark's trim know less.
-SPACE = r"\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+#: White space as Unicode has it; Java's \s and Spark's trim know less. Most characters are told apart by the first range.
+SPACE = r"[^!-~]&&[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 
 
 def col(c: Column | str) -> Column:
@@ -76,10 +76,12 @@ def join_values(c: Column | str) -> Column:
 
 def number_spec(c: Column | str) -> Column:
     """Numbers of a list with ranges, as "1, 3-5"; a falling range gives its first number only."""
+
     def one(p: Column) -> Column:
-        low, high = F.regexp_extract(p, r"^(\d+)\s*-\s*(\d+)$", 1).try_cast("int"), F.regexp_extract(p, r"^(\d+)\s*-\s*(\d+)$", 2).try_cast("int")
-        single = F.when(p.rlike(r"^\d+$"), F.array(p.try_cast("int"))).otherwise(F.array().cast("array<int>"))
-        return F.when(low.isNull() | high.isNull(), single).when(low <= high, F.sequence(low, high)).otherwise(F.array(low))
+        # a cast that fails costs more than a match, so only digits are cast
+        ends = F.transform(F.split(p, r"\s*-\s*"), lambda x: x.try_cast("int"))
+        range_ = let(ends, lambda e: F.when(e[0].isNull() | e[1].isNull(), F.array().cast("array<int>")).when(e[0] <= e[1], F.sequence(e[0], e[1])).otherwise(F.array(e[0])))
+        return F.when(p.rlike(r"^\d+$"), F.array(p.try_cast("int"))).when(p.rlike(r"^\d+\s*-\s*\d+$"), range_).otherwise(F.array().cast("array<int>"))
 
     return F.flatten(F.transform(F.transform(F.split(squeeze(c), ","), trim_ws), one))
 

@@ -18,55 +18,54 @@ LINE_NOTE = r"(?i)Order\s+Line\s+Notes:\s*CPO\s*(?:LINES?\s*)?#?\s*([0-9]+(?:\s*
 IDENTITY_NOTE = r"(?im)Order\s+Line\s+Notes:\s*(TAG|PART|ITEM)\s*#\s*(.+)$"
 IDENTITY_LOOSE = r"(?im)^\s*(TAG|PART|ITEM)\s*#\s*(.+?)\s*$"
 REFERENCE = r"(?:P\d{4,}|(?:[A-Z]{1,6}-)?\d{3,}(?:[.\-/][A-Z0-9]+)*)"
-QUANTITY_AFTER, QUANTITY_BEFORE = r"(?i)EA\s*(\d+\.\d+)", r"(?i)(\d+\.\d+)\s+EA\b"
+ANY_QUANTITY = r"(?i)EA\s*\d+\.\d|\d+\.\d+\s+EA\b"
+LAST_QUANTITY = r"(?is)^.*(?:EA\s*(\d+\.\d+)|(?<!\d)(\d+\.\d+)\s+EA\b)(.*)$"
 NO_IDENTITY = r"(?i)^Order\s+Line\s+Notes:|^(Rev|Page|Subtotal|GST|Total)\b|^\d{1,3}$|\d\s*EA\s*\d|\bEA\b"
 LINE_PO = rf"(?im)^\s*PO\s*#\s*({REFERENCE})\s*$"
 LOOK_BACK = 400
+_LEAST = 20  # characters that any note has
 
 
 def _text(c: str) -> Column:
     return F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"\r\n?", "\n")
 
 
-def _places(t: Column, pattern: str) -> Column:
-    """array<struct(start, end, value)> of the matches of a pattern with one group: places from 0."""
-    gaps, whole, value = F.split(t, pattern, -1), F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), F.regexp_extract_all(t, F.lit(pattern), F.lit(1))
-    steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(whole)), F.arrays_zip(whole.alias("w"), value.alias("v")), lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m["w"]).alias("n"), m["v"].alias("value")))
-    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        start = acc["at"] + s["gap"]
-        return F.struct((start + s["n"]).alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), (start + s["n"]).alias("end"), s["value"].alias("value")))).alias("out"))
-
-    return F.aggregate(steps, none, step, lambda acc: acc["out"])
-
-
 def notes(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row per line note: key, ordinal, spec, quantity (null without one), description, back, note, after.
 
-    Places of notes and quantities are found once a document; a row carries the text up to the next note
-    and the last characters before it, so a document with many notes isn't copied for each."""
-    t = F.col("t")
-    rows = documents.select(key, _text(text).alias("t")).withColumn("notes", _places(t, LINE_NOTE))
-    quantities = F.concat(_places(t, QUANTITY_AFTER), _places(t, QUANTITY_BEFORE))
-    rows = rows.filter(F.size("notes") > 0).withColumn("quantities", F.array_sort(F.transform(quantities, lambda q: F.struct(q["end"].alias("end"), q["value"].try_cast("double").alias("value")))))
-    part = lambda a, b: F.substring(t, a + 1, F.greatest(b - a, F.lit(0)))
-
-    def one(n: Column, i: Column) -> Column:
-        following = F.coalesce(F.get("notes", i + 1)["start"], F.length(t))
-        last = F.try_element_at(F.filter("quantities", lambda q: q["end"] <= n["start"]), F.lit(-1))
-
-        def row(q: Column) -> Column:
-            return F.struct(
-                i.alias("ordinal"), squeeze(n["value"]).alias("spec"), q["value"].alias("quantity"),
-                F.when(q.isNull(), "").otherwise(_description(part(q["end"], n["start"]))).alias("description"),
-                part(F.greatest(n["start"] - LOOK_BACK, F.lit(0)), n["start"]).alias("back"),
-                part(n["start"], n["end"]).alias("note"), part(n["end"], following).alias("after"),
+    A document is cut where its notes begin, in one pass; quantities are looked for in the piece before a note, and only where it
+    has none in the last one before that has. A row carries the text up to the next note and the last characters before it, so
+    a document with many notes isn't copied for each."""
+
+    def one(pieces: Column, marked: Column) -> Column:
+        def row(piece: Column, i: Column) -> Column:
+            before, from_ = F.get(pieces, i), F.array_max(F.slice(marked, F.lit(1), i + 1))
+            # a note follows, so EA at the end of a piece is none if the note is written right behind it
+            counted = F.concat(F.get(pieces, from_), F.lit("O"))
+            group = lambda n: F.regexp_extract(counted, LAST_QUANTITY, n)
+            rest = let(group(3), lambda r: F.substring(r, F.lit(1), F.length(r) - 1))
+            between = F.when(from_ < i, F.array_join(F.slice(pieces, from_ + 2, i - from_), "")).otherwise("")
+            back = F.when(F.length(before) >= LOOK_BACK, before).otherwise(F.array_join(F.slice(pieces, F.greatest(i + 1 - LOOK_BACK // _LEAST, F.lit(1)), F.least(i + 1, F.lit(LOOK_BACK // _LEAST + 1))), ""))
+            return let(
+                F.regexp_extract(piece, f"^{LINE_NOTE}", 0),
+                lambda note: F.struct(
+                    i.alias("ordinal"), squeeze(F.regexp_extract(note, LINE_NOTE, 1)).alias("spec"),
+                    F.when(from_.isNotNull(), F.concat(group(1), group(2)).try_cast("double")).alias("quantity"),
+                    F.when(from_.isNull(), "").otherwise(_description(F.concat(rest, between))).alias("description"),
+                    let(back, lambda x: F.substring(x, F.greatest(F.length(x) - LOOK_BACK + 1, F.lit(1)), F.lit(LOOK_BACK))).alias("back"),
+                    note.alias("note"), F.substring(piece, F.length(note) + 1, F.length(piece)).alias("after"),
+                ),
             )
 
-        return let(last, row)
+        return F.transform(F.slice(pieces, F.lit(2), F.size(pieces) - 1), row)
 
-    return rows.select(key, F.explode(F.transform("notes", one)).alias("n")).select(key, "n.*")
+    # a character before the text keeps a note at its start from being its first piece
+    cut = F.split(F.concat(F.lit("\n"), _text(text)), f"(?={LINE_NOTE})", -1)
+    pieces = lambda c: F.transform(c, lambda p, i: F.when(i == 0, F.substring(p, F.lit(2), F.length(p))).otherwise(p))
+    marked = lambda c: F.transform(c, lambda p, i: F.when(F.concat(p, F.lit("O")).rlike(ANY_QUANTITY), i))
+    found = let(let(cut, pieces), lambda c: let(marked(c), lambda m: one(c, m)))
+    # outer, so that no filter is made of the size of what is exploded, which would work it out twice
+    return documents.select(key, F.explode_outer(found).alias("n")).filter(F.col("n").isNotNull()).select(key, "n.*")
 
 
 def _description(slice_: Column) -> Column:
@@ -79,8 +78,8 @@ def _identity(back: Column, note: Column, after: Column) -> Column:
     around = F.concat(back, note, after)
     pair = lambda kind, value: F.when(kind != "", F.struct(F.lower(kind).alias("kind"), squeeze(value).alias("value")))
     behind = pair(F.regexp_extract(after, IDENTITY_NOTE, 1), F.regexp_extract(after, IDENTITY_NOTE, 2))
-    last = lambda i: F.coalesce(F.try_element_at(F.regexp_extract_all(around, F.lit(IDENTITY_NOTE), i), F.lit(-1)), F.lit(""))
-    near = pair(last(F.lit(1)), last(F.lit(2)))
+    last = F.coalesce(F.try_element_at(F.regexp_extract_all(around, F.lit(IDENTITY_NOTE), F.lit(0)), F.lit(-1)), F.lit(""))
+    near = let(last, lambda x: pair(F.regexp_extract(x, IDENTITY_NOTE, 1), F.regexp_extract(x, IDENTITY_NOTE, 2)))
     loose_value = squeeze(F.regexp_extract(after, IDENTITY_LOOSE, 2))
     cut = trim_ws(F.split(loose_value, r"\bEA\b").getItem(0))
     loose = pair(F.regexp_extract(after, IDENTITY_LOOSE, 1), first_filled(cut, loose_value))

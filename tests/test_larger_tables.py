@@ -1,6 +1,8 @@
 """Queries against their SQL where keys are larger than in the given tables, or rows lie otherwise."""
 
 import io
+import random
+import re
 import zipfile
 from collections import Counter
 
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 from quillstack import queries as Q
 from quillstack.functions import text as T
 from quillstack.operators.marks import related_pairs
+from quillstack.operators.orders import notes
 from quillstack.plans.prefix_join import prefix_join
 from quillstack.plans.tiled_join import tiled_join
 from quillstack.sources import office
@@ -111,3 +114,21 @@ def test_a_sheet_packs_only_its_own_part():
         assert z.testzip() is None and len(z.namelist()) == 5 and office.xlsx_rows(f) == s
     table = zipfile.ZipFile(io.BytesIO(office.docx([["a", "b\nc"]])))
     assert table.testzip() is None and table.namelist()[-1] == "word/document.xml" and office.docx_rows(office.docx([["a", "b\nc"]])) == [["a", "b\nc"]]
+
+
+def test_notes_are_cut_in_one_pass(spark):
+    """As places of all notes and quantities in the whole text have it, with one cut of a document in the plan."""
+    parts = ["Order Line Notes: CPO LINE 4", "order  line notes:cpo#3-5, 9", "5.00 EA", "EA 7.5", "1.2.50 EA", "12.5 EA 3.0", " EA", ".5 EA", " ", "\n", "Widget", "12\n", "-" * 230]
+    rng = random.Random(3)
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 14))) for _ in range(300)]
+    got = notes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("(?=") == 1
+    note, before, after = (re.compile(x, re.I) for x in (r"Order\s+Line\s+Notes:\s*CPO\s*(?:LINES?\s*)?#?\s*([0-9]+(?:\s*[-,]\s*[0-9]+)*)", r"(\d+\.\d+)\s+EA\b", r"EA\s*(\d+\.\d+)"))
+    want = set()
+    for k, t in enumerate(texts):
+        found = list(note.finditer(t))
+        quantities = sorted((m.end(), float(m[1])) for p in (before, after) for m in p.finditer(t))
+        for i, m in enumerate(found):
+            q = [v for end, v in quantities if end <= m.start()]
+            want.add((k, i, " ".join(m[1].split()), q[-1] if q else None, t[max(m.start() - 400, 0) : m.start()], m[0], t[m.end() : found[i + 1].start() if i + 1 < len(found) else None]))
+    assert {(r.doc_id, r.ordinal, r.spec, r.quantity, r.back, r.note, r.after) for r in got.collect()} == want
